@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship_package
+
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -23,6 +25,7 @@ LOWER[65:91] += 32
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, langid, mixing
+from tessera.llm import chat, jaccard, langid, mixing
 from tessera.llm.common import read_table
 
 
@@ -23,8 +23,12 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(read_table(spark, sf_dir, "conversations"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op6_source_mixing, op7_chat_formatting)}
+    return {f.__name__: f for f in (op5_language_id, op6_source_mixing, op7_chat_formatting, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
