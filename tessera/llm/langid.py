@@ -36,9 +36,12 @@ def normalised(text: str) -> bytes:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
     """Dictionary of each non-null lang, from a sample of at most TEXTS training rows of it chosen by hash."""
     rows = docs.where(fold_is_train(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.substring(text, 1, TEXT_BYTES)).alias("h"), F.substring(text, 1, TEXT_BYTES).alias("text"))
-    counts = rows.groupBy("lang").count()
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
+        return {}
     # a hash threshold first, so that the ranking below sees a few thousand rows of a language at any size of corpus
-    near = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit((1 << 30) * 3.0 * TEXTS) / F.col("count"))
+    bound = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 3.0 * TEXTS / n) * (1 << 30)))]), F.col("lang"))
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) < bound)
     best = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= TEXTS)
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in best.select("lang", "n", "text").collect():
