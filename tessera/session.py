@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once an application; on a cluster they don't have the driver's working folder."""
+def prepare(spark: SparkSession) -> None:
+    """Give the executors this package, once an application; on a cluster they don't have the driver's working folder.
+
+    Arrow batches are held to 1,000 rows where the session has the default of 10,000: texts may be long, and a Python
+    worker holds a batch whole.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
