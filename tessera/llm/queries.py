@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, jaccard, langid, mixing, suffix_dedup
+from tessera.llm import chat, decontaminate, jaccard, langid, line_dedup, mixing, suffix_dedup, token_count
 from tessera.llm.common import read_table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_units(read_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -18,6 +22,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_count.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return langid.classify(docs, langid.fit(docs))
@@ -36,7 +46,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op5_language_id, op6_source_mixing, op7_chat_formatting, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op7_chat_formatting, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,7 +30,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, mix64, powers, prefix_hash, span_hash, text_slices
+from tessera.llm.common import U64, mix64, plan_bytes, powers, prefix_hash, span_hash, text_slices
 
 LENGTH, GRAM = 50, 16
 _SPREAD = LENGTH - GRAM + 1
@@ -91,38 +91,38 @@ class Batch:
         self.uh, self.uc = h[self.start], c[self.start]
 
 
-def _planes(x: np.ndarray) -> bytes:
+def planes(x: np.ndarray) -> bytes:
     """48-bit numbers as six byte planes, which compress where numbers are sorted."""
     return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
 
 
-def _unplanes(b: bytes) -> np.ndarray:
+def unplanes(b: bytes) -> np.ndarray:
     p = np.frombuffer(b, np.uint8).reshape(6, -1)
     out = np.zeros((p.shape[1], 8), np.uint8)
     out[:, 2:] = p.T
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def _bucket(h: np.ndarray, k: int) -> np.ndarray:
+def bucket_of(h: np.ndarray, k: int) -> np.ndarray:
     return (h >> U64(16)) * U64(k) >> U64(32)
 
 
-def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+def cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True)]
 
 
-def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+def table_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
 
 
-_HASHES = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("h", pa.binary()), ("c", pa.binary())])
-_CODES = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary())])
+HASHES = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("h", pa.binary()), ("c", pa.binary())])
+CODES = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary())])
 _PARTS = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("bytes", pa.binary()), ("uses", pa.binary()), ("rows", pa.binary()), ("firsts", pa.binary())])
 _SPANS = pa.schema([("batch", pa.int64()), ("rows", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
 
 
-def _ddl(schema: pa.Schema) -> str:
+def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
 
 
@@ -130,17 +130,17 @@ def _send_hashes(k: int):
     def run(table: pa.Table) -> pa.Table:
         b, batch = Batch(table), table.column("batch")[0].as_py()
         b.scan()
-        return _table(_HASHES, [(x, batch, _planes(b.uh[i:j]), _planes(b.uc[i:j])) for x, i, j in _cuts(_bucket(b.uh, k))])
+        return table_of(HASHES, [(x, batch, planes(b.uh[i:j]), planes(b.uc[i:j])) for x, i, j in cuts(bucket_of(b.uh, k))])
 
     return run
 
 
-def _code(table: pa.Table) -> pa.Table:
+def code(table: pa.Table) -> pa.Table:
     """A bucket's answers. Bit 0: an earlier batch has the context; bit 1: the anchor stands in other contexts too."""
     table = table.sort_by("batch")
     batch = table.column("batch").to_numpy()
-    hs = [_unplanes(x.as_py()) for x in table.column("h")]
-    h, c = np.concatenate(hs), np.concatenate([_unplanes(x.as_py()) for x in table.column("c")])
+    hs = [unplanes(x.as_py()) for x in table.column("h")]
+    h, c = np.concatenate(hs), np.concatenate([unplanes(x.as_py()) for x in table.column("c")])
     n = [len(x) for x in hs]
     del hs
     order = np.lexsort((c, h))  # stable, so the lowest batch comes first
@@ -153,10 +153,15 @@ def _code(table: pa.Table) -> pa.Table:
     codes[order] = ~fresh | several.astype(np.uint8) << 1
     cut = np.cumsum([0, *n])
     bucket = table.column("bucket")[0].as_py()
-    return _table(_CODES, [(int(x), bucket, codes[i:j].tobytes()) for x, i, j in zip(batch, cut[:-1], cut[1:], strict=True)])
+    return table_of(CODES, [(int(x), bucket, codes[i:j].tobytes()) for x, i, j in zip(batch, cut[:-1], cut[1:], strict=True)])
 
 
-def _joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def answers(codes: pa.Table) -> np.ndarray:
+    """A batch's answers, in the order of its hashes."""
+    return np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in codes.sort_by("bucket").column("codes")]) if codes.num_rows else np.empty(0, np.uint8)
+
+
+def joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each row, overlapping and touching ones made one."""
     order = np.lexsort((start, row))
     row, start, end = row[order], start[order], end[order]
@@ -170,7 +175,7 @@ def _joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _span_row(batch: int, row, start, end) -> tuple:
-    return (batch, *[np.asarray(x, np.int32).tobytes() for x in _joined(np.asarray(row, np.int64), np.asarray(start, np.int64), np.asarray(end, np.int64))])
+    return (batch, *[np.asarray(x, np.int32).tobytes() for x in joined(np.asarray(row, np.int64), np.asarray(start, np.int64), np.asarray(end, np.int64))])
 
 
 def _send_contexts(k: int):
@@ -178,17 +183,17 @@ def _send_contexts(k: int):
 
     def run(docs: pa.Table, codes: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _table(_PARTS, [])
+            return table_of(_PARTS, [])
         b, batch = Batch(docs), docs.column("batch")[0].as_py()
         b.scan()
-        code = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in codes.sort_by("bucket").column("codes")]) if codes.num_rows else np.empty(0, np.uint8)
-        assert len(code) == len(b.start)
+        bits = answers(codes)
+        assert len(bits) == len(b.start)
         each = np.diff(np.append(b.start, len(b.order)))
         owner = b.ids[b.row[b.order[b.start]]]
         later = b.ids[b.row[b.order]] > np.repeat(owner, each)
-        out = b.order[np.repeat(code & 1 == 1, each) | later]
+        out = b.order[np.repeat(bits & 1 == 1, each) | later]
         rows = [(-1 - batch, batch, b"", b"", b"", *_span_row(batch, b.row[out], b.first[out], b.first[out] + b.count[out] - 1 + LENGTH)[1:])]
-        open_ = np.flatnonzero(code == 2)
+        open_ = np.flatnonzero(bits == 2)
         if len(open_):
             arr = b.text.combine_chunks().cast(pa.large_string()).fill_null("")
             _, off, data = arr.buffers()
@@ -196,13 +201,13 @@ def _send_contexts(k: int):
             src = b.order[b.start[open_]]
             length = b.count[src] - 1 + LENGTH
             begin = off[b.row[src]] + b.first[src]
-            for x, i, j in _cuts(_bucket(b.uh[open_], k)):
+            for x, i, j in cuts(bucket_of(b.uh[open_], k)):
                 n = length[i:j]
                 at = np.repeat(begin[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 use = [b.order[p : p + q][~later[p : p + q]] for p, q in zip(b.start[open_[i:j]], each[open_[i:j]], strict=True)]
                 flat = np.concatenate(use)
                 rows.append((x, batch, owner[open_[i:j]].tobytes(), n.astype(np.int32).tobytes(), data[at].tobytes(), np.array([len(u) for u in use], np.int32).tobytes(), b.row[flat].astype(np.int32).tobytes(), b.first[flat].astype(np.int32).tobytes()))
-        return _table(_PARTS, rows)
+        return table_of(_PARTS, rows)
 
     return run
 
@@ -247,7 +252,7 @@ def earlier_windows(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> t
 def _settle(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     if bucket < 0:
-        return _table(_SPANS, [(r["batch"], r["uses"], r["rows"], r["firsts"]) for r in table.to_pylist()])
+        return table_of(_SPANS, [(r["batch"], r["uses"], r["rows"], r["firsts"]) for r in table.to_pylist()])
     cols = {c: [x.as_py() for x in table.column(c)] for c in table.column_names}
     ids = [np.frombuffer(x, np.int64) for x in cols["ids"]]
     lengths = np.concatenate([np.frombuffer(x, np.int32) for x in cols["lengths"]]).astype(np.int64)
@@ -266,7 +271,7 @@ def _settle(table: pa.Table) -> pa.Table:
         use = np.repeat((np.cumsum(uses) - uses)[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())
         start = firsts[use].astype(np.int64) + np.repeat(at, times)
         out.append(_span_row(batch, rows[use], start, start + LENGTH))
-    return _table(_SPANS, out)
+    return table_of(_SPANS, out)
 
 
 def _cut(finish):
@@ -275,7 +280,7 @@ def _cut(finish):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         b = Batch(docs)
         got = [np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in spans.column(c)]).astype(np.int64) if spans.num_rows else np.empty(0, np.int64) for c in ("rows", "starts", "ends")]
-        row, start, end = _joined(*got)
+        row, start, end = joined(*got)
         cut = np.searchsorted(row, np.arange(len(b.ids) + 1))
 
         def each() -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
@@ -287,7 +292,7 @@ def _cut(finish):
     return run
 
 
-def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in spans:
         out.append(data[at:a])
@@ -295,34 +300,37 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _digest(docs: pa.Table, each) -> pa.Table:
-    rows = [(len(d), sum(b - a for a, b in s), len(s), hashlib.sha256(_kept(d, s)).hexdigest(), [x for p in s for x in p]) for d, s in each]
+def digest(docs: pa.Table, each) -> pa.Table:
+    rows = [(len(d), sum(b - a for a, b in s), len(s), hashlib.sha256(kept(d, s)).hexdigest(), [x for p in s for x in p]) for d, s in each]
     n, removed, spans, sha, at = zip(*rows, strict=True) if rows else [()] * 5
     return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "spans": pa.array(at, pa.list_(pa.int64()))})
 
 
-def _plan(docs: DataFrame, doc_id: str, text: str, batch_bytes: int, finish, schema: str) -> DataFrame:
-    from tessera.llm.jaccard import plan_bytes
-
-    size = plan_bytes(docs.select(doc_id, text))
-    k = max(64, size // batch_bytes)
+def dealt(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
+    """docs (doc_id, text, ...) with a batch by ranges of doc_id, null last, and the number of buckets."""
+    size = plan_bytes(docs.select("doc_id", "text"))
     parts = max(2, size // batch_bytes)
     ids = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf")))
-    rows = docs.withColumn("doc_id", F.col(doc_id).cast("long")).withColumn("text", F.col(text)) if (doc_id, text) != ("doc_id", "text") else docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     cut = rows.where("doc_id is not null").select(F.percentile_approx(ids, [x / parts for x in range(1, parts)], 20 * parts)).first()[0] or [0.0]
-    rows = Bucketizer(splits=[float("-inf"), *sorted(set(cut)), float("inf")], inputCol="__order", outputCol="__batch").transform(rows.withColumn("__order", ids)).withColumn("batch", F.col("__batch").cast("long")).drop("__order", "__batch")
+    rows = Bucketizer(splits=[float("-inf"), *sorted(set(cut)), float("inf")], inputCol="__order", outputCol="__batch").transform(rows.withColumn("__order", ids))
+    return rows.withColumn("batch", F.col("__batch").cast("long")).drop("__order", "__batch"), max(64, size // batch_bytes)
+
+
+def _plan(docs: DataFrame, batch_bytes: int, finish, schema: str) -> DataFrame:
+    rows, k = dealt(docs, batch_bytes)
     by_batch = rows.groupBy("batch")
-    hashes = by_batch.applyInArrow(_send_hashes(k), _ddl(_HASHES))
-    codes = hashes.groupBy("bucket").applyInArrow(_code, _ddl(_CODES))
-    parts_ = by_batch.cogroup(codes.groupBy("batch")).applyInArrow(_send_contexts(k), _ddl(_PARTS))
-    spans = parts_.groupBy("bucket").applyInArrow(_settle, _ddl(_SPANS))
+    hashes = by_batch.applyInArrow(_send_hashes(k), ddl(HASHES))
+    codes = hashes.groupBy("bucket").applyInArrow(code, ddl(CODES))
+    parts = by_batch.cogroup(codes.groupBy("batch")).applyInArrow(_send_contexts(k), ddl(_PARTS))
+    spans = parts.groupBy("bucket").applyInArrow(_settle, ddl(_SPANS))
     return by_batch.cogroup(spans.groupBy("batch")).applyInArrow(_cut(finish), schema)
 
 
 def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans: starts and ends of the removed runs in turn."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return _plan(slim, "doc_id", "text", batch_bytes, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return _plan(slim, batch_bytes, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def cut_documents(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
@@ -332,7 +340,7 @@ def cut_documents(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
     def finish(table: pa.Table, each) -> pa.Table:
         texts, keep = [], []
         for (data, spans), old in zip(each, table.column("text"), strict=True):
-            new = _kept(data, spans).decode("utf-8", "ignore") if spans else old.as_py()
+            new = kept(data, spans).decode("utf-8", "ignore") if spans else old.as_py()
             texts.append(new)
             keep.append(not spans or bool(new.strip()))
         table = table.set_column(table.column_names.index("text"), "text", pa.array(texts, pa.string()))
@@ -342,4 +350,4 @@ def cut_documents(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
         return table.select(names).filter(pa.array(keep, pa.bool_()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema)
-    return _plan(docs, "doc_id", "text", batch_bytes, finish, fields)
+    return _plan(docs, batch_bytes, finish, fields)
