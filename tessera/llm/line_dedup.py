@@ -48,7 +48,7 @@ def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         s = np.concatenate([[0], e[:-1]])
         use = e - s >= least
         s, e = s[use], e[use]
-        h = [mix64((p[e] - p[s]) * inverse[s] + U64(kind) * U64(_BASE)) for p in sums]
+        h = [mix64((p[e] - p[s]) * inverse[s] + U64(kind * _BASE % (1 << 64))) for p in sums]
         out.append((*h, text[s], start[s], end[e - 1]))
     h, c, t, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
     return h, c, t, s - offs[t], e - offs[t]
