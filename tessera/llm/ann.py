@@ -28,6 +28,8 @@ PAIR, ENTRIES = 2, 16
 SAMPLE, ROUNDS, SHARE = 4096, 6, 0.2
 #: Rows of a block, queries of a group, and candidates of a block that are reranked, in times k.
 BLOCK, GROUP, WIDTH = 8192, 2048, 6
+#: Standard deviations of the codes' error within which further candidates are reranked.
+SPREAD = 4.0
 
 
 class Codec:
@@ -103,11 +105,18 @@ def nearest(codec: Codec, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarr
         approx = codec.scores(q, packed)
         best = np.argpartition(-approx, width - 1, axis=1)[:, :width] if width < len(vectors) else np.broadcast_to(np.arange(width), approx.shape)
         exact = (vectors[best].astype(np.float64) * q[:, None, :].astype(np.float64)).sum(2)
+        error = exact - np.take_along_axis(approx, best, 1)
+        kth = np.partition(exact, max(0, width - k), axis=1)[:, max(0, width - k)]
+        # all that the error seen so far leaves possible: many vectors may lie closer together than the codes tell apart
+        possible = approx >= (kth - error.mean(1) - SPREAD * error.std(1))[:, None]
+        np.put_along_axis(possible, best, True, 1)
         for j in range(len(q)):
-            n = counts[best[j]]
-            i = ids[np.repeat(first[best[j]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            found = np.flatnonzero(possible[j])
+            products = (vectors[found].astype(np.float64) * q[j].astype(np.float64)).sum(1)
+            n = counts[found]
+            i = ids[np.repeat(first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             use = i != own[j]
-            i, s = i[use], np.repeat(exact[j], n)[use]
+            i, s = i[use], np.repeat(products, n)[use]
             top = np.lexsort((i, -s))[:k]
             yield int(own[j]), i[top], s[top]
 
