@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import regrouped
+from tessera.llm.common import regrouped, trimmed
 
 PAIR, ENTRIES = 2, 16
 #: Rows of the fit, rounds of it, and the share of a norm above which products should be kept.
@@ -189,7 +189,7 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vecto
         q, i, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_ids": pa.array(i, pa.list_(pa.int64())), "scores": pa.array(s, pa.list_(pa.float64()))})
 
-    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(meet, "query_id long, vec_ids array<long>, scores array<double>")
+    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(trimmed(meet), "query_id long, vec_ids array<long>, scores array<double>")
     each = found.select("query_id", F.inline(F.arrays_zip("vec_ids", "scores"))).select("query_id", F.col("vec_ids").alias("vec_id"), F.col("scores").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

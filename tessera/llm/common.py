@@ -6,9 +6,12 @@ worker's memory is a small multiple of ``CHUNK_BYTES`` (or of the longest single
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache, wraps
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +59,37 @@ def fold_is_train(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) != 1, F.lit(True))
 
 
-def regrouped(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back: a worker is kept for later tasks, and its executor's memory counts it."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def trimmed(f):
+    """f for applyInArrow, with its memory given back after each group."""
+
+    @wraps(f)
+    def run(*tables):
+        out = f(*tables)
+        del tables
+        trim()
+        return out
+
+    # the number of parameters tells Spark whether it is to pass keys
+    run.__signature__ = signature(f)
+    return run
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches put together to about ``limit`` bytes."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -64,10 +97,13 @@ def regrouped(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Itera
         held.append(b)
         size += b.nbytes
         if size >= limit:
-            yield pa.concat_batches(held)
+            b = pa.concat_batches(held)
             held, size = [], 0
+            yield b
+            trim()
     if held:
         yield pa.concat_batches(held)
+        trim()
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

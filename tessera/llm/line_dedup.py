@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, U64, byte_table, find_words, mix64, powers, prefix_hash, span_hash, text_slices
+from tessera.llm.common import LOWER, U64, byte_table, find_words, mix64, powers, prefix_hash, span_hash, text_slices, trimmed
 from tessera.llm.suffix_dedup import CODES, HASHES, Batch, answers, bucket_of, code, cuts, dealt, ddl, digest, joined, planes, table_of
 
 SPACE = byte_table((0x20, 0x20), (0x09, 0x0D))
@@ -95,5 +95,5 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans: starts and ends, in bytes, of the removed runs in turn."""
     rows, k = dealt(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), batch_bytes)
     by_batch = rows.groupBy("batch")
-    codes = by_batch.applyInArrow(_send(k), ddl(HASHES)).groupBy("bucket").applyInArrow(code, ddl(CODES))
-    return by_batch.cogroup(codes.groupBy("batch")).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    codes = by_batch.applyInArrow(trimmed(_send(k)), ddl(HASHES)).groupBy("bucket").applyInArrow(trimmed(code), ddl(CODES))
+    return by_batch.cogroup(codes.groupBy("batch")).applyInArrow(trimmed(_finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")

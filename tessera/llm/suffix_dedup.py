@@ -30,7 +30,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, mix64, plan_bytes, powers, prefix_hash, span_hash, text_slices
+from tessera.llm.common import U64, mix64, plan_bytes, powers, prefix_hash, span_hash, text_slices, trimmed
 
 LENGTH, GRAM = 50, 16
 _SPREAD = LENGTH - GRAM + 1
@@ -320,11 +320,11 @@ def dealt(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
 def _plan(docs: DataFrame, batch_bytes: int, finish, schema: str) -> DataFrame:
     rows, k = dealt(docs, batch_bytes)
     by_batch = rows.groupBy("batch")
-    hashes = by_batch.applyInArrow(_send_hashes(k), ddl(HASHES))
-    codes = hashes.groupBy("bucket").applyInArrow(code, ddl(CODES))
-    parts = by_batch.cogroup(codes.groupBy("batch")).applyInArrow(_send_contexts(k), ddl(_PARTS))
-    spans = parts.groupBy("bucket").applyInArrow(_settle, ddl(_SPANS))
-    return by_batch.cogroup(spans.groupBy("batch")).applyInArrow(_cut(finish), schema)
+    hashes = by_batch.applyInArrow(trimmed(_send_hashes(k)), ddl(HASHES))
+    codes = hashes.groupBy("bucket").applyInArrow(trimmed(code), ddl(CODES))
+    parts = by_batch.cogroup(codes.groupBy("batch")).applyInArrow(trimmed(_send_contexts(k)), ddl(_PARTS))
+    spans = parts.groupBy("bucket").applyInArrow(trimmed(_settle), ddl(_SPANS))
+    return by_batch.cogroup(spans.groupBy("batch")).applyInArrow(trimmed(_cut(finish)), schema)
 
 
 def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
