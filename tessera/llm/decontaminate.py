@@ -172,7 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     if not _fits(items, limit):
-        return _joined(rows, items).select("doc_id", *[c.split()[0] for c in _RESULT.split(", ")])
+        return _joined(rows, items).select("__row.doc_id", *[c.split()[0] for c in _RESULT.split(", ")])
     shared = _small(docs, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", limit:
     """The rows of docs, unchanged, that hold no window of an item."""
     items = _items(benchmark, "item_id", "text")
     if not _fits(items, limit):
-        return _joined(docs, items, text).where("n_hit = 0").select(*docs.columns)
+        return _joined(docs, items, text).where("n_hit = 0").select("__row.*")
     shared, at = _small(docs, items), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +213,11 @@ def _fingerprints(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
 
 
 def _joined(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the result's columns, for a benchmark of any size; equal texts are judged once."""
+    """docs as the struct __row with the result's columns, for a benchmark of any size; equal texts are judged once."""
     words = F.regexp_count(F.lower(F.col("text")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
     lengths = [r[0] for r in items.select(words.alias("n")).where(f"n between 1 and {WINDOW - 1}").distinct().collect()]
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    texts = keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    keyed = docs.select(F.struct("*").alias("__row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__key"))
+    texts = keyed.select(F.col("__key").alias("key"), F.col(f"__row.{text}").alias("text")).dropDuplicates(["key"])
     pairs = _fingerprints(texts, "key", lengths).join(_fingerprints(items.select("item", "text"), "item", lengths), "fp").select("key", "item").distinct()
     mine = pairs.join(items, "item").groupBy("key").agg(F.collect_list(F.struct("item", "text")).alias("items"))
     todo = texts.join(mine, "key", "left")

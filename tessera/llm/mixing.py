@@ -87,3 +87,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     """doc_id, source, size, source_size, target, copies, taken of every row."""
     slim = stage_table(slim_rows(docs), "mix-rows")
     return with_thresholds(slim, thresholds(slim, weights, max_epochs)).drop("h")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target, copies and taken; columns of docs so named are replaced."""
+    cuts = thresholds(stage_table(slim_rows(docs), "mix-rows"), weights, max_epochs)
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
+    return with_thresholds(rows, cuts).where("copies > 0").select("row.*", "size", "source_size", "target", "copies", "taken")

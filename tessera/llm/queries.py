@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, chat, decontaminate, jaccard, langid, line_dedup, mixing, suffix_dedup, token_count
+from tessera.llm import ann, chat, decontaminate, jaccard, langid, line_dedup, mixing, suffix_dedup, token_count, toxicity
 from tessera.llm.common import read_table
 
 
@@ -45,12 +45,19 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, 20)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op7_chat_formatting, op8_nearest_neighbours, op10_jaccard_join)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op7_chat_formatting, op8_nearest_neighbours, op9_toxicity, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -334,8 +334,8 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
 
 
 def cut_documents(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
-    """documents with the text that is left and its length in n_chars; a text that loses all goes. Halves of a character at a cut go too."""
-    names = docs.columns
+    """docs with the text that is left, and its length in n_chars; a text that loses all goes. Halves of a character at a cut go too."""
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def finish(table: pa.Table, each) -> pa.Table:
         texts, keep = [], []
@@ -343,11 +343,9 @@ def cut_documents(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
             new = kept(data, spans).decode("utf-8", "ignore") if spans else old.as_py()
             texts.append(new)
             keep.append(not spans or bool(new.strip()))
-        table = table.set_column(table.column_names.index("text"), "text", pa.array(texts, pa.string()))
-        if "n_chars" in names:
-            kind = table.schema.field("n_chars").type
-            table = table.set_column(table.column_names.index("n_chars"), "n_chars", pa.array([n.as_py() if not isinstance(t, str) else len(t) for t, n in zip(texts, table.column("n_chars"), strict=True)], kind))
-        return table.select(names).filter(pa.array(keep, pa.bool_()))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema)
-    return _plan(docs, batch_bytes, finish, fields)
+        return pa.table({"row": table.column("row"), "left": pa.array(texts, pa.string())}).filter(pa.array(keep, pa.bool_()))
+
+    cut = _plan(rows, batch_bytes, finish, f"row {rows.schema['row'].dataType.simpleString()}, left string")
+    changed = ~F.col("left").eqNullSafe(F.col("row.text"))
+    new = {"text": F.col("left"), "n_chars": F.when(changed, F.length("left")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return cut.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
