@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,15 +74,16 @@ def chunk_blocks(blocks: DataFrame, keys: Sequence[str], text: str = "text", mak
     """(keys, text) -> (keys, block_chunk, text): the chunks of each block, numbered in it from 0. Null text has none."""
     rows = blocks.select(*keys, F.col(text).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = make_tokenizer()
         for b in batches:
-            found = [pack(split_sentences(t), tokenizer, limit, overlap) if t else [] for t in b["text"]]
-            out = b[list(keys)].loc[b.index.repeat([len(c) for c in found])]
-            yield out.assign(block_chunk=[i for c in found for i in range(len(c))], text=[t for c in found for t in c])
+            found = [pack(split_sentences(t), tokenizer, limit, overlap) if t else [] for t in b.column(len(keys)).to_pylist()]
+            row = pa.array([k for k, c in enumerate(found) for _ in c], pa.int64())
+            place = pa.array([i for c in found for i in range(len(c))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in range(len(keys))), place, pa.array([t for c in found for t in c], pa.string())], [*keys, "block_chunk", "text"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    return rows.mapInPandas(run, f"{kinds}, block_chunk int, text string")
+    return rows.mapInArrow(run, f"{kinds}, block_chunk int, text string")
 
 
 def number_chunks(chunks: DataFrame, file: str, block: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +29,11 @@ def with_model(rows: DataFrame, query: str, make: Callable[[], Reranker], text:
     names = [c for c in rows.columns if c != "rerank_score"]
     slim = rows.select(*names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for b in batches:
-            yield b.assign(rerank_score=[float(x) for x in model.score(query, b[text].tolist())])
+            got = [float(x) for x in model.score(query, b.column(names.index(text)).to_pylist())]
+            yield b.append_column("rerank_score", pa.array(got, pa.float64()))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    return slim.mapInPandas(run, f"{kinds}, rerank_score double")
+    return slim.mapInArrow(run, f"{kinds}, rerank_score double")
