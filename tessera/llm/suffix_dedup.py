@@ -108,7 +108,9 @@ def bucket_of(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    if not len(bucket):
+        return []
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True)]
 
 
