@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import prepare
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -91,7 +91,7 @@ def _finish(docs: pa.Table, codes: pa.Table) -> pa.Table:
     return digest(b.table.drop_columns(["__id"]), each)
 
 
-def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans: starts and ends, in bytes, of the removed runs in turn."""
     rows, k = dealt(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), batch_bytes)
     by_batch = rows.groupBy("batch")

@@ -316,7 +316,7 @@ def dealt(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     cut = rows.where("doc_id is not null").select(F.percentile_approx(ids, [x / parts for x in range(1, parts)], 20 * parts)).first()[0] or [0.0]
     rows = Bucketizer(splits=[float("-inf"), *sorted(set(cut)), float("inf")], inputCol="__order", outputCol="__batch").transform(rows.withColumn("__order", ids))
-    return rows.withColumn("batch", F.col("__batch").cast("long")).drop("__order", "__batch"), max(64, size // batch_bytes)
+    return rows.withColumn("batch", F.col("__batch").cast("long")).drop("__order", "__batch"), max(256, 2 * size // batch_bytes)
 
 
 def _plan(docs: DataFrame, batch_bytes: int, finish, schema: str) -> DataFrame:
@@ -329,13 +329,13 @@ def _plan(docs: DataFrame, batch_bytes: int, finish, schema: str) -> DataFrame:
     return by_batch.cogroup(spans.groupBy("batch")).applyInArrow(trimmed(_cut(finish)), schema)
 
 
-def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans: starts and ends of the removed runs in turn."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return _plan(slim, batch_bytes, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
-def cut_documents(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
+def cut_documents(docs: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     """docs with the text that is left, and its length in n_chars; a text that loses all goes. Halves of a character at a cut go too."""
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
