@@ -13,7 +13,9 @@ be built in one place, so the suffixes to be sorted are found first, exactly:
 4. Each batch joins the removed windows into spans and cuts them.
 
 The batch exchange of the documents is one exchange in the plan, used three times. A batch sends a hash or context once
-however many of its documents have it, so a passage in a third of all documents costs a bucket one entry a batch.
+however many of its documents have it, so a passage in a third of all documents costs a bucket one entry a batch. At such
+a passage's edges contexts differ from document to document; of an anchor with very many contexts the windows go to
+buckets of their own, where those in the passage are one again and the others are spread.
 
 Defined results: null text is empty; texts under 50 bytes keep all; rows with one doc_id are one document and don't remove
 each other's bytes; a null doc_id is later than all others, and such rows don't remove each other's bytes.
@@ -36,6 +38,8 @@ LENGTH, GRAM = 50, 16
 _SPREAD = LENGTH - GRAM + 1
 _AT = U64((1 << 28) - 1)
 LAST = np.iinfo(np.int64).max
+#: Contexts of an anchor from which on its windows go each to a bucket of its own, so that no bucket gathers them all.
+CONTEXTS = 5000
 _INVERSE_BASE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -138,7 +142,7 @@ def _send_hashes(k: int):
 
 
 def code(table: pa.Table) -> pa.Table:
-    """A bucket's answers. Bit 0: an earlier batch has the context; bit 1: the anchor stands in other contexts too."""
+    """A bucket's answers. Bit 0: an earlier batch has the context; bits 1 and 2: the anchor stands in other contexts too, in very many."""
     table = table.sort_by("batch")
     batch = table.column("batch").to_numpy()
     hs = [unplanes(x.as_py()) for x in table.column("h")]
@@ -150,9 +154,9 @@ def code(table: pa.Table) -> pa.Table:
     anchor = np.concatenate([[True], h[1:] != h[:-1]])
     fresh = anchor | np.concatenate([[True], c[1:] != c[:-1]])
     start = np.flatnonzero(anchor)
-    several = np.repeat(np.add.reduceat(fresh.astype(np.int64), start) > 1, np.diff(np.append(start, len(h))))
+    kinds = np.repeat(np.add.reduceat(fresh.astype(np.int64), start), np.diff(np.append(start, len(h))))
     codes = np.empty(len(h), np.uint8)
-    codes[order] = ~fresh | several.astype(np.uint8) << 1
+    codes[order] = (~fresh).astype(np.uint8) | (kinds > 1).astype(np.uint8) << 1 | (kinds > CONTEXTS).astype(np.uint8) << 2
     cut = np.cumsum([0, *n])
     bucket = table.column("bucket")[0].as_py()
     return table_of(CODES, [(int(x), bucket, codes[i:j].tobytes()) for x, i, j in zip(batch, cut[:-1], cut[1:], strict=True)])
@@ -194,12 +198,19 @@ def _send_contexts(k: int):
         owner = b.ids[b.row[b.order[b.start]]]
         later = b.ids[b.row[b.order]] > np.repeat(owner, each)
         out = b.order[np.repeat(bits & 1 == 1, each) | later]
-        rows = [(-1 - batch, batch, b"", b"", b"", *_span_row(batch, b.row[out], b.first[out], b.first[out] + b.count[out] - 1 + LENGTH)[1:])]
-        open_ = np.flatnonzero(bits == 2)
-        if len(open_):
+        gone = [(b.row[out], b.first[out], b.first[out] + b.count[out] - 1 + LENGTH)]
+        rows = []
+        open_, many = np.flatnonzero(bits == 2), np.flatnonzero(bits == 6)
+        if len(open_) or len(many):
             arr = b.text.combine_chunks().cast(pa.large_string()).fill_null("")
             _, off, data = arr.buffers()
             off, data = np.frombuffer(off, np.int64)[arr.offset :], np.frombuffer(data, np.uint8)
+        if len(many):
+            occurrences = np.concatenate([b.order[p : p + q][~later[p : p + q]] for p, q in zip(b.start[many], each[many], strict=True)])
+            more, spans = _by_window(k, batch, data, off, b, occurrences)
+            rows += more
+            gone.append(spans)
+        if len(open_):
             src = b.order[b.start[open_]]
             length = b.count[src] - 1 + LENGTH
             begin = off[b.row[src]] + b.first[src]
@@ -208,12 +219,37 @@ def _send_contexts(k: int):
                 at = np.repeat(begin[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 use = [b.order[p : p + q][~later[p : p + q]] for p, q in zip(b.start[open_[i:j]], each[open_[i:j]], strict=True)]
                 flat = np.concatenate(use)
-                rows.append((x, batch, owner[open_[i:j]].tobytes(), n.astype(np.int32).tobytes(), data[at].tobytes(), np.array([len(u) for u in use], np.int32).tobytes(), b.row[flat].astype(np.int32).tobytes(), b.first[flat].astype(np.int32).tobytes()))
+                rows.append((x, batch, owner[open_[i:j]].astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), data[at].tobytes(), np.array([len(u) for u in use], np.int32).tobytes(), b.row[flat].astype(np.int32).tobytes(), b.first[flat].astype(np.int32).tobytes()))
+        rows.append((-1 - batch, batch, b"", b"", b"", *_span_row(batch, *(np.concatenate(x) for x in zip(*gone, strict=True)))[1:]))
         return table_of(_PARTS, rows)
 
     return run
 
 
+def _by_window(k: int, batch: int, data: np.ndarray, off: np.ndarray, b: Batch, at: np.ndarray) -> tuple[list[tuple], tuple]:
+    """Each distinct window of some contexts as a context of its own, with its earliest document of the batch, and the spans of later ones."""
+    length = b.count[at] - 1 + LENGTH
+    text = data[np.repeat(off[b.row[at]] + b.first[at] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+    of = np.repeat(np.arange(len(at)), b.count[at])
+    place = np.arange(len(of)) - np.repeat(np.cumsum(b.count[at]) - b.count[at], b.count[at])
+    start = place + (np.cumsum(length) - length)[of]
+    hashed = span_hash(prefix_hash(text), start, start + LENGTH)
+    row, first, ids = b.row[at][of], b.first[at][of] + place, b.ids[b.row[at]][of]
+    order = np.lexsort((ids, hashed))
+    hashed, row, first, ids, start = (x[order] for x in (hashed, row, first, ids, start))
+    new = np.concatenate([[True], hashed[1:] != hashed[:-1]])
+    head = np.flatnonzero(new)
+    later = ids > ids[head][np.cumsum(new) - 1]
+    uses = np.add.reduceat((~later).astype(np.int64), head)
+    cut = np.cumsum([0, *uses])
+    keep_row, keep_first = row[~later].astype(np.int32), first[~later].astype(np.int32)
+    rows = []
+    for x, i, j in cuts(bucket_of(hashed[head], k)):
+        bytes_ = text[start[head[i:j]][:, None] + np.arange(LENGTH)]
+        rows.append((x, batch, ids[head[i:j]].astype(np.int64).tobytes(), np.full(j - i, LENGTH, np.int32).tobytes(), bytes_.tobytes(), uses[i:j].astype(np.int32).tobytes(), keep_row[cut[i] : cut[j]].tobytes(), keep_first[cut[i] : cut[j]].tobytes()))
+    return rows, (row[later], first[later], first[later] + LENGTH)
+
+
 def _ranks(x: np.ndarray) -> np.ndarray:
     """Dense ranks of some keys."""
     order = np.argsort(x)

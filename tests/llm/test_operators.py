@@ -99,6 +99,38 @@ def test_op3_repetitive_bytes(spark, tmp_path_factory):
     same(suffix_dedup.removed_spans(df, batch_bytes=300), brute.suffix_spans(rows), DIGEST)
 
 
+def test_op3_contexts_by_window(spark, docs, rows):
+    """The path of anchors with very many contexts, taken for all that have several."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string()), "batch": pa.array([k % 3 if d is not None else 2 for k, (d, _) in enumerate(rows)], pa.int64())})
+    # batches by ranges of ids, null last
+    edges = [0, 40, 80, 10**9]
+    batch = [2 if d is None else next(k for k in range(3) if edges[k] <= d < edges[k + 1]) for d, _ in rows]
+    table = table.set_column(2, "batch", pa.array(batch, pa.int64()))
+    parts = [table.filter(pa.array([x == k for x in batch])) for k in range(3)]
+    k = 16
+
+    def grouped(tables, key):
+        whole = pa.concat_tables(tables)
+        return {v: whole.filter(pa.array([x == v for x in whole.column(key).to_pylist()])) for v in set(whole.column(key).to_pylist())}
+
+    codes = [suffix_dedup.code(t) for t in grouped([suffix_dedup._send_hashes(k)(p) for p in parts], "bucket").values()]
+    hot = []
+    for t in codes:
+        raised = [bytes(c | 4 if c & 2 else c for c in x.as_py()) for x in t.column("codes")]
+        hot.append(t.set_column(2, "codes", pa.array(raised, pa.binary())))
+    for coded in (codes, hot):
+        by = grouped(coded, "batch")
+        sent = [suffix_dedup._send_contexts(k)(p, by.get(i, coded[0].slice(0, 0))) for i, p in enumerate(parts)]
+        spans = grouped([suffix_dedup._settle(t) for t in grouped(sent, "bucket").values()], "batch")
+        out = pa.concat_tables([suffix_dedup._cut(suffix_dedup.digest)(p, spans.get(i, pa.table({c: [] for c in ("rows", "starts", "ends")}))) for i, p in enumerate(parts)])
+        got = sorted((tuple(r[c] for c in DIGEST) for r in out.to_pylist()), key=repr)
+        assert got == sorted(brute.suffix_spans(rows), key=repr)
+    assert np.any([c & 4 for t in hot for x in t.column("codes") for c in x.as_py()])
+
+
 def test_op3_cut_documents(docs, rows):
     left = suffix_dedup.cut_documents(docs)
     assert left.columns == docs.columns
