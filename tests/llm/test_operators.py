@@ -336,6 +336,24 @@ def test_op10_small_and_chained_sets(spark):
     same(jaccard.jaccard_components(df), brute.components(rows), ["doc_id", "n_shingles", "component_id"])
 
 
+def test_op10_crowds(spark):
+    """More sets of one signature than a batch sends."""
+    rng = random.Random(14)
+    base = [str(rng.randrange(10**6)) for _ in range(60)]
+    rows = []
+    for k in range(260):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            w[rng.randrange(len(w))] = str(rng.randrange(10**6))
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, " ".join(base[:20] + [str(rng.randrange(10**6)) for _ in range(40)])) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    tokens, text, size = jaccard.shingle_sets(*_bytes([t for _, t in rows]))
+    sig, own, _ = jaccard.signatures(tokens, text, size, False, 0, np.empty(0, np.uint64), np.ones(len(size), bool))
+    assert jaccard._crowds(16, np.arange(len(rows)), sig, own)[2]
+    same(jaccard.jaccard_components(df), brute.components(rows), ["doc_id", "n_shingles", "component_id"])
+
+
 def test_op10_sets_that_cannot_allocate_ask_again(monkeypatch):
     """With as few segments as there can be, some sets fall into too few of them, other sets under another seed."""
     rng = random.Random(12)
@@ -374,7 +392,7 @@ def test_op10_signatures_meet_for_every_linked_pair():
             sig, at, failed = jaccard.signatures(tokens, text, n, upper, 0, np.empty(0, np.uint64), np.ones(len(n), bool))
             assert not failed.any()
             for s, t in zip(sig.tolist(), at.tolist()):
-                own[t].add((s >> 2, s & 1, s & 2))
+                own[t].add((s >> 3, s & 1, s & 2))
         sets = [brute.shingles(t) for t in texts]
         for i in range(40):
             for j in range(i):
