@@ -6,7 +6,7 @@ import fnmatch
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import basename
@@ -34,6 +34,16 @@ def rrf_order() -> list[Column]:
     return [f(c) for f, c in RRF_ORDER]
 
 
+def fuse_many(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, key: str = "chunk_id", constant: int = RRF_K) -> DataFrame:
+    """query_id, key, rrf and rank of the k best of each query, from (query_id, key, rank) of either side."""
+    part = 1.0 / (constant + F.col("rank"))
+    v = vector_hits.select("query_id", key, part.alias("part"), F.col("rank").alias("vec_rank"))
+    w = keyword_hits.select("query_id", key, part.alias("part"), F.lit(None).cast("int").alias("vec_rank"))
+    fused = v.unionByName(w).groupBy("query_id", key).agg(F.sum("part").alias("rrf"), F.max("vec_rank").alias("vec_rank"))
+    order = Window.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), F.asc_nulls_last("vec_rank"), key)
+    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", key, "rrf", "rank")
+
+
 def matches_glob(name: Column, pattern: str) -> Column:
     """Shell pattern, case-sensitive; * crosses /."""
     return name.rlike(r"\A" + fnmatch.translate(pattern).replace(r"\Z", r"\z"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import l2_distance, literal
-from tessera.operators import bm25, fusion, knn, rerank
+from tessera.operators import bm25, embed, fusion, knn, rerank
 from tessera.operators.fusion import SearchFilter
 from tessera.plans import catalog
 from tessera.plans.catalog import Project
@@ -120,8 +120,13 @@ class Engine:
         embedder = self.models.make_embedder()
         postings, lengths = p.index()
         table = self.spark.createDataFrame(queries, "query_id long, query string")
-        v = knn.batch_search(p.chunks(), [(i, embedder.query(q).tolist()) for i, q in queries], candidate_pool).select("query_id", "chunk_id", (1.0 / (fusion.RRF_K + F.col("rank"))).alias("part"), F.col("rank").alias("vec_rank"))
-        w = bm25.top(bm25.scores(postings, lengths, table), candidate_pool).select("query_id", "chunk_id", (1.0 / (fusion.RRF_K + F.col("rank"))).alias("part"), F.lit(None).cast("int").alias("vec_rank"))
-        fused = v.unionByName(w).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("rrf"), F.max("vec_rank").alias("vec_rank"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), F.asc_nulls_last("vec_rank"), "chunk_id")
-        return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rrf", "rank")
+        v = knn.batch_search(p.chunks(), [(i, embedder.query(q).tolist()) for i, q in queries], candidate_pool)
+        w = bm25.top(bm25.scores(postings, lengths, table), candidate_pool)
+        return fusion.fuse_many(v, w, k)
+
+    def warm_up(self) -> None:
+        """Make the models once on the workers, so that the first search needn't."""
+        text = self.spark.range(self.spark.sparkContext.defaultParallelism).select(F.col("id").cast("string").alias("text"))
+        text.select(embed.embed(F.col("text"), self.models.make_embedder)).write.format("noop").mode("overwrite").save()
+        if self.make_reranker:
+            rerank.with_model(text, "warm up", self.make_reranker).write.format("noop").mode("overwrite").save()

@@ -403,3 +403,55 @@ def newest_active_jobs(spark, d):
     active = events.groupBy("event_type").agg(F.lit(1)).orderBy("event_type").limit(2).select("event_type")
     order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return events.join(active, "event_type", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1").select("user_id", "event_id", F.col("event_type").alias("status"))
+
+
+@query("""SELECT page_id, CASE WHEN len(regexp_extract_all(a, '[A-Za-z]')) < 50 AND len(regexp_extract_all(b, '[A-Za-z]')) > len(regexp_extract_all(a, '[A-Za-z]')) THEN b ELSE a END AS text
+FROM (SELECT page_id, regexp_replace(substr(html, 1, CAST(page_id % 90 AS INT)), '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(url, '^\\s+|\\s+$', '', 'g') AS b FROM pages)""")
+def page_text_choice(spark, d):
+    from tessera.sources.ocr import better_text
+
+    layer = F.col("html").substr(F.lit(1), (F.col("page_id") % 90).cast("int"))
+    return table(spark, d, "pages").select("page_id", better_text(layer, F.col("url")).alias("text"))
+
+
+@query(f"WITH {_FILES} SELECT path, CAST(row_number() OVER (PARTITION BY doc_id % 16 ORDER BY string_split(replace(path, '/d', '/d/'), '/')) AS INT) AS place FROM listing")
+def path_order(spark, d):
+    order = Window.partitionBy(F.col("doc_id") % 16).orderBy(F.split(F.replace("path", F.lit("/d"), F.lit("/d/")), "/"))
+    return listing(spark, d).select("path", F.row_number().over(order).alias("place"))
+
+
+@query(f"WITH {_FILES} SELECT path FROM listing WHERE doc_id % 2 = 0 UNION SELECT path FROM listing WHERE doc_id % 3 = 0")
+def folder_union(spark, d):
+    rows = listing(spark, d)
+    return rows.where("doc_id % 2 = 0").select("path").union(rows.where("doc_id % 3 = 0").select("path")).dropDuplicates(["path"])
+
+
+@query(f"""WITH {_FILES} SELECT l.path, t.path IS NOT NULL AS known, l.sha1 IN (SELECT sha1 FROM tracked) AS known_content,
+  EXISTS (SELECT 1 FROM listing o WHERE regexp_extract(o.path, '[^/]*$') = regexp_extract(l.path, '[^/]*$') AND o.path <> l.path) AS name_taken
+FROM listing l LEFT JOIN tracked t USING (path)""")
+def file_lookups(spark, d):
+    rows, old = listing(spark, d), tracked(spark, d)
+    name = T.basename(F.col("path"))
+    taken = rows.groupBy(name.alias("name")).agg(F.countDistinct("path").alias("n"))
+    out = rows.withColumn("name", name).join(old.select("path", F.lit(True).alias("known")), "path", "left").join(old.select("sha1").distinct().withColumn("known_content", F.lit(True)), "sha1", "left").join(taken, "name")
+    return out.select("path", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("known_content", F.lit(False)).alias("known_content"), (F.col("n") > 1).alias("name_taken"))
+
+
+@query(f"""WITH {_TERMS},
+q AS (SELECT item_id AS query_id, x AS term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\pL\\pN\\p{{Co}}]+')) AS x FROM benchmark WHERE item_id < 20) GROUP BY ALL),
+df AS (SELECT term, count(*) AS n FROM post GROUP BY term),
+fact AS (SELECT count(*) AS total, sum(dl) / count(*) AS mean FROM len),
+bm AS (
+  SELECT q.query_id, p.chunk_id, sum(-q.times * CASE WHEN ln((f.total - d.n + 0.5) / (d.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((f.total - d.n + 0.5) / (d.n + 0.5)) END
+    * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / f.mean))) AS bm25
+  FROM post p JOIN q USING (term) JOIN df d USING (term) JOIN len l USING (chunk_id) CROSS JOIN fact f GROUP BY ALL),
+kr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), chunk_id) AS kw_rank FROM bm QUALIFY kw_rank <= 25),
+vr AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DISTANCE}, e.vec_id) AS vec_rank FROM embeddings e, embeddings q WHERE q.vec_id < 20 QUALIFY vec_rank <= 25),
+f AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + kw_rank), 0) AS rrf, vec_rank FROM vr FULL OUTER JOIN kr USING (query_id, chunk_id))
+SELECT query_id, chunk_id, round(rrf, 9) AS rrf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, vec_rank NULLS LAST, chunk_id) AS INT) AS rank FROM f QUALIFY rank <= 5""")
+def hybrid_batch(spark, d):
+    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
+    asked = [(r[0], r[1]) for r in vectors.where("vec_id < 20").select("vec_id", "embedding").orderBy("vec_id").collect()]
+    v = knn.batch_search(vectors.withColumnRenamed("vec_id", "chunk_id"), asked, 25)
+    w = bm25.top(bm25.scores(bm25.postings(docs, "doc_id"), bm25.lengths(docs, "doc_id"), table(spark, d, "benchmark").where("item_id < 20"), "item_id", "text"), 25)
+    return fusion.fuse_many(v, w, 5).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), "rank")

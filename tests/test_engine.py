@@ -26,6 +26,7 @@ def run(engine, job):
 
 def test_life_of_a_project(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "home"))
+    engine.warm_up()
     a = write(tmp_path / "a", report__txt="Revenue rose in the first quarter. Costs fell.", manual__txt="Press the red button to start the machine.")
     r = run(engine, engine.index_project(a, "docs"))
     assert (r["files_indexed"], r["doc_count"], r["source_paths"]) == (2, 2, [a])

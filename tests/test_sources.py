@@ -85,3 +85,19 @@ def test_folder_to_blocks(spark, tmp_path):
     import hashlib
 
     assert {r["sha1"] for r in files.with_hashes(listing.where(F.col("path").endswith("a.txt"))).collect()} == {hashlib.sha1(b"one\r\ntwo\xff").hexdigest()}
+
+
+def test_pages_are_recognised_as_rows(spark):
+    from tessera.sources import ocr
+
+    def engine():
+        def run(content):
+            if content == b"bad":
+                raise ValueError
+            return [([], content.decode(), 0.9), ([], "faint", 0.1)]
+
+        return run
+
+    pages = spark.createDataFrame([("f", 1, b"recognised words", "ab"), ("f", 2, b"bad", ""), ("f", 3, None, None)], "path string, page int, image binary, layer string")
+    out = ocr.recognise(pages, engine, tasks=2).withColumn("text", ocr.better_text(F.col("layer"), F.col("recognised"))).orderBy("page").collect()
+    assert [(r["recognised"], r["text"]) for r in out] == [("recognised words", "recognised words"), (None, ""), (None, "")]
