@@ -1,6 +1,7 @@
 """Substring dedup by hashing lines and sentences.
 
-A text's units are its lines, and within them its sentences (up to a word that ends in . ! or ?). A unit is normalised to
+A text's units are its lines, its sentences (up to a word that ends in . ! or ?, or a line's end), and, so that short
+sentences within a repeated passage go with it, two sentences in a row of which one is too short to be a unit. A unit is normalised to
 its words, runs of other bytes than white space, with A-Z lower-cased. Units of enough words are hashed; of equal units the one of the
 smallest (doc_id, place) is kept, the rest are removed, and the removed spans are given by their places in the original text.
 
@@ -43,13 +44,17 @@ def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * powers(_BASE, n))]) for w in (words, mix64(words + U64(1)))]
     inverse = powers(pow(_BASE, -1, 1 << 64), n)
     out = []
-    for kind, last, least in ((1, line, LINE_WORDS), (2, line | STOPS[low[end - 1]], SENTENCE_WORDS)):
-        e = np.flatnonzero(last) + 1
-        s = np.concatenate([[0], e[:-1]])
-        use = e - s >= least
-        s, e = s[use], e[use]
-        h = [mix64((p[e] - p[s]) * inverse[s] + U64(kind * _BASE % (1 << 64))) for p in sums]
-        out.append((*h, text[s], start[s], end[e - 1]))
+    for kind, last, least in ((1, line, LINE_WORDS), (2, line | STOPS[low[end - 1]], SENTENCE_WORDS), (3, None, SENTENCE_WORDS)):
+        if kind < 3:
+            e = np.flatnonzero(last) + 1
+            s = np.concatenate([[0], e[:-1]])
+            use = e - s >= least
+        else:  # of the sentences just seen
+            s, e, short = s[:-1], e[1:], (e - s < least)
+            use = (short[:-1] | short[1:]) & (e - s >= least) & (text[s] == text[e - 1])
+        a, z = s[use], e[use]
+        h = [mix64((p[z] - p[a]) * inverse[a] + U64(kind * _BASE % (1 << 64))) for p in sums]
+        out.append((*h, text[a], start[a], end[z - 1]))
     h, c, t, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
     return h, c, t, s - offs[t], e - offs[t]
 

@@ -61,7 +61,7 @@ def units(docs):
     seen, out = set(), []
     for doc, text in sorted(docs, key=key):
         b = (text or "").encode()
-        m, at = bytearray(len(b)), 0
+        m, at, every, said = bytearray(len(b)), 0, [], []
         for line in b.split(b"\n"):
             ws = [(x.start() + at, x.end() + at) for x in re.finditer(rb"[^\x20\x09-\x0D]+", line)]
             at += len(line) + 1
@@ -72,13 +72,17 @@ def units(docs):
                     groups.append((2, now))
                     now = []
             groups += [(2, now)] if now else []
-            for kind, g in groups:
-                if len(g) < {1: 5, 2: 6}[kind]:
-                    continue
-                k = kind, b" ".join(b[x:y] for x, y in g).lower()
-                if k in seen:
-                    m[g[0][0] : g[-1][1]] = b"\1" * (g[-1][1] - g[0][0])
-                seen.add(k)
+            every += groups
+            said += [g for kind, g in groups if kind == 2]
+        every += [(3, x + y) for x, y in zip(said, said[1:]) if min(len(x), len(y)) < 6]
+        # by place, as the same unit may stand twice in a text
+        for kind, g in sorted(every, key=lambda u: (u[0], u[1][0])):
+            if len(g) < {1: 5, 2: 6, 3: 6}[kind]:
+                continue
+            k = kind, b" ".join(b[x:y] for x, y in g).lower()
+            if k in seen:
+                m[g[0][0] : g[-1][1]] = b"\1" * (g[-1][1] - g[0][0])
+            seen.add(k)
         out.append((doc, len(b), sum(m), spans_of(m), sha(bytes(x for x, g in zip(b, m) if not g))))
     return out
 
