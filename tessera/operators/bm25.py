@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import index_terms, query_tokens
 
+# Fixed values of the ranking function.
 K1, B = 1.2, 0.75
 
 

@@ -40,14 +40,33 @@ class HashingEmbedder:
         return self.passages([text])[0]
 
 
-#: Put before a query for models of this family, whose passages are encoded as they are.
+# The prompt that this family of models was trained with for queries, and the batch of its passages.
 QUERY_PROMPT = "Represent this sentence for searching relevant passages: "
+BATCH = 32
 
 
 def query_text(text: str, model: str) -> str:
     return QUERY_PROMPT + text if "bge-" in model.lower() else text
 
 
+class SentenceModel:
+    """A model of the sentence_transformers library, if that is installed; unit vectors."""
+
+    def __init__(self, name: str):
+        from sentence_transformers import SentenceTransformer
+
+        self.name, self.model = name, SentenceTransformer(name)
+        self.dim = self.model.get_sentence_embedding_dimension()
+
+    def passages(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros((0, self.dim), np.float32)
+        return np.asarray(self.model.encode(texts, batch_size=BATCH, normalize_embeddings=True), np.float32)
+
+    def query(self, text: str) -> np.ndarray:
+        return self.passages([query_text(text, self.name)])[0]
+
+
 def embed(text: Column, make: Callable[[], Embedder] = HashingEmbedder) -> Column:
     """Vectors of a text column; each worker makes the model once a task."""
 

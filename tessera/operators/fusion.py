@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import basename
 from tessera.functions.vectors import similarity
 
+# A fixed value: what is added to ranks.
 RRF_K = 60
 
 

@@ -16,6 +16,18 @@ class Reranker(Protocol):
     def score(self, query: str, passages: list[str]) -> list[float]: ...
 
 
+class CrossModel:
+    """A cross-encoder of the sentence_transformers library, if that is installed; more is better."""
+
+    def __init__(self, name: str, batch: int = 16):
+        from sentence_transformers import CrossEncoder
+
+        self.model, self.batch = CrossEncoder(name), batch
+
+    def score(self, query: str, passages: list[str]) -> list[float]:
+        return [float(x) for x in self.model.predict([(query, p) for p in passages], batch_size=self.batch)] if passages else []
+
+
 def lexical_score(query: str, text: Column) -> Column:
     """The default: share of the query's distinct terms that the passage has, plus a little for a short passage."""
     wanted = F.array_distinct(index_terms(F.lit(query)))

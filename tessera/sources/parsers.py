@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 
 Block = tuple[str, int | None]
 
+# Suffixes of the formats.
 TEXT = {".txt", ".md", ".markdown"}
 IMAGES = {".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp"}
 SHEETS = {".xlsx", ".xlsm", ".xls"}

@@ -73,3 +73,33 @@ def test_phrase_counts(spark):
     got = {r["chunk_id"]: r["tf"] for r in bm25._occurrences(bm25.postings(df), bm25.query_phrases(spark.createDataFrame([(0, "a_a_b")], "query_id int, query string"))).collect()}
     want = {i: n for i, t in rows if (n := sum(t.split()[k : k + 3] == ["a", "a", "b"] for k in range(28)))}
     assert got == want
+
+
+def test_models_of_the_library(monkeypatch):
+    import sys
+    import types
+
+    class Sentence:
+        def __init__(self, name):
+            pass
+
+        def get_sentence_embedding_dimension(self):
+            return 2
+
+        def encode(self, texts, batch_size, normalize_embeddings):
+            return [[len(t), batch_size] for t in texts]
+
+    class Cross:
+        def __init__(self, name):
+            pass
+
+        def predict(self, pairs, batch_size):
+            return [len(p) - len(q) for q, p in pairs]
+
+    monkeypatch.setitem(sys.modules, "sentence_transformers", types.SimpleNamespace(SentenceTransformer=Sentence, CrossEncoder=Cross))
+    from tessera.operators import embed
+
+    model = embed.SentenceModel("x/BGE-small")
+    assert model.query("ab").tolist() == [len(embed.QUERY_PROMPT) + 2, 32] and model.passages([]).shape == (0, 2)
+    assert embed.SentenceModel("other").query("ab").tolist() == [2, 32]
+    assert rerank.CrossModel("c").score("q", ["abc", "a"]) == [2.0, 0.0] and rerank.CrossModel("c").score("q", []) == []
