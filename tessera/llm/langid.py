@@ -2,7 +2,8 @@
 
 A text is compressed once per language by zstandard, primed with a raw-content dictionary of that language; the language
 whose dictionary gives the fewest bytes wins. Before that, letters are lower-cased and all else becomes single spaces, and
-the text is cut into pieces, so that a long text keeps leaning on the dictionary instead of on its own beginning.
+the text is cut into pieces, so that a long text keeps leaning on the dictionary instead of on its own beginning. A short
+text alone would hardly compress; it is measured by what it adds to each of a few samples of the language instead.
 
 Defined results: a null text and one without a letter give ``und`` with score 0 and are rejected; equal sizes go to the
 language whose name sorts first and are rejected; with no training rows every text is ``und``. Repeated rows give repeated
@@ -24,6 +25,8 @@ UND = "und"
 #: Per language: bytes of dictionary, and of each training text, and so texts read at most. A documented bound of the fit.
 DICT_BYTES, TEXT_BYTES, TEXTS = 112 << 10, 512, 600
 LEVEL, PIECE = 6, 2048
+#: Texts under so many bytes are measured behind samples of so many bytes each.
+SHORT, SAMPLE_BYTES, SAMPLES = 400, 600, 8
 #: Smallest share by which the best size must undercut the second.
 MARGIN = 0.005
 _REST = re.compile(r"[\W\d_]+")
@@ -34,7 +37,7 @@ def normalised(text: str) -> bytes:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
-    """Dictionary of each non-null lang, from a sample of at most TEXTS training rows of it chosen by hash."""
+    """Text of each non-null lang, from a sample of at most TEXTS training rows of it chosen by hash: short samples, then the dictionary."""
     rows = docs.where(fold_is_train(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.substring(text, 1, TEXT_BYTES)).alias("h"), F.substring(text, 1, TEXT_BYTES).alias("text"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not counts:
@@ -46,7 +49,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in best.select("lang", "n", "text").collect():
         parts.setdefault(r["lang"], []).append((r["n"], normalised(r["text"])))
-    return {k: b" ".join(x for _, x in sorted(v))[-DICT_BYTES:] for k, v in sorted(parts.items())}
+    return {k: b" ".join(x for _, x in sorted(v))[: SAMPLES * SAMPLE_BYTES + DICT_BYTES] for k, v in sorted(parts.items())}
 
 
 class Classifier:
@@ -54,7 +57,11 @@ class Classifier:
         import zstandard
 
         self.langs = sorted(k for k, v in model.items() if len(v) >= 8)
-        self.coders = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(model[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k in self.langs]
+        # of little text half is for samples
+        width = {k: min(SAMPLE_BYTES, len(model[k]) // (2 * SAMPLES)) for k in self.langs}
+        self.samples = [[model[k][a * width[k] : (a + 1) * width[k]] for a in range(SAMPLES)] for k in self.langs]
+        self.coders = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(model[k][SAMPLES * width[k] :], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k in self.langs]
+        self.bare = [sum(len(c.compress(x)) for x in xs) for c, xs in zip(self.coders, self.samples, strict=True)]
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score 0 to 1, whether the margin is wide enough)."""
@@ -62,7 +69,9 @@ class Classifier:
         if not plain or not self.langs:
             return UND, 0.0, False
         sizes = [0] * len(self.langs)
-        for at in range(0, len(plain), PIECE):
+        if len(plain) < SHORT:
+            sizes = [max(1, sum(len(c.compress(x + b" " + plain)) for x in xs) - bare) for c, xs, bare in zip(self.coders, self.samples, self.bare, strict=True)]
+        for at in range(0, len(plain) if len(plain) >= SHORT else 0, PIECE):
             piece = plain[at : at + PIECE]
             for k, coder in enumerate(self.coders):
                 sizes[k] += len(coder.compress(piece))
