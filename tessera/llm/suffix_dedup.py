@@ -39,7 +39,7 @@ _SPREAD = LENGTH - GRAM + 1
 _AT = U64((1 << 28) - 1)
 LAST = np.iinfo(np.int64).max
 #: Contexts of an anchor from which on its windows go each to a bucket of its own, so that no bucket gathers them all.
-CONTEXTS = 5000
+CONTEXTS = 100_000
 _INVERSE_BASE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
