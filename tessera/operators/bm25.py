@@ -5,12 +5,15 @@ Postings are (chunk_id, term, positions); a query's tokens meet them by term. Th
     -sum over tokens of idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length)),
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6,
 
-so less is better. A token given twice counts twice; a token of several terms is a phrase. The postings side is reduced
-to the query's terms first, sums are combined before the shuffle, and only the best rows are ordered.
+so less is better. A token given twice counts twice; a token of several terms is a phrase. Postings hold their chunk's
+length too, so that one query of plain terms is a filter that reaches the scan, a sum per chunk that is combined before the
+shuffle, and an order of the best rows only: no join.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +24,10 @@ K1, B = 1.2, 0.75
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """chunk_id, term, tf, positions (from 0, ascending)."""
-    placed = chunks.select(F.col(chunk_id).alias("chunk_id"), F.posexplode(index_terms(F.col(text))).alias("at", "term"))
-    return placed.groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    """chunk_id, term, tf, positions (from 0, ascending), dl: the chunk's number of terms."""
+    terms = chunks.select(F.col(chunk_id).alias("chunk_id"), index_terms(F.col(text)).alias("terms"))
+    placed = terms.select("chunk_id", F.size("terms").alias("dl"), F.posexplode("terms").alias("at", "term"))
+    return placed.groupBy("chunk_id", "term", "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions")).select("chunk_id", "term", "tf", "positions", "dl")
 
 
 def lengths(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -73,10 +77,39 @@ def top(scored: DataFrame, n: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def search(postings_: DataFrame, lengths_: DataFrame, query: str, n: int) -> DataFrame:
-    """chunk_id, bm25, rank for one query."""
+def literal_phrases(spark: SparkSession, query: str) -> list[tuple[list[str], int]]:
+    """(terms, times) of the query's tokens. A constant expression, which needs no job."""
+    row = spark.sql("SELECT 1").select(F.transform(query_tokens(F.lit(query)), index_terms).alias("p")).first()
+    counts: dict[tuple[str, ...], int] = {}
+    for phrase in row["p"]:
+        if phrase:
+            counts[tuple(phrase)] = counts.get(tuple(phrase), 0) + 1
+    return [(list(p), n) for p, n in counts.items()]
+
+
+def corpus_facts(lengths_: DataFrame) -> tuple[int, int]:
+    """Number of chunks and of terms."""
+    row = lengths_.agg(F.count("*").alias("total"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms")).first()
+    return row["total"], row["terms"]
+
+
+def search(postings_: DataFrame, lengths_: DataFrame, query: str, n: int, facts: tuple[int, int] | None = None) -> DataFrame:
+    """chunk_id, bm25, rank for one query; facts: corpus_facts(lengths_), if they are known."""
     spark: SparkSession = postings_.sparkSession
-    one = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
+    phrases = literal_phrases(spark, query)
+    if all(len(p) == 1 for p, _ in phrases):
+        times = {p[0]: k for p, k in phrases}
+        hits = postings_.where(F.col("term").isin(*times)) if times else postings_.where(F.lit(False))
+        used = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()} if times else {}
+        total, terms = facts or corpus_facts(lengths_)
+        weight = F.lit(0.0)
+        for term, count in used.items():
+            idf = math.log((total - count + 0.5) / (count + 0.5))
+            weight = F.when(F.col("term") == term, F.lit(times[term] * (idf if idf > 0 else 1e-6))).otherwise(weight)
+        part = -weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(terms / max(1, total))))
+        scored = hits.groupBy("chunk_id").agg(F.sum(part).alias("bm25"))
+    else:
+        scored = scores(postings_, lengths_, spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query")))
     order = F.round("bm25", 9), "chunk_id"  # sums of the same parts may differ in their last digits
-    best = scores(postings_, lengths_, one).orderBy(*order).limit(n)
+    best = scored.orderBy(*order).limit(n)
     return best.select("chunk_id", "bm25", F.row_number().over(Window.orderBy(*order)).alias("rank"))

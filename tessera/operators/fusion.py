@@ -27,6 +27,17 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, key: str = "chunk_id",
     return v.join(w, key, "full_outer").select(key, "vec_rank", "kw_rank", F.coalesce("distance", F.lit(0.0)).alias("distance"), (part("vec_rank") + part("kw_rank")).alias("rrf"))
 
 
+def fuse_lists(vector_hits: list[tuple[int, float]], keyword_hits: list[int], k: int = RRF_K) -> list[tuple]:
+    """fuse() for two short lists in order, (chunk_id, distance) and chunk_id: rows (chunk_id, vec_rank, kw_rank, distance, rrf)."""
+    vec = {c: (n, d) for n, (c, d) in enumerate(vector_hits, 1)}
+    kw = {c: n for n, c in enumerate(keyword_hits, 1)}
+    rows = []
+    for c in dict.fromkeys([*vec, *kw]):
+        v, w = vec.get(c), kw.get(c)
+        rows.append((c, v[0] if v else None, w, v[1] if v else 0.0, (1 / (k + v[0]) if v else 0.0) + (1 / (k + w) if w else 0.0)))
+    return rows
+
+
 #: Order of fused rows; ties keep the vector side's order, then the keyword side's.
 RRF_ORDER = (F.desc, "rrf"), (F.asc_nulls_last, "vec_rank"), (F.asc_nulls_last, "kw_rank")
 

@@ -34,6 +34,7 @@ class Manifest:
     name: str
     dim: int
     batches: list[int] = field(default_factory=list)
+    tables: dict[str, list[int]] = field(default_factory=dict)  # batches that have rows of a table
     next_batch: int = 1
     next_chunk_id: int = 1
     source_paths: list[str] = field(default_factory=list)
@@ -73,7 +74,7 @@ class Project:
         """All rows of the committed batches, with their batch."""
         m = manifest or self.manifest()
         kind = schema.struct(TABLES[name])
-        paths = [f"{self.store.root}/{name}/batch={b}" for b in m.batches if self.store.exists(f"{name}/batch={b}")]
+        paths = [f"{self.store.root}/{name}/batch={b}" for b in m.tables.get(name, ())]
         if not paths:
             return self.spark.createDataFrame([], kind).withColumn("batch", F.lit(0).cast("long"))
         return self._read(paths, name, kind)
@@ -87,6 +88,8 @@ class Project:
 
     def live(self, name: str, path: str, manifest: Manifest | None = None) -> DataFrame:
         m = manifest or self.manifest()
+        if not m.tables.get("tombstones"):
+            return self.table(name, m).drop("batch")
         rows, dead = self.table(name, m), self._dead(m).withColumnRenamed("path", "__path")
         return rows.join(dead, (F.col(path) == F.col("__path")) & (F.col("batch") < F.col("until")), "left_anti").drop("batch")
 
@@ -99,7 +102,7 @@ class Project:
     def index(self) -> tuple[DataFrame, DataFrame]:
         """Postings and lengths of the chunks that live."""
         m = self.manifest()
-        if not self.table("tombstones", m).limit(1).count():
+        if not m.tables.get("tombstones"):
             return self.table("postings", m).drop("batch"), self.table("lengths", m).drop("batch")
         ids = self.live("chunks", "file_path", m).select("chunk_id")
         return tuple(self.table(t, m).drop("batch").join(ids, "chunk_id", "left_semi") for t in ("postings", "lengths"))
@@ -111,6 +114,8 @@ class Project:
         for name, rows in tables.items():
             rows.select(*schema.struct(TABLES[name]).names).write.mode("overwrite").parquet(f"{self.store.root}/{name}/batch={batch}")
         m.batches.append(batch)
+        for name in tables:
+            m.tables.setdefault(name, []).append(batch)
         m.next_batch, m.next_chunk_id, m.last_indexed_at = batch + 1, m.next_chunk_id + chunks, now_iso()
         self.save(m)
         return batch
@@ -123,7 +128,7 @@ class Project:
         rows = {"chunks": self.live("chunks", "file_path", m), "files": self.live("files", "path", m), "postings": postings, "lengths": lengths}
         for name, part in rows.items():
             part.write.mode("overwrite").parquet(f"{self.store.root}/{name}/batch={batch}")
-        m.batches, m.next_batch = [batch], batch + 1
+        m.batches, m.tables, m.next_batch = [batch], {name: [batch] for name in rows}, batch + 1
         self.save(m)
         for name in TABLES:
             for b in old:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import InheritableThread
 
 from tessera.functions.vectors import l2_distance, literal
 from tessera.operators import bm25, embed, fusion, knn, rerank
@@ -20,6 +21,28 @@ from tessera.session import prepare
 MODES = ("auto", "fail", "replace", "append")
 
 
+def _aside(work: Callable) -> Callable:
+    """Start work in a thread of its own; the result when it is called for."""
+    out: dict = {}
+
+    def run() -> None:
+        try:
+            out["value"] = work()
+        except Exception as e:  # raised where the result is called for
+            out["error"] = e
+
+    thread = InheritableThread(target=run)
+    thread.start()
+
+    def result():
+        thread.join()
+        if "error" in out:
+            raise out["error"]
+        return out["value"]
+
+    return result
+
+
 class Engine:
     """home: a folder that driver and executors share. make_reranker: None for the built-in lexical score."""
 
@@ -27,6 +50,7 @@ class Engine:
         prepare(spark)
         self.spark, self.home, self.models, self.make_reranker = spark, home, models or Models(), make_reranker
         self.jobs = Jobs(notify)
+        self._model, self._known = None, {}
 
     def project(self, name: str) -> Project:
         return Project(self.spark, self.home, name)
@@ -105,19 +129,38 @@ class Engine:
                 chunks = chunks.where(c)
             ids = chunks.select("chunk_id")
             postings, lengths = postings.join(ids, "chunk_id", "left_semi"), lengths.join(ids, "chunk_id", "left_semi")
-        vector = self.models.make_embedder().query(query)
-        fused = fusion.fuse(knn.search(chunks, vector, candidate_pool), bm25.search(postings, lengths, query, candidate_pool))
-        rows = chunks.join(F.broadcast(fused), "chunk_id")  # twice candidate_pool rows at most
+        vector = self._embedder().query(query)
+        facts = None if prefilter and keep.metadata() else self._facts(p, lengths)
+        # both candidate lists are short; they are found side by side
+        nearest = _aside(lambda: knn.search(chunks, vector, candidate_pool).select("chunk_id", "distance", "rank").collect())
+        words = bm25.search(postings, lengths, query, candidate_pool, facts).select("chunk_id", "rank").collect()
+        order = lambda rows: sorted(rows, key=lambda r: r["rank"])
+        fused = fusion.fuse_lists([(r["chunk_id"], r["distance"]) for r in order(nearest())], [r["chunk_id"] for r in order(words)])
+        ranked = self.spark.createDataFrame(fused, "chunk_id long, vec_rank int, kw_rank int, distance double, rrf double")
+        rows = chunks.where(F.col("chunk_id").isin(*[r[0] for r in fused]) if fused else F.lit(False)).join(F.broadcast(ranked), "chunk_id")  # twice candidate_pool rows at most
         if strict_similarity:
             rows = rows.withColumn("distance", l2_distance(F.col("embedding"), literal(vector)))
         rows = keep.apply(rows.drop("embedding", "indexed_at"))
         scored = rerank.with_model(rows, query, self.make_reranker) if self.make_reranker else rows.withColumn("rerank_score", rerank.lexical_score(query, F.col("text")))
         return fusion.project_results(scored, k)
 
+    def _embedder(self):
+        if self._model is None:
+            self._model = self.models.make_embedder()
+        return self._model
+
+    def _facts(self, p: Project, lengths: DataFrame) -> tuple[int, int]:
+        """corpus_facts of a project's state, kept until its next commit."""
+        m = p.manifest()
+        key = m.next_batch, m.last_indexed_at
+        if self._known.get(p.name, (None,))[0] != key:
+            self._known[p.name] = key, bm25.corpus_facts(lengths)
+        return self._known[p.name][1]
+
     def search_many(self, project: str, queries: list[tuple[int, str]], k: int = 5, candidate_pool: int = 75) -> DataFrame:
         """query_id, chunk_id, rrf and rank of the k best fused chunks of each of some queries, in one plan."""
         p = self._existing(project)
-        embedder = self.models.make_embedder()
+        embedder = self._embedder()
         postings, lengths = p.index()
         table = self.spark.createDataFrame(queries, "query_id long, query string")
         v = knn.batch_search(p.chunks(), [(i, embedder.query(q).tolist()) for i, q in queries], candidate_pool)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import time
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +23,8 @@ from tessera.sources import files as scan
 from tessera.sources.parsers import Registry
 from tessera.sources.storage import Store
 
-#: Files of a batch.
-BATCH_FILES = 256
+#: Files of a batch, and bytes of them unless one file is larger.
+BATCH_FILES, BATCH_BYTES = 2048, 64 << 20
 Progress = Callable[[int, int, str], None]
 
 
@@ -120,15 +120,29 @@ class Indexer:
         total = max(1, sum(hashed[p]["size"] for p in todo) // 3072)
         rates: deque[float] = deque(maxlen=10)
         done = 0
-        for a in range(0, len(todo), BATCH_FILES):
+        seen = 0
+        for part in self._parts(todo, hashed):
             began = time.monotonic()
-            made = self._batch(todo[a : a + BATCH_FILES], hashed, known, result)
+            made = self._batch(part, hashed, known, result)
+            seen += len(part)
             done += made
             rates.append(made / max(time.monotonic() - began, 1e-6))
             left = max(0, total - done) / max(sum(rates) / len(rates), 1)
-            self.progress(done, max(total, done), f"{min(a + BATCH_FILES, len(todo))} of {len(todo)} files, {eta_text(left)} left")
+            self.progress(done, max(total, done), f"{seen} of {len(todo)} files, {eta_text(left)} left")
         return result
 
+    @staticmethod
+    def _parts(paths: list[str], hashed: dict) -> Iterator[list[str]]:
+        part, size = [], 0
+        for p in paths:
+            if part and (len(part) == BATCH_FILES or size + hashed[p]["size"] > BATCH_BYTES):
+                yield part
+                part, size = [], 0
+            part.append(p)
+            size += hashed[p]["size"]
+        if part:
+            yield part
+
     def _batch(self, paths: list[str], hashed: dict, known: dict, result: IndexResult) -> int:
         m, models = self.project.manifest(), self.models
         by_content = {r["sha1"] for r in known.values()}

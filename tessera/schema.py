@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 LISTING = "path string, size long, mtime double"
 BLOCKS = "path string, block_no int, text string, page int"
 CHUNKS = "chunk_id long, file_path string, file_hash string, display_name string, page int, chunk_index int, text string, embedding array<float>, indexed_at timestamp"
-POSTINGS = "chunk_id long, term string, tf int, positions array<int>"
+POSTINGS = "chunk_id long, term string, tf int, positions array<int>, dl int"
 LENGTHS = "chunk_id long, dl int"
 FILES = "path string, sha1 string, mtime double, chunk_count int, display_name string, indexed_at timestamp"
 TOMBSTONES = "path string"

@@ -43,6 +43,7 @@ def test_fusion_order_is_stable(spark):
     v = spark.createDataFrame([(10, 1, 0.1), (11, 2, 0.2)], "chunk_id long, rank int, distance double")
     w = spark.createDataFrame([(11, 1), (12, 2)], "chunk_id long, rank int")
     rows = fusion.fuse(v, w).orderBy(*fusion.rrf_order()).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(fusion.fuse_lists([(10, 0.1), (11, 0.2)], [11, 12]), key=repr)
     assert [r["chunk_id"] for r in rows] == [11, 10, 12]
     assert rows[2]["distance"] == 0.0 and abs(rows[0]["rrf"] - 1 / 62 - 1 / 61) < 1e-12
 
