@@ -14,7 +14,7 @@ be built in one place, so the suffixes to be sorted are found first, exactly:
 
 The batch exchange of the documents is one exchange in the plan, used three times. A batch sends a hash or context once
 however many of its documents have it, so a passage in a third of all documents costs a bucket one entry a batch. At such
-a passage's edges contexts differ from document to document; of an anchor with very many contexts the windows go to
+a passage's edges contexts differ from document to document; of an anchor with very many contexts (in all, or in one batch, which then doesn't send them) the windows go to
 buckets of their own, where those in the passage are one again and the others are spread.
 
 Defined results: null text is empty; texts under 50 bytes keep all; rows with one doc_id are one document and don't remove
@@ -40,6 +40,8 @@ _AT = U64((1 << 28) - 1)
 LAST = np.iinfo(np.int64).max
 #: Contexts of an anchor from which on its windows go each to a bucket of its own, so that no bucket gathers them all.
 CONTEXTS = 100_000
+#: The same within one batch: such an anchor's contexts aren't sent, only that there are many.
+OWN_CONTEXTS = 200
 _INVERSE_BASE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -92,7 +94,13 @@ class Batch:
         h, c = self.h[order], self.c[order]
         self.new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.empty(0, bool)
         self.order, self.start = order, np.flatnonzero(self.new)
-        self.uh, self.uc = h[self.start], c[self.start]
+        self.uh, self.uc = h[self.start], np.maximum(c[self.start], U64(1))
+        anchor = np.flatnonzero(np.concatenate([[True], self.uh[1:] != self.uh[:-1]])) if len(self.uh) else np.empty(0, np.int64)
+        kinds = np.diff(np.append(anchor, len(self.uh)))
+        self.crowded = np.repeat(kinds > OWN_CONTEXTS, kinds)
+        self.sent = ~self.crowded
+        self.sent[anchor] = True
+        self.uc[self.crowded] = 0  # the sign of very many
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -136,7 +144,8 @@ def _send_hashes(k: int):
     def run(table: pa.Table) -> pa.Table:
         b, batch = Batch(table), table.column("batch")[0].as_py()
         b.scan()
-        return table_of(HASHES, [(x, batch, planes(b.uh[i:j]), planes(b.uc[i:j])) for x, i, j in cuts(bucket_of(b.uh, k))])
+        h, c = b.uh[b.sent], b.uc[b.sent]
+        return table_of(HASHES, [(x, batch, planes(h[i:j]), planes(c[i:j])) for x, i, j in cuts(bucket_of(h, k))])
 
     return run
 
@@ -154,7 +163,8 @@ def code(table: pa.Table) -> pa.Table:
     anchor = np.concatenate([[True], h[1:] != h[:-1]])
     fresh = anchor | np.concatenate([[True], c[1:] != c[:-1]])
     start = np.flatnonzero(anchor)
-    kinds = np.repeat(np.add.reduceat(fresh.astype(np.int64), start), np.diff(np.append(start, len(h))))
+    kinds = np.add.reduceat(fresh + (c == 0) * (CONTEXTS + 1), start)
+    kinds = np.repeat(kinds, np.diff(np.append(start, len(h))))
     codes = np.empty(len(h), np.uint8)
     codes[order] = (~fresh).astype(np.uint8) | (kinds > 1).astype(np.uint8) << 1 | (kinds > CONTEXTS).astype(np.uint8) << 2
     cut = np.cumsum([0, *n])
@@ -192,8 +202,10 @@ def _send_contexts(k: int):
             return table_of(_PARTS, [])
         b, batch = Batch(docs), docs.column("batch")[0].as_py()
         b.scan()
-        bits = answers(codes)
-        assert len(bits) == len(b.start)
+        bits = np.full(len(b.start), 6, np.uint8)
+        got = answers(codes)
+        assert len(got) == b.sent.sum()
+        bits[b.sent & ~b.crowded] = got[~b.crowded[b.sent]]
         each = np.diff(np.append(b.start, len(b.order)))
         owner = b.ids[b.row[b.order[b.start]]]
         later = b.ids[b.row[b.order]] > np.repeat(owner, each)
@@ -206,20 +218,21 @@ def _send_contexts(k: int):
             _, off, data = arr.buffers()
             off, data = np.frombuffer(off, np.int64)[arr.offset :], np.frombuffer(data, np.uint8)
         if len(many):
-            occurrences = np.concatenate([b.order[p : p + q][~later[p : p + q]] for p, q in zip(b.start[many], each[many], strict=True)])
-            more, spans = _by_window(k, batch, data, off, b, occurrences)
+            more, spans = _by_window(k, batch, data, off, b, b.order[np.repeat(bits == 6, each) & ~later])
             rows += more
             gone.append(spans)
         if len(open_):
             src = b.order[b.start[open_]]
             length = b.count[src] - 1 + LENGTH
             begin = off[b.row[src]] + b.first[src]
+            flat = b.order[np.repeat(bits == 2, each) & ~later]
+            uses = np.add.reduceat((~later).astype(np.int64), b.start)[open_]
+            cut = np.cumsum([0, *uses])
             for x, i, j in cuts(bucket_of(b.uh[open_], k)):
                 n = length[i:j]
                 at = np.repeat(begin[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                use = [b.order[p : p + q][~later[p : p + q]] for p, q in zip(b.start[open_[i:j]], each[open_[i:j]], strict=True)]
-                flat = np.concatenate(use)
-                rows.append((x, batch, owner[open_[i:j]].astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), data[at].tobytes(), np.array([len(u) for u in use], np.int32).tobytes(), b.row[flat].astype(np.int32).tobytes(), b.first[flat].astype(np.int32).tobytes()))
+                use = flat[cut[i] : cut[j]]
+                rows.append((x, batch, owner[open_[i:j]].astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), data[at].tobytes(), uses[i:j].astype(np.int32).tobytes(), b.row[use].astype(np.int32).tobytes(), b.first[use].astype(np.int32).tobytes()))
         rows.append((-1 - batch, batch, b"", b"", b"", *_span_row(batch, *(np.concatenate(x) for x in zip(*gone, strict=True)))[1:]))
         return table_of(_PARTS, rows)
 

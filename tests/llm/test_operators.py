@@ -99,8 +99,10 @@ def test_op3_repetitive_bytes(spark, tmp_path_factory):
     same(suffix_dedup.removed_spans(df, batch_bytes=300), brute.suffix_spans(rows), DIGEST)
 
 
-def test_op3_contexts_by_window(spark, docs, rows):
-    """The path of anchors with very many contexts, taken for all that have several."""
+@pytest.mark.parametrize("own", [suffix_dedup.OWN_CONTEXTS, 2, 1])
+def test_op3_contexts_by_window(rows, monkeypatch, own):
+    """The path of anchors with very many contexts, taken for all that have several, and for those that a batch has more of."""
+    monkeypatch.setattr(suffix_dedup, "OWN_CONTEXTS", own)
     import numpy as np
     import pyarrow as pa
 
