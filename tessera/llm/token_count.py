@@ -11,10 +11,11 @@ Defined results: null and empty text have no tokens; repeated rows repeat their
 
 from __future__ import annotations
 
-import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,17 +66,20 @@ class Counter:
         import regex
 
         number = {bytes([b]): b for b in range(256)}
-        self.rank: dict[int, int] = {}
+        self.right: list[dict[int, int]] = [{} for _ in range(256)]  # for each left symbol, ranks by the right one
         self.result: list[int] = []
         for rank, (a, b) in enumerate(merges):
-            self.rank[number[a] << 32 | number[b]] = rank
-            self.result.append(number.setdefault(a + b, len(number)))
+            self.right[number[a]][number[b]] = rank
+            made = number.setdefault(a + b, len(number))
+            if made == len(self.right):
+                self.right.append({})
+            self.result.append(made)
         self.special = special
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pieces = regex.compile(PATTERN)
         # a break before a run of blanks and line ends is one of the pattern too, unless other white space is near
-        self.chunk = regex.compile(r"[ \n]*[^ \n]+|[ \n]+")
-        self.other = regex.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+        self.chunk = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+        self.other = re.compile(r"[^\S \n]")
         self.of_piece = _Store(self.merge)
         self.of_chunk = _Store(lambda c: sum(map(self.of_piece.__getitem__, self.pieces.findall(c))))
 
@@ -84,31 +88,33 @@ class Counter:
         n = len(symbols)
         if n < 2:
             return n
-        rank = self.rank.get
-        heap = [r << 32 | i for i in range(n - 1) if (r := rank(symbols[i] << 32 | symbols[i + 1])) is not None]
+        right, result = self.right, self.result
+        shift = 14 if n < 1 << 14 else 40  # heap entries of one machine digit where that does
+        place = (1 << shift) - 1
+        heap = [r << shift | i for i in range(n - 1) if (r := right[symbols[i]].get(symbols[i + 1])) is not None]
         if not heap:
             return n
-        heapq.heapify(heap)
+        heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merges = 0
         while heap:
-            top = heapq.heappop(heap)
-            r, i = top >> 32, top & 0xFFFFFFFF
+            top = heappop(heap)
+            r, i = top >> shift, top & place
             j = after[i]
             # a pair that has changed since isn't the one that was pushed
-            if symbols[i] < 0 or j >= n or rank(symbols[i] << 32 | symbols[j]) != r:
+            if j >= n or symbols[i] < 0 or right[symbols[i]].get(symbols[j]) != r:
                 continue
-            symbols[i] = self.result[r]
+            symbols[i] = made = result[r]
             symbols[j] = -1
             merges += 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank(symbols[i] << 32 | symbols[k])) is not None:
-                    heapq.heappush(heap, r << 32 | i)
+                if (r := right[made].get(symbols[k])) is not None:
+                    heappush(heap, r << shift | i)
             h = before[i]
-            if h >= 0 and (r := rank(symbols[h] << 32 | symbols[i])) is not None:
-                heapq.heappush(heap, r << 32 | h)
+            if h >= 0 and (r := right[symbols[h]].get(made)) is not None:
+                heappush(heap, r << shift | h)
         return n - merges
 
     def __call__(self, text: str | None) -> int:
