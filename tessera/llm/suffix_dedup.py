@@ -41,7 +41,7 @@ LAST = np.iinfo(np.int64).max
 #: Contexts of an anchor from which on its windows go each to a bucket of its own, so that no bucket gathers them all.
 CONTEXTS = 100_000
 #: The same within one batch: such an anchor's contexts aren't sent, only that there are many.
-OWN_CONTEXTS = 200
+OWN_CONTEXTS = 1000
 _INVERSE_BASE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
