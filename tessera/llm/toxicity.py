@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fold_is_train
 
 WORD = re.compile(r"[^\W_]+")
-#: Bounds of the fit: about so many labelled training documents of each label, and entries of the lexicon.
+#: Bounds of the fit: about so many labelled training documents of the rarer label, and entries of each kind in the lexicon.
 SAMPLE, ENTRIES = 6000, 400
+#: The others come at the same rate, as shares and scores are those of the labels; about so many times SAMPLE documents in all.
+MOST = 20
 #: Least and most letters of a beginning; toxic documents that an entry needs, and how unlikely so many would be by chance.
 BEGINNING, LONGEST, LEAST, CHANCE = 4, 9, 4, 1e-6
 #: Share of a strong entry's documents that are toxic, and of a weak beginning's occurrences that are in toxic documents.
@@ -203,6 +205,8 @@ def lexicon(counts: list[tuple[str, bool, int, int, int, int]], need: float) ->
         toxic, others = seen[long][2:4]
         (begin if toxic >= PRECISION * (toxic + others) else weak).append(long)
     faint = tuple(weak)
+    # where there are more entries than the bound, those of the most toxic documents stay
+    begin, weak = (sorted(x, key=lambda w: (-seen[w][2], w)) for x in (begin, weak))
     words = [r[0] for r in sorted(counts, key=lambda r: (-r[2], r[0])) if not r[1] and r[2] >= need and r[2] >= PRECISION * (r[2] + r[3]) and not r[0].startswith(faint)]
     return words[:ENTRIES], begin[:ENTRIES], weak[:ENTRIES]
 
@@ -212,9 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     spark = docs.sparkSession
     own = labels.where(fold_is_train() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     total = {int(r[0] > 0): r[1] for r in own.groupBy("y").count().collect()}
-    part = F.when(F.col("y") > 0, min(1.0, SAMPLE / max(1, total.get(1, 0)))).otherwise(min(1.0, SAMPLE / max(1, total.get(0, 0))))
+    part = min(1.0, SAMPLE / max(1, min(total.values(), default=0)), MOST * SAMPLE / max(1, sum(total.values())))
     chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part * (1 << 30)).select(F.col("doc_id").cast("long").alias("__d"), (F.col("y") > 0).alias("y"))
-    # about 2 * SAMPLE rows at most, so this side is small at any size of corpus
+    # about MOST * SAMPLE rows at most, so this side is small at any size of corpus
     sample = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("d") == F.col("__d")).select("text", "y").where("text is not null")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

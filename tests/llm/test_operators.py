@@ -316,6 +316,29 @@ def test_op9_quotations_and_scores(spark):
     assert toxicity.score(docs, empty).where("predicted = 1").count() == 0
 
 
+def test_op9_sampling_keeps_the_share_of_toxic_documents(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for k in range(3000):
+        bad = k % 10 == 0
+        w = prose(rng, 30).split(" ")
+        if bad:
+            w.insert(3, "zworgel")
+        if rng.random() < (0.4 if bad else 0.1):  # three of ten of its documents are toxic
+            w.insert(9, "blimkin")
+        rows.append((k, " ".join(w), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    words, begin, weak, _ = toxicity.fit(docs, docs)
+    assert "zworgel" in words and not any(w.startswith("blim") for w in words + begin + weak)
+
+
+def test_op9_entries_of_the_most_documents_stay(monkeypatch):
+    monkeypatch.setattr(toxicity, "ENTRIES", 1)
+    counts = [("aaaa", True, 30, 10, 30, 10), ("zzzz", True, 90, 20, 90, 20), ("bbbb", True, 30, 0, 30, 0), ("yyyy", True, 90, 0, 90, 0)]
+    assert toxicity.lexicon(counts, 4) == ([], ["yyyy"], ["zzzz"])
+
+
 def test_op10_components(docs, rows):
     same(jaccard.jaccard_components(docs), brute.components(rows), ["doc_id", "n_shingles", "component_id"])
 
