@@ -64,6 +64,22 @@ def test_op1_units(docs, rows):
     same(line_dedup.repeated_units(docs, batch_bytes=2000), brute.units(rows), DIGEST)
 
 
+def test_op1_short_lines_of_many_places_go_and_chance_repeats_stay(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(300):
+        body = [" ".join(rng.choice(WORDS[:8]) for _ in range(20)) + f" {k} {j} " + rng.choice(["and.", "to."]) for j in range(6)]
+        body.insert(rng.randint(1, 5), rng.choice(["and.", "to."]))  # as likely as at the end of a longer line
+        rows.append((k, "\n".join((["menu" if k % 3 else "Menu"] if k % 2 else []) + body + (["All  rights reserved."] if k % 5 == 0 else []))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in line_dedup.repeated_units(docs, batch_bytes=1 << 16).collect():
+        text = rows[r["doc_id"]][1]
+        gone = [text.encode()[a:b].decode() for a, b in zip(r["spans"][::2], r["spans"][1::2], strict=True)]
+        k = r["doc_id"]
+        want = (["menu" if k % 3 else "Menu"] if k % 2 and k > 1 else []) + (["All  rights reserved."] if k % 5 == 0 and k else [])
+        assert gone == want, (k, gone)
+
+
 @pytest.mark.parametrize("limit", [decontaminate.LIMIT, 1])
 def test_op2_contamination(spark, docs, rows, limit):
     rng = random.Random(2)
