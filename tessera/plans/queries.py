@@ -450,8 +450,18 @@ vr AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PAR
 f AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + kw_rank), 0) AS rrf, vec_rank FROM vr FULL OUTER JOIN kr USING (query_id, chunk_id))
 SELECT query_id, chunk_id, round(rrf, 9) AS rrf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, vec_rank NULLS LAST, chunk_id) AS INT) AS rank FROM f QUALIFY rank <= 5""")
 def hybrid_batch(spark, d):
+    return fused_batch(spark, d, "vec_id < 20", "item_id < 20")
+
+
+def fused_batch(spark, d, asked_vectors: str, asked_items: str) -> DataFrame:
     docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
-    asked = [(r[0], r[1]) for r in vectors.where("vec_id < 20").select("vec_id", "embedding").orderBy("vec_id").collect()]
+    asked = [(r[0], r[1]) for r in vectors.where(asked_vectors).select("vec_id", "embedding").orderBy("vec_id").collect()]
     v = knn.batch_search(vectors.withColumnRenamed("vec_id", "chunk_id"), asked, 25)
-    w = bm25.top(bm25.scores(bm25.postings(docs, "doc_id"), bm25.lengths(docs, "doc_id"), table(spark, d, "benchmark").where("item_id < 20"), "item_id", "text"), 25)
+    w = bm25.top(bm25.scores(bm25.postings(docs, "doc_id"), bm25.lengths(docs, "doc_id"), table(spark, d, "benchmark").where(asked_items), "item_id", "text"), 25)
     return fusion.fuse_many(v, w, 5).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), "rank")
+
+
+@query(SQL["hybrid_batch"].replace(" WHERE item_id < 20", "").replace(" WHERE q.vec_id < 20", ""))
+def hybrid_batch_all(spark, d):
+    """As hybrid_batch, of all vectors and all items."""
+    return fused_batch(spark, d, "embedding is not null", "item_id is not null")

@@ -14,6 +14,12 @@ def test_against_sql(spark, data, con, name):
     compare(queries.QUERIES[name](spark, data), con, queries.SQL[name])
 
 
+def test_the_whole_batch_asks_every_vector_and_item(spark, data):
+    ids = {r[0] for name, key in (("embeddings", "vec_id"), ("benchmark", "item_id")) for r in spark.read.parquet(f"{data}/{name}.parquet").select(key).collect()}
+    assert {r[0] for r in queries.QUERIES["hybrid_batch_all"](spark, data).select("query_id").distinct().collect()} == ids
+    assert "item_id < 20" not in queries.SQL["hybrid_batch_all"] and "vec_id < 20" not in queries.SQL["hybrid_batch_all"]
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
