@@ -6,8 +6,9 @@ they weigh more. Rows go in blocks of ids, vectors and packed codes, queries in
 the codes of distinct vectors are scored by table look-ups, two codes a look-up, the best are reranked by exact products in double precision,
 and the best of all blocks are each query's result.
 
-Defined results: vectors that are null, empty, zero, of another length than the longest of the sample, or hold null or
-non-finite components take no part; ties go to the smaller id; a query with fewer candidates than k gets all; a row is never
+Defined results: vectors that are null, empty, zero, of another length than the commonest (of equally common ones the longest), or hold null or
+non-finite components take no part; repeated rows are one; an id with several vectors is one query and one candidate, by the best
+score of any of them; ties go to the smaller id; a query with fewer candidates than k gets all; a row is never
 the candidate of a query of its own id; an empty table gives no rows.
 """
 
@@ -159,17 +160,21 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vecto
     element = rows.schema[vector].dataType.elementType
     kind = "float32" if isinstance(element, T.FloatType) else "float64"
     good = rows.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
-    count = good.count()
-    part = max(1, count // SAMPLE)
-    sample = [r[0] for r in good.where(F.pmod(F.xxhash64("vec_id"), F.lit(part)) == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * SAMPLE).select("v").collect()]
-    if not sample:
+    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = max(map(len, sample))
-    codec = spark.sparkContext.broadcast(Codec.fit(np.array([v for v in sample if len(v) == d], np.float64)))
+    d, count = sizes
     good = good.where(F.size("v") == d)
-    blocks = good.repartition(max(1, -(-count // BLOCK))).mapInArrow(_pack_blocks(codec, kind, k), _BLOCKS).withColumn("b", F.spark_partition_id())
+    part = max(1, count // SAMPLE)
+    sample = [r[0] for r in good.where(F.pmod(F.xxhash64("vec_id"), F.lit(part)) == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * SAMPLE).select("v").collect()]
+    codec = spark.sparkContext.broadcast(Codec.fit(np.array(sample, np.float64)))
+    # with so many candidates, an id with several vectors takes no other's place
+    each_id = good.select("vec_id", F.xxhash64("v").alias("h")).distinct().groupBy("vec_id").count().agg(F.max("count")).first()[0]
+    wide = (k + 1) * each_id - 1
+    good = good.dropDuplicates(["vec_id", "v"])
+    blocks = good.repartition(max(1, -(-count // BLOCK))).mapInArrow(_pack_blocks(codec, kind, wide), _BLOCKS).withColumn("b", F.spark_partition_id())
     asked = good.where(is_query(F.col("vec_id")))
-    groups = asked.repartition(max(1, -(-asked.count() // GROUP))).mapInArrow(_pack_blocks(None, kind, k), _BLOCKS).withColumn("g", F.spark_partition_id())
+    groups = asked.repartition(max(1, -(-asked.count() // GROUP))).mapInArrow(_pack_blocks(None, kind, wide), _BLOCKS).withColumn("g", F.spark_partition_id())
     n_blocks, n_groups = max(1, -(-count // BLOCK)), max(1, -(-asked.count() // GROUP))
     # the stated queries against all rows, block by block: each block meets each group of queries once
     left = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
@@ -184,12 +189,14 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vecto
             packed = np.frombuffer(block["packed"], np.uint8).reshape(len(counts), -1)
             for group in b.to_pylist():
                 qi = np.frombuffer(group["ids"], np.int64)
-                for q, i, s in nearest(codec.value, ids, counts, vectors, packed, qi, np.frombuffer(group["vectors"], kind).reshape(len(qi), -1), k):
+                for q, i, s in nearest(codec.value, ids, counts, vectors, packed, qi, np.frombuffer(group["vectors"], kind).reshape(len(qi), -1), wide):
                     out.append((q, i.tolist(), s.tolist()))
         q, i, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_ids": pa.array(i, pa.list_(pa.int64())), "scores": pa.array(s, pa.list_(pa.float64()))})
 
     found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(trimmed(meet), "query_id long, vec_ids array<long>, scores array<double>")
     each = found.select("query_id", F.inline(F.arrays_zip("vec_ids", "scores"))).select("query_id", F.col("vec_ids").alias("vec_id"), F.col("scores").alias("score"))
+    if each_id > 1:
+        each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

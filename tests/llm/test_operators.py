@@ -258,6 +258,24 @@ def test_op7_long_conversations_come_in_parts(spark):
     assert "".join(r["rendered"] for r in out) == "".join(f"<|user|>\n{k}<|end|>\n" for k in range(n))
 
 
+def test_op8_repeated_rows_several_vectors_and_a_longer_one(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    other = (x[7] * 3).tolist()
+    df = spark.createDataFrame([*rows, *rows, (7, other), (20, (-x[20]).tolist()), (99, [1.0] * 9)], "vec_id long, embedding array<double>")
+    own = {k: [v] for k, v in enumerate(x)}
+    own[7], own[20] = [x[7], np.array(other)], [x[20], -x[20]]
+    want = {}
+    for q in (0, 20, 40):
+        best = sorted((-max(float(a @ b) for a in own[q] for b in own[i]), i) for i in own if i != q)
+        want[q] = [i for _, i in best[:20]]
+    got = {}
+    for r in ann.search(df, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == want
+
+
 def test_op8_recall_and_ties(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, size=(3000, 1))
