@@ -1,7 +1,9 @@
-"""Removal of byte strings of 50 bytes or more that an earlier document has, by longest-previous-factor arrays.
+"""Removal of byte strings of 50 bytes or more that an earlier document has.
 
-A byte goes if some 50-byte string over it also starts in a document with a smaller id. One suffix array of a corpus can't
-be built in one place, so the suffixes to be sorted are found first, exactly:
+A byte goes if some 50-byte string over it also starts in a document with a smaller id. Arrays of longest previous factors,
+by previous and next smaller positions in a suffix array, would tell how long each match is. They are replaced and not built: one suffix array of a
+corpus can't be built in one place, and to remove bytes only whether a match reaches 50 bytes matters. So equal 50-byte strings are
+grouped and the least document of each is taken, which gives the same bytes; the strings to be sorted are found first, exactly:
 
 1. Anchors. Of the 35 16-byte grams of a 50-byte window the one with the least hash is its anchor (the rightmost of equal
    ones), so equal windows have equal anchors at equal places. A run of windows with one anchor is a context.
@@ -9,7 +11,7 @@ be built in one place, so the suffixes to be sorted are found first, exactly:
    the anchor's bucket, and gets two bits for each: whether an earlier batch has this context, and whether the anchor also
    stands in other contexts. Contexts that an earlier document has whole are removed; anchors without other contexts are done.
 3. Only for anchors in several contexts the bytes of each distinct context are sent. A bucket sorts the windows' suffixes by prefix doubling
-   (8, 16, 32, then 50 bytes), ties by document; a suffix whose previous smaller document shares 50 bytes is removed.
+   (8, 16, 32, then 50 bytes); of equal windows all but those of the least document are removed.
 4. Each batch joins the removed windows into spans and cuts them.
 
 The batch exchange of the documents is one exchange in the plan, used three times. A batch sends a hash or context once
