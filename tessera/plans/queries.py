@@ -186,6 +186,14 @@ def hybrid(spark, d, pool: int = 75) -> DataFrame:
     return fusion.fuse(v, w).join(chunks.drop("embedding"), "chunk_id")
 
 
+def hybrid_all(spark, d, pool: int = 75) -> DataFrame:
+    """As hybrid(), with the keyword side over all documents."""
+    chunks = corpus(spark, d)
+    v = knn.search(chunks.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id"), _vector(spark, d, 5), pool)
+    w = bm25.search(bm25.postings(chunks), bm25.lengths(chunks), QUERY, pool)
+    return fusion.fuse(v, w).join(chunks, "chunk_id")
+
+
 def _hybrid_sql(pool: int = 75) -> str:
     inner = _bm25(_TOKENS).replace("FROM documents", "FROM docs")
     return f"""{_CORPUS}, docs AS (SELECT d.* FROM documents d WHERE doc_id IN (SELECT vec_id FROM embeddings)), {inner},
@@ -200,22 +208,22 @@ rows AS (SELECT * FROM fused JOIN corpus USING (chunk_id))"""
 
 
 @query(f"WITH {_hybrid_sql()} SELECT chunk_id, vec_rank, kw_rank, round(distance, 9) AS distance, round(rrf, 9) AS rrf, CAST(row_number() OVER (ORDER BY rrf DESC, vec_rank NULLS LAST, kw_rank NULLS LAST) AS INT) AS pos FROM rows")
-def rrf_fusion(spark, d):
+def rrf_fusion(spark, d, candidates=hybrid):
     order = Window.orderBy(*fusion.rrf_order())
-    return hybrid(spark, d).select("chunk_id", "vec_rank", "kw_rank", F.round("distance", 9).alias("distance"), F.round("rrf", 9).alias("rrf"), F.row_number().over(order).alias("pos"))
+    return candidates(spark, d).select("chunk_id", "vec_rank", "kw_rank", F.round("distance", 9).alias("distance"), F.round("rrf", 9).alias("rrf"), F.row_number().over(order).alias("pos"))
 
 
 @query(f"""WITH {_hybrid_sql()} SELECT chunk_id, display_name, source_file, page, round(rrf, 9) AS rrf FROM rows
 WHERE (regexp_matches(display_name, '^note_[0-9]*[.]md$') OR regexp_matches(source_file, '/note_[0-9]*[.]md$')) AND contains(source_file, 'src') AND page >= 0 AND page <= 6
   AND greatest(0, least(1, 1 - distance * distance / 2)) >= 0.05""")
-def hybrid_filtered(spark, d):
+def hybrid_filtered(spark, d, candidates=hybrid):
     keep = fusion.SearchFilter(file_glob="note_*.md", subdirectory="src", page_min=0, page_max=6, min_similarity=0.05)
-    return keep.apply(hybrid(spark, d)).select("chunk_id", "display_name", "source_file", "page", F.round("rrf", 9).alias("rrf"))
+    return keep.apply(candidates(spark, d)).select("chunk_id", "display_name", "source_file", "page", F.round("rrf", 9).alias("rrf"))
 
 
 @query(f"WITH {_hybrid_sql(20)} SELECT chunk_id, kw_rank, 1.0::DOUBLE AS vector_similarity FROM rows WHERE vec_rank IS NULL")
-def kw_only_similarity_one(spark, d):
-    rows = fusion.SearchFilter(min_similarity=0.999999).apply(hybrid(spark, d, 20)).where("vec_rank is null")
+def kw_only_similarity_one(spark, d, candidates=hybrid):
+    rows = fusion.SearchFilter(min_similarity=0.999999).apply(candidates(spark, d, 20)).where("vec_rank is null")
     return rows.select("chunk_id", "kw_rank", similarity(F.col("distance")).alias("vector_similarity"))
 
 
@@ -392,8 +400,8 @@ w AS (SELECT list_distinct(['the', 'tion', 'und', 'of', 'reat', 'e', 'de']) AS w
 r AS (SELECT rows.*, len(list_intersect((SELECT want FROM w), regexp_extract_all(lower(strip_accents(text)), '[\\pL\\pN\\p{{Co}}]+')))::DOUBLE / 7 + 0.1::DOUBLE / (1.0::DOUBLE + len(regexp_extract_all(lower(strip_accents(text)), '[\\pL\\pN\\p{{Co}}]+'))) AS s FROM rows)
 SELECT text, source_file, display_name, page, chunk_index, round(s, 4) AS rerank_score, round(greatest(0, least(1, 1 - distance * distance / 2)), 4) AS vector_similarity
 FROM r WHERE contains(source_file, 'src') ORDER BY s DESC, rrf DESC, vec_rank NULLS LAST, kw_rank NULLS LAST LIMIT 10""")
-def search_end_to_end(spark, d):
-    kept = fusion.SearchFilter(subdirectory="src").apply(hybrid(spark, d))
+def search_end_to_end(spark, d, candidates=hybrid):
+    kept = fusion.SearchFilter(subdirectory="src").apply(candidates(spark, d))
     return fusion.project_results(kept.withColumn("rerank_score", rerank.lexical_score(QUERY, F.col("text"))), 10)
 
 
@@ -465,3 +473,25 @@ def fused_batch(spark, d, asked_vectors: str, asked_items: str) -> DataFrame:
 def hybrid_batch_all(spark, d):
     """As hybrid_batch, of all vectors and all items."""
     return fused_batch(spark, d, "embedding is not null", "item_id is not null")
+
+
+def _over_all_documents(f: Callable[..., DataFrame]) -> None:
+    name = f"{f.__name__}_all"
+    QUERIES[name] = lambda spark, d: f(spark, d, hybrid_all)
+    SQL[name] = SQL[f.__name__].replace(" WHERE doc_id IN (SELECT vec_id FROM embeddings)", "")
+
+
+for _f in (rrf_fusion, hybrid_filtered, kw_only_similarity_one, search_end_to_end):
+    _over_all_documents(_f)
+
+
+@query(SQL["sanitize_names"].replace("substr(text, 1, 25)", "text"))
+def sanitize_names_whole(spark, d):
+    return table(spark, d, "documents").select(F.col("text").alias("name")).distinct().withColumn("project", T.project_name(F.col("name")))
+
+
+@query(SQL["page_text_choice"].replace("substr(html, 1, CAST(page_id % 90 AS INT))", "html"))
+def page_text_choice_whole(spark, d):
+    from tessera.sources.ocr import better_text
+
+    return table(spark, d, "pages").select("page_id", better_text(F.col("html"), F.col("url")).alias("text"))

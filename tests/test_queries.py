@@ -1,7 +1,7 @@
 import pytest
 
 from tessera.plans import queries
-from tests.oracle import compare, connection
+from tests.oracle import TABLES, compare, connection
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,22 @@ def test_the_whole_batch_asks_every_vector_and_item(spark, data):
     assert "item_id < 20" not in queries.SQL["hybrid_batch_all"] and "vec_id < 20" not in queries.SQL["hybrid_batch_all"]
 
 
+def test_keywords_find_documents_without_a_vector(spark, data, tmp_path):
+    for name in TABLES:
+        if name != "embeddings":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{data}/{name}.parquet")
+    spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id < 50").write.parquet(str(tmp_path / "embeddings.parquet"))
+    few = connection(str(tmp_path))
+    for name in ("rrf_fusion_all", "hybrid_filtered_all", "kw_only_similarity_one_all", "search_end_to_end_all"):
+        compare(queries.QUERIES[name](spark, str(tmp_path)), few, queries.SQL[name])
+    assert queries.QUERIES["rrf_fusion_all"](spark, str(tmp_path)).where("chunk_id >= 50").count() > 0
+
+
+def test_whole_texts_are_read(spark, data):
+    assert queries.QUERIES["sanitize_names_whole"](spark, data).where("length(name) > 25").count() > 0
+    assert queries.QUERIES["page_text_choice_whole"](spark, data).where("length(text) > 89").count() > 0
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
