@@ -118,6 +118,8 @@ def unplanes(b: bytes) -> np.ndarray:
 
 
 def bucket_of(h: np.ndarray, k: int) -> np.ndarray:
+    """The bucket, from 0 to k - 1, of 48-bit hashes; equal hashes have one bucket, and it grows with the hash."""
+    assert not len(h) or int(h.max()) < 1 << 48, "a hash of 48 bits"
     return (h >> U64(16)) * U64(k) >> U64(32)
 
 
@@ -259,7 +261,7 @@ def _by_window(k: int, batch: int, data: np.ndarray, off: np.ndarray, b: Batch,
     cut = np.cumsum([0, *uses])
     keep_row, keep_first = row[~later].astype(np.int32), first[~later].astype(np.int32)
     rows = []
-    for x, i, j in cuts(bucket_of(hashed[head], k)):
+    for x, i, j in cuts(bucket_of(hashed[head] >> U64(16), k)):
         bytes_ = text[start[head[i:j]][:, None] + np.arange(LENGTH)]
         rows.append((x, batch, ids[head[i:j]].astype(np.int64).tobytes(), np.full(j - i, LENGTH, np.int32).tobytes(), bytes_.tobytes(), uses[i:j].astype(np.int32).tobytes(), keep_row[cut[i] : cut[j]].tobytes(), keep_first[cut[i] : cut[j]].tobytes()))
     return rows, (row[later], first[later], first[later] + LENGTH)
