@@ -41,13 +41,37 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+#: Rows of a file of a small table.
+FILE_ROWS = 100_000
+
+
+def stage_table(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    at_most: a bound of its rows, if one is known; so few rows aren't spread over more files than they need.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if at_most is None else df.coalesce(max(8, at_most // FILE_ROWS))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a staged table whose last reader is done."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of a relation's size; a default where it has none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
