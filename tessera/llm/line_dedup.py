@@ -12,8 +12,8 @@ of longer lines, the last one's among their ends. Batches count their own places
 Documents are dealt by ranges of ids into batches; each batch sends its distinct unit hashes, packed, to their buckets and
 gets back which of them an earlier batch has. So a line in a third of all documents costs its bucket one entry a batch.
 
-Defined results: null text is empty; sentences under the least number of words stay; rows with one doc_id are ranked by text;
-a null doc_id ranks last; an empty table gives no rows.
+Defined results: null text is empty; sentences under the least number of words stay; rows with one doc_id are ranked by text
+(where they fill several batches, by its hash first); a null doc_id ranks last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, U64, byte_table, find_words, mix64, plan_bytes, powers, prefix_hash, span_hash, text_slices, trimmed
+from tessera.llm.common import LOWER, U64, byte_table, find_words, mix64, powers, prefix_hash, span_hash, text_slices, trimmed
 from tessera.llm.suffix_dedup import CODES, HASHES, Batch, answers, bucket_of, code, cuts, dealt, ddl, digest, joined, planes, table_of, unplanes
 
 SPACE = byte_table((0x20, 0x20), (0x09, 0x0D))
@@ -172,11 +172,10 @@ def _finish(docs: pa.Table, codes: pa.Table) -> pa.Table:
     return digest(b.table.drop_columns(["__id"]), each)
 
 
-def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans: starts and ends, in bytes, of the removed runs in turn."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows, k = dealt(slim, batch_bytes)
-    batches = max(2, plan_bytes(slim) // batch_bytes)
+    rows, k, batches = dealt(slim, batch_bytes)
     by_batch = rows.groupBy("batch")
     codes = by_batch.applyInArrow(trimmed(_send(k)), ddl(_COUNTED)).groupBy("bucket").applyInArrow(trimmed(_code(k, batches)), ddl(CODES))
     return by_batch.cogroup(codes.groupBy("batch")).applyInArrow(trimmed(_finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")

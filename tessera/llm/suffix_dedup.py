@@ -1,17 +1,19 @@
 """Removal of byte strings of 50 bytes or more that an earlier document has.
 
-A byte goes if some 50-byte string over it also starts in a document with a smaller id. Arrays of longest previous factors,
-by previous and next smaller positions in a suffix array, would tell how long each match is. They are replaced and not built: one suffix array of a
-corpus can't be built in one place, and to remove bytes only whether a match reaches 50 bytes matters. So equal 50-byte strings are
-grouped and the least document of each is taken, which gives the same bytes; the strings to be sorted are found first, exactly:
+A byte goes if some 50-byte string over it also starts in a document with a smaller id. That is told by longest-previous-factor
+arrays: in suffix order, the longest match of a suffix with an earlier document stands at the previous or the next position with
+a smaller document; where that match has 50 bytes, they go. One suffix array of a corpus can't be built in one place, so the
+strings that may match are brought together first, exactly, and arrays are built bucket by bucket:
 
 1. Anchors. Of the 35 16-byte grams of a 50-byte window the one with the least hash is its anchor (the rightmost of equal
    ones), so equal windows have equal anchors at equal places. A run of windows with one anchor is a context.
 2. Documents are dealt by ranges of ids into batches. Each batch sends its distinct (anchor, context) hashes, packed, to
-   the anchor's bucket, and gets two bits for each: whether an earlier batch has this context, and whether the anchor also
-   stands in other contexts. Contexts that an earlier document has whole are removed; anchors without other contexts are done.
-3. Only for anchors in several contexts the bytes of each distinct context are sent. A bucket sorts the windows' suffixes by prefix doubling
-   (8, 16, 32, then 50 bytes); of equal windows all but those of the least document are removed.
+   the anchor's bucket, and gets two bits for each: whether a batch of an earlier range has this context, and whether the anchor
+   also stands in other contexts. Contexts that an earlier document has whole are removed; they are told by two independent
+   hashes of 48 bits, which no two of n different contexts share but by a chance of n * n / 2 ** 97. Anchors without other contexts are done.
+3. Only for anchors in several contexts the bytes of each distinct context are sent. A bucket sorts the windows' suffixes by prefix
+   doubling (8, 16, 32, then 50 bytes), finds previous and next smaller documents, takes the lengths of the matches from the
+   ranks, and the longer one is the longest previous factor, counted up to 50 bytes.
 4. Each batch joins the removed windows into spans and cuts them.
 
 The batch exchange of the documents is one exchange in the plan, used three times. A batch sends a hash or context once
@@ -20,12 +22,13 @@ a passage's edges contexts differ from document to document; of an anchor with v
 buckets of their own, where those in the passage are one again and the others are spread.
 
 Defined results: null text is empty; texts under 50 bytes keep all; rows with one doc_id are one document and don't remove
-each other's bytes; a null doc_id is later than all others, and such rows don't remove each other's bytes.
+each other's bytes; a null doc_id is later than all others, and such rows don't remove each other's bytes. Ids are integers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +47,12 @@ LAST = np.iinfo(np.int64).max
 CONTEXTS = 100_000
 #: The same within one batch: such an anchor's contexts aren't sent, only that there are many.
 OWN_CONTEXTS = 1000
+#: A batch's number is its range of ids, and in the last SHIFT bits its part of the range.
+SHIFT = 20
+#: Least bytes of a batch, and input bytes per square byte of it: batches, like buckets, grow with the root of the input.
+BATCH_BYTES, GROWTH = 4 << 20, 256
+#: Sampled ids per batch and at most, for the bounds of ranges; ids that fill several batches which are dealt by hash, at most.
+SAMPLED, SAMPLE, SPLIT_IDS = 20, 4_000_000, 1000
 _INVERSE_BASE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -154,8 +163,9 @@ def _send_hashes(k: int):
     return run
 
 
-def code(table: pa.Table) -> pa.Table:
-    """A bucket's answers. Bit 0: an earlier batch has the context; bits 1 and 2: the anchor stands in other contexts too, in very many."""
+def code(table: pa.Table, shift: int = 0) -> pa.Table:
+    """A bucket's answers. Bit 0: a batch of an earlier range of ids has the context; bits 1 and 2: the anchor stands in other
+    contexts too, in very many. A batch's range is its number without the last ``shift`` bits."""
     table = table.sort_by("batch")
     batch = table.column("batch").to_numpy()
     hs = [unplanes(x.as_py()) for x in table.column("h")]
@@ -164,18 +174,24 @@ def code(table: pa.Table) -> pa.Table:
     del hs
     order = np.lexsort((c, h))  # stable, so the lowest batch comes first
     h, c = h[order], c[order]
+    ranges = np.repeat(batch >> shift, n)[order]
     anchor = np.concatenate([[True], h[1:] != h[:-1]])
     fresh = anchor | np.concatenate([[True], c[1:] != c[:-1]])
     start = np.flatnonzero(anchor)
     kinds = np.add.reduceat(fresh + (c == 0) * (CONTEXTS + 1), start)
     kinds = np.repeat(kinds, np.diff(np.append(start, len(h))))
     codes = np.empty(len(h), np.uint8)
-    codes[order] = (~fresh).astype(np.uint8) | (kinds > 1).astype(np.uint8) << 1 | (kinds > CONTEXTS).astype(np.uint8) << 2
+    later = ranges > ranges[np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))]
+    codes[order] = later.astype(np.uint8) | (kinds > 1).astype(np.uint8) << 1 | (kinds > CONTEXTS).astype(np.uint8) << 2
     cut = np.cumsum([0, *n])
     bucket = table.column("bucket")[0].as_py()
     return table_of(CODES, [(int(x), bucket, codes[i:j].tobytes()) for x, i, j in zip(batch, cut[:-1], cut[1:], strict=True)])
 
 
+def code_by_range(table: pa.Table) -> pa.Table:
+    return code(table, SHIFT)
+
+
 def answers(codes: pa.Table) -> np.ndarray:
     """A batch's answers, in the order of its hashes."""
     return np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in codes.sort_by("bucket").column("codes")]) if codes.num_rows else np.empty(0, np.uint8)
@@ -276,31 +292,60 @@ def _ranks(x: np.ndarray) -> np.ndarray:
     return rank
 
 
-def earlier_windows(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, place) of the windows whose 50 bytes a context of a smaller id has.
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """Of each place the nearest one before it with a smaller value, -1 if there is none; by jumps along what is known so far."""
+    at = np.arange(-1, len(x) - 1)
+    todo = np.flatnonzero(at >= 0)
+    while len(todo):
+        todo = todo[x[at[todo]] >= x[todo]]
+        at[todo] = at[at[todo]]
+        todo = todo[at[todo] >= 0]
+    return at
 
-    Suffix order by prefix doubling, cut at 50 bytes, ties by id. Of suffixes that share 50 bytes the previous smaller
-    id is then found at the tie's head; a next smaller one can't share 50 bytes.
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For the suffixes at some starts, how long the longest match with a suffix of a smaller owner is, counted up to LENGTH bytes.
+
+    Suffix order by prefix doubling, cut at LENGTH bytes. The best match with a smaller owner stands at the previous or at the
+    next smaller position in suffix order; how long each is, is told by the ranks of 32, 16 and 8 bytes and the last eight bytes.
     """
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(len(data), np.uint64)
+    eight = np.zeros(len(data), np.uint64)
     for j in range(8):
-        key = key << U64(8) | padded[j : j + len(data)]
-    rank = _ranks(key)  # by 8 bytes
+        eight = eight << U64(8) | padded[j : j + len(data)]
+    ranks = {8: _ranks(eight)}
     for step in (8, 16):
-        rank = _ranks(rank << U64(32) | np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.uint64)]))
+        rank = ranks[step]
+        ranks[2 * step] = _ranks(rank << U64(32) | np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.uint64)]))
+    suffix = np.lexsort((ranks[32][starts + LENGTH - 32], ranks[32][starts]))
+    place, own = starts[suffix], owner[suffix]
+    best = np.zeros(len(suffix), np.int64)
+    back = len(suffix) - 1 - previous_smaller(own[::-1])[::-1]  # the next smaller position, or the length
+    for other in (previous_smaller(own), np.where(back < len(suffix), back, -1)):
+        at = np.flatnonzero(other >= 0)
+        p, q = place[at], place[other[at]]
+        whole = (ranks[32][p] == ranks[32][q]) & (ranks[32][p + LENGTH - 32] == ranks[32][q + LENGTH - 32])
+        length = np.where(whole, LENGTH, 0)
+        rest = np.flatnonzero(~whole)
+        p, q = p[rest], q[rest]
+        for step in (32, 16, 8):
+            same = ranks[step][np.minimum(p, len(data) - 1)] == ranks[step][np.minimum(q, len(data) - 1)]
+            p, q = p + step * same, q + step * same
+        differ = eight[np.minimum(p, len(data) - 1)] ^ eight[np.minimum(q, len(data) - 1)]
+        bytes_ = sum(((differ >> U64(56 - 8 * j)) == 0).astype(np.int64) for j in range(8))
+        length[rest] = np.minimum(p + bytes_ - place[at][rest], LENGTH - 1)
+        best[at] = np.maximum(best[at], length)
+    out = np.empty(len(suffix), np.int64)
+    out[suffix] = best
+    return out
+
+
+def earlier_windows(data: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, place) of the windows whose LENGTH bytes a context of a smaller id has: those of a longest previous match so long."""
     n = lengths - LENGTH + 1
     context = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(context)) - np.repeat(np.cumsum(n) - n, n)
-    at = place + np.repeat(np.cumsum(lengths) - lengths, n)
-    rank = rank[at] << U64(32) | rank[at + LENGTH - 32]
-    owner = ids[context]
-    suffix = np.lexsort((owner, rank))
-    rank, owner = rank[suffix], owner[suffix]
-    head = np.concatenate([[True], rank[1:] != rank[:-1]])
-    least = owner[np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))]
-    found = suffix[least < owner]
-    found.sort()
+    found = np.flatnonzero(longest_previous(data, place + np.repeat(np.cumsum(lengths) - lengths, n), ids[context]) >= LENGTH)
     return context[found], place[found]
 
 
@@ -361,46 +406,64 @@ def digest(docs: pa.Table, each) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "spans": pa.array(at, pa.list_(pa.int64()))})
 
 
-def dealt(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
-    """docs (doc_id, text, ...) with a batch by ranges of doc_id, null last, and the number of buckets."""
+def dealt(docs: DataFrame, batch_bytes: int | None = None) -> tuple[DataFrame, int, int]:
+    """docs (doc_id, text, ...) with a batch, the number of buckets and that of batches.
+
+    Batches are ranges of doc_id, null last. An id that fills several batches has a range of its own, of which each batch
+    has a part by the text's hash; so have null ids.
+    """
     size = plan_bytes(docs.select("doc_id", "text"))
+    batch_bytes = batch_bytes or max(BATCH_BYTES, math.isqrt(size * GROWTH))
     parts = max(2, size // batch_bytes)
-    ids = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf")))
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    cut = rows.where("doc_id is not null").select(F.percentile_approx(ids, [x / parts for x in range(1, parts)], 20 * parts)).first()[0] or [0.0]
-    rows = Bucketizer(splits=[float("-inf"), *sorted(set(cut)), float("inf")], inputCol="__order", outputCol="__batch").transform(rows.withColumn("__order", ids))
-    return rows.withColumn("batch", F.col("__batch").cast("long")).drop("__order", "__batch"), max(256, 2 * size // batch_bytes)
-
-
-def _plan(docs: DataFrame, batch_bytes: int, finish, schema: str) -> DataFrame:
-    rows, k = dealt(docs, batch_bytes)
+    count, named = rows.agg(F.count("*"), F.count("doc_id")).first()
+    share = min(1.0, min(SAMPLE, max(100_000, SAMPLED * parts)) / max(1, named))
+    known = rows.where("doc_id is not null").select("doc_id")
+    sample = np.sort((known if share == 1 else known.sample(share, 7)).toArrow().column(0).to_numpy())
+    cut, times = np.unique(sample[np.arange(1, parts) * len(sample) // parts], return_counts=True) if len(sample) else (np.zeros(1, np.int64), np.ones(1, np.int64))
+    many = cut[times > 1][np.argsort(-times[times > 1], kind="stable")][:SPLIT_IDS]
+    split = {int(c): int(t) for c, t in zip(cut, times, strict=True) if c in many}
+    bounds = np.unique(np.concatenate([cut, many + 1]).astype(np.float64))
+    ranged = Bucketizer(splits=[float("-inf"), *bounds.tolist(), float("inf")], inputCol="__order", outputCol="__range").transform(rows.withColumn("__order", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf")))))
+    nulls = max(1, -(-parts * (count - named) // max(1, count)))
+    pieces = F.when(F.col("doc_id").isNull(), F.lit(nulls))
+    if split:
+        pieces = pieces.otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in split.items() for x in p]), F.col("doc_id")), F.lit(1)))
+    own = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.col("__range")).cast("long")
+    batch = F.shiftleft(own, SHIFT) + F.coalesce(F.pmod(F.xxhash64("text"), pieces.cast("long")), F.lit(0))
+    return ranged.withColumn("batch", batch).drop("__order", "__range"), max(256, 2 * size // batch_bytes), parts
+
+
+def _plan(docs: DataFrame, batch_bytes: int | None, finish, schema: str) -> DataFrame:
+    rows, k, _ = dealt(docs, batch_bytes)
     by_batch = rows.groupBy("batch")
     hashes = by_batch.applyInArrow(trimmed(_send_hashes(k)), ddl(HASHES))
-    codes = hashes.groupBy("bucket").applyInArrow(trimmed(code), ddl(CODES))
+    codes = hashes.groupBy("bucket").applyInArrow(trimmed(code_by_range), ddl(CODES))
     parts = by_batch.cogroup(codes.groupBy("batch")).applyInArrow(trimmed(_send_contexts(k)), ddl(_PARTS))
     spans = parts.groupBy("bucket").applyInArrow(trimmed(_settle), ddl(_SPANS))
     return by_batch.cogroup(spans.groupBy("batch")).applyInArrow(trimmed(_cut(finish)), schema)
 
 
-def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans: starts and ends of the removed runs in turn."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return _plan(slim, batch_bytes, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
-def cut_documents(docs: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
+def cut_documents(docs: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """docs with the text that is left, and its length in n_chars; a text that loses all goes. Halves of a character at a cut go too."""
-    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
 
     def finish(table: pa.Table, each) -> pa.Table:
-        texts, keep = [], []
+        texts, keep, changed = [], [], []
         for (data, spans), old in zip(each, table.column("text"), strict=True):
             new = kept(data, spans).decode("utf-8", "ignore") if spans else old.as_py()
             texts.append(new)
             keep.append(not spans or bool(new.strip()))
-        return pa.table({"row": table.column("row"), "left": pa.array(texts, pa.string())}).filter(pa.array(keep, pa.bool_()))
+            changed.append(bool(spans))
+        return pa.table({"row": table.column("row"), "left": pa.array(texts, pa.string()), "changed": pa.array(changed, pa.bool_())}).filter(pa.array(keep, pa.bool_()))
 
-    cut = _plan(rows, batch_bytes, finish, f"row {rows.schema['row'].dataType.simpleString()}, left string")
-    changed = ~F.col("left").eqNullSafe(F.col("row.text"))
-    new = {"text": F.col("left"), "n_chars": F.when(changed, F.length("left")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    cut = _plan(rows, batch_bytes, finish, f"row {rows.schema['row'].dataType.simpleString()}, left string, changed boolean")
+    new = {"text": F.col("left"), "n_chars": F.when(F.col("changed"), F.length("left")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return cut.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

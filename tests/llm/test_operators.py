@@ -159,6 +159,56 @@ def test_op3_cut_documents(docs, rows):
     assert sum((d, brute.sha((t or "").encode())) in shas for d, t in got) >= len(got) - 6  # but for halves of characters
 
 
+def test_op3_longest_previous_factors():
+    rng = random.Random(15)
+    assert suffix_dedup.previous_smaller(np.array([], np.int64)).tolist() == []
+    for _ in range(60):
+        x = np.array([rng.randrange(rng.choice([2, 9, 50])) for _ in range(rng.randint(1, 60))])
+        want = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(len(x))]
+        assert suffix_dedup.previous_smaller(x).tolist() == want
+        n, near = suffix_dedup.LENGTH, rng.choice(["ab", "aab", "abcdefgh"])
+        texts = ["".join(rng.choice(near) for _ in range(n + rng.randint(0, 30))) for _ in range(rng.randint(1, 5))]
+        texts += [t[3 : 3 + n - rng.randint(0, 2)] + "".join(rng.choice(near) for _ in range(n)) for t in texts if len(t) > n + 3]
+        owner = [rng.randrange(4) for _ in texts]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        begin = np.cumsum([0, *map(len, texts)])
+        starts = [(int(b) + k, o) for b, t, o in zip(begin, texts, owner) for k in range(len(t) - n + 1)]
+        raw = data.tobytes()
+
+        def common(p, q):
+            return next((k for k in range(n) if raw[p + k] != raw[q + k]), n)
+
+        want = [max((common(p, q) for q, o in starts if o < own), default=0) for p, own in starts]
+        got = suffix_dedup.longest_previous(data, np.array([p for p, _ in starts]), np.array([o for _, o in starts]))
+        assert got.tolist() == want
+
+
+def test_op3_ids_that_fill_several_batches(spark, tmp_path_factory):
+    """A third of null ids and a third of one id: several batches, which don't remove each other's bytes."""
+    rng = random.Random(16)
+    passages = [prose(rng, 12) for _ in range(4)]
+    rows = [(rng.choice([None, 5, rng.randrange(40)]), prose(rng, rng.randint(0, 40)) + rng.choice(["", *passages]) + prose(rng, 5)) for _ in range(150)]
+    df = stored(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path_factory)
+    batches = suffix_dedup.dealt(df, 1500)[0].groupBy("doc_id").agg(F.countDistinct("batch").alias("n"))
+    many = {r["doc_id"]: r["n"] for r in batches.collect()}
+    assert many[None] > 2 and many[5] > 2 and max(n for d, n in many.items() if d not in (None, 5)) <= 2
+    same(suffix_dedup.removed_spans(df, batch_bytes=1500), brute.suffix_spans(rows), DIGEST)
+
+
+def test_op3_a_batch_sends_a_row_a_bucket_at_most():
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    passage, k = prose(rng, 80), 8
+    rows = [(i, prose(rng, 30) + (passage if i % 3 else "") + prose(rng, 30)) for i in range(120)]
+    table = pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": [t for _, t in rows], "batch": pa.array([0] * len(rows), pa.int64())})
+    b = suffix_dedup.Batch(table)
+    b.scan()
+    codes = pa.table({"batch": [0], "bucket": [0], "codes": [bytes([6]) * int(b.sent.sum())]})
+    sent = suffix_dedup._send_contexts(k)(table, codes)
+    assert sent.num_rows <= 2 * k + 1 and all(x < k for x in sent.column("bucket").to_pylist())
+
+
 def test_op4_counts_as_the_library(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
