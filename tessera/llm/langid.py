@@ -5,14 +5,18 @@ whose dictionary gives the fewest bytes wins. Before that, letters are lower-cas
 the text is cut into pieces, so that a long text keeps leaning on the dictionary instead of on its own beginning. A short
 text alone would hardly compress; it is measured by what it adds to each of a few samples of the language instead.
 
+Letters are what Unicode has as letters: digits, numerals and marks in circles are none.
+
 Defined results: a null text and one without a letter give ``und`` with score 0 and are rejected; equal sizes go to the
-language whose name sorts first and are rejected; with no training rows every text is ``und``. Repeated rows give repeated
-results. Whole texts are used.
+language whose name sorts first and are rejected; with no training rows every text is ``und``; a language with training text of any
+length is among the answers. Repeated rows give repeated results and count again in the fit. Whole texts are used, also in the fit: of
+the texts sampled for it, runs of words at places chosen by hash.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,41 +26,80 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fold_is_train
 
 UND = "und"
-#: Per language: bytes of dictionary, and of each training text, and so texts read at most. A documented bound of the fit.
-DICT_BYTES, TEXT_BYTES, TEXTS = 112 << 10, 512, 600
+#: Per language: bytes of dictionary, and texts read at most. A documented bound of the fit.
+DICT_BYTES, TEXTS = 112 << 10, 600
 LEVEL, PIECE = 6, 2048
 #: Texts under so many bytes are measured behind samples of so many bytes each.
 SHORT, SAMPLE_BYTES, SAMPLES = 400, 600, 8
+#: All that is kept of a language, and bytes of a run of words.
+ROOM, RUN = SAMPLES * SAMPLE_BYTES + DICT_BYTES, 256
 #: Smallest share by which the best size must undercut the second.
 MARGIN = 0.005
+#: What is no letter, but for numerals and numbers, which \W and \d leave and normalised() takes out.
 _REST = re.compile(r"[\W\d_]+")
 
 
 def normalised(text: str) -> bytes:
-    return _REST.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    low = text.lower()
+    if not low.isascii():
+        # characters of words that str.isalpha() denies: numerals such as those in circles
+        odd = {c for c in set(low) if not c.isalpha() and not c.isspace()}
+        low = low.translate({ord(c): " " for c in odd})
+    return _REST.sub(" ", low).strip().encode("utf-8", "replace")
+
+
+def excerpts(texts: list[str], room: int) -> bytes:
+    """About ``room`` bytes of some texts, each giving an equal share: the whole if it is short, else runs of words that begin at places chosen by hash."""
+    plain = [normalised(t) for t in texts]
+    left, out = max(0, room - len(texts)), []  # spaces between them
+    for rank, i in enumerate(sorted(range(len(plain)), key=lambda i: (len(plain[i]), plain[i]))):
+        share, x = left // (len(plain) - rank), plain[i]
+        if len(x) > share:
+            runs = max(1, share // RUN)
+            size = (share - runs + 1) // runs
+            cells = [(len(x) * k // runs, len(x) * (k + 1) // runs) for k in range(runs)]
+            begin = [a + zlib.crc32(x[a:b]) % max(1, b - a - size) for a, b in cells]
+            # from the next word on
+            x = b" ".join(x[(a if not a else x.find(b" ", a) + 1 or a) :][:size] for a in begin)
+        out.append((i, x))
+        left -= min(len(x), left)
+    return b" ".join(x for _, x in sorted(out) if x)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
-    """Text of each non-null lang, from a sample of at most TEXTS training rows of it chosen by hash: short samples, then the dictionary."""
-    rows = docs.where(fold_is_train(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.substring(text, 1, TEXT_BYTES)).alias("h"), F.substring(text, 1, TEXT_BYTES).alias("text"))
+    """Text of each non-null lang, from at most TEXTS training rows of it chosen by hash: short samples, then the dictionary.
+
+    Excerpts are taken where the rows are, so that only bytes of samples and dictionaries come to the driver.
+    """
+    rows = docs.where(fold_is_train(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"), F.col(text).alias("text"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return {}
     # a hash threshold first, so that the ranking below sees a few thousand rows of a language at any size of corpus
     bound = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 3.0 * TEXTS / n) * (1 << 30)))]), F.col("lang"))
     near = rows.where(F.pmod("h", F.lit(1 << 30)) < bound)
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= TEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # twice the share of a text, since some are short
+            cut = [excerpts([t], 2 * ROOM // min(TEXTS, counts[k])) for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.binary())], ["lang", "h", "text"])
+
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    best = near.mapInArrow(run, "lang string, h long, text binary").withColumn("n", F.row_number().over(order)).where(F.col("n") <= TEXTS)
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in best.select("lang", "n", "text").collect():
-        parts.setdefault(r["lang"], []).append((r["n"], normalised(r["text"])))
-    return {k: b" ".join(x for _, x in sorted(v))[: SAMPLES * SAMPLE_BYTES + DICT_BYTES] for k, v in sorted(parts.items())}
+        parts.setdefault(r["lang"], []).append((r["n"], bytes(r["text"])))
+    return {k: excerpts([x.decode("utf-8", "ignore") for _, x in sorted(v)], ROOM) for k, v in sorted(parts.items())}
 
 
 class Classifier:
     def __init__(self, model: dict[str, bytes]):
         import zstandard
 
-        self.langs = sorted(k for k, v in model.items() if len(v) >= 8)
+        # a raw dictionary needs eight bytes: the little there is, again
+        model = {k: v if len(v) >= 8 else (v + b" ") * (8 // (len(v) + 1) + 1) for k, v in model.items() if v}
+        self.langs = sorted(model)
         # of little text half is for samples
         width = {k: min(SAMPLE_BYTES, len(model[k]) // (2 * SAMPLES)) for k in self.langs}
         self.samples = [[model[k][a * width[k] : (a + 1) * width[k]] for a in range(SAMPLES)] for k in self.langs]

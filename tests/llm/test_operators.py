@@ -243,6 +243,65 @@ def test_op5_languages(spark, data):
     assert langid.classify(docs, langid.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_classifier(model):
+    """A second writing of the classification by a fitted sample: (language, score, accepted) of a text."""
+    import zstandard
+
+    langs = sorted(model)
+
+    def size(lang, piece):
+        d = zstandard.ZstdCompressionDict(model[lang][langid.SAMPLES * langid.SAMPLE_BYTES :], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(piece))
+
+    def classify(text):
+        plain = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()).encode()
+        if not plain:
+            return "und", 0.0, False
+        if len(plain) < langid.SHORT:
+            cuts = {k: [model[k][a : a + langid.SAMPLE_BYTES] for a in range(0, langid.SAMPLES * langid.SAMPLE_BYTES, langid.SAMPLE_BYTES)] for k in langs}
+            sizes = [max(1, sum(size(k, x + b" " + plain) - size(k, x) for x in cuts[k])) for k in langs]
+        else:
+            sizes = [sum(size(k, plain[a : a + langid.PIECE]) for a in range(0, len(plain), langid.PIECE)) for k in langs]
+        ranked = sorted(zip(sizes, langs))
+        margin = (ranked[1][0] - ranked[0][0]) / ranked[1][0]
+        return ranked[0][1], min(1.0, 0.5 + 5 * margin), margin > langid.MARGIN
+
+    return classify
+
+
+def test_op5_against_a_second_writing(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit(docs)
+    assert all(len(v) <= langid.ROOM for v in model.values())
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    classify = plain_classifier(model)
+    picked = sorted(texts, key=lambda d: (len(texts[d] or ""), d))
+    picked = picked[:10] + picked[-2:] + picked[len(picked) // 2 :][:8]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["accepted"]) for r in langid.classify(docs, model).collect()}
+    for d in picked:
+        assert got[d] == classify(texts[d]), d
+    kept = {r["doc_id"] for r in langid.keep_identified(docs, model).collect()}
+    assert kept == {d for d, x in got.items() if x[2]}
+
+
+def test_op5_letters_ties_long_texts_and_repeated_rows(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the thing of that and the other one " * 8, "en"), ("la cosa de que los otros y las unas " * 8, "es")] * 9)]
+    odd = [(100, "½ ²", None), (101, "Ⅷ", None), (102, "①② 12", None), (103, "the thing ① of that", None), (104, "la cosa de los otros " * 60_000, None), (104, "la cosa de los otros " * 60_000, None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    out = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.classify(docs, model).where("doc_id >= 100").orderBy("doc_id").collect()]
+    assert [o[1] for o in out] == ["und", "und", "und", "en", "es", "es"] and out[4] == out[5] and all(o[2] == 0 for o in out[:3])
+    tie = langid.Classifier({"b": b"one two three four five", "a": b"one two three four five"})("one two three")
+    assert tie == ("a", 0.5, False)
+    assert langid.Classifier({"x": b"ab", "y": b"some more words here"})("ab ab")[0] in ("x", "y")
+
+
+def test_op5_the_fit_reads_whole_texts():
+    text = " ".join(["opening"] * 2000 + ["middle"] * 2000 + ["ending"] * 2000)
+    assert all(w in langid.excerpts([text], 2048) for w in (b"opening", b"middle", b"ending"))
+    assert len(langid.excerpts([text, "short", text], 4096)) <= 4096 + 8 and b"short" in langid.excerpts([text, "short", text], 4096)
+
+
 def water_fill(sizes, weights=(5, 2, 1), most=3):
     """Shares by weight; what is over the cap is shared again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
