@@ -6,12 +6,14 @@ in toxic documents than in others are weak entries. Its trie is walked together
 pairs, made when first met and kept; a word that leaves all of them is given up at once. So a misspelled word (one edit
 from five letters, two from nine) is found by one walk, whatever the lexicon's size; a beginning must match exactly.
 
-Each hit is then judged in a window of words around it: within quotation marks it is a quotation, else abuse, and other
-hits near by strengthen it. A logistic model of these sums gives the score; its weights are fitted to training labels, drawn
+Each hit is then judged in its context: between the marks of a quotation on its line it is quoted, else abuse, and other
+hits in a window of words around it strengthen it. Marks count in pairs over the whole line, opening and closing kinds apart; an
+apostrophe within or at the end of a word is none, and a mark without its other half quotes nothing. A logistic model of these sums gives the score; its weights are fitted to training labels, drawn
 to plausible values where the labels say nothing.
 
 Defined results: a null or empty text has no hits and the score of such texts; without training labels the lexicon is
-empty and every score is low; repeated rows repeat their result; whole texts are read.
+empty and every score is low; repeated rows repeat their result, and copies of a document are one in the fit; equal evidence gives
+equal scores; whole texts are read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from tessera.llm.common import fold_is_train
 
 WORD = re.compile(r"[^\W_]+")
 #: Bounds of the fit: about so many labelled training documents of the rarer label, and entries of each kind in the lexicon.
-SAMPLE, ENTRIES = 6000, 400
+SAMPLE, ENTRIES = 6000, 5000
 #: The others come at the same rate, as shares and scores are those of the labels; about so many times SAMPLE documents in all.
 MOST = 20
 #: Least and most letters of a beginning; toxic documents that an entry needs, and how unlikely so many would be by chance.
@@ -38,7 +40,11 @@ BEGINNING, LONGEST, LEAST, CHANCE = 4, 9, 4, 1e-6
 #: Share of a strong entry's documents that are toxic, and of a weak beginning's occurrences that are in toxic documents.
 PRECISION, WEAK = 0.98, 0.7
 WINDOW = 12
-MARKS = "\"'«»“”„‘’‹›"
+#: Closing marks of each opening one; the straight ones open and close.
+CLOSING = {'"': '"', "'": "'", "“": "”", "„": "“”", "”": "”", "‘": "’", "‚": "‘’", "«": "»", "»": "«", "‹": "›", "›": "‹"}
+MARK = re.compile("[" + "".join(CLOSING) + "’]")
+#: States of the automata that a worker keeps.
+STATES = 100_000
 FEATURES = ("abuse", "misspelled", "quoted", "density", "near", "weak", "weak_density")
 PRIOR = np.array([-3.0, 3.0, 1.5, 0.5, 1.0, 1.0, 0.5, 0.5])
 #: What a weak beginning counts as among the edits of a hit.
@@ -72,6 +78,11 @@ class Automaton:
                 else:
                     self.begin[node] = found
         self.letters = {ch for c in self.child for ch in c}
+        self.kept: dict[str, int | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No states but the first; they are made again when met."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -79,7 +90,6 @@ class Automaton:
         self.done: list[int | None] = []
         self.dead = self._state(frozenset())
         self.start = self._state(self._closed({(0, 0)}))
-        self.kept: dict[str, int | None] = {}
 
     def _closed(self, pairs: set[tuple[int, int]]) -> frozenset:
         """With letters of entries left out, and without pairs that another of the same node betters."""
@@ -134,10 +144,31 @@ class Automaton:
         if word not in self.kept:
             if len(self.kept) >= 200_000:
                 self.kept.clear()
+            if len(self.sets) >= STATES:
+                self._forget()
             self.kept[word] = self.walk(word)
         return self.kept[word]
 
 
+def quotations(line: str) -> list[tuple[int, int]]:
+    """Places between the marks of each quotation of a line, inner ones too."""
+    open_: list[tuple[str, int]] = []
+    out = []
+    for m in MARK.finditer(line):
+        mark, at = m.group(), m.start()
+        before, after = line[at - 1 : at], line[at + 1 : at + 2]
+        if mark in "'’" and before.isalnum() and after.isalnum():
+            continue  # don't
+        close = next((k for k in range(len(open_) - 1, -1, -1) if mark in CLOSING[open_[k][0]]), None)
+        # a straight mark closes only after something other than white space, or else opens
+        if close is not None and not (mark in "\"'" and before.isspace() and after.isalnum()):
+            out.append((open_[close][1] + 1, at))
+            del open_[close:]
+        elif mark in CLOSING and not (mark == "'" and before.isalnum()):
+            open_.append((mark, at))
+    return out
+
+
 def features(automaton: Automaton, text: str | None) -> list[float]:
     low = (text or "").lower()
     words = WORD.findall(low)
@@ -145,23 +176,26 @@ def features(automaton: Automaton, text: str | None) -> list[float]:
     hits = [(i, e) for i, w in enumerate(words) if (e := kept[w] if w in kept else find(w)) is not None]
     if not hits:
         return [0.0] * len(FEATURES)
-    spans = [m.span() for m in WORD.finditer(low)]
     weak = sum(e == FAINT for _, e in hits)
     hits = [(i, e) for i, e in hits if e != FAINT]
+    spans = [m.span() for m in WORD.finditer(low)] if hits else []
     places = [i for i, _ in hits]
     abuse = misspelled = quoted = near = 0.0
+    line, end, said = 0, -1, []
     for i, e in hits:
-        a, b = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-        before, after = low[spans[a][0] : spans[i][0]], low[spans[i][1] : spans[b - 1][1] + 2]
-        # inside a quotation: an odd number of marks before it on its line, and one after it
-        before, after = before.rpartition("\n")[2], after.partition("\n")[0]
-        if sum(before.count(m) for m in MARKS) % 2 and any(m in after for m in MARKS):
+        begin = spans[i][0]
+        if begin > end:
+            line = low.rfind("\n", 0, begin) + 1
+            end = low.find("\n", begin)
+            end = len(low) if end < 0 else end
+            said = quotations(low[line:end])
+        if any(a <= begin - line < b for a, b in said):
             quoted += 1
         elif e:
             misspelled += 1
         else:
             abuse += 1
-        near += bisect_left(places, b) - bisect_left(places, a) > 1
+        near += bisect_left(places, i + WINDOW + 1) - bisect_left(places, i - WINDOW) > 1
     return [math.log1p(abuse), math.log1p(misspelled), math.log1p(quoted), math.log1p(100 * (abuse + misspelled) / len(words)), math.log1p(near), math.log1p(weak), math.log1p(100 * weak / len(words))]
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -459,6 +461,67 @@ def test_op9_quotations_and_scores(spark):
     assert toxicity.score(docs, empty).where("predicted = 1").count() == 0
 
 
+def plain_features(words, text):
+    """A second writing: edit distances to whole words, and marks told one by one."""
+    low = (text or "").lower()
+    found = [(m.group(), m.start()) for m in re.finditer(r"[^\W_]+", low)]
+    limit = {w: 2 if len(w) >= 9 else 1 if len(w) >= 5 else 0 for w in words}
+    hits = [(i, at, min(d)) for i, (w, at) in enumerate(found) if (d := [n for x in words if (n := edits(w, x)) <= limit[x]])]
+    abuse = wrong = quoted = near = 0
+    for i, at, e in hits:
+        a = low.rfind("\n", 0, at) + 1
+        line = low[a:].split("\n")[0]
+        left, right = line[: at - a], line[at - a :]
+        inside = left.count('"') % 2 == 1 and '"' in right or left.count("“") > left.count("”") and "”" in right or left.count("«") > left.count("»") and "»" in right
+        quoted += inside
+        wrong += not inside and e > 0
+        abuse += not inside and e == 0
+        near += any(j != i and abs(j - i) <= toxicity.WINDOW for j, _, _ in hits)
+    log = math.log1p
+    return [log(abuse), log(wrong), log(quoted), log(100 * (abuse + wrong) / max(1, len(found))), log(near), 0.0, 0.0]
+
+
+def test_op9_against_a_second_writing(spark):
+    rng = random.Random(19)
+    words = ["clown", "scum", "worthless", "disgusting"]
+    odd = [*words, "clownn", "c1own", "worthles", "wrthless", "disgustin", "the", "don't", "it's", "a", "and"]
+    texts = []
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randint(0, 14)):
+            run = " ".join(rng.choice(odd) for _ in range(rng.randint(1, 6)))
+            parts.append(rng.choice(["{}", "{}", "{}", '"{}"', "“{}”", "«{}»", "{}\n", "{},"]).format(run))
+        texts.append(" ".join(parts))
+    texts += [None, "", "the " * 20_000 + "you clown", "the " * 20_000 + "you clown", "\n" * 50 + "scum"]
+    weights = [-2.0, 2.0, 1.0, -0.5, 0.7, 0.3, 0.2, 0.1]
+    docs = spark.createDataFrame([(k, t, 1.0, 2) for k, t in enumerate(texts)], "doc_id long, text string, score double, quoted int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, (words, [], [], weights)).collect()}
+    for k, t in enumerate(texts):
+        f = plain_features(words, t)
+        p = 1 / (1 + math.exp(-(weights[0] + sum(w * x for w, x in zip(weights[1:], f)))))
+        assert abs(got[k]["score"] - p) < 1e-9 and got[k]["predicted"] == int(p >= 0.7), (k, t)
+
+
+def test_op9_marks_of_quotations():
+    automaton = toxicity.Automaton(["clown"], [])
+    quoted = lambda t: dict(zip(toxicity.FEATURES, toxicity.features(automaton, t)))["quoted"] > 0
+    for t in ("I don't like you clown, and it's over.", '"Go," she said. You clown, "go".', 'You "clown', 'the boys\' clown and the girls\' hat', '"a\nclown"', "rock 'n roll, clown, isn't it", "“go” clown “go”", 'clown "'):
+        assert not quoted(t), t
+    for t in ('He said "you clown" to me.', "he said 'you clown' to me", "she said ‘you clown’ then", "»du clown« und", "„du clown“ und", "« le clown » et", '"It\'s a clown," he said', '"Go," she said. "You clown."'):
+        assert quoted(t), t
+
+
+def test_op9_states_are_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 50)
+    rng = random.Random(20)
+    words = ["worthless", "disgusting", "miserable"]
+    automaton, free = toxicity.Automaton(words, []), toxicity.Automaton(words, [])
+    for _ in range(2000):
+        w = "".join(rng.choice("worthlesdigunmab") for _ in range(rng.randint(5, 11))) if rng.random() < 0.5 else rng.choice(words)[rng.randint(0, 2) :]
+        assert automaton.find(w) == free.walk(w)
+        assert len(automaton.sets) < 50 + 12
+
+
 def test_op9_sampling_keeps_the_share_of_toxic_documents(spark, monkeypatch):
     rng = random.Random(11)
     rows = []
