@@ -9,7 +9,8 @@ and the best of all blocks are each query's result.
 Defined results: vectors that are null, empty, zero, of another length than the commonest (of equally common ones the longest), or hold null or
 non-finite components take no part; repeated rows are one; an id with several vectors is one query and one candidate, by the best
 score of any of them; ties go to the smaller id; a query with fewer candidates than k gets all; a row is never
-the candidate of a query of its own id; an empty table gives no rows.
+the candidate of a query of its own id; rows without an id take no part; a product that overflows counts as infinite, and one whose
+parts overflow both ways, which is no number, ranks after all others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,15 +98,18 @@ class Codec:
         return out
 
 
-def nearest(codec: Codec, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, packed: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, exact products) of a block's k best for each query. ids: of each distinct vector in turn, ascending."""
+def nearest(codec: Codec, scale: float, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, packed: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, ids, exact products) of a block's k best for each query. ids: of each distinct vector in turn, ascending.
+
+    scale: a power of two that brings vectors near 1, as the codes have them; scores are products of the vectors as they are.
+    """
     width = min(len(vectors), max(WIDTH * k, 64))
     first = np.cumsum(counts) - counts
     for a in range(0, len(queries), 128):
         q, own = queries[a : a + 128], query_ids[a : a + 128]
-        approx = codec.scores(q, packed)
+        approx = codec.scores(q.astype(np.float64) * scale, packed)
         best = np.argpartition(-approx, width - 1, axis=1)[:, :width] if width < len(vectors) else np.broadcast_to(np.arange(width), approx.shape)
-        exact = (vectors[best].astype(np.float64) * q[:, None, :].astype(np.float64)).sum(2)
+        exact = ((vectors[best].astype(np.float64) * scale) * (q[:, None, :].astype(np.float64) * scale)).sum(2)
         error = exact - np.take_along_axis(approx, best, 1)
         kth = np.partition(exact, max(0, width - k), axis=1)[:, max(0, width - k)]
         # all that the error seen so far leaves possible: many vectors may lie closer together than the codes tell apart
@@ -113,19 +117,23 @@ def nearest(codec: Codec, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarr
         np.put_along_axis(possible, best, True, 1)
         for j in range(len(q)):
             found = np.flatnonzero(possible[j])
-            products = (vectors[found].astype(np.float64) * q[j].astype(np.float64)).sum(1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                products = (vectors[found].astype(np.float64) * q[j].astype(np.float64)).sum(1)
+                if not np.isfinite(products).all():  # products that overflow are equal: all must be seen
+                    found = np.arange(len(vectors))
+                    products = (vectors.astype(np.float64) * q[j].astype(np.float64)).sum(1)
             n = counts[found]
             i = ids[np.repeat(first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             use = i != own[j]
             i, s = i[use], np.repeat(products, n)[use]
-            top = np.lexsort((i, -s))[:k]
+            top = np.lexsort((i, -np.where(np.isnan(s), -np.inf, s), np.isnan(s)))[:k]
             yield int(own[j]), i[top], s[top]
 
 
 _BLOCKS = "ids binary, counts binary, vectors binary, packed binary"
 
 
-def _pack_blocks(codec, kind: str, k: int):
+def _pack_blocks(codec, scale: float, kind: str, k: int):
     """With a codec, each distinct vector once, with its first k + 1 ids: of equal products no more can be among k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +149,7 @@ def _pack_blocks(codec, kind: str, k: int):
                 counts = np.bincount(which)
                 place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
                 ids, counts, vectors = ids[order][place <= k], np.minimum(counts, k + 1), vectors[at]
-                packed = codec.value.pack(vectors.astype(np.float64))
+                packed = codec.value.pack(vectors.astype(np.float64) * scale)
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids.tobytes(), counts.tobytes(), vectors.tobytes(), packed.tobytes())], ["ids", "counts", "vectors", "packed"])
 
     return run
@@ -160,21 +168,22 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vecto
     element = rows.schema[vector].dataType.elementType
     kind = "float32" if isinstance(element, T.FloatType) else "float64"
     good = rows.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
-    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    top = F.max(F.array_max(F.transform("v", F.abs)).cast("double")).alias("top")
+    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("count"), top).orderBy(F.desc("count"), F.desc("d")).first()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, count = sizes
+    d, count, scale = sizes[0], sizes[1], 2.0 ** -int(np.floor(np.log2(sizes[2])))
     good = good.where(F.size("v") == d)
     part = max(1, count // SAMPLE)
     sample = [r[0] for r in good.where(F.pmod(F.xxhash64("vec_id"), F.lit(part)) == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * SAMPLE).select("v").collect()]
-    codec = spark.sparkContext.broadcast(Codec.fit(np.array(sample, np.float64)))
+    codec = spark.sparkContext.broadcast(Codec.fit(np.array(sample, np.float64) * scale))
     # with so many candidates, an id with several vectors takes no other's place
     each_id = good.select("vec_id", F.xxhash64("v").alias("h")).distinct().groupBy("vec_id").count().agg(F.max("count")).first()[0]
     wide = (k + 1) * each_id - 1
     good = good.dropDuplicates(["vec_id", "v"])
-    blocks = good.repartition(max(1, -(-count // BLOCK))).mapInArrow(_pack_blocks(codec, kind, wide), _BLOCKS).withColumn("b", F.spark_partition_id())
+    blocks = good.repartition(max(1, -(-count // BLOCK))).mapInArrow(_pack_blocks(codec, scale, kind, wide), _BLOCKS).withColumn("b", F.spark_partition_id())
     asked = good.where(is_query(F.col("vec_id")))
-    groups = asked.repartition(max(1, -(-asked.count() // GROUP))).mapInArrow(_pack_blocks(None, kind, wide), _BLOCKS).withColumn("g", F.spark_partition_id())
+    groups = asked.repartition(max(1, -(-asked.count() // GROUP))).mapInArrow(_pack_blocks(None, scale, kind, wide), _BLOCKS).withColumn("g", F.spark_partition_id())
     n_blocks, n_groups = max(1, -(-count // BLOCK)), max(1, -(-asked.count() // GROUP))
     # the stated queries against all rows, block by block: each block meets each group of queries once
     left = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
@@ -189,7 +198,7 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vecto
             packed = np.frombuffer(block["packed"], np.uint8).reshape(len(counts), -1)
             for group in b.to_pylist():
                 qi = np.frombuffer(group["ids"], np.int64)
-                for q, i, s in nearest(codec.value, ids, counts, vectors, packed, qi, np.frombuffer(group["vectors"], kind).reshape(len(qi), -1), wide):
+                for q, i, s in nearest(codec.value, scale, ids, counts, vectors, packed, qi, np.frombuffer(group["vectors"], kind).reshape(len(qi), -1), wide):
                     out.append((q, i.tolist(), s.tolist()))
         q, i, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_ids": pa.array(i, pa.list_(pa.int64())), "scores": pa.array(s, pa.list_(pa.float64()))})
@@ -197,6 +206,6 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vecto
     found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(trimmed(meet), "query_id long, vec_ids array<long>, scores array<double>")
     each = found.select("query_id", F.inline(F.arrays_zip("vec_ids", "scores"))).select("query_id", F.col("vec_ids").alias("vec_id"), F.col("scores").alias("score"))
     if each_id > 1:
-        each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        each = each.groupBy("query_id", "vec_id").agg(F.max_by("score", F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -408,6 +408,23 @@ def test_op8_recall_and_ties(spark):
     assert few.count() == 2 and ann.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_op8_overflow_null_ids_and_clashing_names(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 6)) * 1e200
+    df = spark.createDataFrame([(k, v.tolist(), 1, "x", 2.0, 3) for k, v in enumerate(x)] + [(None, [1.0] * 6, 1, "x", 2.0, 3)], "vec_id long, embedding array<double>, rank int, query_id string, score double, b int")
+    got = {}
+    for r in ann.search(df, lambda i: i % 20 == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 120, 20)) and None not in {i for v in got.values() for i, _ in v}
+    for q, found in got.items():
+        with np.errstate(all="ignore"):
+            s = {i: float((x[i] * x[q]).sum()) for i in range(120) if i != q}
+        best = sorted(s, key=lambda i: (math.isnan(s[i]), -s[i] if not math.isnan(s[i]) else 0, i))[:5]
+        assert [i for i, _ in found] == best
+    small = spark.createDataFrame([(k, (v * 1e-400 if k else v * 1e-300).tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert ann.search(small, lambda i: i % 20 == 0, 5).count() == 0  # zero vectors take no part, and a query has no other row
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
