@@ -7,8 +7,9 @@ among those of the benchmark; a hit is extended to the ten-word windows around i
 An item of under ten words is one window; its length is looked up as a gram of that length.
 
 A benchmark under ``limit`` bytes goes to the executors as a table, and the documents are read in one pass without a
-shuffle. A larger one is joined: kept grams of both sides meet by hash, each document gets the items it may hold, and the
-same extension runs on those.
+shuffle. A larger one is joined: kept grams of both sides meet by hash, a document gets back which of its own grams some item has and
+sends the windows around these, and windows meet with those of items by hash and words. So a gram or window that very many items have
+is one row on the benchmark's side, and no item's text goes to a document; the items of a document are only named at the end.
 
 Defined results: null text has no words; a document without hits has the digest of the empty string; items are counted by
 item_id, so repeated items count once, and an item without words or without id has no windows; rows are judged one by one, so repeated rows repeat
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, U64, byte_table, find_words, gram_hash, prefix_hash, span_hash, text_slices
+from tessera.llm.common import LOWER, U64, byte_table, find_words, gram_hash, prefix_hash, span_hash, stage_table, text_slices
 
 WINDOW, GRAM = 10, 5
 _KEPT = WINDOW - GRAM + 1
@@ -212,20 +213,65 @@ def _fingerprints(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
     return rows.mapInArrow(run, f"{key} string, fp long").distinct()
 
 
-def _joined(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """docs as the struct __row with the result's columns, for a benchmark of any size; equal texts are judged once."""
-    words = F.regexp_count(F.lower(F.col("text")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    lengths = [r[0] for r in items.select(words.alias("n")).where(f"n between 1 and {WINDOW - 1}").distinct().collect()]
-    keyed = docs.select(F.struct("*").alias("__row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__key"))
-    texts = keyed.select(F.col("__key").alias("key"), F.col(f"__row.{text}").alias("text")).dropDuplicates(["key"])
-    pairs = _fingerprints(texts, "key", lengths).join(_fingerprints(items.select("item", "text"), "item", lengths), "fp").select("key", "item").distinct()
-    mine = pairs.join(items, "item").groupBy("key").agg(F.collect_list(F.struct("item", "text")).alias("items"))
-    todo = texts.join(mine, "key", "left")
+def _windows(words: Words, at: np.ndarray, n: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(length, hash, words) of the windows of n words at some places."""
+    return pa.array(np.full(len(at), n, np.int64)), pa.array(gram_hash(words.hash, n)[at].view(np.int64) if len(at) else [], pa.int64()), pa.array([words.span(int(a), n) for a in at], pa.binary())
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """item, n, hash and words of each window of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, _, data, offs in text_slices(b.column(1)):
+                words = Words(data, offs)
+                width = np.minimum(words.count, WINDOW)
+                for n in np.unique(width[width > 0]).tolist():
+                    _, at = words.grams(n)
+                    t = np.searchsorted(words.first, at, "right") - 1
+                    at, t = at[width[t] == n], t[width[t] == n]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t + row)), *_windows(words, at, n)], ["item", "n", "hash", "words"])
+
+    return items.select("item", "text").mapInArrow(run, "item string, n long, hash long, words binary")
+
+
+def _near_windows(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """key, at, n, hash and words of the windows of (key, text, fps) that hold one of the kept grams fps, or are a short gram of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [judge(Index((x["item"], x["text"]) for x in i.as_py() or ()), b.column(1).slice(k, 1))[0] for k, i in enumerate(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *_columns(found)], ["key", *[c.split()[0] for c in _RESULT.split(", ")]])
+            for row, end, data, offs in text_slices(b.column(1)):
+                words = Words(data, offs)
+                for n, (hash_, at) in [(WINDOW, words.winnowed()), *[(n, words.grams(n)) for n in lengths]]:
+                    cut = np.searchsorted(at, words.first)
+                    for t in range(end - row):
+                        own = hash_[cut[t] : cut[t + 1]]
+                        own = at[cut[t] : cut[t + 1]][np.isin(own, np.array(b.column(2)[row + t].as_py(), np.int64).view(np.uint64))]
+                        if n == WINDOW:
+                            own = np.unique((own[:, None] + np.arange(1 - _KEPT, 1)).ravel())
+                            own = own[(own >= words.first[t]) & (own + WINDOW <= words.first[t + 1])]
+                        if len(own):
+                            yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[row + t].as_py()] * len(own), pa.string()), pa.array(own - words.first[t]), *_windows(words, own, n)], ["key", "at", "n", "hash", "words"])
 
-    judged = todo.select("key", "text", "items").mapInArrow(run, f"key string, {_RESULT}")
-    return keyed.join(judged, F.col("__key") == F.col("key")).drop("__key", "key")
+    return texts.select("key", "text", "fps").mapInArrow(run, "key string, at long, n long, hash long, words binary")
+
+
+def _joined(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """docs as the struct __row with the result's columns, for a benchmark of any size; equal texts are judged once."""
+    windows = stage_table(_item_windows(items), "windows")
+    lengths = sorted(r[0] for r in windows.where(f"n < {WINDOW}").select("n").distinct().collect())  # under WINDOW of them
+    keyed = docs.select(F.struct("*").alias("__row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__key"))
+    texts = stage_table(keyed.select(F.col("__key").alias("key"), F.col(f"__row.{text}").alias("text")).dropDuplicates(["key"]), "texts")
+    wanted = stage_table(_fingerprints(items.select("item", "text"), "item", lengths).select("fp").distinct(), "grams")
+    mine = _fingerprints(texts, "key", lengths).join(wanted, "fp", "left_semi").groupBy("key").agg(F.collect_list("fp").alias("fps"))  # of a text's own grams
+    near = _near_windows(texts.join(mine, "key"), lengths)
+    distinct = stage_table(windows.select("n", "hash", "words").distinct(), "distinct")
+    hits = stage_table(near.join(distinct, ["n", "hash", "words"], "left_semi"), "hits")
+    covered = hits.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))))).cast("long").alias("n_hit"))
+    named = hits.select("key", "n", "hash", "words").distinct().join(windows, ["n", "hash", "words"]).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    judged = covered.join(named, "key").select(F.col("key").alias("__of"), "n_hit", "item_ids")
+    met = keyed.join(judged, F.col("__key") == F.col("__of"), "left")
+    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    n_words = F.coalesce(F.regexp_count(F.col(f"__row.{text}"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    return met.select("__row", n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), ids.alias("item_ids"))
