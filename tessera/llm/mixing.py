@@ -13,6 +13,8 @@ rows share a hash and so a decision; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +34,39 @@ def row_hash(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
+def weighted(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """sizes with w: weights go round by code point of the source, null last. Sources are ranked in parallel, by ranges."""
+    last = F.col("source").asc_nulls_last()
+    placed = stage_table(sizes.repartitionByRange(last).sortWithinPartitions(last).withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    # the identifier is a partition's number and, in its last 33 bits, the row's place in it
+    part = F.shiftright("at", 33)
+    counts = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).count().collect())  # one row a partition
+    before = [(p, upto - n) for (p, n), upto in zip(counts, accumulate(n for _, n in counts), strict=True)]
+    starts = sizes.sparkSession.createDataFrame(before, "part long, before long")
+    rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    return placed.withColumn("part", part).join(F.broadcast(starts), "part").select("source", "source_size", weight.alias("w"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
-    """(source, source_size) -> + target: weights go round by code point of the source, null last. One row a source."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
+    """(source, source_size) -> + target. One row a source.
+
+    Shares rise to a common level by weight; sources under it are at their cap, and what they leave raises the level for the
+    others, until no more are under it. Each step is one sum over sources.
+    """
+    ranked = stage_table(weighted(sizes, weights), "mix-weights")
     cap = F.col("source_size") * max_epochs
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    full = Window.orderBy(cap / F.col("w"), F.col("source").asc_nulls_last())
-    earlier = full.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(earlier), F.lit(0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(earlier), F.lit(0.0)))
-    ranked = sizes.withColumn("w", weight).withColumn("level", level).withColumn("n", F.row_number().over(full))
-    water = F.min_by(F.when(cap >= F.col("level") * F.col("w"), F.col("level")), F.when(cap >= F.col("level") * F.col("w"), F.col("n"))).over(everything)
-    return ranked.withColumn("water", water).select("source", "source_size", F.coalesce(F.least(cap.cast("double"), F.col("water") * F.col("w")), cap.cast("double")).alias("target"))
+    level = 0.0
+    while True:
+        full = cap < F.lit(level) * F.col("w")
+        total, capped, weight, done = ranked.agg(F.sum("source_size"), F.sum(F.when(full, cap).otherwise(0)), F.sum("w"), F.sum(F.when(full, F.col("w")).otherwise(0.0))).first()
+        if not total or weight == done:
+            break
+        new = (total - capped) / (weight - done)
+        if new <= level:
+            break
+        level = new
+    return ranked.select("source", "source_size", F.least(cap.cast("double"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def thresholds(slim: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
