@@ -98,6 +98,15 @@ def format_eta(seconds: Column) -> Column:
     )
 
 
+def eta_words(seconds: float) -> str:
+    """format_eta() of one number, for messages."""
+    if not seconds >= 0:
+        return "?"
+    minutes, s = divmod(int(seconds), 60)
+    hours, m = divmod(minutes, 60)
+    return f"{hours}h {m}m" if hours else f"{m}m {s}s" if m else f"{s}s"
+
+
 def estimated_chunks(total_bytes: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.coalesce(total_bytes, F.lit(0)) / 3072)).cast("long")
 

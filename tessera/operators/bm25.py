@@ -13,6 +13,7 @@ shuffle, and an order of the best rows only: no join.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,6 +78,7 @@ def top(scored: DataFrame, n: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+@lru_cache(256)
 def literal_phrases(spark: SparkSession, query: str) -> list[tuple[list[str], int]]:
     """(terms, times) of the query's tokens. A constant expression, which needs no job."""
     row = spark.sql("SELECT 1").select(F.transform(query_tokens(F.lit(query)), index_terms).alias("p")).first()
@@ -87,23 +89,30 @@ def literal_phrases(spark: SparkSession, query: str) -> list[tuple[list[str], in
     return [(list(p), n) for p, n in counts.items()]
 
 
+def literal_terms(spark: SparkSession, query: str) -> list[str]:
+    """The terms of a query none of whose tokens is a phrase; else none."""
+    phrases = literal_phrases(spark, query)
+    return [p[0] for p, _ in phrases] if all(len(p) == 1 for p, _ in phrases) else []
+
+
 def corpus_facts(lengths_: DataFrame) -> tuple[int, int]:
     """Number of chunks and of terms."""
     row = lengths_.agg(F.count("*").alias("total"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms")).first()
     return row["total"], row["terms"]
 
 
-def search(postings_: DataFrame, lengths_: DataFrame, query: str, n: int, facts: tuple[int, int] | None = None) -> DataFrame:
-    """chunk_id, bm25, rank for one query; facts: corpus_facts(lengths_), if they are known."""
+def search(postings_: DataFrame, lengths_: DataFrame, query: str, n: int, facts: tuple[int, int] | None = None, used: dict[str, int] | None = None) -> DataFrame:
+    """chunk_id, bm25, rank for one query; facts: corpus_facts(lengths_), used: chunks that have each term, if they are known."""
     spark: SparkSession = postings_.sparkSession
     phrases = literal_phrases(spark, query)
     if all(len(p) == 1 for p, _ in phrases):
         times = {p[0]: k for p, k in phrases}
         hits = postings_.where(F.col("term").isin(*times)) if times else postings_.where(F.lit(False))
-        used = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()} if times else {}
+        if used is None:
+            used = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()} if times else {}
         total, terms = facts or corpus_facts(lengths_)
         weight = F.lit(0.0)
-        for term, count in used.items():
+        for term, count in ((t, c) for t, c in used.items() if c and t in times):
             idf = math.log((total - count + 0.5) / (count + 0.5))
             weight = F.when(F.col("term") == term, F.lit(times[term] * (idf if idf > 0 else 1e-6))).otherwise(weight)
         part = -weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(terms / max(1, total))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,24 @@ def under_sources(files: DataFrame, sources: list[str]) -> DataFrame:
     return files.where(F.exists(prefixes, lambda p: F.startswith(F.col("path"), p)))
 
 
+def union(listings: list[DataFrame]) -> DataFrame:
+    """Listings of folders that may lie in each other: each path once."""
+    return reduce(DataFrame.unionByName, listings).dropDuplicates(["path"])
+
+
+def file_counts(files: DataFrame, *by: str) -> DataFrame:
+    """doc_count and chunk_count of files (path, chunk_count), in all or by some columns."""
+    return files.groupBy(*by).agg(F.countDistinct("path").alias("doc_count"), F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("long").alias("chunk_count"))
+
+
+def lookups(listing: DataFrame, files: DataFrame) -> DataFrame:
+    """Of each file (path, sha1): whether its path and its content are known, and whether another file of the listing has its name."""
+    name = basename(F.col("path"))
+    taken = listing.groupBy(name.alias("name")).agg(F.countDistinct("path").alias("n"))
+    met = listing.select("path", "sha1", name.alias("name")).join(files.select("path", F.lit(True).alias("known")), "path", "left").join(files.select("sha1").distinct().withColumn("content", F.lit(True)), "sha1", "left").join(taken, "name")
+    return met.select("path", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("content", F.lit(False)).alias("known_content"), (F.col("n") > 1).alias("name_taken"))
+
+
 def free_name(name: str, taken: set[str]) -> str:
     """name, or the first of stem_2.ext, stem_3.ext, ... that isn't taken."""
     if name not in taken:

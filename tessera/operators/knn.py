@@ -3,6 +3,9 @@
 One query is a literal in the scan: no join, and only the best rows are ordered. Many queries are a stated set that
 meets all vectors: each partition of the vectors keeps its k best for each query of a block, so what is shuffled is k rows
 for each query and partition, and the distances are NumPy's, in double precision.
+
+Vectors that are null, of another length than the query, or hold a component that is null or no number have no distance
+and are never found.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import l2_distance, literal, similarity
+from tessera.functions.vectors import l2_distance, literal, similarity, usable
 
 #: Queries a block: so many vectors are sent to every task at a time.
 BLOCK = 4096
@@ -22,13 +25,17 @@ BLOCK = 4096
 
 def search(vectors: DataFrame, query, k: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """key, distance, rank, score of the k nearest; ties to the smaller key."""
-    near = vectors.select(key, l2_distance(F.col(vector), literal(query)).alias("distance")).orderBy("distance", key).limit(k)
+    found = vectors.where(usable(F.col(vector), len(query)))
+    near = found.select(key, l2_distance(F.col(vector), literal(query)).alias("distance")).orderBy("distance", key).limit(k)
     return near.select(key, "distance", F.row_number().over(Window.orderBy("distance", key)).alias("rank"), similarity(F.col("distance")).alias("score"))
 
 
 def batch_search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """query_id, key, distance, rank, score for given queries, taken in blocks of BLOCK."""
+    """query_id, key, distance, rank, score for given queries of one length, taken in blocks of BLOCK."""
     spark = vectors.sparkSession
+    if not queries:
+        return spark.createDataFrame([], f"query_id long, {key} long, distance double, rank int, score double")
+    dim = len(queries[0][1])
     found = None
     for a in range(0, len(queries), BLOCK):
         block = queries[a : a + BLOCK]
@@ -39,7 +46,7 @@ def batch_search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
             best_id, best_d = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
             for b in batches:
                 own = b.column(0).to_numpy(zero_copy_only=False)
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), dim)
                 for s in range(0, len(own), 256):
                     d = np.sqrt(((q[:, None, :] - v[None, s : s + 256]) ** 2).sum(2)) if len(ids) <= 64 else np.sqrt(np.array([((x - v[s : s + 256]) ** 2).sum(1) for x in q]))
                     d = np.concatenate([best_d, d], 1)
@@ -48,7 +55,7 @@ def batch_search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
                     best_d, best_id = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_id.shape[1])), pa.array(best_id.ravel()), pa.array(best_d.ravel())], ["query_id", key, "distance"])
 
-        part = vectors.select(F.col(key).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"query_id long, {key} long, distance double")
+        part = vectors.where(usable(F.col(vector), dim)).select(F.col(key).cast("long"), vector).mapInArrow(run, f"query_id long, {key} long, distance double")
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy("distance", key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", similarity(F.col("distance")))

@@ -2,7 +2,9 @@
 
 A batch is one folder in each table and one number. A commit writes the batch's files first and then replaces the
 manifest, so a reader sees all of a batch or nothing of it, and a batch whose commit never came is ignored. A row lives unless a later
-batch has a tombstone for its path, so an update is one batch with the tombstone and the new rows.
+batch has a tombstone for its path, so an update is one batch with the tombstone and the new rows. A file's chunks have
+consecutive ids, so what is dead in the postings is told by ids, which are broadcast while they are few.
+Postings are sorted by term, so that the filter of a query skips what lies elsewhere; how many chunks have a term stands beside them.
 """
 
 from __future__ import annotations
@@ -16,9 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schema
+from tessera.operators.files import file_counts, path_order
 from tessera.sources.storage import Store
 
-TABLES = {"chunks": schema.CHUNKS, "postings": schema.POSTINGS, "lengths": schema.LENGTHS, "files": schema.FILES, "tombstones": schema.TOMBSTONES}
+TABLES = {"chunks": schema.CHUNKS, "postings": schema.POSTINGS, "lengths": schema.LENGTHS, "terms": schema.TERMS, "files": schema.FILES, "tombstones": schema.TOMBSTONES}
+
+
+#: Layout of a project's tables. 1: without terms and first chunks of files.
+VERSION = 2
+#: Dead chunks whose ids are broadcast, 8 bytes each; beyond, they are joined.
+DEAD = 1_000_000
+SALTS = 16
 
 
 def safe_name(name: str) -> str:
@@ -40,6 +50,8 @@ class Manifest:
     source_paths: list[str] = field(default_factory=list)
     last_indexed_at: str | None = None
     settings: dict[str, str] = field(default_factory=dict)
+    dead_chunks: int = 0
+    version: int = 1
 
 
 class Project:
@@ -52,7 +64,7 @@ class Project:
 
     def create(self, dim: int) -> Project:
         if not self.exists():
-            self.save(Manifest(self.name, dim))
+            self.save(Manifest(self.name, dim, version=VERSION))
         return self
 
     def manifest(self) -> Manifest:
@@ -64,6 +76,33 @@ class Project:
     def sources(self) -> list[str]:
         return self.manifest().source_paths
 
+    def has_source(self, path: str) -> bool:
+        return path in self.sources()
+
+    def setting(self, key: str, default: str | None = None) -> str | None:
+        return self.manifest().settings.get(key, default)
+
+    def set_setting(self, key: str, value: str) -> None:
+        m = self.manifest()
+        m.settings[key] = value
+        self.save(m)
+
+    def file_by_path(self, path: str) -> dict | None:
+        return self._one(self.files().where(F.col("path") == path))
+
+    def file_by_hash(self, sha1: str) -> dict | None:
+        """The first in path order of the files with some content."""
+        return self._one(self.files().where(F.col("sha1") == sha1))
+
+    def name_in_use(self, display_name: str, other_than: str | None = None) -> bool:
+        rows = self.files().where(F.col("display_name") == display_name)
+        return bool((rows if other_than is None else rows.where(F.col("path") != other_than)).limit(1).count())
+
+    @staticmethod
+    def _one(rows: DataFrame) -> dict | None:
+        row = rows.orderBy(path_order()).first()
+        return row.asDict() if row else None
+
     def add_source(self, path: str) -> None:
         m = self.manifest()
         if path not in m.source_paths:
@@ -93,49 +132,76 @@ class Project:
         rows, dead = self.table(name, m), self._dead(m).withColumnRenamed("path", "__path")
         return rows.join(dead, (F.col(path) == F.col("__path")) & (F.col("batch") < F.col("until")), "left_anti").drop("batch")
 
-    def chunks(self) -> DataFrame:
-        return self.live("chunks", "file_path")
+    def chunks(self, manifest: Manifest | None = None) -> DataFrame:
+        return self.live("chunks", "file_path", manifest)
 
     def files(self) -> DataFrame:
         return self.live("files", "path")
 
-    def index(self) -> tuple[DataFrame, DataFrame]:
+    def index(self, manifest: Manifest | None = None) -> tuple[DataFrame, DataFrame]:
         """Postings and lengths of the chunks that live."""
-        m = self.manifest()
+        m = manifest or self.manifest()
+        tables = [self.table(t, m).drop("batch") for t in ("postings", "lengths")]
         if not m.tables.get("tombstones"):
-            return self.table("postings", m).drop("batch"), self.table("lengths", m).drop("batch")
-        ids = self.live("chunks", "file_path", m).select("chunk_id")
-        return tuple(self.table(t, m).drop("batch").join(ids, "chunk_id", "left_semi") for t in ("postings", "lengths"))
+            return tuple(tables)
+        if m.version < 2:
+            ids = self.live("chunks", "file_path", m).select("chunk_id")
+            return tuple(t.join(ids, "chunk_id", "left_semi") for t in tables)
+        dead = self._dead(m).withColumnRenamed("path", "__path")
+        gone = self.table("files", m).join(dead, (F.col("path") == F.col("__path")) & (F.col("batch") < F.col("until")))
+        ids = gone.select(F.explode(F.sequence("first_chunk", F.col("first_chunk") + F.col("chunk_count") - 1)).alias("chunk_id"))
+        ids = F.broadcast(ids) if m.dead_chunks <= DEAD else ids
+        return tuple(t.join(ids, "chunk_id", "left_anti") for t in tables)
+
+    def frequencies(self, terms: list[str], manifest: Manifest | None = None) -> dict[str, int] | None:
+        """Chunks that have each term, if that is known without counting."""
+        m = manifest or self.manifest()
+        if m.tables.get("tombstones") or m.version < 2:
+            return None
+        found = {r["term"]: r["n"] for r in self.table("terms", m).where(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("df").alias("n")).collect()} if terms else {}
+        return {t: found.get(t, 0) for t in terms}
 
-    def commit(self, tables: dict[str, DataFrame], chunks: int) -> int:
-        """Write a batch's tables, then make them seen."""
+    def commit(self, tables: dict[str, DataFrame], chunks: int, dead_chunks: int = 0) -> int:
+        """Write a batch's tables, then make them seen. Of the postings the terms' table is made."""
         m = self.manifest()
         batch = m.next_batch
-        for name, rows in tables.items():
-            rows.select(*schema.struct(TABLES[name]).names).write.mode("overwrite").parquet(f"{self.store.root}/{name}/batch={batch}")
+        self._write(tables, batch)
         m.batches.append(batch)
-        for name in tables:
+        for name in (*tables, *(["terms"] if "postings" in tables else [])):
             m.tables.setdefault(name, []).append(batch)
         m.next_batch, m.next_chunk_id, m.last_indexed_at = batch + 1, m.next_chunk_id + chunks, now_iso()
+        m.dead_chunks += dead_chunks
         self.save(m)
         return batch
 
+    def _write(self, tables: dict[str, DataFrame], batch: int) -> None:
+        for name, rows in tables.items():
+            rows = rows.select(*schema.struct(TABLES[name]).names)
+            if name == "postings":  # by term, so that a query's filter reads only where its terms lie
+                # a common term is in SALTS files, so that no task has it whole
+                rows = rows.repartition("term", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("term", "chunk_id")
+            rows.write.mode("overwrite").parquet(f"{self.store.root}/{name}/batch={batch}")
+        if "postings" in tables:
+            made = self.spark.read.schema(schema.struct(schema.POSTINGS)).parquet(f"{self.store.root}/postings/batch={batch}")
+            terms = made.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term")
+            terms.write.mode("overwrite").parquet(f"{self.store.root}/terms/batch={batch}")
+
     def compact(self) -> None:
         """Rewrite all that lives as one batch; what it replaces is deleted after the commit."""
         m = self.manifest()
         old, batch = list(m.batches), m.next_batch
         postings, lengths = self.index()
         rows = {"chunks": self.live("chunks", "file_path", m), "files": self.live("files", "path", m), "postings": postings, "lengths": lengths}
-        for name, part in rows.items():
-            part.write.mode("overwrite").parquet(f"{self.store.root}/{name}/batch={batch}")
-        m.batches, m.tables, m.next_batch = [batch], {name: [batch] for name in rows}, batch + 1
+        self._write(rows, batch)
+        m.batches, m.tables, m.next_batch, m.dead_chunks = [batch], {name: [batch] for name in (*rows, "terms")}, batch + 1, 0
         self.save(m)
         for name in TABLES:
             for b in old:
                 self.store.delete(f"{name}/batch={b}")
 
     def stats(self) -> dict:
-        return {"doc_count": self.files().count(), "chunk_count": self.chunks().count(), "size_mb": round(self.store.size() / 1048576, 2)}
+        row = file_counts(self.files()).first()
+        return {"doc_count": row["doc_count"], "chunk_count": row["chunk_count"], "size_mb": round(self.store.size() / 1048576, 2)}
 
     def delete(self) -> dict:
         if not self.exists():

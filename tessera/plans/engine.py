@@ -7,42 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.util import InheritableThread
 
-from tessera.functions.vectors import l2_distance, literal
 from tessera.operators import bm25, embed, fusion, knn, rerank
 from tessera.operators.fusion import SearchFilter
 from tessera.plans import catalog
 from tessera.plans.catalog import Project
 from tessera.plans.indexer import Indexer, Models
 from tessera.plans.jobs import Jobs
+from tessera.plans.search import hybrid
 from tessera.session import prepare
 
 MODES = ("auto", "fail", "replace", "append")
 
 
-def _aside(work: Callable) -> Callable:
-    """Start work in a thread of its own; the result when it is called for."""
-    out: dict = {}
-
-    def run() -> None:
-        try:
-            out["value"] = work()
-        except Exception as e:  # raised where the result is called for
-            out["error"] = e
-
-    thread = InheritableThread(target=run)
-    thread.start()
-
-    def result():
-        thread.join()
-        if "error" in out:
-            raise out["error"]
-        return out["value"]
-
-    return result
-
-
 class Engine:
     """home: a folder that driver and executors share. make_reranker: None for the built-in lexical score."""
 
@@ -87,17 +64,19 @@ class Engine:
                 raise ValueError(f"project {p.name} has other folders; use append or replace")
             if mode == "auto":
                 operation = "reindex"
-            if mode == "replace":
-                p.delete()
         return self._launch(operation, p, mode, lambda i: i.reindex() if operation == "reindex" else i.index_folder(folder))
 
     def reindex_project(self, project: str) -> dict:
         return self._launch("reindex", self._existing(project), None, lambda i: i.reindex())
 
     def _launch(self, operation: str, p: Project, mode: str | None, act: Callable) -> dict:
-        p.create(self.models.make_embedder().dim)
+        if not p.exists():
+            p.create(self.models.make_embedder().dim)
 
         def work(progress) -> dict:
+            if mode == "replace":  # here, where no other job works on the project
+                p.delete()
+                p.create(self.models.make_embedder().dim)
             result = act(Indexer(self.spark, p, self.models, progress)).as_dict()
             return result | p.stats() | {"source_paths": p.sources()}
 
@@ -122,36 +101,26 @@ class Engine:
         """
         p = self._existing(project)
         keep = SearchFilter(file_glob, subdirectory, page_min, page_max, min_similarity)
-        chunks = p.chunks().withColumnRenamed("file_path", "source_file")
-        postings, lengths = p.index()
+        m = p.manifest()  # one state for all that follows
+        chunks = p.chunks(m).withColumnRenamed("file_path", "source_file")
+        postings, lengths = p.index(m)
         if prefilter and keep.metadata():
             for c in keep.metadata():
                 chunks = chunks.where(c)
             ids = chunks.select("chunk_id")
             postings, lengths = postings.join(ids, "chunk_id", "left_semi"), lengths.join(ids, "chunk_id", "left_semi")
-        vector = self._embedder().query(query)
-        facts = None if prefilter and keep.metadata() else self._facts(p, lengths)
-        # both candidate lists are short; they are found side by side
-        nearest = _aside(lambda: knn.search(chunks, vector, candidate_pool).select("chunk_id", "distance", "rank").collect())
-        words = bm25.search(postings, lengths, query, candidate_pool, facts).select("chunk_id", "rank").collect()
-        order = lambda rows: sorted(rows, key=lambda r: r["rank"])
-        fused = fusion.fuse_lists([(r["chunk_id"], r["distance"]) for r in order(nearest())], [r["chunk_id"] for r in order(words)])
-        ranked = self.spark.createDataFrame(fused, "chunk_id long, vec_rank int, kw_rank int, distance double, rrf double")
-        rows = chunks.where(F.col("chunk_id").isin(*[r[0] for r in fused]) if fused else F.lit(False)).join(F.broadcast(ranked), "chunk_id")  # twice candidate_pool rows at most
-        if strict_similarity:
-            rows = rows.withColumn("distance", l2_distance(F.col("embedding"), literal(vector)))
-        rows = keep.apply(rows.drop("embedding", "indexed_at"))
-        scored = rerank.with_model(rows, query, self.make_reranker) if self.make_reranker else rows.withColumn("rerank_score", rerank.lexical_score(query, F.col("text")))
-        return fusion.project_results(scored, k)
+        whole = not (prefilter and keep.metadata())
+        facts = self._facts(p, m, lengths) if whole else None
+        used = (lambda: p.frequencies(bm25.literal_terms(self.spark, query), m)) if whole else None
+        return hybrid(chunks, postings, lengths, query, self._embedder().query(query), k, candidate_pool, keep, facts, used, strict_similarity, self.make_reranker)
 
     def _embedder(self):
         if self._model is None:
             self._model = self.models.make_embedder()
         return self._model
 
-    def _facts(self, p: Project, lengths: DataFrame) -> tuple[int, int]:
+    def _facts(self, p: Project, m: catalog.Manifest, lengths: DataFrame) -> tuple[int, int]:
         """corpus_facts of a project's state, kept until its next commit."""
-        m = p.manifest()
         key = m.next_batch, m.last_indexed_at
         if self._known.get(p.name, (None,))[0] != key:
             self._known[p.name] = key, bm25.corpus_facts(lengths)

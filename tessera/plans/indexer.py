@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import bm25, chunker, embed
-from tessera.operators.files import changes, free_name, under_sources
+from tessera.functions.text import eta_words
+from tessera.operators.files import changes, free_name, under_sources, union
 from tessera.plans.catalog import Project
 from tessera.sources import files as scan
 from tessera.sources.parsers import Registry
@@ -58,13 +59,6 @@ class Models:
     overlap_tokens: int = chunker.OVERLAP_TOKENS
 
 
-def eta_text(seconds: float) -> str:
-    if not seconds >= 0:
-        return "?"
-    s = int(seconds)
-    return f"{s}s" if s < 60 else f"{s // 60}m {s % 60}s" if s < 3600 else f"{s // 3600}h {s % 3600 // 60}m"
-
-
 class Indexer:
     def __init__(self, spark: SparkSession, project: Project, models: Models | None = None, progress: Progress | None = None):
         self.spark, self.project, self.models = spark, project, models or Models()
@@ -91,17 +85,14 @@ class Indexer:
         result = IndexResult(missing_sources=[s for s in sources if s not in live])
         if not live:
             raise FileNotFoundError("no source folder is left: " + ", ".join(sources))
-        listing = None
-        for s in live:
-            part = scan.list_folder(self.spark, s)
-            listing = part if listing is None else listing.unionByName(part)
-        listing = scan.supported(listing).dropDuplicates(["path"])
+        listing = scan.supported(union([scan.list_folder(self.spark, s) for s in live]))
         files = self.project.files()
-        gone = changes(scan.with_hashes(listing).select("path", "sha1"), files.select("path", "sha1")).where("change = 'deleted'").select("path")
-        gone = [r["path"] for r in under_sources(gone, live).collect()]
-        if gone:
-            self.project.commit({"tombstones": self.spark.createDataFrame([(p,) for p in gone], "path string")}, 0)
-            result.files_deleted = len(gone)
+        gone = changes(listing.select("path", F.lit(None).cast("string").alias("sha1")), files.select("path", "sha1")).where("change = 'deleted'").select("path")
+        gone = under_sources(gone, live).join(files.select("path", "chunk_count"), "path")
+        count, chunks = gone.agg(F.count("*"), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
+        if count:
+            self.project.commit({"tombstones": gone.select("path")}, 0, chunks)
+            result.files_deleted = count
         return self._take(listing, result)
 
     def _take(self, listing: DataFrame, result: IndexResult) -> IndexResult:
@@ -128,7 +119,7 @@ class Indexer:
             done += made
             rates.append(made / max(time.monotonic() - began, 1e-6))
             left = max(0, total - done) / max(sum(rates) / len(rates), 1)
-            self.progress(done, max(total, done), f"{seen} of {len(todo)} files, {eta_text(left)} left")
+            self.progress(done, max(total, done), f"{seen} of {len(todo)} files, {eta_words(left)} left")
         return result
 
     @staticmethod
@@ -158,7 +149,7 @@ class Indexer:
         counts = {r["path"]: r for r in staged.groupBy("path").agg(F.count_if(F.col("block_chunk") >= 0).alias("n"), F.max(F.when(F.col("block_chunk") < 0, F.col("text"))).alias("error")).collect()}
         names = {r["display_name"] for p, r in known.items()}
         stamp = F.current_timestamp()
-        rows, dead, base = [], [], m.next_chunk_id
+        rows, dead, base, dead_chunks = [], [], m.next_chunk_id, 0
         for p in paths:
             sha1, old = hashed[p]["sha1"], known.get(p)
             got = counts.get(p)
@@ -171,6 +162,7 @@ class Indexer:
                 continue
             if old is not None:
                 dead.append((p,))
+                dead_chunks += old["chunk_count"]
                 by_content.discard(old["sha1"])
             if got is None or not got["n"]:
                 result.files_empty += 1
@@ -181,7 +173,7 @@ class Indexer:
             names.add(name)
             by_content.add(sha1)
             rows.append((p, sha1, hashed[p]["mtime"], int(got["n"]), name, base))
-            known[p] = {"path": p, "sha1": sha1, "display_name": name}
+            known[p] = {"path": p, "sha1": sha1, "display_name": name, "chunk_count": int(got["n"])}
             base += int(got["n"])
             result.files_indexed += old is None
             result.files_updated += old is not None
@@ -192,13 +184,13 @@ class Indexer:
         if dead:
             tables["tombstones"] = self.spark.createDataFrame(dead, "path string")
         if rows:
-            files = self.spark.createDataFrame(rows, "path string, sha1 string, mtime double, chunk_count int, display_name string, base long").withColumn("indexed_at", stamp)
+            files = self.spark.createDataFrame(rows, "path string, sha1 string, mtime double, chunk_count int, display_name string, first_chunk long").withColumn("indexed_at", stamp)
             mine = staged.where("block_chunk >= 0").join(F.broadcast(files), "path")  # BATCH_FILES rows at most
             numbered = chunker.number_chunks(mine, "path", "block_no")
-            full = numbered.select((F.col("base") + F.col("chunk_index")).alias("chunk_id"), F.col("path").alias("file_path"), F.col("sha1").alias("file_hash"), "display_name", "page", "chunk_index", "text", "indexed_at")
+            full = numbered.select((F.col("first_chunk") + F.col("chunk_index")).alias("chunk_id"), F.col("path").alias("file_path"), F.col("sha1").alias("file_hash"), "display_name", "page", "chunk_index", "text", "indexed_at")
             tables |= {"chunks": full.withColumn("embedding", embed.embed(F.col("text"), models.make_embedder)), "postings": bm25.postings(full), "lengths": bm25.lengths(full), "files": files}
         if tables:
-            self.project.commit(tables, made)
+            self.project.commit(tables, made, dead_chunks)
         Store(self.spark, stage).delete()
         return made
 

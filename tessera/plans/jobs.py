@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tessera import schema
 from tessera.plans.catalog import now_iso
@@ -32,6 +33,13 @@ class Job:
     completed_at: str | None = None
 
 
+def newest(jobs: DataFrame, active, by: str = "project", at: str = "started_at", key: str = "id", status: str = "status") -> DataFrame:
+    """Of each project the newest of the jobs whose status is among the active ones (a list, or a table with that column)."""
+    live = jobs.where(F.col(status).isin(*active)) if isinstance(active, (list, tuple)) else jobs.join(active, status, "left_semi")
+    order = Window.partitionBy(by).orderBy(F.desc(at), F.desc(key))
+    return live.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
 class Jobs:
     """notify(title, message) is told of ends; its failures are ignored."""
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.vectors import similarity
-from tessera.operators import bm25, chunker, files, fusion, knn, rerank
+from tessera.operators import bm25, chunker, files, fusion, knn
+from tessera.plans import jobs, search
+from tessera.streaming.watch import with_rates
 
 QUERY = "the tion und of the reat é de"
 PHRASES = "in_the of_the und"
@@ -178,25 +180,21 @@ def knn_batch(spark, d):
     return found.select("query_id", "vec_id", F.round("distance", 9).alias("distance"), "rank", F.round("score", 9).alias("score"))
 
 
+def chunk_table(spark, d) -> DataFrame:
+    """All documents as chunks, with their vectors where they have one."""
+    return corpus(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+
+
 def hybrid(spark, d, pool: int = 75) -> DataFrame:
-    """Fused candidates of one query over documents that have a vector."""
-    chunks = corpus(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    """Fused candidates of one query over all documents."""
+    chunks = chunk_table(spark, d)
     v = knn.search(chunks, _vector(spark, d, 5), pool)
     w = bm25.search(bm25.postings(chunks), bm25.lengths(chunks), QUERY, pool)
     return fusion.fuse(v, w).join(chunks.drop("embedding"), "chunk_id")
 
 
-def hybrid_all(spark, d, pool: int = 75) -> DataFrame:
-    """As hybrid(), with the keyword side over all documents."""
-    chunks = corpus(spark, d)
-    v = knn.search(chunks.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id"), _vector(spark, d, 5), pool)
-    w = bm25.search(bm25.postings(chunks), bm25.lengths(chunks), QUERY, pool)
-    return fusion.fuse(v, w).join(chunks, "chunk_id")
-
-
 def _hybrid_sql(pool: int = 75) -> str:
-    inner = _bm25(_TOKENS).replace("FROM documents", "FROM docs")
-    return f"""{_CORPUS}, docs AS (SELECT d.* FROM documents d WHERE doc_id IN (SELECT vec_id FROM embeddings)), {inner},
+    return f"""{_CORPUS}, {_bm25(_TOKENS)},
 v AS (SELECT e.vec_id AS chunk_id, {_DISTANCE} AS dist FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE e.vec_id IN (SELECT doc_id FROM documents)),
 vr AS (SELECT chunk_id, dist, row_number() OVER (ORDER BY dist, chunk_id) AS vec_rank FROM v QUALIFY vec_rank <= {pool}),
 kr AS (SELECT chunk_id, row_number() OVER (ORDER BY round(bm25, 9), chunk_id) AS kw_rank FROM bm QUALIFY kw_rank <= {pool}),
@@ -208,22 +206,22 @@ rows AS (SELECT * FROM fused JOIN corpus USING (chunk_id))"""
 
 
 @query(f"WITH {_hybrid_sql()} SELECT chunk_id, vec_rank, kw_rank, round(distance, 9) AS distance, round(rrf, 9) AS rrf, CAST(row_number() OVER (ORDER BY rrf DESC, vec_rank NULLS LAST, kw_rank NULLS LAST) AS INT) AS pos FROM rows")
-def rrf_fusion(spark, d, candidates=hybrid):
+def rrf_fusion(spark, d):
     order = Window.orderBy(*fusion.rrf_order())
-    return candidates(spark, d).select("chunk_id", "vec_rank", "kw_rank", F.round("distance", 9).alias("distance"), F.round("rrf", 9).alias("rrf"), F.row_number().over(order).alias("pos"))
+    return hybrid(spark, d).select("chunk_id", "vec_rank", "kw_rank", F.round("distance", 9).alias("distance"), F.round("rrf", 9).alias("rrf"), F.row_number().over(order).alias("pos"))
 
 
 @query(f"""WITH {_hybrid_sql()} SELECT chunk_id, display_name, source_file, page, round(rrf, 9) AS rrf FROM rows
 WHERE (regexp_matches(display_name, '^note_[0-9]*[.]md$') OR regexp_matches(source_file, '/note_[0-9]*[.]md$')) AND contains(source_file, 'src') AND page >= 0 AND page <= 6
   AND greatest(0, least(1, 1 - distance * distance / 2)) >= 0.05""")
-def hybrid_filtered(spark, d, candidates=hybrid):
+def hybrid_filtered(spark, d):
     keep = fusion.SearchFilter(file_glob="note_*.md", subdirectory="src", page_min=0, page_max=6, min_similarity=0.05)
-    return keep.apply(candidates(spark, d)).select("chunk_id", "display_name", "source_file", "page", F.round("rrf", 9).alias("rrf"))
+    return keep.apply(hybrid(spark, d)).select("chunk_id", "display_name", "source_file", "page", F.round("rrf", 9).alias("rrf"))
 
 
 @query(f"WITH {_hybrid_sql(20)} SELECT chunk_id, kw_rank, 1.0::DOUBLE AS vector_similarity FROM rows WHERE vec_rank IS NULL")
-def kw_only_similarity_one(spark, d, candidates=hybrid):
-    rows = fusion.SearchFilter(min_similarity=0.999999).apply(candidates(spark, d, 20)).where("vec_rank is null")
+def kw_only_similarity_one(spark, d):
+    rows = fusion.SearchFilter(min_similarity=0.999999).apply(hybrid(spark, d, 20)).where("vec_rank is null")
     return rows.select("chunk_id", "kw_rank", similarity(F.col("distance")).alias("vector_similarity"))
 
 
@@ -323,16 +321,6 @@ def greedy_chunks(spark, d):
     return chunks.select("doc_id", "chunk_index", "text")
 
 
-def progress(events: DataFrame) -> DataFrame:
-    """Events as finished files of a job (user): done so far and seconds left by the mean rate of the last ten."""
-    n = F.col("event_id") % 40 + 1
-    rate = n / (F.col("event_id") % 17 + 1)
-    own = Window.partitionBy("user_id").orderBy("event_id")
-    done = F.sum(n).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    mean = F.avg(rate).over(own.rowsBetween(-9, Window.currentRow))
-    return events.select("user_id", "event_id", done.alias("done"), (F.greatest(F.lit(0), F.lit(2000) - done) / F.greatest(mean, F.lit(1.0))).alias("eta"))
-
-
 _ETA = """p AS (
   SELECT user_id, event_id, CAST(sum(event_id % 40 + 1) OVER w AS BIGINT) AS done,
     greatest(0, 2000 - sum(event_id % 40 + 1) OVER w)::DOUBLE / greatest(avg((event_id % 40 + 1)::DOUBLE / (event_id % 17 + 1)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 1.0::DOUBLE) AS eta
@@ -341,7 +329,10 @@ _ETA = """p AS (
 
 @query(f"WITH {_ETA} SELECT user_id, event_id, done, round(eta, 6) AS eta FROM p")
 def eta_moving_avg(spark, d):
-    return progress(table(spark, d, "events")).withColumn("eta", F.round("eta", 6))
+    """Events as finished files of a job (user)."""
+    n = F.col("event_id")
+    rows = table(spark, d, "events").select("user_id", "event_id", (n % 40 + 1).alias("made"), (n % 17 + 1).alias("seconds"), F.lit(2000).alias("total"))
+    return with_rates(rows, "user_id", "event_id").select("user_id", "event_id", F.col("done_so_far").alias("done"), F.round("eta", 6).alias("eta"))
 
 
 @query("""WITH s AS (SELECT event_id, CASE WHEN event_id % 101 = 0 THEN -1.0::DOUBLE ELSE (event_id * 7 % 20011) + 0.5::DOUBLE END AS x FROM events)
@@ -353,15 +344,19 @@ def format_eta(spark, d):
 
 
 @query(f"""WITH {_FILES}, {_CLASSIFIED}
-SELECT count(*) FILTER (action IN ('new', 'update')) AS indexed, count(*) FILTER (action = 'duplicate') AS skipped, count(*) FILTER (action = 'update') AS updated, CAST(0 AS BIGINT) AS renamed, count(*) FILTER (action = 'unchanged') AS unchanged FROM action""")
+SELECT count(*) FILTER (action IN ('new', 'update')) AS indexed, count(*) FILTER (action = 'duplicate') AS skipped, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action IN ('new', 'update') AND n > 1) AS renamed, count(*) FILTER (action = 'unchanged') AS unchanged
+FROM (SELECT path, action, row_number() OVER (PARTITION BY CAST(regexp_extract(path, '([0-9]+)[.]txt$', 1) AS BIGINT) % 97 ORDER BY string_split(path, '/')) AS n FROM action)""")
 def index_counters(spark, d):
+    """Files of the same name modulo 97 are renamed but for the first."""
     found = files.classify(listing(spark, d), tracked(spark, d))
-    return files.counters(found.withColumn("display_name", T.basename(F.col("path"))))
+    named = found.withColumn("path", F.concat("path", F.lit("/f"), (F.col("doc_id") % 97).cast("string")))
+    return files.counters(named.join(files.first_level_names(named), "path"))
 
 
-@query("SELECT source AS project, count(DISTINCT text) AS doc_count, count(*) AS chunk_count, round(sum(strlen(text)) / 1048576, 2) AS size_mb FROM documents GROUP BY source")
+@query(f"WITH {_FILES} SELECT regexp_extract(path, '^/corpus/([^/]*)/', 1) AS project, count(*) AS doc_count, CAST(sum(greatest(1, size // 3072)) AS BIGINT) AS chunk_count FROM listing GROUP BY ALL")
 def project_stats(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("source").alias("project")).agg(F.countDistinct("text").alias("doc_count"), F.count("*").alias("chunk_count"), F.round(F.sum(F.octet_length("text")) / 1048576, 2).alias("size_mb"))
+    rows = listing(spark, d).select("path", F.regexp_extract("path", "^/corpus/([^/]*)/", 1).alias("project"), T.estimated_chunks(F.col("size")).alias("chunk_count"))
+    return files.file_counts(rows, "project")
 
 
 @query(f"WITH {_FILES} SELECT regexp_extract(path, '^/corpus/([^/]*)/', 1) AS source, greatest(1, CAST(sum(size) AS BIGINT) // 3072) AS chunks FROM listing GROUP BY ALL")
@@ -369,9 +364,9 @@ def estimate_chunks(spark, d):
     return listing(spark, d).groupBy(F.regexp_extract("path", "^/corpus/([^/]*)/", 1).alias("source")).agg(T.estimated_chunks(F.sum("size")).alias("chunks"))
 
 
-@query(r"""SELECT DISTINCT substr(text, 1, 25) AS name, coalesce(nullif(trim(regexp_replace(regexp_replace(substr(text, 1, 25), '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9_-]', '_', 'g'), '_'), ''), 'project') AS project FROM documents""")
+@query(r"""SELECT DISTINCT text AS name, coalesce(nullif(trim(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9_-]', '_', 'g'), '_'), ''), 'project') AS project FROM documents""")
 def sanitize_names(spark, d):
-    return table(spark, d, "documents").select(F.substring("text", 1, 25).alias("name")).distinct().withColumn("project", T.project_name(F.col("name")))
+    return table(spark, d, "documents").select(F.col("text").alias("name")).distinct().withColumn("project", T.project_name(F.col("name")))
 
 
 @query(r"""WITH p AS (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '/a.PDF' WHEN 1 THEN '/.md' WHEN 2 THEN '/x.tar.gz' ELSE '\b.Txt' END AS path FROM pages), n AS (SELECT page_id, path, regexp_extract(path, '[^/\\]*$') AS name FROM p)
@@ -400,53 +395,51 @@ w AS (SELECT list_distinct(['the', 'tion', 'und', 'of', 'reat', 'e', 'de']) AS w
 r AS (SELECT rows.*, len(list_intersect((SELECT want FROM w), regexp_extract_all(lower(strip_accents(text)), '[\\pL\\pN\\p{{Co}}]+')))::DOUBLE / 7 + 0.1::DOUBLE / (1.0::DOUBLE + len(regexp_extract_all(lower(strip_accents(text)), '[\\pL\\pN\\p{{Co}}]+'))) AS s FROM rows)
 SELECT text, source_file, display_name, page, chunk_index, round(s, 4) AS rerank_score, round(greatest(0, least(1, 1 - distance * distance / 2)), 4) AS vector_similarity
 FROM r WHERE contains(source_file, 'src') ORDER BY s DESC, rrf DESC, vec_rank NULLS LAST, kw_rank NULLS LAST LIMIT 10""")
-def search_end_to_end(spark, d, candidates=hybrid):
-    kept = fusion.SearchFilter(subdirectory="src").apply(candidates(spark, d))
-    return fusion.project_results(kept.withColumn("rerank_score", rerank.lexical_score(QUERY, F.col("text"))), 10)
+def search_end_to_end(spark, d):
+    """What Engine.search runs."""
+    chunks = chunk_table(spark, d)
+    return search.hybrid(chunks, bm25.postings(chunks), bm25.lengths(chunks), QUERY, _vector(spark, d, 5), 10, 75, fusion.SearchFilter(subdirectory="src"))
 
 
 @query("SELECT user_id, event_id, event_type AS status FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY 1 LIMIT 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def newest_active_jobs(spark, d):
+    """Events as jobs of a user; the first two types are the active states."""
     events = table(spark, d, "events")
     active = events.groupBy("event_type").agg(F.lit(1)).orderBy("event_type").limit(2).select("event_type")
-    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return events.join(active, "event_type", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1").select("user_id", "event_id", F.col("event_type").alias("status"))
+    return jobs.newest(events, active, "user_id", "ts", "event_id", "event_type").select("user_id", "event_id", F.col("event_type").alias("status"))
 
 
 @query("""SELECT page_id, CASE WHEN len(regexp_extract_all(a, '[A-Za-z]')) < 50 AND len(regexp_extract_all(b, '[A-Za-z]')) > len(regexp_extract_all(a, '[A-Za-z]')) THEN b ELSE a END AS text
-FROM (SELECT page_id, regexp_replace(substr(html, 1, CAST(page_id % 90 AS INT)), '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(url, '^\\s+|\\s+$', '', 'g') AS b FROM pages)""")
+FROM (SELECT page_id, regexp_replace(html, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(url, '^\\s+|\\s+$', '', 'g') AS b FROM pages)""")
 def page_text_choice(spark, d):
     from tessera.sources.ocr import better_text
 
-    layer = F.col("html").substr(F.lit(1), (F.col("page_id") % 90).cast("int"))
-    return table(spark, d, "pages").select("page_id", better_text(layer, F.col("url")).alias("text"))
+    return table(spark, d, "pages").select("page_id", better_text(F.col("html"), F.col("url")).alias("text"))
 
 
 @query(f"WITH {_FILES} SELECT path, CAST(row_number() OVER (PARTITION BY doc_id % 16 ORDER BY string_split(replace(path, '/d', '/d/'), '/')) AS INT) AS place FROM listing")
 def path_order(spark, d):
-    order = Window.partitionBy(F.col("doc_id") % 16).orderBy(F.split(F.replace("path", F.lit("/d"), F.lit("/d/")), "/"))
-    return listing(spark, d).select("path", F.row_number().over(order).alias("place"))
+    rows = listing(spark, d).withColumn("deep", F.replace("path", F.lit("/d"), F.lit("/d/")))
+    order = Window.partitionBy(F.col("doc_id") % 16).orderBy(files.path_order("deep"))
+    return rows.select("path", F.row_number().over(order).alias("place"))
 
 
 @query(f"WITH {_FILES} SELECT path FROM listing WHERE doc_id % 2 = 0 UNION SELECT path FROM listing WHERE doc_id % 3 = 0")
 def folder_union(spark, d):
+    """Every second and every third document: folders that share files."""
     rows = listing(spark, d)
-    return rows.where("doc_id % 2 = 0").select("path").union(rows.where("doc_id % 3 = 0").select("path")).dropDuplicates(["path"])
+    return files.union([rows.where("doc_id % 2 = 0").select("path"), rows.where("doc_id % 3 = 0").select("path")])
 
 
 @query(f"""WITH {_FILES} SELECT l.path, t.path IS NOT NULL AS known, l.sha1 IN (SELECT sha1 FROM tracked) AS known_content,
   EXISTS (SELECT 1 FROM listing o WHERE regexp_extract(o.path, '[^/]*$') = regexp_extract(l.path, '[^/]*$') AND o.path <> l.path) AS name_taken
 FROM listing l LEFT JOIN tracked t USING (path)""")
 def file_lookups(spark, d):
-    rows, old = listing(spark, d), tracked(spark, d)
-    name = T.basename(F.col("path"))
-    taken = rows.groupBy(name.alias("name")).agg(F.countDistinct("path").alias("n"))
-    out = rows.withColumn("name", name).join(old.select("path", F.lit(True).alias("known")), "path", "left").join(old.select("sha1").distinct().withColumn("known_content", F.lit(True)), "sha1", "left").join(taken, "name")
-    return out.select("path", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("known_content", F.lit(False)).alias("known_content"), (F.col("n") > 1).alias("name_taken"))
+    return files.lookups(listing(spark, d), tracked(spark, d))
 
 
 @query(f"""WITH {_TERMS},
-q AS (SELECT item_id AS query_id, x AS term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\pL\\pN\\p{{Co}}]+')) AS x FROM benchmark WHERE item_id < 20) GROUP BY ALL),
+q AS (SELECT item_id AS query_id, x AS term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\pL\\pN\\p{{Co}}]+')) AS x FROM benchmark) GROUP BY ALL),
 df AS (SELECT term, count(*) AS n FROM post GROUP BY term),
 fact AS (SELECT count(*) AS total, sum(dl) / count(*) AS mean FROM len),
 bm AS (
@@ -454,44 +447,36 @@ bm AS (
     * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / f.mean))) AS bm25
   FROM post p JOIN q USING (term) JOIN df d USING (term) JOIN len l USING (chunk_id) CROSS JOIN fact f GROUP BY ALL),
 kr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), chunk_id) AS kw_rank FROM bm QUALIFY kw_rank <= 25),
-vr AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DISTANCE}, e.vec_id) AS vec_rank FROM embeddings e, embeddings q WHERE q.vec_id < 20 QUALIFY vec_rank <= 25),
+vr AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DISTANCE}, e.vec_id) AS vec_rank FROM embeddings e, embeddings q QUALIFY vec_rank <= 25),
 f AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + kw_rank), 0) AS rrf, vec_rank FROM vr FULL OUTER JOIN kr USING (query_id, chunk_id))
 SELECT query_id, chunk_id, round(rrf, 9) AS rrf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, vec_rank NULLS LAST, chunk_id) AS INT) AS rank FROM f QUALIFY rank <= 5""")
 def hybrid_batch(spark, d):
-    return fused_batch(spark, d, "vec_id < 20", "item_id < 20")
-
-
-def fused_batch(spark, d, asked_vectors: str, asked_items: str) -> DataFrame:
+    """All vectors and all items are asked; vectors and items of one number are one query."""
     docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
-    asked = [(r[0], r[1]) for r in vectors.where(asked_vectors).select("vec_id", "embedding").orderBy("vec_id").collect()]
+    asked = [(r[0], r[1]) for r in vectors.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()]
     v = knn.batch_search(vectors.withColumnRenamed("vec_id", "chunk_id"), asked, 25)
-    w = bm25.top(bm25.scores(bm25.postings(docs, "doc_id"), bm25.lengths(docs, "doc_id"), table(spark, d, "benchmark").where(asked_items), "item_id", "text"), 25)
+    w = bm25.top(bm25.scores(bm25.postings(docs, "doc_id"), bm25.lengths(docs, "doc_id"), table(spark, d, "benchmark"), "item_id", "text"), 25)
     return fusion.fuse_many(v, w, 5).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), "rank")
 
 
-@query(SQL["hybrid_batch"].replace(" WHERE item_id < 20", "").replace(" WHERE q.vec_id < 20", ""))
-def hybrid_batch_all(spark, d):
-    """As hybrid_batch, of all vectors and all items."""
-    return fused_batch(spark, d, "embedding is not null", "item_id is not null")
-
-
-def _over_all_documents(f: Callable[..., DataFrame]) -> None:
-    name = f"{f.__name__}_all"
-    QUERIES[name] = lambda spark, d: f(spark, d, hybrid_all)
-    SQL[name] = SQL[f.__name__].replace(" WHERE doc_id IN (SELECT vec_id FROM embeddings)", "")
-
-
-for _f in (rrf_fusion, hybrid_filtered, kw_only_similarity_one, search_end_to_end):
-    _over_all_documents(_f)
+def odd_vectors(spark, d) -> DataFrame:
+    """Embeddings of which every fifth is null, every seventh is cut short and every eleventh holds a null."""
+    v, n = F.col("embedding"), F.col("vec_id")
+    return table(spark, d, "embeddings").select("vec_id", F.when(n % 5 == 1, F.lit(None)).when(n % 7 == 2, F.slice(v, 1, 60)).when(n % 11 == 3, F.transform(v, lambda x, i: F.when(i != 9, x))).otherwise(v).alias("embedding"))
 
 
-@query(SQL["sanitize_names"].replace("substr(text, 1, 25)", "text"))
-def sanitize_names_whole(spark, d):
-    return table(spark, d, "documents").select(F.col("text").alias("name")).distinct().withColumn("project", T.project_name(F.col("name")))
+@query(f"""WITH e AS (SELECT * FROM embeddings WHERE vec_id % 5 <> 1 AND vec_id % 7 <> 2 AND vec_id % 11 <> 3)
+SELECT vec_id, round(dist, 9) AS distance, CAST(row_number() OVER (ORDER BY dist, vec_id) AS INT) AS rank, round(greatest(0, least(1, 1 - dist * dist / 2)), 9) AS score
+FROM (SELECT e.vec_id, {_DISTANCE} AS dist FROM e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q) ORDER BY dist, vec_id LIMIT 20""")
+def knn_odd_vectors(spark, d):
+    found = knn.search(odd_vectors(spark, d), _vector(spark, d, 7), 20, "vec_id")
+    return found.select("vec_id", F.round("distance", 9).alias("distance"), "rank", F.round("score", 9).alias("score"))
 
 
-@query(SQL["page_text_choice"].replace("substr(html, 1, CAST(page_id % 90 AS INT))", "html"))
-def page_text_choice_whole(spark, d):
-    from tessera.sources.ocr import better_text
-
-    return table(spark, d, "pages").select("page_id", better_text(F.col("html"), F.col("url")).alias("text"))
+@query(f"""WITH e AS (SELECT * FROM embeddings WHERE vec_id % 5 <> 1 AND vec_id % 7 <> 2 AND vec_id % 11 <> 3)
+SELECT query_id, vec_id, round(dist, 9) AS distance, CAST(rank AS INT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DISTANCE} AS dist FROM e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
+def knn_batch_odd_vectors(spark, d):
+    """The stated queries, every hundredth vector, against all that have a distance."""
+    asked = [(r[0], r[1]) for r in table(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding").orderBy("vec_id").collect()]
+    return knn.batch_search(odd_vectors(spark, d), asked, 10, "vec_id").select("query_id", "vec_id", F.round("distance", 9).alias("distance"), "rank")

@@ -16,8 +16,7 @@ def test_against_sql(spark, data, con, name):
 
 def test_the_whole_batch_asks_every_vector_and_item(spark, data):
     ids = {r[0] for name, key in (("embeddings", "vec_id"), ("benchmark", "item_id")) for r in spark.read.parquet(f"{data}/{name}.parquet").select(key).collect()}
-    assert {r[0] for r in queries.QUERIES["hybrid_batch_all"](spark, data).select("query_id").distinct().collect()} == ids
-    assert "item_id < 20" not in queries.SQL["hybrid_batch_all"] and "vec_id < 20" not in queries.SQL["hybrid_batch_all"]
+    assert {r[0] for r in queries.QUERIES["hybrid_batch"](spark, data).select("query_id").distinct().collect()} == ids
 
 
 def test_keywords_find_documents_without_a_vector(spark, data, tmp_path):
@@ -26,14 +25,14 @@ def test_keywords_find_documents_without_a_vector(spark, data, tmp_path):
             (tmp_path / f"{name}.parquet").symlink_to(f"{data}/{name}.parquet")
     spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id < 50").write.parquet(str(tmp_path / "embeddings.parquet"))
     few = connection(str(tmp_path))
-    for name in ("rrf_fusion_all", "hybrid_filtered_all", "kw_only_similarity_one_all", "search_end_to_end_all"):
+    for name in ("rrf_fusion", "hybrid_filtered", "kw_only_similarity_one", "search_end_to_end"):
         compare(queries.QUERIES[name](spark, str(tmp_path)), few, queries.SQL[name])
-    assert queries.QUERIES["rrf_fusion_all"](spark, str(tmp_path)).where("chunk_id >= 50").count() > 0
+    assert queries.QUERIES["rrf_fusion"](spark, str(tmp_path)).where("chunk_id >= 50").count() > 0
 
 
 def test_whole_texts_are_read(spark, data):
-    assert queries.QUERIES["sanitize_names_whole"](spark, data).where("length(name) > 25").count() > 0
-    assert queries.QUERIES["page_text_choice_whole"](spark, data).where("length(text) > 89").count() > 0
+    assert queries.QUERIES["sanitize_names"](spark, data).where("length(name) > 25").count() > 0
+    assert queries.QUERIES["page_text_choice"](spark, data).where("length(text) > 89").count() > 0
 
 
 def test_entry_points(spark):
