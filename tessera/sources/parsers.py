@@ -11,6 +11,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 Block = tuple[str, int | None]
@@ -97,17 +98,27 @@ def _related(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
     return out
 
 
-def _drawn(node) -> list[str]:
-    """Texts of a slide's shapes: paragraphs, and table rows."""
-    found = []
-    for shape in node.iter():
-        if shape.tag == f"{_P}txBody":
-            found += [s for p in shape.findall(f"{_A}p") if (s := "".join(t.text or "" for t in p.iter(f"{_A}t")).strip())]
-        elif shape.tag == f"{_A}tr":
-            line = _cells("".join(t.text or "" for t in c.iter(f"{_A}t")) for c in shape.findall(f"{_A}tc"))
-            if line:
-                found.append(line)
-    return found
+def _drawn(shape) -> str:
+    """A slide shape's paragraphs, or its table's rows, by line."""
+    found = [s for body in shape.findall(f"{_P}txBody") for p in body.findall(f"{_A}p") if (s := "".join(t.text or "" for t in p.iter(f"{_A}t")).strip())]
+    for row in shape.iter(f"{_A}tr"):
+        line = _cells("".join(t.text or "" for t in c.iter(f"{_A}t")) for c in row.findall(f"{_A}tc"))
+        if line:
+            found.append(line)
+    return "\n".join(found)
+
+
+def _notes(z: zipfile.ZipFile, part: str) -> str:
+    """A slide's speaker notes; those that can't be read are none."""
+    try:
+        for target, kind in _related(z, part).values():
+            if kind == "notesSlide":
+                root = ElementTree.fromstring(z.read(target))
+                bodies = [s for s in root.iter(f"{_P}sp") if (ph := s.find(f"{_P}nvSpPr/{_P}nvPr/{_P}ph")) is not None and ph.get("type") == "body"]
+                return "\n".join(x for s in bodies if (x := _drawn(s)))
+    except (KeyError, ElementTree.ParseError):
+        pass
+    return ""
 
 
 def parse_pptx(content: bytes) -> Iterator[Block]:
@@ -116,14 +127,10 @@ def parse_pptx(content: bytes) -> Iterator[Block]:
         rels = _related(z, deck)
         order = [rels[s.get(f"{_R}id")][0] for s in ElementTree.fromstring(z.read(deck)).iter(f"{_P}sldId")]
         for number, part in enumerate(order, 1):
-            parts = _drawn(ElementTree.fromstring(z.read(part)))
-            for target, kind in _related(z, part).values():
-                if kind == "notesSlide":
-                    root = ElementTree.fromstring(z.read(target))
-                    bodies = [s for s in root.iter(f"{_P}sp") if (ph := s.find(f"{_P}nvSpPr/{_P}nvPr/{_P}ph")) is not None and ph.get("type") == "body"]
-                    notes = "\n".join(x for s in bodies for x in _drawn(s))
-                    if notes:
-                        parts.append(f"[Speaker notes]\n{notes}")
+            tree = ElementTree.fromstring(z.read(part)).find(f"{_P}cSld/{_P}spTree")
+            parts = [x for shape in (tree if tree is not None else ()) if shape.tag in (f"{_P}sp", f"{_P}graphicFrame") and (x := _drawn(shape))]
+            if notes := _notes(z, part):
+                parts.append(f"[Speaker notes]\n{notes}")
             if parts:
                 yield "\n\n".join(parts), number
 
@@ -135,27 +142,84 @@ def _column(ref: str) -> int:
     return n
 
 
+# Fixed values of the file format: numbers of its own formats that show dates or times, and of elapsed time.
+_DATES = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+_ELAPSED = {46}
+
+
+def _date_styles(z: zipfile.ZipFile) -> tuple[set[int], set[int]]:
+    """Cell styles that show dates or times, and those that show elapsed time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set(), set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    dates, elapsed = set(_DATES), set(_ELAPSED)
+    for f in root.iter(f"{_S}numFmt"):
+        number, shown = int(f.get("numFmtId", "-1")), re.sub(r'"[^"]*"|\\.|_.', "", f.get("formatCode", "").split(";")[0].lower())
+        dates.discard(number)
+        if re.search(r"\[(h+|m+|s+)\]", shown):
+            elapsed.add(number)
+        elif re.search("[dmyhs]", re.sub(r"\[[^\]]*\]", "", shown)) and "general" not in shown:
+            dates.add(number)
+    styles = [int(x.get("numFmtId", "0")) for x in root.findall(f"{_S}cellXfs/{_S}xf")]
+    return {k for k, n in enumerate(styles) if n in dates}, {k for k, n in enumerate(styles) if n in elapsed}
+
+
+def _number(v: str) -> str:
+    """As Python shows it: whole numbers without a point if they are written so."""
+    try:
+        return str(int(v))
+    except ValueError:
+        return str(float(v))
+
+
+def _moment(v: float, elapsed: bool, epoch: datetime) -> str:
+    """A serial number of days as a date and time, a time of day under one, or a length of time."""
+    past = timedelta(milliseconds=round(v * 86_400_000))
+    if elapsed:
+        return str(past)
+    if 0 <= v < 1 and past.days == 0:
+        return str((epoch + past).time())
+    # the format counts a 29 February 1900 that never was
+    return str(epoch + past + timedelta(days=1 if 0 < v < 60 and epoch.year == 1899 else 0))
+
+
+def _value(c, shared: list[str], styles: tuple[set[int], set[int]], epoch: datetime) -> str:
+    v, kind = c.findtext(f"{_S}v"), c.get("t", "n")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in c.iter(f"{_S}t"))
+    if v is None:
+        return ""
+    if kind == "s":
+        return shared[int(v)]
+    if kind == "b":
+        return str(v == "1")
+    if kind == "d":
+        return str(datetime.fromisoformat(v))
+    if kind != "n":
+        return v
+    style = int(c.get("s", "0"))
+    try:
+        return _moment(float(v), style in styles[1], epoch) if style in styles[0] | styles[1] else _number(v)
+    except (ValueError, OverflowError):
+        return v
+
+
 def parse_xlsx(content: bytes) -> Iterator[Block]:
-    """Values, as they were last computed; whole numbers without a fraction."""
+    """Values, as they were last computed; dates and times by their cells' formats."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_S}si")]
         book = "xl/workbook.xml"
-        rels = _related(z, book)
-        for sheet in ElementTree.fromstring(z.read(book)).iter(f"{_S}sheet"):
+        rels, styles, root = _related(z, book), _date_styles(z), ElementTree.fromstring(z.read(book))
+        options = root.find(f"{_S}workbookPr")
+        epoch = datetime(1904, 1, 1) if options is not None and options.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
+        for sheet in root.iter(f"{_S}sheet"):
             lines = []
             for row in ElementTree.fromstring(z.read(rels[sheet.get(f"{_R}id")][0])).iter(f"{_S}row"):
                 cells = []
                 for c in sorted(row.findall(f"{_S}c"), key=lambda c: _column(c.get("r", ""))):
-                    v, kind = c.findtext(f"{_S}v"), c.get("t")
-                    if kind == "inlineStr":
-                        v = "".join(t.text or "" for t in c.iter(f"{_S}t"))
-                    elif kind == "s" and v is not None:
-                        v = shared[int(v)]
-                    elif kind == "b" and v is not None:
-                        v = str(v == "1")
-                    cells.append(v or "")
+                    cells.append(_value(c, shared, styles, epoch))
                 if line := _cells(cells):
                     lines.append(line)
             if lines:

@@ -54,6 +54,36 @@ def test_xlsx_sheets():
     assert list(parsers.Registry().parse("x.xlsm", content)) == [("[Sheet: Q1]\nname | value\nx | 1.5 | 2", None)]
 
 
+def test_xlsx_dates_and_numbers():
+    formats = '<numFmts><numFmt numFmtId="170" formatCode="[h]:mm"/><numFmt numFmtId="171" formatCode="yyyy&quot;d&quot;"/><numFmt numFmtId="172" formatCode="0.0&quot; days&quot;"/></numFmts>'
+    ids = (0, 14, 22, 170, 171, 172, 18)
+    cells = [(45292, 1), (45292.75, 2), (1.5, 3), (60.0, 4), ("1E-3", 5), ("0.10000000000000001", 0), (12, 0), ("12.0", 0), (0.25, 6), (59, 1)]
+    row = "".join(f'<c r="{chr(65 + k)}1" s="{s}"><v>{v}</v></c>' for k, (v, s) in enumerate(cells))
+    parts = {
+        "xl/workbook.xml": f'<workbook {S}><sheets><sheet name="D" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships {REL}><Relationship Id="r1" Type="{TYPE}worksheet" Target="worksheets/s1.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {S}>{formats}<cellXfs>' + "".join(f'<xf numFmtId="{n}"/>' for n in ids) + "</cellXfs></styleSheet>",
+        "xl/worksheets/s1.xml": f'<worksheet {S}><sheetData><row>{row}<c r="Z1" t="d"><v>2024-02-03</v></c><c r="AB1" t="e"><v>#N/A</v></c></row></sheetData></worksheet>',
+    }
+    want = ["2024-01-01 00:00:00", "2024-01-01 18:00:00", "1 day, 12:00:00", "1900-02-28 00:00:00", "0.001", "0.1", "12", "12.0", "06:00:00", "1900-02-28 00:00:00", "2024-02-03 00:00:00", "#N/A"]
+    assert list(parsers.Registry().parse("x.xlsx", archive(parts))) == [("[Sheet: D]\n" + " | ".join(want), None)]
+    parts["xl/workbook.xml"] = f'<workbook {S}><workbookPr date1904="1"/><sheets><sheet name="D" sheetId="1" r:id="r1"/></sheets></workbook>'
+    assert "2028-01-02 00:00:00" in list(parsers.Registry().parse("x.xlsx", archive(parts)))[0][0]
+
+
+def test_pptx_paragraphs_groups_and_broken_notes():
+    para = lambda t: f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>"
+    shape = f"<p:sp><p:txBody>{para('One')}{para(' ')}{para('Two')}</p:txBody></p:sp>"
+    content = archive({
+        "ppt/presentation.xml": f'<p:presentation {P}><p:sldIdLst><p:sldId id="1" r:id="r1"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": f'<Relationships {REL}><Relationship Id="r1" Type="{TYPE}slide" Target="slides/slide1.xml"/></Relationships>',
+        "ppt/slides/slide1.xml": f"<p:sld {P}><p:cSld><p:spTree>{shape}<p:grpSp>{shape}</p:grpSp>{shape}</p:spTree></p:cSld></p:sld>",
+        "ppt/slides/_rels/slide1.xml.rels": f'<Relationships {REL}><Relationship Id="n" Type="{TYPE}notesSlide" Target="../notesSlides/notes1.xml"/></Relationships>',
+        "ppt/notesSlides/notes1.xml": "<broken",
+    })
+    assert list(parsers.Registry().parse("x.pptx", content)) == [("One\nTwo\n\nOne\nTwo", 1)]
+
+
 def test_pdf_takes_the_better_of_text_and_ocr():
     long = "word " * 20
     registry = parsers.Registry(pdf_pages=lambda c: [long, "few", "", "ab"], ocr_page=lambda c, k: {1: "many more letters", 2: "", 3: "x"}[k])
