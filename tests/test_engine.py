@@ -147,3 +147,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--home", home, "search", "p", "alpha"]) == 0
     assert '"display_name":"a.txt"' in capsys.readouterr().out
     assert main(["version"]) == 0
+
+
+def test_point_lookups(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "home"))
+    a = write(tmp_path / "a", one__txt="Alpha beta gamma.", two__txt="Delta epsilon.")
+    run(engine, engine.index_project(a, "docs"))
+    p = engine.project("docs")
+    one = p.file_by_path(f"{a}/one.txt")
+    assert one["display_name"] == "one.txt" and p.file_by_hash(one["sha1"])["path"] == one["path"]
+    assert p.file_by_path(f"{a}/three.txt") is None and p.file_by_hash("none") is None
+    assert p.name_in_use("one.txt") and p.name_in_use("one.txt", f"{a}/two.txt") and not p.name_in_use("one.txt", one["path"])
+    assert p.has_source(a) and not p.has_source(str(tmp_path))
+    p.set_setting("model", "hash")
+    assert p.setting("model") == "hash" and p.setting("none", "x") == "x"
