@@ -41,3 +41,32 @@ p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n_
 SELECT conv_id, n_turns, n_copies, CAST(0 AS INT) AS part, CAST(1 AS INT) AS n_parts, rendered
 FROM u WHERE turns NOT IN (SELECT turns FROM p)
 """
+
+
+def _vector_codes() -> str:
+    """The rounds one after another, each assigning all parts to all entries."""
+    gap = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT"
+    steps = [
+        """WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, j, x[j * (len(x) // 8) + 1 : (j + 1) * (len(x) // 8)] AS x FROM v, range(8) r(j)),
+b0 AS MATERIALIZED (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16))"""
+    ]
+    for k in range(7):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT p.vec_id, p.label, p.j, p.x, min({{'d': {gap}, 'e': b.e}}) AS best FROM p JOIN b{k} b ON p.j = b.j GROUP BY ALL)")
+        if k < 6:
+            steps.append(f"""u{k} AS (SELECT j, e, i, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM (SELECT j, best.e AS e, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY ALL),
+m{k} AS (SELECT j, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM u{k} GROUP BY j, e),
+b{k + 1} AS MATERIALIZED (SELECT b{k}.j, b{k}.e, coalesce(m{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN m{k} ON b{k}.j = m{k}.j AND b{k}.e = m{k}.e)""")
+    return (
+        ",\n".join(steps)
+        + """,
+c AS (SELECT vec_id, label, string_agg(lpad(lower(hex(best.e)), 2, '0'), '' ORDER BY j) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a6 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY j, e)) FROM b6) AS codebooks_sha256
+FROM c"""
+    )
+
+
+SQL["op12_vector_codes"] = _vector_codes()

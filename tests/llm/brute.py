@@ -107,3 +107,37 @@ def components(docs):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return [(d, len(s), None if d is None else root(d)) for d, s in sets]
+
+
+def vector_codes(rows):
+    """rows: (vec_id, vector, label), all of one length. In Python's integers and fractions."""
+    from fractions import Fraction
+    from math import floor
+
+    good = [(i, [floor(4096 * Fraction(c)) for c in v], x) for i, v, x in rows if v and all(c is not None and c == c and abs(c) != float("inf") for c in v)]
+    if not good:
+        return []
+    good.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    d = len(good[0][1])
+    part = lambda v, j: v[j * d // 8 : (j + 1) * d // 8]
+    books = [[part(v, j) for _, v, _ in good[:16]] for j in range(8)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+
+    def assign():
+        return [[min(range(len(books[j])), key=lambda e: (far(part(v, j), books[j][e]), e)) for j in range(8)] for _, v, _ in good]
+
+    for _ in range(6):
+        codes = assign()
+        for j in range(8):
+            for e in range(len(books[j])):
+                mine = [part(v, j) for (_, v, _), c in zip(good, codes) if c[j] == e]
+                if mine:
+                    books[j][e] = [sum(c) // len(mine) for c in zip(*mine)]
+    codes = assign()
+    errors = [sum(far(part(v, j), books[j][c[j]]) for j in range(8)) for (_, v, _), c in zip(good, codes)]
+    held = lambda n: min(n, (1 << 63) - 1)
+    name = sha(",".join(str(c) for b in books for e in b for c in e).encode())
+    total = {}
+    for (_, _, x), n in zip(good, errors):
+        total[x] = total.get(x, 0) + held(n)
+    return [(i, "".join(f"{e:02x}" for e in c), held(n), held(total[x]), name) for (i, _, x), c, n in zip(good, codes, errors)]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, common, decontaminate, jaccard, langid, line_dedup, mixing, suffix_dedup, token_count, toxicity
+from tessera.llm import ann, chat, common, decontaminate, jaccard, langid, line_dedup, mixing, suffix_dedup, token_count, toxicity, vector_codes
 from tests.llm import brute
 
 WORDS = [a + b for a in ("ra", "to", "mi", "que", "ñe", "lo", "Sa") for b in ("n", "ti", "ro", "la", "ks", "ü", "po", "der", "gh")]
@@ -650,6 +650,48 @@ def test_op10_signatures_meet_for_every_linked_pair():
                     assert any(ask for k, ask, _ in a | b if k in keys)
 
 
+CODES = ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+
+
+@pytest.mark.parametrize("d,kind,size", [(16, "float", 1.0), (20, "double", 1.0), (5, "float", 3.0), (16, "double", 1e7), (8, "double", 1e301)])
+def test_op12_codes(spark, d, kind, size):
+    rng = np.random.default_rng(d)
+    made = rng.normal(size=(120, d)) * size
+    made[40:60] = made[5]  # copies: entries that nothing is nearest to stay as they are
+    made[60:70] = np.round(made[60:70])
+    if kind == "float":
+        made = made.astype(np.float32)
+    rows = [(int(i) * 7 % 131, v.tolist(), [None, 1, 2][i % 3]) for i, v in enumerate(made)]
+    rows += [rows[3], (None, rows[4][1], 1), (200, None, 1), (201, [None] * d, 1), (202, [float("nan")] * d, 2), (203, [float("inf")] + [0.0] * (d - 1), 2), (204, [0.0] * d, None)]
+    odd = [(300, [1.0], 1), (301, [], None)]
+    full = [(i, v, x, "c", 1, 2, "s") for i, v, x in rows + odd]
+    df = spark.createDataFrame(full, f"vec_id long, embedding array<{kind}>, label int, code string, error int, d int, v string").repartition(5)
+    same(vector_codes.compress(df), brute.vector_codes(rows), CODES)
+
+
+def test_op12_few_rows_and_none(spark):
+    kinds = "vec_id long, embedding array<float>, label int"
+    rows = [(3, [0.5] * 8, None), (1, [0.25] * 8, 4)]
+    same(vector_codes.compress(spark.createDataFrame(rows, kinds)), brute.vector_codes(rows), CODES)
+    empty = vector_codes.compress(spark.createDataFrame([], kinds))
+    assert empty.count() == 0 and empty.columns == CODES
+    assert vector_codes.compress(spark.createDataFrame([(1, None, 2)], kinds)).count() == 0
+
+
+def test_op12_partial_distances_and_limbs():
+    rng = np.random.default_rng(3)
+    for exact in (False, True):
+        x, book = rng.integers(-3, 4, (300, 5)), rng.integers(-3, 4, (16, 5))
+        if exact:
+            x, book = x.astype(object) * 10**30, book.astype(object) * 10**30
+        code, error = vector_codes.nearest(x, book)
+        all_ = ((x[:, None] - book[None]) ** 2).sum(2)
+        assert code.tolist() == [min(range(16), key=lambda e: (r[e], e)) for r in all_.tolist()] and error.tolist() == all_.min(1).tolist()
+    assert vector_codes.by_variance(np.array([[0, 5, 1], [0, -5, 2]])).tolist() == [1, 2, 0]
+    for n in (0, 1, -1, 2**31, -(2**31) - 1, 2**63, -(10**40), 10**320):
+        assert sum(v << 32 * k for _, k, v in vector_codes._limbs(np.array([0]), np.array([n], object))) == n
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert line_dedup.repeated_units(none).count() == suffix_dedup.removed_spans(none).count() == jaccard.jaccard_components(none).count() == 0

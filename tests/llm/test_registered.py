@@ -11,7 +11,7 @@ def queries():
     return q.queries()
 
 
-@pytest.mark.parametrize("name", ["op6_source_mixing", "op7_chat_formatting"])
+@pytest.mark.parametrize("name", ["op6_source_mixing", "op7_chat_formatting", "op12_vector_codes"])
 def test_against_sql(spark, data, queries, name):
     from tessera.llm.oracles import SQL
 
