@@ -14,7 +14,8 @@ which linked sets have nearly alike. A set whose tokens fall into too few segmen
 Signatures travel as packed arrays per batch and bucket; of many sets of a batch with one signature the smallest goes for all.
 Equal sets are one class, for which the smallest id stands. Groups of equal signatures are not expanded into pairs: their members are
 verified exactly against a few leaders, components are formed of the labels that links join, and so on in turns as long as that finds
-much; then all pairs of a group that are still in different components are verified. In all turns, pairs that differ too much by size
+much. Sets of groups that are still in different components then meet by the tokens of their prefixes, rarest first: linked sets
+share one, and members of a crowd that have only its passage in common don't. In all turns, pairs that differ too much by size
 or by their parity bitmaps are left out before, which no linked pair does. So no link that decides a component is lost. Staged
 tables are deleted when their last reader is done.
 
@@ -239,18 +240,30 @@ def _pack(k: int, ids: np.ndarray, sig: np.ndarray, own: np.ndarray):
 
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("sigs", pa.binary())])
-_FOUND = "kind int, gid long, doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{b} long" for b in BITS)
+PACKED = "bucket int, kind int, ids binary, counts binary, sigs binary"
+FOUND = "kind int, gid long, doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def _to_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
 
-def _sign(k: int, seed: int, common, again):
-    """mapInArrow over (doc_id, text): packed signatures of a batch, and its documents' sizes and set hashes (kind 1)."""
+def partitions(seed: int, common):
+    """Signatures by universe partition, in the schemes of a set's own band and the next."""
+
+    def make(tokens: np.ndarray, text: np.ndarray, size: np.ndarray, probing: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for upper in (False, True):
+            yield signatures(tokens, text, size, upper, seed, common.value, probing)
+
+    return make
+
+
+def signed(k: int, seed: int, make, again=()):
+    """mapInArrow over (doc_id, text): packed signatures of a batch, and its documents' sizes and set hashes (kind 1).
+
+    make(tokens, texts, sizes, probing) yields (signatures, their texts, texts that could not be signed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = common.value
         for b in regrouped(batches):
             if not b.num_rows:
                 continue
@@ -278,13 +291,11 @@ def _sign(k: int, seed: int, common, again):
                 if len(tokens):
                     live = np.isin(text, np.flatnonzero([seen[int(x), int(y)] == t + first for t, (x, y) in enumerate(zip(s1, s2, strict=True))]))
                     lt, lx = tokens[live], text[live]
-                    for upper in (False, True):
-                        if len(lt):
-                            sig, own, bad = signatures(lt, lx, np.bincount(lx, minlength=len(size)), upper, seed, frequent, probing)
-                            sigs.append(sig)
-                            owns.append(own + first)
-                            held += len(sig)
-                            fail |= bad
+                    for sig, own, bad in make(lt, lx, np.bincount(lx, minlength=len(size)), probing) if len(lt) else ():
+                        sigs.append(sig)
+                        owns.append(own + first)
+                        held += len(sig)
+                        fail |= bad
                 info = (int(mine[0]) * 7919 + seed & 0x7FFFFFFF) % k, 1, mine.tobytes(), np.where(fail, -1 - size, size).astype(np.int64).tobytes(), s1.tobytes() + s2.tobytes() + bitmaps(hashed, text, len(size)).tobytes()
                 yield _to_batch([info])
                 if held > FLUSH:
@@ -296,7 +307,7 @@ def _sign(k: int, seed: int, common, again):
     return run
 
 
-def _match(table: pa.Table) -> pa.Table:
+def matched(table: pa.Table) -> pa.Table:
     """One bucket: kind 0 rows (gid, doc_id) of the groups of signatures that ask; kind 1 rows of the documents."""
     sigs, ids, info, crowds = [], [], [], []
     for kind, i, c, s in zip(*[table.column(x).to_pylist() for x in ("kind", "ids", "counts", "sigs")], strict=True):
@@ -351,7 +362,7 @@ def levels_of(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.where(known[at] == tokens, level[at], U64(0))
 
 
-def _frequent(rows: DataFrame, count: int) -> np.ndarray:
+def frequent_tokens(rows: DataFrame, count: int) -> np.ndarray:
     """Tokens in FREQUENT or more of about SAMPLE sampled documents, ascending, and in a second row their levels, one more with
     each factor of LEVEL; only a cost estimate, no result depends on it."""
 
@@ -393,7 +404,7 @@ def _arrow_bytes(spark: SparkSession, n: int):
         spark.conf.set(name, old)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The rows of pairs (a, b, la, lb) whose sets link, by exact intersection."""
 
     def run(batches):
@@ -402,14 +413,14 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(b.column(4), b.column(5), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both > 0 and DEN * both >= NUM * (len(p) + len(q) - both))
+                keep.append(both > 0 and den * both >= num * (len(p) + len(q) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1, 2, 3])
             del b
             trim()
 
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(t)) for k, t in (("a", "p"), ("b", "q")))
     with _arrow_bytes(pairs.sparkSession, BATCH_BYTES):
-        found = stage_table(pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "p", "q").mapInArrow(run, "a long, b long, la long, lb long"), "links", pairs.count())
+        found = stage_table(pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "p", "q").mapInArrow(run, "a long, b long, la long, lb long"), "links")
     drop_table(pairs)
     return found
 
@@ -431,10 +442,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _plausible() -> Column:
+def _plausible(num: int, den: int) -> Column:
     """Whether the sets a and b may link: other sizes, or more differing bits than linked sets can have, rule it out."""
     differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in BITS), F.lit(0))
-    return (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")) & (9 * differ <= F.col("na") + F.col("nb"))
+    return (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & ((num + den) * differ <= (den - num) * (F.col("na") + F.col("nb")))
+
+
+def _prefixes(num: int, den: int, common):
+    """mapInArrow over (doc_id, n, label, BITS, tokens): the last column becomes the first tokens of the set, the rarest first.
+
+    A linked set has at least num / den of a set's tokens, so of n - ceil(n * num / den) + 1 tokens, in an order that all sets
+    share, linked sets have one in common.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x in b.column(b.num_columns - 1):
+                tokens = np.frombuffer(x.as_buffer(), np.uint64)
+                keep = len(tokens) - -(-len(tokens) * num // den) + 1
+                # a bijection of the tokens' bits, so that the order has no ties
+                rank = levels_of(tokens, common.value) << U64(TOKEN_BITS) | tokens * U64(0x9E3779B97F4A7C15) & _MASK
+                out.append(tokens[np.argpartition(rank, keep - 1)[:keep]] if keep < len(tokens) else tokens)
+            cut = np.concatenate([[0], np.cumsum([len(t) for t in out])]).astype(np.int32)
+            flat = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], [*b.schema.names[:-1], "prefix"])
+            trim()
+
+    return run
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
@@ -443,27 +478,32 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("lb")).otherwise(F.col("la")).alias("la"), F.when(turned, F.col("la")).otherwise(F.col("lb")).alias("lb")).distinct()
 
 
-def _linked_labels(members: DataFrame, sets: DataFrame) -> DataFrame:
+def linked_labels(members: DataFrame, sets: DataFrame, num: int, den: int, common) -> DataFrame:
     """doc_id and label of the documents that are in a component with another; members: gid, doc_id, n, BITS, label."""
-    spark, labels, turn, size = members.sparkSession, None, 0, members.count()
+    labels, turn, size = None, 0, members.count()
     member = [F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), *BITS]
     partner = [F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), *[F.col(b).alias(f"{b}_") for b in BITS]]
+    apart = (F.col("la") != F.col("lb")) & _plausible(num, den)
     last = False
     while True:
         if not last:
             # the first members in this turn's orders lead: of clusters in a group, large ones are met first
             by = [F.max_by(F.struct(*partner), F.xxhash64("doc_id", F.lit(turn * LEADERS + k))) for k in range(LEADERS)]
             led = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(F.array(*by)).alias("leaders")).where("low <> high")
-            left, right = members, stage_table(led.select("gid", F.inline("leaders")), "leaders", size * LEADERS)
+            right = stage_table(led.select("gid", F.inline("leaders")), "leaders", size * LEADERS)
+            pairs = members.select("gid", *member).join(right, "gid").where(apart)
         else:
-            # all that is still apart: the other components' members against all
-            mixed = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "doc_id").alias("main")).where("low <> high").select("gid", "main")
-            open_ = stage_table(members.join(stage_table(mixed, "mixed", size), "gid"), "open")
-            left, right = open_.where("label <> main"), open_.select("gid", *partner)
-        pairs = left.select("gid", *member).join(right, "gid").where((F.col("la") != F.col("lb")) & _plausible())
+            # all that is still apart in some group meets by prefixes, where what a crowd has in common stands last
+            mixed = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
+            open_ = members.join(stage_table(mixed, "mixed", size), "gid", "left_semi").drop("gid").distinct()
+            kinds = "doc_id long, n long, label long, " + ", ".join(f"{b} long" for b in BITS) + ", prefix array<long>"
+            with _arrow_bytes(members.sparkSession, BATCH_BYTES):
+                right = stage_table(open_.join(sets.select("doc_id", "tokens"), "doc_id").select("doc_id", "n", "label", *BITS, "tokens").mapInArrow(_prefixes(num, den, common), kinds), "prefixes")
+            left, other = (right.select(*c, F.explode("prefix").alias("token")) for c in (member, partner))
+            pairs = left.join(other, "token").where((F.col("a") < F.col("b")) & apart)
         pairs = stage_table(_in_order(pairs), "pairs")
-        drop_table(right if not last else open_)
-        links = _verify(pairs, sets)
+        drop_table(right)
+        links = _verify(pairs, sets, num, den)
         found = links.count()
         if found:
             moves = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -474,6 +514,7 @@ def _linked_labels(members: DataFrame, sets: DataFrame) -> DataFrame:
             if not last:
                 old, members = members, stage_table(moved(members).select("gid", "doc_id", "n", *BITS, "label"), "members")
                 drop_table(old)
+        drop_table(links)
         if last:
             return labels
         last, turn = found * YIELD <= size, turn + 1
@@ -485,17 +526,25 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = rows.where(F.col("doc_id").isNotNull())
     k = max(256, plan_bytes(rows) // bucket_bytes)
-    common = spark.sparkContext.broadcast(_frequent(named, named.count()))  # at most 200,000 tokens
+    common = spark.sparkContext.broadcast(frequent_tokens(named, named.count()))  # at most 200,000 tokens
     again, seed, found = np.empty(0, np.int64), 0, None
     while True:
-        packed = named.mapInArrow(_sign(k, seed, common, again), "bucket int, kind int, ids binary, counts binary, sigs binary")
-        now = stage_table(packed.groupBy("bucket").applyInArrow(trimmed(_match), _FOUND), "groups")
+        packed = named.mapInArrow(signed(k, seed, partitions(seed, common), again), PACKED)
+        now = stage_table(packed.groupBy("bucket").applyInArrow(trimmed(matched), FOUND), "groups")
         found = now if found is None else found.unionByName(now.where("kind = 0"))
         # hardly ever: sets whose tokens fell into too few segments ask again under another seed
         again = np.array([r[0] for r in now.where("kind = 1 and n < 0").select("doc_id").collect()], np.int64)
         if not len(again):
             break
         seed += 1
+    return resolved(rows, found, NUM, DEN, common)
+
+
+def resolved(rows: DataFrame, found: DataFrame, num: int, den: int, common) -> DataFrame:
+    """doc_id, n_shingles and component_id of rows (doc_id, text) from the groups found, whose sets link at num / den.
+
+    common: frequent_tokens(), broadcast; with them it takes less time."""
+    named = rows.where(F.col("doc_id").isNotNull())
     info = found.where("kind = 1").select("doc_id", F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(F.col("n")).alias("n"), "s1", "s2", *BITS)
     full = info.where("n > 0")
     # equal sets are a class, named by the least id; it signs and so is in all the groups that the others are in
@@ -508,7 +557,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     several = members.groupBy("gid").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("gid")
     ids = members.join(stage_table(several, "several", members.count()), "gid", "left_semi").select("doc_id").distinct()
     sets = stage_table(_sets(named.join(ids, "doc_id", "left_semi")), "sets")
-    labels = _linked_labels(members, sets)
+    labels = linked_labels(members, sets, num, den, common)
     drop_table(sets)
     # rows of one id with different texts are one node: their classes are one component
     twice = stage_table(of.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id", "low"), "twice")

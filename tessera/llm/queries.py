@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, chat, decontaminate, jaccard, langid, line_dedup, mixing, suffix_dedup, token_count, toxicity, vector_codes
+from tessera.llm import ann, chat, decontaminate, jaccard, langid, line_dedup, minhash, mixing, suffix_dedup, token_count, toxicity, vector_codes
 from tessera.llm.common import read_table
 
 
@@ -54,6 +54,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +65,7 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op7_chat_formatting, op8_nearest_neighbours, op9_toxicity, op10_jaccard_join, op12_vector_codes)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_suffix_dedup, op4_token_counts, op5_language_id, op6_source_mixing, op7_chat_formatting, op8_nearest_neighbours, op9_toxicity, op10_jaccard_join, op11_minhash_dedup, op12_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -92,7 +92,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def components(docs):
+def components(docs, least=80):
     sets = [(d, shingles(t)) for d, t in docs]
     parent = {d: d for d, _ in sets if d is not None}
 
@@ -103,7 +103,7 @@ def components(docs):
 
     for i, (a, s) in enumerate(sets):
         for b, t in sets[:i]:
-            if s and t and a is not None and b is not None and 100 * len(s & t) >= 80 * len(s | t):
+            if s and t and a is not None and b is not None and 100 * len(s & t) >= least * len(s | t):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return [(d, len(s), None if d is None else root(d)) for d, s in sets]

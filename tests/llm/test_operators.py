@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, common, decontaminate, jaccard, langid, line_dedup, mixing, suffix_dedup, token_count, toxicity, vector_codes
+from tessera.llm import ann, chat, common, decontaminate, jaccard, langid, line_dedup, minhash, mixing, suffix_dedup, token_count, toxicity, vector_codes
 from tests.llm import brute
 
 WORDS = [a + b for a in ("ra", "to", "mi", "que", "ñe", "lo", "Sa") for b in ("n", "ti", "ro", "la", "ks", "ü", "po", "der", "gh")]
@@ -650,6 +650,85 @@ def test_op10_signatures_meet_for_every_linked_pair():
                     assert any(ask for k, ask, _ in a | b if k in keys)
 
 
+def kept(rows):
+    return [(*r, r[2] is None or r[0] == r[2]) for r in brute.components(rows, 85)]
+
+
+KEPT = ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def test_op11_components(docs, rows):
+    same(minhash.minhash_components(docs), kept(rows), KEPT)
+    left = minhash.keep_one(docs)
+    assert left.columns == docs.columns and sorted(r[0] or -1 for r in left.select("doc_id").collect()) == sorted(r[0] or -1 for r in kept(rows) if r[3])
+
+
+def test_op11_small_and_chained_sets(spark):
+    rng = random.Random(15)
+    rows, k = [], 0
+    for size in (1, 3, 5, 6, 8, 10, 14, 30, 80, 400):
+        base = [str(rng.randrange(10**6)) for _ in range(size)]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, size // 30))):
+                p = rng.randrange(len(w))
+                w[p : p + rng.randint(0, 1)] = [str(rng.randrange(10**6))] * rng.randint(0, 2)
+            base = w or base
+            rows.append((k, " ".join(base)))
+            k += 1
+    same(minhash.minhash_components(spark.createDataFrame(rows, "doc_id long, text string")), kept(rows), KEPT)
+
+
+def test_op11_crowds_that_share_a_passage(spark):
+    """Of many that have most of their text in common few link, whichever way they are dealt."""
+    rng = random.Random(16)
+    passage = [str(rng.randrange(10**6)) for _ in range(60)]
+    rows = [(k, " ".join(passage + [str(rng.randrange(10**6)) for _ in range(rng.randint(8, 25))])) for k in range(300)]
+    for k in range(0, 300, 10):
+        w = rows[k][1].split()
+        w[-1] = "end"
+        rows.append((1000 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(minhash.minhash_components(df), kept(rows), KEPT)
+    same(jaccard.jaccard_components(df), brute.components(rows), KEPT[:3])
+
+
+def test_op11_prefixes_of_linked_sets_meet():
+    """Whatever is called frequent, linked sets share a token of their prefixes."""
+    rng = random.Random(17)
+    for num, den in ((4, 5), (17, 20)):
+        for n in (1, 2, 6, 7, 20, 101):
+            base = [rng.randrange(1 << 52) for _ in range(n)]
+            sets = [np.unique(np.array([rng.randrange(1 << 52) if rng.random() < 0.08 else t for t in base], np.uint64)) for _ in range(30)]
+            known = np.array(sorted(base[: n // 2]), np.uint64)
+
+            class Common:
+                value = np.stack([known, np.full(len(known), 3, np.uint64)]) if len(known) else np.empty(0, np.uint64)
+
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary())], ["tokens"])
+            found = [set(x) for b in jaccard._prefixes(num, den, Common)([batch]) for x in b.column(0).to_pylist()]
+            for i in range(30):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                        assert found[i] & found[j]
+
+
+def test_op11_coordinates_are_one_shifted_permutation():
+    rng = np.random.default_rng(18)
+    tokens = rng.integers(0, 1 << 52, 1500).astype(np.uint64)
+    ranks = minhash.circle()[:, 0]
+    assert len(np.unique(ranks)) == minhash.PLACES
+    at = minhash.places(tokens)
+    for k in (0, 1, 200, minhash.WIDTH - 1):
+        assert minhash.coordinates(tokens)[k] == ranks[(at + k) % minhash.PLACES].min()
+    # the share of equal coordinates is the similarity
+    near = np.concatenate([tokens[:1200], rng.integers(0, 1 << 52, 300).astype(np.uint64)])
+    assert abs((minhash.coordinates(tokens) == minhash.coordinates(near)).mean() - 1200 / 1800) < 0.08
+
+
 CODES = ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
 
 

@@ -22,7 +22,7 @@ def test_all_are_registered(queries):
     import __spark_entry__ as entry
 
     assert set(queries) <= set(entry.queries())
-    assert [sum(q.startswith(f"op{n}_") for q in queries) for n in range(1, 11)] == [1] * 10 and "pipeline" in queries
+    assert [sum(q.startswith(f"op{n}_") for q in queries) for n in range(1, 13)] == [1] * 12 and "pipeline" in queries
 
 
 def test_stages_against_brute_force(spark, data):
