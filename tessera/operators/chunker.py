@@ -3,13 +3,15 @@
 Sentences are packed greedily up to a number of tokens; when a chunk is full, the longest run of its last sentences that
 fits the overlap starts the next one, unless the sentence to come would not fit then. A sentence over the limit is cut
 into windows of its own; what was held over from before it stays held, so a later chunk, or a last one, begins with it.
-The packing is an ordered fold over a text's sentences, so it runs as a function over Arrow batches, one text at a time.
+Each chunk's start depends on the one before, so packing runs as a function over Arrow batches, one text at a time.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,40 +36,44 @@ class WordTokenizer:
         return " ".join(tokens)
 
 
+def runs(sizes: Sequence[int], limit: int, overlap: int) -> list[range | int]:
+    """What each chunk is made of: a range of the short sentences, counted by themselves, or the number of an over-long sentence.
+
+    With running sums of the sizes, a chunk's end is found by bisection, and so is the start of what the next one repeats. An
+    over-long sentence is a wall that no chunk ends behind; what stands before it is repeated behind it.
+    """
+    short = [n for n in sizes if n <= limit]
+    upto = list(accumulate(short, initial=0))
+    before = list(accumulate((n <= limit for n in sizes), initial=0))
+    walls = [(before[i], i) for i, n in enumerate(sizes) if n > limit]
+    out: list[range | int] = []
+    start = 0
+    for wall, long in [*walls, (len(short), None)]:
+        end = -1
+        while end < wall:
+            end = min(wall, bisect_right(upto, upto[start] + limit) - 1)
+            if start < end:
+                out.append(range(start, end))
+            start = bisect_left(upto, upto[end] - overlap, start, end)
+            if end < wall and upto[end + 1] - upto[start] > limit:
+                start = end
+        if long is not None:
+            out.append(long)
+    return out
+
+
 def pack(parts: Sequence[str], tokenizer=None, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[str]:
     """Chunks of the sentences in parts."""
     tokenizer = tokenizer or WordTokenizer()
     sizes = [len(tokenizer.encode(p)) for p in parts]
+    short = [p for p, n in zip(parts, sizes, strict=True) if n <= limit]
     chunks: list[str] = []
-    held: list[int] = []  # places in parts; not always in a row, after an over-long sentence
-    total = 0
-
-    def close() -> None:
-        nonlocal held, total
-        if not held:
-            return
-        chunks.append(" ".join(parts[i] for i in held))
-        total = 0
-        first = len(held)
-        while first and total + sizes[held[first - 1]] <= overlap:
-            first -= 1
-            total += sizes[held[first]]
-        held = held[first:]
-
-    for i, size in enumerate(sizes):
-        if size > limit:
-            close()
-            tokens = tokenizer.encode(parts[i])
-            chunks += [tokenizer.decode(tokens[a : a + limit]) for a in range(0, size, max(1, limit - overlap))]
-            continue
-        if total + size > limit:
-            close()
-            if total + size > limit:
-                held, total = [], 0
-        held.append(i)
-        total += size
-    if held:
-        chunks.append(" ".join(parts[i] for i in held))
+    for run in runs(sizes, limit, overlap):
+        if isinstance(run, range):
+            chunks.append(" ".join(short[run.start : run.stop]))
+        else:
+            tokens = tokenizer.encode(parts[run])
+            chunks += [tokenizer.decode(tokens[a : a + limit]) for a in range(0, len(tokens), max(1, limit - overlap))]
     return chunks
 
 

@@ -87,7 +87,7 @@ class SearchFilter:
         return self.metadata() + ([similarity(F.col("distance")) >= self.min_similarity] if self.min_similarity > 0 else [])
 
     def is_active(self) -> bool:
-        return bool(self.file_glob or self.subdirectory or self.page_min is not None or self.page_max is not None or self.min_similarity > 0)
+        return len(self.conditions()) > 0
 
     def apply(self, rows: DataFrame) -> DataFrame:
         parts = self.conditions()
