@@ -31,7 +31,8 @@ def _accents() -> tuple[str, str]:
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(c, *_accents())
+    """Without accents; text of one byte a character has none and is left as it is."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, *_accents()))
 
 
 def index_terms(text: Column) -> Column:

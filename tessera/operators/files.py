@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +25,30 @@ def content_dedup(listing: DataFrame, known: DataFrame | None = None) -> DataFra
 
 
 def classify(listing: DataFrame, files: DataFrame) -> DataFrame:
-    """listing (path, sha1) against files (path, sha1): action unchanged, update, duplicate or new."""
-    old = files.select("path", F.col("sha1").alias("old_sha1"))
-    owned = files.select("sha1").distinct().withColumn("owned", F.lit(True))
-    met = listing.join(old, "path", "left").join(owned, "sha1", "left")
-    first = content_dedup(listing.join(files.select("path"), "path", "left_anti"), files).select("path").withColumn("first", F.lit(True))
-    action = F.when(F.col("old_sha1") == F.col("sha1"), "unchanged").when(F.col("old_sha1").isNotNull(), "update").when(F.col("owned") | F.col("first").isNull(), "duplicate").otherwise("new")
-    return met.join(first, "path", "left").withColumn("action", action).drop("old_sha1", "owned", "first")
+    """listing (path, sha1) against files (path, sha1): action unchanged, update, duplicate or new, as if files were taken in path order.
+
+    A new file is a duplicate if its content is owned when its turn comes: by a tracked file, unless its update came before, or by
+    a file of the listing that was taken before. Updates are taken whoever owns their content. If the listing has a column state,
+    files that aren't 'ok' own nothing and get their state as action: 'failed' leaves the tracked file as it was, 'empty' takes its content away.
+    """
+    ok = F.col("state") == "ok" if "state" in listing.columns else F.lit(True)
+    empty = F.col("state") == "empty" if "state" in listing.columns else F.lit(False)
+    place = path_order()
+    met = listing.join(files.select("path", F.col("sha1").alias("__old")), "path", "left").withColumn("__place", place)
+    changed = F.col("__old").isNotNull() & (F.col("__old") != F.col("sha1")) & (ok | empty)
+    # when tracked contents are let go: never, or at the place of the last update of a file that has them
+    leaves = met.where(changed).select("path", F.lit(True).alias("leaves"))
+    owners = files.select("path", "sha1", place.alias("place")).join(leaves, "path", "left").groupBy("sha1").agg(F.max(F.col("leaves").isNull()).alias("__stays"), F.max(F.when(F.col("leaves"), F.col("place"))).alias("__last"))
+    held = F.coalesce(F.col("__stays") | (F.col("__last") > F.col("__place")), F.lit(False))
+    met = met.join(owners, "sha1", "left").withColumn("__held", F.col("__old").isNull() & held)
+    takes = ok & (changed | (F.col("__old").isNull() & ~F.col("__held")))
+    first = met.where(takes).groupBy("sha1").agg(F.min("__place").alias("__first"))
+    met = met.join(first, "sha1", "left")
+    action = F.when(F.col("__old") == F.col("sha1"), "unchanged")
+    if "state" in listing.columns:
+        action = action.when(F.col("__old").isNull() & (F.col("__held") | (F.col("__first") < F.col("__place"))), "duplicate").when(~ok, F.col("state"))
+    action = action.when(F.col("__old").isNotNull(), "update").when(F.col("__held") | (F.col("__place") > F.col("__first")), "duplicate").otherwise("new")
+    return met.select(*listing.columns, action.alias("action"))
 
 
 def changes(listing: DataFrame, files: DataFrame) -> DataFrame:
@@ -65,25 +83,50 @@ def lookups(listing: DataFrame, files: DataFrame) -> DataFrame:
     return met.select("path", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("content", F.lit(False)).alias("known_content"), (F.col("n") > 1).alias("name_taken"))
 
 
-def free_name(name: str, taken: set[str]) -> str:
-    """name, or the first of stem_2.ext, stem_3.ext, ... that isn't taken."""
+def free_name(name: str, taken: set[str], next_of: dict[str, int] | None = None) -> str:
+    """name, or the first of stem_2.ext, stem_3.ext, ... that isn't taken. next_of: where to go on looking, as taken only grows."""
     if name not in taken:
         return name
     dot = name.rfind(".")
-    front, end = (name[:dot], name[dot:]) if dot > 0 and dot < len(name) - 1 else (name, "")
-    n = 2
+    front, end = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
+    n = 2 if next_of is None else next_of.get(name, 2)
     while f"{front}_{n}{end}" in taken:
         n += 1
+    if next_of is not None:
+        next_of[name] = n + 1
     return f"{front}_{n}{end}"
 
 
-def display_names(paths: Iterable[str], taken: Iterable[str] = ()) -> dict[str, str]:
-    """Names for files in order; each sees those before it. One row a file, on the driver."""
-    used, out = set(taken), {}
-    for path in paths:
-        out[path] = free_name(path.rsplit("/", 1)[-1], used)
-        used.add(out[path])
-    return out
+_NUMBERS = r"(?s)\A(.+?)(?:_[0-9]+)*(\.[^.]+)?\z"
+
+
+def display_names(files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """path, display_name of files (path) in path order: each gets its name, or the first of stem_2.ext, stem_3.ext, ... that is not taken
+    by then; taken: display_name of files named before.
+
+    Names can meet only within a family: what is left of a name without _2, _3, ... at its stem's end. So each family is named by
+    itself; one whose files all have one name, none of them taken, by counting, and the others in turn, a family in a task.
+    """
+    name = basename(F.col("path"))
+    family = F.struct(F.regexp_extract("name", _NUMBERS, 1).alias("a"), F.regexp_extract("name", _NUMBERS, 2).alias("b")).alias("family")
+    rows = files.select("path", name.alias("name"), F.lit(True).alias("fresh"))
+    if taken is not None:
+        rows = rows.unionByName(taken.select(F.lit("").alias("path"), F.col("display_name").alias("name"), F.lit(False).alias("fresh")))
+    rows = rows.select("*", family)
+    kinds = rows.groupBy("family").agg((F.min("fresh") & (F.min("name") == F.max("name"))).alias("plain"), F.max("fresh").alias("asked"))
+    rows = rows.join(kinds.where("asked"), "family")
+    counted = first_level_names(rows.where("plain").select("path"))
+
+    def in_turn(group: pd.DataFrame) -> pd.DataFrame:
+        used, out, next_of = set(group["name"][~group["fresh"]]), [], {}
+        fresh = group[group["fresh"]]
+        paths = sorted(fresh["path"], key=lambda p: p.split("/"))
+        for path in paths:
+            out.append(free_name(re.split(r"[/\\]", path)[-1], used, next_of))
+            used.add(out[-1])
+        return pd.DataFrame({"path": paths, "display_name": out})
+
+    return counted.unionByName(rows.where("not plain").groupBy("family").applyInPandas(in_turn, "path string, display_name string"))
 
 
 def first_level_names(files: DataFrame) -> DataFrame:

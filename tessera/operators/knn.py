@@ -1,8 +1,10 @@
 """Exact nearest neighbours by Euclidean distance.
 
-One query is a literal in the scan: no join, and only the best rows are ordered. Many queries are a stated set that
-meets all vectors: each partition of the vectors keeps its k best for each query of a block, so what is shuffled is k rows
-for each query and partition, and the distances are NumPy's, in double precision.
+Queries are a stated set that meets all vectors: each partition of the vectors keeps its k best for each query of a block, so what is
+shuffled is k rows for each query and partition, and the distances are NumPy's, in double precision.
+
+Vectors that are dealt into groups around centres needn't all be met: by the triangle inequality no vector of a group is nearer than its
+centre's distance less the group's radius. near() first searches the nearest groups, and then those that may still hold one of the k.
 
 Vectors that are null, of another length than the query, or hold a component that is null or no number have no distance
 and are never found.
@@ -11,23 +13,26 @@ and are never found.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import l2_distance, literal, similarity, usable
+from tessera.functions.vectors import similarity
 
 #: Queries a block: so many vectors are sent to every task at a time.
 BLOCK = 4096
+#: Vectors that centres are fitted on, rounds of that, vectors of a group on average, and groups at most.
+SAMPLE, ROUNDS, GROUP, GROUPS = 16_384, 5, 1000, 1024
 
 
 def search(vectors: DataFrame, query, k: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """key, distance, rank, score of the k nearest; ties to the smaller key."""
-    found = vectors.where(usable(F.col(vector), len(query)))
-    near = found.select(key, l2_distance(F.col(vector), literal(query)).alias("distance")).orderBy("distance", key).limit(k)
-    return near.select(key, "distance", F.row_number().over(Window.orderBy("distance", key)).alias("rank"), similarity(F.col("distance")).alias("score"))
+    found = _found(vectors, [(0, query)], k, key, vector).select(key, "distance").orderBy("distance", key).limit(k)
+    return found.select(key, "distance", F.row_number().over(Window.orderBy("distance", key)).alias("rank"), similarity(F.col("distance")).alias("score"))
 
 
 def batch_search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -35,27 +40,123 @@ def batch_search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
     spark = vectors.sparkSession
     if not queries:
         return spark.createDataFrame([], f"query_id long, {key} long, distance double, rank int, score double")
-    dim = len(queries[0][1])
     found = None
     for a in range(0, len(queries), BLOCK):
-        block = queries[a : a + BLOCK]
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), np.array([v for _, v in block], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_id, best_d = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for b in batches:
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), dim)
-                for s in range(0, len(own), 256):
-                    d = np.sqrt(((q[:, None, :] - v[None, s : s + 256]) ** 2).sum(2)) if len(ids) <= 64 else np.sqrt(np.array([((x - v[s : s + 256]) ** 2).sum(1) for x in q]))
-                    d = np.concatenate([best_d, d], 1)
-                    i = np.concatenate([best_id, np.broadcast_to(own[s : s + 256], (len(ids), min(256, len(own) - s)))], 1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_id = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_id.shape[1])), pa.array(best_id.ravel()), pa.array(best_d.ravel())], ["query_id", key, "distance"])
-
-        part = vectors.where(usable(F.col(vector), dim)).select(F.col(key).cast("long"), vector).mapInArrow(run, f"query_id long, {key} long, distance double")
+        part = _found(vectors, queries[a : a + BLOCK], k, key, vector)
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy("distance", key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", similarity(F.col("distance")))
+
+
+def _found(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str, vector: str) -> DataFrame:
+    """query_id, key, distance: each partition's k nearest of each query."""
+    dim = len(queries[0][1])
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64).reshape(-1, dim)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        step = max(256, 16_384 // len(ids))
+        best_id, best_d = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), dim)
+            good = ~np.isnan(v).any(1)  # a null component too
+            own, v = own[good], v[good]
+            for s in range(0, len(own), step):
+                part = v[s : s + step]
+                d = np.sqrt(((q[:, None, :] - part[None]) ** 2).sum(2)) if len(ids) <= 64 else np.sqrt(np.array([((x - part) ** 2).sum(1) for x in q]))
+                d = np.concatenate([best_d, d], 1)
+                i = np.concatenate([best_id, np.broadcast_to(own[s : s + step], (len(ids), len(part)))], 1)
+                order = np.lexsort((i, d), axis=1)[:, :k]
+                best_d, best_id = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_id.shape[1])), pa.array(best_id.ravel()), pa.array(best_d.ravel())], ["query_id", key, "distance"])
+
+    rows = vectors.where(F.col(key).isNotNull() & (F.size(vector) == dim)).select(F.col(key).cast("long"), vector)
+    return rows.mapInArrow(run, f"query_id long, {key} long, distance double")
+
+
+def centres(vectors: DataFrame, vector: str = "embedding", each: int = GROUP) -> np.ndarray:
+    """Centres for groups of about each vectors, fitted on a bounded sample of those of the commonest length (of equally common ones the longest).
+
+    They decide how many groups a search reads and not what it finds."""
+    sized = vectors.where(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if not sized:
+        return np.zeros((0, 0))
+    rows = vectors.where(F.size(vector) == sized["d"]).select(F.col(vector).alias("v"))
+    part = max(1, sized["count"] // SAMPLE)
+    taken = rows.where(F.pmod(F.xxhash64("v"), F.lit(part)) == 0).orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
+    x = np.array([[np.nan if c is None else c for c in r["v"]] for r in taken], np.float64).reshape(-1, sized["d"])
+    x = x[np.isfinite(x).all(1)]
+    m = min(GROUPS, max(1, sized["count"] // each), len(x))
+    found = x[np.linspace(0, len(x) - 1, m).astype(int)] if m else np.zeros((0, sized["d"]))
+    for _ in range(ROUNDS):
+        own = _nearest_centre(x, found)[0]
+        n = np.bincount(own, minlength=m)
+        sums = np.zeros_like(found)
+        np.add.at(sums, own, x)
+        found = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], found)
+    return found
+
+
+def _nearest_centre(x: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, distance) of each vector, the distance by the same sum as a search's."""
+    if not len(found) or not len(x):
+        return np.full(len(x), -1), np.zeros(len(x))
+    own = np.concatenate([((found**2).sum(1) - 2 * x[a : a + 4096] @ found.T).argmin(1) for a in range(0, len(x), 4096)])
+    return own, np.sqrt(((x - found[own]) ** 2).sum(1))
+
+
+def group_of(vector: Column, found: np.ndarray) -> Column:
+    """grp and far, the distance to that centre; -1 for vectors that have no finite distance to one."""
+
+    @F.pandas_udf("grp int, far double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        d = found.shape[1]
+        for b in batches:
+            v = np.array([x if x is not None and len(x) == d else np.full(d, np.nan) for x in b], np.float64).reshape(len(b), d)
+            good = np.isfinite(v).all(1)
+            grp, far = np.full(len(b), -1), np.zeros(len(b))
+            grp[good], far[good] = _nearest_centre(v[good], found)
+            yield pd.DataFrame({"grp": grp.astype(np.int32), "far": far}, index=b.index)
+
+    return run(vector)
+
+
+@dataclass(frozen=True)
+class Groups:
+    """What a search needs to know of groups: their numbers, centres, radii and how many vectors they have."""
+
+    ids: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+    count: np.ndarray
+
+    @staticmethod
+    def of(grouped: DataFrame, found: np.ndarray) -> Groups:
+        """From vectors with grp and far; one row a group comes to the driver."""
+        rows = grouped.groupBy("grp").agg(F.max("far").alias("radius"), F.count("*").alias("n")).orderBy("grp").collect()
+        return Groups.made([(r["grp"], r["radius"], r["n"]) for r in rows], found)
+
+    @staticmethod
+    def made(rows: list[tuple[int, float, int]], found: np.ndarray) -> Groups:
+        ids = np.array([r[0] for r in rows], np.int64)
+        centre = np.array([found[g] if g >= 0 else np.zeros(found.shape[1]) for g in ids]).reshape(len(ids), found.shape[1])
+        return Groups(ids, centre, np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], np.int64))
+
+    def least(self, query) -> np.ndarray:
+        """No vector of a group is nearer to the query; a little less, for the sums' rounding. Group -1 may be anywhere."""
+        far = np.sqrt(((self.centre - np.asarray(query, np.float64)) ** 2).sum(1))
+        return np.where(self.ids < 0, 0.0, np.maximum(0.0, far - self.radius - 1e-9 * (1 + far)))
+
+
+def near(grouped: DataFrame, groups: Groups, query, k: int, key: str = "chunk_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray]:
+    """search() over vectors with grp, and the groups it reads: those that may hold one of the k nearest."""
+    if not len(groups.ids) or len(query) != groups.centre.shape[1]:
+        return search(grouped, query, k, key, vector), groups.ids
+    least = groups.least(query)
+    order = np.argsort(least + groups.radius, kind="stable")
+    first = groups.ids[order[: int(np.searchsorted(np.cumsum(groups.count[order]), k)) + 1]]
+    within = search(grouped.where(F.col("grp").isin(first.tolist())), query, k, key, vector).agg(F.count("*"), F.max("distance")).first()
+    reach = within[1] if within[0] == k and within[1] is not None else np.inf
+    read = groups.ids[least <= reach]
+    return search(grouped.where(F.col("grp").isin(read.tolist())), query, k, key, vector), read

@@ -111,8 +111,9 @@ class Engine:
             postings, lengths = postings.join(ids, "chunk_id", "left_semi"), lengths.join(ids, "chunk_id", "left_semi")
         whole = not (prefilter and keep.metadata())
         facts = self._facts(p, m, lengths) if whole else None
-        used = (lambda: p.frequencies(bm25.literal_terms(self.spark, query), m)) if whole else None
-        return hybrid(chunks, postings, lengths, query, self._embedder().query(query), k, candidate_pool, keep, facts, used, strict_similarity, self.make_reranker)
+        used = (lambda: p.frequencies(bm25.literal_terms(self.spark, query), m)) if whole else lambda: None
+        keywords = lambda: bm25.search(postings, lengths, query, candidate_pool, facts, used())
+        return hybrid(chunks, keywords, query, self._embedder().query(query), k, candidate_pool, keep, strict_similarity, self.make_reranker)
 
     def _embedder(self):
         if self._model is None:

@@ -95,7 +95,7 @@ def doc_length_stats(spark, d):
 
 def _keyword(spark, d, q, n):
     docs = table(spark, d, "documents")
-    return bm25.search(bm25.postings(docs, "doc_id"), bm25.lengths(docs, "doc_id"), q, n).select("chunk_id", F.round("bm25", 9).alias("bm25"), "rank")
+    return bm25.search_texts(docs, q, n, "doc_id").select("chunk_id", F.round("bm25", 9).alias("bm25"), "rank")
 
 
 _TOP = "SELECT chunk_id, round(bm25, 9) AS bm25, CAST(row_number() OVER (ORDER BY round(bm25, 9), chunk_id) AS INT) AS rank FROM bm ORDER BY round(bm.bm25, 9), chunk_id LIMIT {n}"
@@ -145,8 +145,8 @@ SELECT query_id, chunk_id, round(bm25, 8) AS bm25, CAST(rank AS INT) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 8), chunk_id) AS rank FROM bm) WHERE rank <= 5""")
 def bm25_batch(spark, d):
     docs = table(spark, d, "documents")
-    found = bm25.scores(bm25.postings(docs, "doc_id"), bm25.lengths(docs, "doc_id"), table(spark, d, "benchmark"), "item_id", "text")
-    return bm25.top(found.withColumn("bm25", F.round("bm25", 8)), 5)
+    found = bm25.best_of_texts(docs, bm25.asked_by(table(spark, d, "benchmark"), "item_id", "text"), 5, "doc_id", digits=8)
+    return found.withColumn("bm25", F.round("bm25", 8))
 
 
 def _vector(spark, d, vec_id):
@@ -189,7 +189,7 @@ def hybrid(spark, d, pool: int = 75) -> DataFrame:
     """Fused candidates of one query over all documents."""
     chunks = chunk_table(spark, d)
     v = knn.search(chunks, _vector(spark, d, 5), pool)
-    w = bm25.search(bm25.postings(chunks), bm25.lengths(chunks), QUERY, pool)
+    w = bm25.search_texts(chunks, QUERY, pool)
     return fusion.fuse(v, w).join(chunks.drop("embedding"), "chunk_id")
 
 
@@ -252,10 +252,15 @@ def tracked(spark, d) -> DataFrame:
 
 _FILES = """listing AS (SELECT '/corpus/' || source || '/d' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt' AS path, sha1(text) AS sha1, CAST(strlen(text) AS BIGINT) AS size, doc_id FROM documents),
 tracked AS (SELECT path, CASE WHEN doc_id % 10 = 3 THEN 'old' || sha1 ELSE sha1 END AS sha1 FROM listing WHERE doc_id % 4 > 0)"""
-_CLASSIFIED = """action AS (
-  SELECT l.path, l.sha1, CASE WHEN t.sha1 = l.sha1 THEN 'unchanged' WHEN t.sha1 IS NOT NULL THEN 'update'
-    WHEN l.sha1 IN (SELECT sha1 FROM tracked) OR row_number() OVER (PARTITION BY l.sha1, t.path IS NULL ORDER BY string_split(l.path, '/')) > 1 THEN 'duplicate' ELSE 'new' END AS action
-  FROM listing l LEFT JOIN tracked t USING (path))"""
+_CLASSIFIED = """own AS (
+  SELECT t.sha1, bool_or(l.sha1 IS NULL OR l.sha1 = t.sha1) AS stays, max(string_split(t.path, '/')) FILTER (l.sha1 <> t.sha1) AS last FROM tracked t LEFT JOIN listing l USING (path) GROUP BY t.sha1),
+held AS (
+  SELECT l.path, l.sha1, t.sha1 AS old, string_split(l.path, '/') AS place, t.sha1 IS NULL AND coalesce(o.stays OR o.last > string_split(l.path, '/'), false) AS held
+  FROM listing l LEFT JOIN tracked t USING (path) LEFT JOIN own o ON l.sha1 = o.sha1),
+firsts AS (SELECT sha1, min(place) AS first FROM held WHERE (old IS NULL AND NOT held) OR old <> sha1 GROUP BY sha1),
+action AS (
+  SELECT path, h.sha1, CASE WHEN old = h.sha1 THEN 'unchanged' WHEN old IS NOT NULL THEN 'update' WHEN held OR place > first THEN 'duplicate' ELSE 'new' END AS action
+  FROM held h LEFT JOIN firsts f ON h.sha1 = f.sha1)"""
 
 
 @query(f"WITH {_FILES} SELECT path, sha1, doc_id FROM listing QUALIFY row_number() OVER (PARTITION BY sha1 ORDER BY string_split(path, '/')) = 1")
@@ -288,6 +293,23 @@ def name_collisions(spark, d):
     return files.first_level_names(rows)
 
 
+@query(r"""WITH RECURSIVE f AS (
+  SELECT path, name, family, row_number() OVER (PARTITION BY family ORDER BY string_split(path, '/')) AS n
+  FROM (SELECT path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '[.]txt$', ''), '(_[0-9]+)+$', '') AS family
+        FROM (SELECT '/corpus/' || source || '/' || doc_id || '/r' || (doc_id % 97) || CASE doc_id % 7 WHEN 3 THEN '_2' WHEN 4 THEN '_2_2' WHEN 5 THEN '_3' ELSE '' END || '.txt' AS path FROM documents))),
+step AS (
+  SELECT family, n, path, name AS got, [name] AS used FROM f WHERE n = 1
+  UNION ALL
+  SELECT s.family, f.n, f.path, x.got, list_append(s.used, x.got) FROM step s JOIN f ON f.family = s.family AND f.n = s.n + 1,
+    LATERAL (SELECT CASE WHEN NOT list_contains(s.used, f.name) THEN f.name ELSE
+      list_filter(list_transform(range(2, len(s.used) + 3), lambda k: replace(f.name, '.txt', '') || '_' || k || '.txt'), lambda c: NOT list_contains(s.used, c))[1] END AS got) x)
+SELECT path, got AS display_name FROM step""")
+def name_families(spark, d):
+    """Files of which some are named as others would be renamed."""
+    n, end = F.col("doc_id"), F.when(F.col("doc_id") % 7 == 3, "_2").when(F.col("doc_id") % 7 == 4, "_2_2").when(F.col("doc_id") % 7 == 5, "_3").otherwise("")
+    return files.display_names(table(spark, d, "documents").select(F.concat(F.lit("/corpus/"), "source", F.lit("/"), n.cast("string"), F.lit("/r"), (n % 97).cast("string"), end, F.lit(".txt")).alias("path")))
+
+
 @query(r"""SELECT doc_id, CAST(w AS INT) AS window_no, array_to_string(list_slice(t, s + 1, s + 384), ' ') AS text
 FROM (SELECT doc_id, t, unnest(range(0, len(t), 288)) AS s, unnest(range(len(range(0, len(t), 288)))) AS w FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS t FROM documents))""")
 def hard_split_windows(spark, d):
@@ -398,7 +420,7 @@ FROM r WHERE contains(source_file, 'src') ORDER BY s DESC, rrf DESC, vec_rank NU
 def search_end_to_end(spark, d):
     """What Engine.search runs."""
     chunks = chunk_table(spark, d)
-    return search.hybrid(chunks, bm25.postings(chunks), bm25.lengths(chunks), QUERY, _vector(spark, d, 5), 10, 75, fusion.SearchFilter(subdirectory="src"))
+    return search.hybrid(chunks, lambda: bm25.search_texts(chunks, QUERY, 75), QUERY, _vector(spark, d, 5), 10, 75, fusion.SearchFilter(subdirectory="src"))
 
 
 @query("SELECT user_id, event_id, event_type AS status FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY 1 LIMIT 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -455,7 +477,7 @@ def hybrid_batch(spark, d):
     docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
     asked = [(r[0], r[1]) for r in vectors.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()]
     v = knn.batch_search(vectors.withColumnRenamed("vec_id", "chunk_id"), asked, 25)
-    w = bm25.top(bm25.scores(bm25.postings(docs, "doc_id"), bm25.lengths(docs, "doc_id"), table(spark, d, "benchmark"), "item_id", "text"), 25)
+    w = bm25.best_of_texts(docs, bm25.asked_by(table(spark, d, "benchmark"), "item_id", "text"), 25, "doc_id")
     return fusion.fuse_many(v, w, 5).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), "rank")
 
 
@@ -465,6 +487,20 @@ def odd_vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.when(n % 5 == 1, F.lit(None)).when(n % 7 == 2, F.slice(v, 1, 60)).when(n % 11 == 3, F.transform(v, lambda x, i: F.when(i != 9, x))).otherwise(v).alias("embedding"))
 
 
+_NEAREST = f"""SELECT vec_id, round(dist, 9) AS distance, CAST(row_number() OVER (ORDER BY dist, vec_id) AS INT) AS rank, round(greatest(0, least(1, 1 - dist * dist / 2)), 9) AS score
+FROM (SELECT e.vec_id, {_DISTANCE} AS dist FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 11) q) ORDER BY dist, vec_id LIMIT 20"""
+
+
+@query(_NEAREST)
+def knn_groups(spark, d):
+    """Groups that the triangle inequality rules out aren't read."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    found = knn.centres(vectors, each=50)
+    grouped = vectors.withColumn("g", knn.group_of(F.col("embedding"), found)).select("vec_id", "embedding", "g.grp", "g.far")
+    near, _ = knn.near(grouped, knn.Groups.of(grouped, found), _vector(spark, d, 11), 20, "vec_id")
+    return near.select("vec_id", F.round("distance", 9).alias("distance"), "rank", F.round("score", 9).alias("score"))
+
+
 @query(f"""WITH e AS (SELECT * FROM embeddings WHERE vec_id % 5 <> 1 AND vec_id % 7 <> 2 AND vec_id % 11 <> 3)
 SELECT vec_id, round(dist, 9) AS distance, CAST(row_number() OVER (ORDER BY dist, vec_id) AS INT) AS rank, round(greatest(0, least(1, 1 - dist * dist / 2)), 9) AS score
 FROM (SELECT e.vec_id, {_DISTANCE} AS dist FROM e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q) ORDER BY dist, vec_id LIMIT 20""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.util import InheritableThread
 
 from tessera.functions.vectors import l2_distance, literal
-from tessera.operators import bm25, fusion, knn, rerank
+from tessera.operators import fusion, knn, rerank
 from tessera.operators.fusion import SearchFilter
 
 
@@ -39,18 +39,18 @@ def aside(work: Callable) -> Callable:
     return result
 
 
-def candidates(chunks: DataFrame, postings: DataFrame, lengths: DataFrame, query: str, vector, pool: int, facts: tuple[int, int] | None = None, used: Callable[[], dict[str, int] | None] | None = None) -> list[tuple]:
-    """Fused rows (chunk_id, vec_rank, kw_rank, distance, rrf) of at most pool chunks from either side. used: tells how many chunks have each term."""
+def candidates(chunks: DataFrame, keywords: Callable[[], DataFrame], vector, pool: int) -> list[tuple]:
+    """Fused rows (chunk_id, vec_rank, kw_rank, distance, rrf) of at most pool chunks from either side; keywords: the other side's, with ranks."""
     nearest = aside(lambda: knn.search(chunks, vector, pool).select("chunk_id", "distance", "rank").collect())
-    words = bm25.search(postings, lengths, query, pool, facts, used and used()).select("chunk_id", "rank").collect()
+    words = keywords().select("chunk_id", "rank").collect()
     order = lambda rows: sorted(rows, key=lambda r: r["rank"])
     return fusion.fuse_lists([(r["chunk_id"], r["distance"]) for r in order(nearest())], [r["chunk_id"] for r in order(words)])
 
 
-def hybrid(chunks: DataFrame, postings: DataFrame, lengths: DataFrame, query: str, vector, k: int, pool: int, keep: SearchFilter | None = None, facts: tuple[int, int] | None = None, used: Callable[[], dict[str, int] | None] | None = None, strict: bool = False, make_reranker: Callable | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, keywords: Callable[[], DataFrame], query: str, vector, k: int, pool: int, keep: SearchFilter | None = None, strict: bool = False, make_reranker: Callable | None = None) -> DataFrame:
     """The k best of chunks (chunk_id, text, source_file, display_name, page, chunk_index, embedding) that the filter keeps."""
     spark = chunks.sparkSession
-    fused = candidates(chunks, postings, lengths, query, vector, pool, facts, used)
+    fused = candidates(chunks, keywords, vector, pool)
     # twice pool rows at most
     ranked = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*fused, strict=True) if fused else [()] * 5, FUSED.types, strict=True)], schema=FUSED))
     wanted = F.expr(f"chunk_id IN ({', '.join(str(int(r[0])) for r in fused)})") if fused else F.lit(False)

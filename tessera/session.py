@@ -6,9 +6,22 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Input up to this size may come in fewer splits than there are cores; larger input doesn't.
+SMALL_BYTES = 64 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset and all is one process, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def prepare(spark: SparkSession) -> None:
@@ -27,3 +40,9 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", target))
         shutil.rmtree(target)
         _shipped.add(app)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores if they are small, as a small file is one task's work, however long that takes a row; else as they are."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else rows

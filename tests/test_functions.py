@@ -1,4 +1,5 @@
 import fnmatch
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.vectors import l2_distance, literal, similarity
 from tessera.operators import chunker
-from tessera.operators.files import display_names
+from tessera.operators.files import classify, display_names, free_name
 from tessera.operators.fusion import SearchFilter, matches_glob
 
 
@@ -69,9 +70,49 @@ def test_filter_conditions(spark):
     assert names(SearchFilter(file_glob="")) == ["f.md", "g.txt"] and not SearchFilter().is_active()
 
 
-def test_display_names_see_those_before():
+def in_order(paths, taken=()):
+    used, out = set(taken), {}
+    for p in sorted(paths, key=lambda p: p.split("/")):
+        out[p] = free_name(p.rsplit("/", 1)[-1], used)
+        used.add(out[p])
+    return out
+
+
+def test_display_names_see_those_before(spark):
+    named = lambda paths, taken=(): {r[0]: r[1] for r in display_names(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame([(t,) for t in taken], "display_name string") if taken else None).collect()}
     paths = ["/a/r.txt", "/b/r.txt", "/c/r_2.txt", "/d/r.txt", "/e/x", "/f/x"]
-    assert list(display_names(paths).values()) == ["r.txt", "r_2.txt", "r_2_2.txt", "r_3.txt", "x", "x_2"]
+    assert [named(paths)[p] for p in paths] == ["r.txt", "r_2.txt", "r_2_2.txt", "r_3.txt", "x", "x_2"]
+    rng = random.Random(4)
+    ends = ["", "_2", "_3", "_2_2", "_x", "_2_x", "_02", "__2", "_"]
+    paths = sorted({f"/{rng.randrange(30)}/{rng.randrange(9)}/{rng.choice(['a', 'b', '_2', '.a', 'ü'])}{rng.choice(ends)}{rng.choice(ends[:4])}{rng.choice(['.txt', '', '.', '.tar.gz'])}" for _ in range(400)} - {"/"})
+    paths = [p for p in paths if not p.endswith("/")]
+    taken = {f"{a}{e}.txt" for a in "ab" for e in rng.sample(ends, 5)}
+    assert named(paths) == in_order(paths) and named(paths, taken) == in_order(paths, taken)
+
+
+def test_classification_follows_the_order_of_paths(spark):
+    """Against a fold that takes one file after another, with files that fail or have no text."""
+    rng = random.Random(5)
+    for _ in range(4):
+        known = {f"/{k:02}": rng.choice("abcdefg") for k in range(0, 24, 2)}
+        rows = [(f"/{k:02}", rng.choice("abcdefgh"), rng.choice(["ok", "ok", "ok", "failed", "empty"])) for k in range(24) if rng.random() < 0.8]
+        owned, want = dict(known), {}
+        for path, sha1, state in rows:
+            old = owned.get(path)
+            if old == sha1:
+                want[path] = "unchanged"
+            elif old is None and sha1 in owned.values():
+                want[path] = "duplicate"
+            elif state == "failed":
+                want[path] = "failed"
+            elif state == "empty":
+                want[path] = "empty"
+                owned.pop(path, None)
+            else:
+                want[path] = "new" if old is None else "update"
+                owned[path] = sha1
+        found = classify(spark.createDataFrame(rows, "path string, sha1 string, state string"), spark.createDataFrame(list(known.items()), "path string, sha1 string"))
+        assert {r["path"]: r["action"] for r in found.collect()} == want
 
 
 def fold(sizes, limit, overlap):
