@@ -9,6 +9,9 @@ so less is better. A token given twice counts twice; a token of several terms is
 length too, so that one query of plain terms is a filter that reaches the scan, a sum per chunk that is combined before the
 shuffle, and an order of the best rows only: no join.
 
+A block is a run of BLOCK_CHUNKS chunk ids. bounds() keeps the highest tf and the least length of each term in each block, so that no
+chunk of a block scores better than the sum of its terms' best; blocks that can't reach the n-th best chunk seen are not read.
+
 Texts that have no postings are searched in two passes (search_texts): one counts, one scores. A batch of chunks meets a stated set of
 queries in NumPy and leaves each query's best rows, so what is shuffled is n rows for each query and partition, and neither
 postings nor pairs of chunks and queries are ever made.
@@ -33,6 +36,16 @@ from tessera.session import spread
 K1, B = 1.2, 0.75
 
 
+#: Chunk ids of a block.
+BLOCK_CHUNKS = 65_536
+#: Blocks, those with the highest bounds, that are read first to learn what the n-th best chunk scores at least.
+FIRST_BLOCKS = 4
+
+
+def block_of(chunk_id: Column) -> Column:
+    return F.floor(chunk_id / F.lit(BLOCK_CHUNKS)).cast("int")
+
+
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """chunk_id, term, tf, positions (from 0, ascending), dl: the chunk's number of terms."""
     terms = chunks.select(F.col(chunk_id).alias("chunk_id"), index_terms(F.col(text)).alias("terms"))
@@ -45,6 +58,11 @@ def lengths(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -
     return chunks.select(F.col(chunk_id).alias("chunk_id"), F.coalesce(F.size(index_terms(F.col(text))), F.lit(0)).alias("dl"))
 
 
+def bounds(postings_: DataFrame) -> DataFrame:
+    """term, block, df, max_tf, min_dl of postings with block."""
+    return postings_.groupBy("term", "block").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+
+
 def vocabulary(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
@@ -110,22 +128,59 @@ def corpus_facts(lengths_: DataFrame) -> tuple[int, int]:
     return row["total"], row["terms"]
 
 
-def search(postings_: DataFrame, lengths_: DataFrame, query: str, n: int, facts: tuple[int, int] | None = None, used: dict[str, int] | None = None) -> DataFrame:
-    """chunk_id, bm25, rank for one query; facts: corpus_facts(lengths_), used: chunks that have each term, if they are known."""
+def _weights(times: dict[str, int], used: dict[str, int], total: int) -> dict[str, float]:
+    return {t: times[t] * (max(math.log((total - n + 0.5) / (n + 0.5)), 0.0) or 1e-6) for t, n in used.items() if n and t in times}
+
+
+def _scored(hits: DataFrame, weights: dict[str, float], mean: float) -> DataFrame:
+    """chunk_id, bm25 of postings of the terms in weights."""
+    weight = F.lit(0.0)
+    for term, w in weights.items():
+        weight = F.when(F.col("term") == term, F.lit(w)).otherwise(weight)
+    part = -weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    return hits.groupBy("chunk_id").agg(F.sum(part).alias("bm25"))
+
+
+def blocks_to_read(hits: DataFrame, known: list[tuple[str, int, int, int]], weights: dict[str, float], mean: float, n: int) -> tuple[list[int], int]:
+    """(blocks that may hold one of the n best chunks, blocks that hold a term); known: term, block, max_tf, min_dl."""
+    best: dict[tuple[int, str], float] = {}
+    for term, block, tf, dl in known:
+        if tf is not None and term in weights:
+            bound = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+            best[block, term] = max(bound, best.get((block, term), 0.0))
+    reach: dict[int, float] = {}
+    for (block, _), bound in best.items():
+        reach[block] = reach.get(block, 0.0) + bound
+    order = sorted(reach, key=lambda b: (-reach[b], b))
+    first = FIRST_BLOCKS
+    while first < len(order):
+        seen = _scored(hits.where(F.col("block").isin(order[:first])), weights, mean).orderBy("bm25").limit(n).agg(F.count("*"), F.max("bm25")).first()
+        if seen[0] == n:
+            return [b for b in order if reach[b] >= -seen[1] * (1 - 1e-9) - 1e-8], len(order)
+        first *= 4
+    return order, len(order)
+
+
+def search(postings_: DataFrame, lengths_: DataFrame, query: str, n: int, facts: tuple[int, int] | None = None, known: list[tuple[str, int, int, int, int]] | None = None) -> DataFrame:
+    """chunk_id, bm25, rank for one query; facts: corpus_facts(lengths_), known: rows of bounds() for the query's terms (term, block, df, max_tf, min_dl)."""
     spark: SparkSession = postings_.sparkSession
     phrases = literal_phrases(spark, query)
     if all(len(p) == 1 for p, _ in phrases):
         times = {p[0]: k for p, k in phrases}
         hits = postings_.where(F.col("term").isin(*times)) if times else postings_.where(F.lit(False))
-        if used is None:
+        used: dict[str, int] = {}
+        if known is None:
             used = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()} if times else {}
+        else:
+            for term, _, df, _, _ in known:
+                used[term] = used.get(term, 0) + df
         total, terms = facts or corpus_facts(lengths_)
-        weight = F.lit(0.0)
-        for term, count in ((t, c) for t, c in used.items() if c and t in times):
-            idf = math.log((total - count + 0.5) / (count + 0.5))
-            weight = F.when(F.col("term") == term, F.lit(times[term] * (idf if idf > 0 else 1e-6))).otherwise(weight)
-        part = -weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(terms / max(1, total))))
-        scored = hits.groupBy("chunk_id").agg(F.sum(part).alias("bm25"))
+        mean = terms / max(1, total) or 1.0
+        weights = _weights(times, used, total)
+        if known is not None:
+            read, all_ = blocks_to_read(hits, [(t, b, tf, dl) for t, b, _, tf, dl in known], weights, mean, n)
+            hits = hits.where(F.col("block").isin(read)) if len(read) < all_ else hits
+        scored = _scored(hits, weights, mean)
     else:
         scored = scores(postings_, lengths_, spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query")))
     order = F.round("bm25", 9), "chunk_id"  # sums of the same parts may differ in their last digits

@@ -75,8 +75,8 @@ def _found(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, k
     return rows.mapInArrow(run, f"query_id long, {key} long, distance double")
 
 
-def centres(vectors: DataFrame, vector: str = "embedding", each: int = GROUP) -> np.ndarray:
-    """Centres for groups of about each vectors, fitted on a bounded sample of those of the commonest length (of equally common ones the longest).
+def centres(vectors: DataFrame, vector: str = "embedding", each: int = GROUP, total: int | None = None) -> np.ndarray:
+    """Centres for groups of about each of total vectors (of these, if it isn't given), fitted on a bounded sample of those of the commonest length (of equally common ones the longest).
 
     They decide how many groups a search reads and not what it finds."""
     sized = vectors.where(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -87,14 +87,17 @@ def centres(vectors: DataFrame, vector: str = "embedding", each: int = GROUP) ->
     taken = rows.where(F.pmod(F.xxhash64("v"), F.lit(part)) == 0).orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
     x = np.array([[np.nan if c is None else c for c in r["v"]] for r in taken], np.float64).reshape(-1, sized["d"])
     x = x[np.isfinite(x).all(1)]
-    m = min(GROUPS, max(1, sized["count"] // each), len(x))
+    m = min(GROUPS, max(1, (total or sized["count"]) // each), len(x))
     found = x[np.linspace(0, len(x) - 1, m).astype(int)] if m else np.zeros((0, sized["d"]))
     for _ in range(ROUNDS):
-        own = _nearest_centre(x, found)[0]
+        own, far = _nearest_centre(x, found)
         n = np.bincount(own, minlength=m)
         sums = np.zeros_like(found)
         np.add.at(sums, own, x)
         found = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], found)
+        # the smallest group's centre goes to the vector that lies farthest from its own, as long as it is far from others too
+        if len(x) and far.max() > 2 * np.median(far):
+            found[n.argmin()] = x[far.argmax()]
     return found
 
 
@@ -144,9 +147,9 @@ class Groups:
         return Groups(ids, centre, np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], np.int64))
 
     def least(self, query) -> np.ndarray:
-        """No vector of a group is nearer to the query; a little less, for the sums' rounding. Group -1 may be anywhere."""
+        """No vector of a group is nearer to the query; a little less, for the sums' rounding. Those of group -1 are infinitely far or have no distance."""
         far = np.sqrt(((self.centre - np.asarray(query, np.float64)) ** 2).sum(1))
-        return np.where(self.ids < 0, 0.0, np.maximum(0.0, far - self.radius - 1e-9 * (1 + far)))
+        return np.where(self.ids < 0, np.inf, np.maximum(0.0, far - self.radius - 1e-9 * (1 + far)))
 
 
 def near(grouped: DataFrame, groups: Groups, query, k: int, key: str = "chunk_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray]:

@@ -4,7 +4,9 @@ A batch is one folder in each table and one number. A commit writes the batch's
 manifest, so a reader sees all of a batch or nothing of it, and a batch whose commit never came is ignored. A row lives unless a later
 batch has a tombstone for its path, so an update is one batch with the tombstone and the new rows. A file's chunks have
 consecutive ids, so what is dead in the postings is told by ids, which are broadcast while they are few.
-Postings are sorted by term, so that the filter of a query skips what lies elsewhere; how many chunks have a term stands beside them.
+Vectors are sorted by group, postings by term, so that the filter of a query skips what lies elsewhere; beside them stand the groups' radii, how many chunks of a block have a
+term and the highest tf and least length there. A commit that takes chunks away adds rows with what they had, less than nothing, so that
+these counts, and those of chunks and terms in the manifest, hold for what lives.
 """
 
 from __future__ import annotations
@@ -14,18 +16,21 @@ import re
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schema
+from tessera.operators import bm25, knn
 from tessera.operators.files import file_counts, path_order
 from tessera.sources.storage import Store
 
-TABLES = {"chunks": schema.CHUNKS, "postings": schema.POSTINGS, "lengths": schema.LENGTHS, "terms": schema.TERMS, "files": schema.FILES, "tombstones": schema.TOMBSTONES}
+TABLES = {"chunks": schema.CHUNKS, "vectors": schema.VECTORS, "groups": schema.GROUPS, "postings": schema.POSTINGS, "lengths": schema.LENGTHS, "terms": schema.TERMS, "files": schema.FILES, "tombstones": schema.TOMBSTONES}
 
 
-#: Layout of a project's tables. 1: without terms and first chunks of files.
-VERSION = 2
+#: Layout of a project's tables. 1: without terms and first chunks of files. 2: without blocks, and with vectors in the
+#: chunks' table. compact() brings a project to this one, and so does the first commit to it.
+VERSION = 3
 #: Dead chunks whose ids are broadcast, 8 bytes each; beyond, they are joined.
 DEAD = 1_000_000
 SALTS = 16
@@ -52,6 +57,8 @@ class Manifest:
     settings: dict[str, str] = field(default_factory=dict)
     dead_chunks: int = 0
     version: int = 1
+    live_chunks: int = 0  # from version 3 on: chunks that live, and their terms
+    live_terms: int = 0
 
 
 class Project:
@@ -135,65 +142,130 @@ class Project:
     def chunks(self, manifest: Manifest | None = None) -> DataFrame:
         return self.live("chunks", "file_path", manifest)
 
+    def vectors(self, manifest: Manifest | None = None) -> DataFrame:
+        """chunk_id, grp, far, embedding of the chunks that live."""
+        m = manifest or self.manifest()
+        if m.version < 3:
+            kind = schema.struct(f"{schema.CHUNKS}, embedding array<float>")
+            paths = [f"{self.store.root}/chunks/batch={b}" for b in m.tables.get("chunks", ())]
+            rows = self._read(paths, "chunks", kind).join(self.live("chunks", "file_path", m).select("chunk_id"), "chunk_id", "left_semi") if paths else self.spark.createDataFrame([], kind)
+            return rows.select("chunk_id", F.lit(-1).alias("grp"), F.lit(0.0).alias("far"), "embedding")
+        return self._without_dead(self.table("vectors", m).drop("batch"), m)
+
+    def centres(self) -> np.ndarray | None:
+        """Centres of the vectors' groups, if there are some yet."""
+        if not self.store.exists("centres"):
+            return None
+        rows = self.spark.read.schema(schema.struct(schema.CENTRES)).parquet(f"{self.store.root}/centres").orderBy("grp").collect()
+        return np.array([r["centre"] for r in rows], np.float64)
+
+    def groups(self, manifest: Manifest | None = None) -> knn.Groups | None:
+        """The groups of vectors; of each a row a batch comes to the driver."""
+        m, found = manifest or self.manifest(), self.centres()
+        if m.version < 3 or found is None:
+            return None
+        rows = self.table("groups", m).groupBy("grp").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).orderBy("grp").collect()
+        return knn.Groups.made([(r["grp"], r["radius"], r["n"]) for r in rows], found)
+
+    def grouped(self, vectors: DataFrame, sample: DataFrame | None = None, total: int | None = None) -> DataFrame:
+        """vectors (chunk_id, embedding) with their groups. sample: some of them, of total, for the centres, if there are none."""
+        found = self.centres()
+        if found is None:
+            found = knn.centres(vectors if sample is None else sample, total=total)
+            rows = [(k, c.tolist()) for k, c in enumerate(found)]
+            self.spark.createDataFrame(rows, schema.CENTRES).write.mode("overwrite").parquet(f"{self.store.root}/centres")
+        return vectors.withColumn("g", knn.group_of(F.col("embedding"), found)).select("chunk_id", "g.grp", "g.far", "embedding")
+
     def files(self) -> DataFrame:
         return self.live("files", "path")
 
     def index(self, manifest: Manifest | None = None) -> tuple[DataFrame, DataFrame]:
         """Postings and lengths of the chunks that live."""
         m = manifest or self.manifest()
-        tables = [self.table(t, m).drop("batch") for t in ("postings", "lengths")]
+        return tuple(self._without_dead(self.table(t, m).drop("batch"), m) for t in ("postings", "lengths"))
+
+    def _without_dead(self, rows: DataFrame, m: Manifest) -> DataFrame:
+        """rows (chunk_id, ...) of the chunks that live."""
         if not m.tables.get("tombstones"):
-            return tuple(tables)
+            return rows
         if m.version < 2:
-            ids = self.live("chunks", "file_path", m).select("chunk_id")
-            return tuple(t.join(ids, "chunk_id", "left_semi") for t in tables)
+            return rows.join(self.live("chunks", "file_path", m).select("chunk_id"), "chunk_id", "left_semi")
         dead = self._dead(m).withColumnRenamed("path", "__path")
         gone = self.table("files", m).join(dead, (F.col("path") == F.col("__path")) & (F.col("batch") < F.col("until")))
         ids = gone.select(F.explode(F.sequence("first_chunk", F.col("first_chunk") + F.col("chunk_count") - 1)).alias("chunk_id"))
-        ids = F.broadcast(ids) if m.dead_chunks <= DEAD else ids
-        return tuple(t.join(ids, "chunk_id", "left_anti") for t in tables)
+        return rows.join(F.broadcast(ids) if m.dead_chunks <= DEAD else ids, "chunk_id", "left_anti")
+
+    def facts(self, manifest: Manifest | None = None) -> tuple[int, int] | None:
+        """Chunks that live, and their terms, if that is known without counting."""
+        m = manifest or self.manifest()
+        return (m.live_chunks, m.live_terms) if m.version >= 3 else None
 
-    def frequencies(self, terms: list[str], manifest: Manifest | None = None) -> dict[str, int] | None:
-        """Chunks that have each term, if that is known without counting."""
+    def term_bounds(self, terms: list[str], manifest: Manifest | None = None) -> list[tuple] | None:
+        """Rows of bm25.bounds() for some terms: a few for each term and block. What has gone counts less than nothing."""
         m = manifest or self.manifest()
-        if m.tables.get("tombstones") or m.version < 2:
+        if m.version < 3:
             return None
-        found = {r["term"]: r["n"] for r in self.table("terms", m).where(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("df").alias("n")).collect()} if terms else {}
-        return {t: found.get(t, 0) for t in terms}
+        rows = self.table("terms", m).where(F.col("term").isin(*terms)).groupBy("term", "block").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+        return [tuple(r) for r in rows.collect()] if terms else []
 
     def commit(self, tables: dict[str, DataFrame], chunks: int, dead_chunks: int = 0) -> int:
-        """Write a batch's tables, then make them seen. Of the postings the terms' table is made."""
+        """Write a batch's tables, then make them seen. Of the postings, and of those that go, the terms' table is made, and of vectors the groups'."""
+        if self.manifest().version < VERSION:
+            self.compact()
         m = self.manifest()
         batch = m.next_batch
-        self._write(tables, batch)
+        gone = None
+        if "tombstones" in tables and m.tables.get("chunks"):
+            gone = self.chunks(m).join(tables["tombstones"].select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi")
+        self._write(tables, batch, gone)
         m.batches.append(batch)
-        for name in (*tables, *(["terms"] if "postings" in tables else [])):
+        for name in (*tables, *(["terms"] if "postings" in tables or gone is not None else []), *(["groups"] if "vectors" in tables else [])):
             m.tables.setdefault(name, []).append(batch)
         m.next_batch, m.next_chunk_id, m.last_indexed_at = batch + 1, m.next_chunk_id + chunks, now_iso()
         m.dead_chunks += dead_chunks
+        added = bm25.corpus_facts(self._of("lengths", batch)) if "lengths" in tables else (0, 0)
+        lost = bm25.corpus_facts(bm25.lengths(gone)) if gone is not None else (0, 0)
+        m.live_chunks, m.live_terms = m.live_chunks + added[0] - lost[0], m.live_terms + added[1] - lost[1]
         self.save(m)
         return batch
 
-    def _write(self, tables: dict[str, DataFrame], batch: int) -> None:
+    def _of(self, name: str, batch: int) -> DataFrame:
+        return self.spark.read.schema(schema.struct(TABLES[name])).parquet(f"{self.store.root}/{name}/batch={batch}")
+
+    def _write(self, tables: dict[str, DataFrame], batch: int, gone: DataFrame | None = None) -> None:
         for name, rows in tables.items():
+            if name == "postings":
+                rows = rows.withColumn("block", bm25.block_of(F.col("chunk_id")))
             rows = rows.select(*schema.struct(TABLES[name]).names)
             if name == "postings":  # by term, so that a query's filter reads only where its terms lie
                 # a common term is in SALTS files, so that no task has it whole
                 rows = rows.repartition("term", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("term", "chunk_id")
+            if name == "vectors":  # by group, so that a search reads the groups it needs; a large one is in SALTS files
+                rows = rows.repartition("grp", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("grp", "chunk_id")
+            if name == "chunks":  # what a search finds is read by ids
+                rows = rows.sortWithinPartitions("chunk_id")
             rows.write.mode("overwrite").parquet(f"{self.store.root}/{name}/batch={batch}")
-        if "postings" in tables:
-            made = self.spark.read.schema(schema.struct(schema.POSTINGS)).parquet(f"{self.store.root}/postings/batch={batch}")
-            terms = made.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term")
-            terms.write.mode("overwrite").parquet(f"{self.store.root}/terms/batch={batch}")
+        if "vectors" in tables:
+            self._of("vectors", batch).groupBy("grp").agg(F.max("far").alias("radius"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.store.root}/groups/batch={batch}")
+        terms = bm25.bounds(self._of("postings", batch)) if "postings" in tables else None
+        if gone is not None:
+            less = bm25.bounds(bm25.postings(gone).withColumn("block", bm25.block_of(F.col("chunk_id")))).select("term", "block", (-F.col("df")).alias("df"), F.lit(None).cast("int").alias("max_tf"), F.lit(None).cast("int").alias("min_dl"))
+            terms = less if terms is None else terms.unionByName(less)
+        if terms is not None:
+            terms.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{self.store.root}/terms/batch={batch}")
 
     def compact(self) -> None:
         """Rewrite all that lives as one batch; what it replaces is deleted after the commit."""
         m = self.manifest()
         old, batch = list(m.batches), m.next_batch
         postings, lengths = self.index()
-        rows = {"chunks": self.live("chunks", "file_path", m), "files": self.live("files", "path", m), "postings": postings, "lengths": lengths}
+        chunks, files = self.live("chunks", "file_path", m), self.live("files", "path", m)
+        if m.version < 2:  # without first chunks
+            files = files.drop("first_chunk").join(chunks.groupBy(F.col("file_path").alias("path")).agg(F.min("chunk_id").alias("first_chunk")), "path", "left")
+        rows = {"chunks": chunks, "files": files, "postings": postings, "lengths": lengths, "vectors": self.grouped(self.vectors(m).select("chunk_id", "embedding"))}
         self._write(rows, batch)
-        m.batches, m.tables, m.next_batch, m.dead_chunks = [batch], {name: [batch] for name in (*rows, "terms")}, batch + 1, 0
+        m.batches, m.tables, m.next_batch, m.dead_chunks, m.version = [batch], {name: [batch] for name in (*rows, "terms", "groups")}, batch + 1, 0, VERSION
+        m.live_chunks, m.live_terms = bm25.corpus_facts(self._of("lengths", batch))
         self.save(m)
         for name in TABLES:
             for b in old:

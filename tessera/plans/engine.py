@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import l2_distance, literal
 from tessera.operators import bm25, embed, fusion, knn, rerank
 from tessera.operators.fusion import SearchFilter
 from tessera.plans import catalog
@@ -26,8 +28,10 @@ class Engine:
     def __init__(self, spark: SparkSession, home: str, models: Models | None = None, make_reranker: Callable | None = None, notify: Callable | None = None):
         prepare(spark)
         self.spark, self.home, self.models, self.make_reranker = spark, home, models or Models(), make_reranker
-        self.jobs = Jobs(notify)
+        self.jobs = Jobs(notify, spark)
         self._model, self._known = None, {}
+        #: The share of vectors that lay in groups which the last search had to read.
+        self.read_share: float | None = None
 
     def project(self, name: str) -> Project:
         return Project(self.spark, self.home, name)
@@ -42,7 +46,10 @@ class Engine:
         return catalog.list_projects(self.spark, self.home)
 
     def delete_project(self, project: str) -> dict:
-        return self.project(project).delete()
+        """Waits for jobs on the project."""
+        p = self.project(project)
+        with self.jobs.alone(p.name):
+            return p.delete()
 
     def index_project(self, folder_path: str, project: str | None = None, mode: str = "auto") -> dict:
         """Start a job: a plain index of a new project, else what the mode says.
@@ -89,6 +96,9 @@ class Engine:
     def await_index(self, job_id: str, timeout_sec: float = 25) -> dict:
         return self.jobs.wait(job_id, timeout_sec)
 
+    def cancel_index(self, job_id: str) -> dict:
+        return self.jobs.cancel(job_id)
+
     def list_jobs(self, active_only: bool = False) -> list[dict]:
         return self.jobs.list(active_only)
 
@@ -103,29 +113,43 @@ class Engine:
         keep = SearchFilter(file_glob, subdirectory, page_min, page_max, min_similarity)
         m = p.manifest()  # one state for all that follows
         chunks = p.chunks(m).withColumnRenamed("file_path", "source_file")
-        postings, lengths = p.index(m)
-        if prefilter and keep.metadata():
+        vectors, (postings, lengths) = p.vectors(m), p.index(m)
+        whole = not (prefilter and keep.metadata())
+        if not whole:
             for c in keep.metadata():
                 chunks = chunks.where(c)
             ids = chunks.select("chunk_id")
-            postings, lengths = postings.join(ids, "chunk_id", "left_semi"), lengths.join(ids, "chunk_id", "left_semi")
-        whole = not (prefilter and keep.metadata())
-        facts = self._facts(p, m, lengths) if whole else None
-        used = (lambda: p.frequencies(bm25.literal_terms(self.spark, query), m)) if whole else lambda: None
-        keywords = lambda: bm25.search(postings, lengths, query, candidate_pool, facts, used())
-        return hybrid(chunks, keywords, query, self._embedder().query(query), k, candidate_pool, keep, strict_similarity, self.make_reranker)
+            vectors, postings, lengths = (t.join(ids, "chunk_id", "left_semi") for t in (vectors, postings, lengths))
+        facts = (p.facts(m) or self._kept(p, m, "facts", lambda: bm25.corpus_facts(lengths))) if whole else None
+        groups = self._kept(p, m, "groups", lambda: p.groups(m))
+        vector = self._embedder().query(query)
+
+        def nearest() -> DataFrame:
+            if groups is None or not whole:
+                return knn.search(vectors, vector, candidate_pool)
+            found, read = knn.near(vectors, groups, vector, candidate_pool)
+            self.read_share = float(groups.count[np.isin(groups.ids, read)].sum()) / max(1, int(groups.count.sum()))
+            return found
+
+        def keywords() -> DataFrame:
+            return bm25.search(postings, lengths, query, candidate_pool, facts, p.term_bounds(bm25.literal_terms(self.spark, query), m) if whole else None)
+
+        def distances(wanted) -> DataFrame:
+            return vectors.where(wanted).select("chunk_id", l2_distance(F.col("embedding"), literal(vector)).alias("distance"))
+
+        return hybrid(chunks, nearest, keywords, query, k, keep, distances if strict_similarity else None, self.make_reranker)
 
     def _embedder(self):
         if self._model is None:
             self._model = self.models.make_embedder()
         return self._model
 
-    def _facts(self, p: Project, m: catalog.Manifest, lengths: DataFrame) -> tuple[int, int]:
-        """corpus_facts of a project's state, kept until its next commit."""
+    def _kept(self, p: Project, m: catalog.Manifest, name: str, make: Callable):
+        """Something of a project's state, kept until its next commit."""
         key = m.next_batch, m.last_indexed_at
-        if self._known.get(p.name, (None,))[0] != key:
-            self._known[p.name] = key, bm25.corpus_facts(lengths)
-        return self._known[p.name][1]
+        if self._known.get((p.name, name), (None,))[0] != key:
+            self._known[p.name, name] = key, make()
+        return self._known[p.name, name][1]
 
     def search_many(self, project: str, queries: list[tuple[int, str]], k: int = 5, candidate_pool: int = 75) -> DataFrame:
         """query_id, chunk_id, rrf and rank of the k best fused chunks of each of some queries, in one plan."""
@@ -133,7 +157,7 @@ class Engine:
         embedder = self._embedder()
         postings, lengths = p.index()
         table = self.spark.createDataFrame(queries, "query_id long, query string")
-        v = knn.batch_search(p.chunks(), [(i, embedder.query(q).tolist()) for i, q in queries], candidate_pool)
+        v = knn.batch_search(p.vectors(), [(i, embedder.query(q).tolist()) for i, q in queries], candidate_pool)
         w = bm25.top(bm25.scores(postings, lengths, table), candidate_pool)
         return fusion.fuse_many(v, w, k)
 

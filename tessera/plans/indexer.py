@@ -1,31 +1,34 @@
 """Indexing: folders and changed folders into a project, in batches that are searchable as soon as they are committed.
 
-Files are hashed and parsed by the executors; what decides about a file (unchanged, update, duplicate, new, its display
-name) is a fold over the small table of files, in path order, after parsing: a file that fails or has no text claims
-neither a content nor a name.
+Files are hashed and parsed by the executors, equal contents of one format once. What becomes of a file (unchanged, update, duplicate, new),
+its display name and its chunks' numbers are joins and aggregates over tables of files, after parsing: a file that fails or has no
+text claims neither a content nor a name. To the driver come counts, and the paths of a few files that failed.
 """
 
 from __future__ import annotations
 
 import os
 import time
+import uuid
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, chunker, embed
-from tessera.functions.text import eta_words
-from tessera.operators.files import changes, free_name, under_sources, union
+from tessera.functions.text import basename, estimated_chunks, eta_words, suffix
+from tessera.operators import bm25, chunker, embed, knn
+from tessera.operators.files import changes, classify, counters, display_names, path_order, under_sources, union
 from tessera.plans.catalog import Project
 from tessera.sources import files as scan
 from tessera.sources.parsers import Registry
 from tessera.sources.storage import Store
 
-#: Files of a batch, and bytes of them unless one file is larger.
-BATCH_FILES, BATCH_BYTES = 2048, 64 << 20
+#: Files of a batch and bytes of them, for each core: a larger cluster commits larger batches and not more of them.
+BATCH_FILES, BATCH_BYTES = 512, 16 << 20
+#: Paths that a result names, of those that failed and of those of old formats.
+NAMED = 100
 Progress = Callable[[int, int, str], None]
 
 
@@ -40,7 +43,7 @@ class IndexResult:
     files_empty: int = 0
     files_deleted: int = 0
     chunks_created: int = 0
-    legacy_files: list[str] = field(default_factory=list)
+    legacy_files: list[str] = field(default_factory=list)  # the first NAMED in path order
     missing_sources: list[str] = field(default_factory=list)
     errors: dict[str, str] = field(default_factory=dict)
 
@@ -71,7 +74,7 @@ class Indexer:
             raise FileNotFoundError(folder)
         listing = scan.list_folder(self.spark, folder)
         self.project.add_source(folder)
-        result = IndexResult(legacy_files=[r["path"] for r in scan.legacy(listing).orderBy("path").collect()])
+        result = IndexResult(legacy_files=[r["path"] for r in scan.legacy(listing).orderBy(path_order()).limit(NAMED).collect()])
         return self._take(scan.supported(listing), result)
 
     def index_files(self, listing: DataFrame) -> IndexResult:
@@ -96,101 +99,92 @@ class Indexer:
         return self._take(listing, result)
 
     def _take(self, listing: DataFrame, result: IndexResult) -> IndexResult:
-        hashed = {r["path"]: r for r in scan.with_hashes(listing).collect()}  # names and hashes only
-        known = {r["path"]: r for r in self.project.files().collect()}
-        todo = []
-        for path in sorted(hashed, key=lambda p: p.split("/")):
-            row = hashed[path]
-            if row["sha1"] is None:
-                result.files_failed += 1
-                result.errors[path] = "can't be read"
-            elif path in known and known[path]["sha1"] == row["sha1"]:
-                result.files_unchanged += 1
-            else:
-                todo.append(path)
-        total = max(1, sum(hashed[p]["size"] for p in todo) // 3072)
+        store = Store(self.spark, f"{self.project.store.root}/_stage-{uuid.uuid4().hex}")
+        try:
+            return self._batches(listing, result, store)
+        finally:
+            store.delete()
+
+    @staticmethod
+    def _staged(rows: DataFrame, store: Store, name: str) -> DataFrame:
+        rows.write.parquet(f"{store.root}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{store.root}/{name}")
+
+    def _batches(self, listing: DataFrame, result: IndexResult, store: Store) -> IndexResult:
+        hashed = self._staged(scan.with_hashes(listing), store, "listing")  # contents are read once
+        met = hashed.join(self.project.files().select("path", F.col("sha1").alias("old")), "path", "left")
+        open_ = F.col("sha1").isNotNull() & ~F.coalesce(F.col("old") == F.col("sha1"), F.lit(False))
+        facts = met.agg(F.count_if(F.col("sha1").isNull()).alias("failed"), F.count_if(F.col("old") == F.col("sha1")).alias("same"), F.count_if(open_).alias("n"), F.coalesce(F.sum(F.when(open_, F.col("size"))), F.lit(0)).alias("bytes"), estimated_chunks(F.sum(F.when(open_, F.col("size")))).alias("chunks")).first()
+        result.files_unchanged += facts["same"]
+        result.files_failed += facts["failed"]
+        if facts["failed"]:
+            result.errors |= {r["path"]: "can't be read" for r in hashed.where("sha1 is null").orderBy(path_order()).limit(NAMED).collect()}
+        cores = self.spark.sparkContext.defaultParallelism
+        parts = max(-(-facts["n"] // (BATCH_FILES * cores)), -(-facts["bytes"] // (BATCH_BYTES * cores)))
+        todo = met.where(open_).drop("old")
+        if parts > 1:  # runs of files in path order
+            placed = todo.repartitionByRange(parts, path_order()).withColumn("part", F.spark_partition_id())
+            placed.write.partitionBy("part").parquet(f"{store.root}/todo")
+            todo = self.spark.read.schema(placed.schema).parquet(f"{store.root}/todo")
         rates: deque[float] = deque(maxlen=10)
         done = 0
-        seen = 0
-        for part in self._parts(todo, hashed):
+        for k in range(parts):
             began = time.monotonic()
-            made = self._batch(part, hashed, known, result)
-            seen += len(part)
+            made = self._batch(todo.where(F.col("part") == k).drop("part") if parts > 1 else todo, result, Store(self.spark, f"{store.root}/{k}"))
             done += made
             rates.append(made / max(time.monotonic() - began, 1e-6))
-            left = max(0, total - done) / max(sum(rates) / len(rates), 1)
-            self.progress(done, max(total, done), f"{seen} of {len(todo)} files, {eta_words(left)} left")
+            left = max(0, facts["chunks"] - done) / max(sum(rates) / len(rates), 1)
+            self.progress(done, max(facts["chunks"], done), f"{k + 1} of {parts} batches, {eta_words(left)} left")
         return result
 
-    @staticmethod
-    def _parts(paths: list[str], hashed: dict) -> Iterator[list[str]]:
-        part, size = [], 0
-        for p in paths:
-            if part and (len(part) == BATCH_FILES or size + hashed[p]["size"] > BATCH_BYTES):
-                yield part
-                part, size = [], 0
-            part.append(p)
-            size += hashed[p]["size"]
-        if part:
-            yield part
-
-    def _batch(self, paths: list[str], hashed: dict, known: dict, result: IndexResult) -> int:
+    def _batch(self, part: DataFrame, result: IndexResult, store: Store) -> int:
         m, models = self.project.manifest(), self.models
-        by_content = {r["sha1"] for r in known.values()}
-        # parse and chunk: written once, since the decisions below need to know which files have text
-        fresh = [p for p in paths if p in known or hashed[p]["sha1"] not in by_content]
-        blocks = scan.parse_files(self.spark.createDataFrame([(p,) for p in fresh], "path string").repartition(min(len(fresh) or 1, 64)), models.registry)
-        parts = blocks.where("error is null").select("path", "block_no", "page", "text")
-        chunks = chunker.chunk_blocks(parts, ["path", "block_no", "page"], "text", models.make_tokenizer, models.chunk_tokens, models.overlap_tokens)
-        failed = blocks.where("error is not null").select("path", "block_no", "page", F.lit(-1).alias("block_chunk"), F.col("error").alias("text"))
-        stage = f"{self.project.store.root}/_stage"
-        chunks.unionByName(failed).write.mode("overwrite").parquet(stage)
-        staged = self.spark.read.parquet(stage)
-        counts = {r["path"]: r for r in staged.groupBy("path").agg(F.count_if(F.col("block_chunk") >= 0).alias("n"), F.max(F.when(F.col("block_chunk") < 0, F.col("text"))).alias("error")).collect()}
-        names = {r["display_name"] for p, r in known.items()}
-        stamp = F.current_timestamp()
-        rows, dead, base, dead_chunks = [], [], m.next_chunk_id, 0
-        for p in paths:
-            sha1, old = hashed[p]["sha1"], known.get(p)
-            got = counts.get(p)
-            if old is None and sha1 in by_content:
-                result.files_skipped_same += 1
-                continue
-            if got is not None and got["error"]:
-                result.files_failed += 1
-                result.errors[p] = got["error"]
-                continue
-            if old is not None:
-                dead.append((p,))
-                dead_chunks += old["chunk_count"]
-                by_content.discard(old["sha1"])
-            if got is None or not got["n"]:
-                result.files_empty += 1
-                if old is not None:
-                    known.pop(p)
-                continue
-            name = old["display_name"] if old is not None else free_name(p.rsplit("/", 1)[-1], names)
-            names.add(name)
-            by_content.add(sha1)
-            rows.append((p, sha1, hashed[p]["mtime"], int(got["n"]), name, base))
-            known[p] = {"path": p, "sha1": sha1, "display_name": name, "chunk_count": int(got["n"])}
-            base += int(got["n"])
-            result.files_indexed += old is None
-            result.files_updated += old is not None
-            result.files_renamed += old is None and name != p.rsplit("/", 1)[-1]
-            result.chunks_created += int(got["n"])
-        made = base - m.next_chunk_id
+        known = self._staged(self.project.files().select("path", F.col("sha1"), F.col("display_name").alias("old_name"), F.col("chunk_count").alias("old_chunks")), store, "known")
+        # contents that files outside this batch keep make no new file; of the others one file each is parsed
+        kept = known.join(part.select("path"), "path", "left_anti").select("sha1").distinct()
+        kind = suffix(F.col("path"))
+        wanted = part.join(known.select("path"), "path", "left_semi").unionByName(part.join(known.select("path"), "path", "left_anti").join(kept, "sha1", "left_anti").select(part.columns))
+        chosen = self._staged(wanted.groupBy("sha1", kind.alias("kind")).agg(F.min_by("path", path_order()).alias("parsed")), store, "chosen")
+        tasks = min(chosen.count(), 4 * self.spark.sparkContext.defaultParallelism) or 1
+        blocks = scan.parse_files(chosen.select(F.col("parsed").alias("path")).repartition(tasks), models.registry, lambda rows: self._staged(rows, store, "layers"))
+        blocks = self._staged(blocks, store, "blocks")
+        chunks = chunker.chunk_blocks(blocks.where("error is null"), ["path", "block_no", "page"], "text", models.make_tokenizer, models.chunk_tokens, models.overlap_tokens)
+        chunks = self._staged(chunks, store, "chunks")
+        got = chunks.groupBy(F.col("path").alias("parsed")).agg(F.count("*").cast("int").alias("chunk_count"))
+        errors = blocks.where("error is not null").select(F.col("path").alias("parsed"), "error")
+        state = F.when(F.col("error").isNotNull(), "failed").when(F.col("parsed").isNull() | (F.col("chunk_count") > 0), "ok").otherwise("empty")
+        files = part.withColumn("kind", kind).join(chosen, ["sha1", "kind"], "left").join(got, "parsed", "left").join(errors, "parsed", "left").withColumn("state", state)
+        decided = self._staged(classify(files, known).join(known.drop("sha1"), "path", "left"), store, "decided")
+        names = display_names(decided.where("action = 'new'").select("path"), known.select(F.col("old_name").alias("display_name")))
+        before = Window.orderBy(path_order()).rowsBetween(Window.unboundedPreceding, -1)  # the files of one batch
+        taken = decided.where("action in ('new', 'update')").join(names, "path", "left").withColumn("display_name", F.coalesce("old_name", "display_name"))
+        taken = taken.withColumn("first_chunk", F.lit(m.next_chunk_id) + F.coalesce(F.sum("chunk_count").over(before), F.lit(0)))
+        taken = self._staged(taken.select("path", "parsed", "sha1", "mtime", "chunk_count", "display_name", "first_chunk"), store, "taken").withColumn("indexed_at", F.lit(time.time()).cast("timestamp"))
+
+        gone = F.col("old_name").isNotNull() & F.col("action").isin("update", "empty")
+        # an update keeps its name, so it is no renaming
+        told = decided.join(taken.select("path", "display_name"), "path", "left").withColumn("display_name", F.when(F.col("action") == "new", F.col("display_name")).otherwise(basename(F.col("path"))))
+        sums = decided.agg(F.count_if(F.col("action") == "failed").alias("failed"), F.count_if(F.col("action") == "empty").alias("empty"), F.count_if(gone).alias("gone"), F.coalesce(F.sum(F.when(gone, F.col("old_chunks"))), F.lit(0)).alias("dead"), F.coalesce(F.sum(F.when(F.col("action").isin("new", "update"), F.col("chunk_count"))), F.lit(0)).alias("chunks"))
+        row = counters(told).join(sums).first()  # one row each
         tables: dict[str, DataFrame] = {}
-        if dead:
-            tables["tombstones"] = self.spark.createDataFrame(dead, "path string")
-        if rows:
-            files = self.spark.createDataFrame(rows, "path string, sha1 string, mtime double, chunk_count int, display_name string, first_chunk long").withColumn("indexed_at", stamp)
-            mine = staged.where("block_chunk >= 0").join(F.broadcast(files), "path")  # BATCH_FILES rows at most
-            numbered = chunker.number_chunks(mine, "path", "block_no")
+        if row["gone"]:
+            tables["tombstones"] = decided.where(gone).select("path")
+        if row["indexed"]:
+            numbered = chunker.number_chunks(chunks.withColumnRenamed("path", "parsed"), "parsed", "block_no").join(taken, "parsed")
             full = numbered.select((F.col("first_chunk") + F.col("chunk_index")).alias("chunk_id"), F.col("path").alias("file_path"), F.col("sha1").alias("file_hash"), "display_name", "page", "chunk_index", "text", "indexed_at")
-            tables |= {"chunks": full.withColumn("embedding", embed.embed(F.col("text"), models.make_embedder)), "postings": bm25.postings(full), "lengths": bm25.lengths(full), "files": files}
+            embedded = lambda rows: rows.select("chunk_id", embed.embed(F.col("text"), models.make_embedder).alias("embedding"))
+            share = max(1, row["chunks"] // knn.SAMPLE)
+            sample = self._staged(embedded(full.where(F.pmod(F.xxhash64("chunk_id"), F.lit(share)) == 0)), store, "sample") if self.project.centres() is None else None
+            tables |= {"chunks": full, "vectors": self.project.grouped(embedded(full), sample, row["chunks"]), "postings": bm25.postings(full), "lengths": bm25.lengths(full), "files": taken}
         if tables:
-            self.project.commit(tables, made, dead_chunks)
-        Store(self.spark, stage).delete()
-        return made
-
+            self.project.commit(tables, row["chunks"], row["dead"])
+        result.files_indexed += row["indexed"] - row["updated"]
+        result.files_updated += row["updated"]
+        result.files_renamed += row["renamed"]
+        result.files_skipped_same += row["skipped"]
+        result.files_failed += row["failed"]
+        result.files_empty += row["empty"]
+        result.chunks_created += row["chunks"]
+        if row["failed"] and len(result.errors) < NAMED:
+            result.errors |= {r["path"]: r["error"] for r in decided.where("action = 'failed'").orderBy(path_order()).limit(NAMED - len(result.errors)).collect()}
+        return row["chunks"]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,10 +41,15 @@ def newest(jobs: DataFrame, active, by: str = "project", at: str = "started_at",
     return live.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+class Cancelled(Exception):
+    """Raised in a job's work once it is cancelled."""
+
+
 class Jobs:
-    """notify(title, message) is told of ends; its failures are ignored."""
+    """notify(title, message) is told of ends; its failures are ignored. spark: its session, whose work a cancelled job interrupts."""
 
-    def __init__(self, notify: Callable[[str, str], None] | None = None):
+    def __init__(self, notify: Callable[[str, str], None] | None = None, spark: SparkSession | None = None):
+        self._spark, self._stopped = spark, set[str]()
         self._jobs: dict[str, Job] = {}
         self._ends: dict[str, threading.Event] = {}
         self._lock = threading.Lock()
@@ -56,7 +62,6 @@ class Jobs:
         with self._lock:
             self._jobs[job.id] = job
             self._ends[job.id] = threading.Event()
-            self._busy.setdefault(project, threading.Lock())
             self._evict()
         threading.Thread(target=self._run, args=(job, work), daemon=True).start()
         return job
@@ -72,20 +77,52 @@ class Jobs:
                 setattr(job, k, v)
             job.updated_at = now_iso()
 
+    @contextmanager
+    def alone(self, project: str) -> Iterator[None]:
+        """While no job works on the project."""
+        with self._lock:
+            busy = self._busy.setdefault(project, threading.Lock())
+        with busy:
+            yield
+
+    def cancel(self, job_id: str) -> dict:
+        """Stop a job that has not ended: its Spark work is interrupted, and what it hasn't committed is not seen."""
+        with self._lock:
+            job = self._jobs.get(job_id)
+            if job and job.status in ACTIVE:
+                self._stopped.add(job_id)
+        if job_id in self._stopped and self._spark:
+            self._spark.sparkContext.cancelJobsWithTag(job_id)
+        return self.get(job_id)
+
     def _run(self, job: Job, work) -> None:
         end = self._ends[job.id]
+
+        def progress(done: int, total: int, message: str) -> None:
+            self._go_on(job)
+            self._set(job, progress=done, total=total, message=message)
+
         try:
-            with self._busy[job.project]:
+            with self.alone(job.project):
+                self._go_on(job)
+                if self._spark:
+                    self._spark.sparkContext.addJobTag(job.id)  # of this thread
                 self._set(job, status="running")
-                result = work(lambda done, total, message: self._set(job, progress=done, total=total, message=message))
+                result = work(progress)
             self._set(job, status="completed", result=result, completed_at=now_iso())
             self._tell(f"{job.kind} finished", f"{job.project}: {result}")
         except Exception as e:  # the job reports it
-            self._set(job, status="failed", error=f"{type(e).__name__}: {e}", completed_at=now_iso())
-            self._tell(f"{job.kind} failed", f"{job.project}: {str(e)[:160]}")
+            stopped = job.id in self._stopped
+            self._set(job, status="cancelled" if stopped else "failed", error=None if stopped else f"{type(e).__name__}: {e}", completed_at=now_iso())
+            self._tell(f"{job.kind} {job.status}", f"{job.project}: {'' if stopped else str(e)[:160]}")
         finally:
+            self._stopped.discard(job.id)
             end.set()
 
+    def _go_on(self, job: Job) -> None:
+        if job.id in self._stopped:
+            raise Cancelled(job.id)
+
     def _tell(self, title: str, message: str) -> None:
         try:
             if self._notify:

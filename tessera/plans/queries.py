@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,8 @@ from tessera.functions import text as T
 from tessera.functions.vectors import similarity
 from tessera.operators import bm25, chunker, files, fusion, knn
 from tessera.plans import jobs, search
+from tessera.plans.catalog import Project
+from tessera.session import shared_folder
 from tessera.streaming.watch import with_rates
 
 QUERY = "the tion und of the reat é de"
@@ -420,7 +423,46 @@ FROM r WHERE contains(source_file, 'src') ORDER BY s DESC, rrf DESC, vec_rank NU
 def search_end_to_end(spark, d):
     """What Engine.search runs."""
     chunks = chunk_table(spark, d)
-    return search.hybrid(chunks, lambda: bm25.search_texts(chunks, QUERY, 75), QUERY, _vector(spark, d, 5), 10, 75, fusion.SearchFilter(subdirectory="src"))
+    vector = _vector(spark, d, 5)
+    return search.hybrid(chunks, lambda: knn.search(chunks, vector, 75), lambda: bm25.search_texts(chunks, QUERY, 75), QUERY, 10, fusion.SearchFilter(subdirectory="src"))
+
+
+def stored(spark, d, *tables: str) -> Project:
+    """Documents in a new project, a chunk each: even ones, then odd ones, then an update of every tenth and the deletion of every seventh."""
+    p = Project(spark, shared_folder(spark), f"store-{uuid.uuid4().hex}").create(64)
+    rows = listing(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+    def batch(rows: DataFrame, base: int) -> dict[str, DataFrame]:
+        stamp = F.current_timestamp().alias("indexed_at")
+        chunks = rows.select((F.col("doc_id") + base).alias("chunk_id"), F.col("path").alias("file_path"), F.col("sha1").alias("file_hash"), T.basename(F.col("path")).alias("display_name"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("chunk_index"), "text", stamp)
+        known = rows.select("path", "sha1", F.lit(0.0).alias("mtime"), F.lit(1).alias("chunk_count"), T.basename(F.col("path")).alias("display_name"), (F.col("doc_id") + base).alias("first_chunk"), stamp)
+        made = {"chunks": lambda: chunks, "files": lambda: known, "postings": lambda: bm25.postings(chunks), "lengths": lambda: bm25.lengths(chunks)}
+        return {name: made[name]() for name in tables}
+
+    p.commit(batch(rows.where("doc_id % 2 = 0"), 0), 0)
+    p.commit(batch(rows.where("doc_id % 2 = 1"), 0), 0)
+    new = rows.where("doc_id % 10 = 3").withColumn("text", F.concat(F.lit("the new heat "), "text"))
+    p.commit({"tombstones": new.select("path")} | batch(new, 1_000_000_000), 0)
+    p.commit({"tombstones": rows.where("doc_id % 7 = 0").select("path")}, 0)
+    return p
+
+
+_LIVE = "live AS (SELECT CASE WHEN doc_id % 10 = 3 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 10 = 3 THEN 'the new heat ' ELSE '' END || text AS text, '/corpus/' || source || '/d' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt' AS path FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query(f"WITH {_LIVE} SELECT doc_id AS chunk_id, path AS file_path, text FROM live")
+def store_live_chunks(spark, d):
+    """What lives after batches, updates and deletions."""
+    return stored(spark, d, "chunks", "files").chunks().select("chunk_id", "file_path", "text")
+
+
+@query(f"WITH {_LIVE}, {_bm25(['the', 'heat', 'new', 'und', 'the']).replace('FROM documents', 'FROM live')} {_TOP.format(n=75)}")
+def store_search(spark, d):
+    """What Engine.search asks of stored postings, with counts and bounds kept through updates and deletions."""
+    p = stored(spark, d, "chunks", "files", "postings", "lengths")
+    m, asked = p.manifest(), "the heat new und the"
+    found = bm25.search(*p.index(m), asked, 75, p.facts(m), p.term_bounds(bm25.literal_terms(spark, asked), m))
+    return found.select("chunk_id", F.round("bm25", 9).alias("bm25"), "rank")
 
 
 @query("SELECT user_id, event_id, event_type AS status FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY 1 LIMIT 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

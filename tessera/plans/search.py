@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import InheritableThread
 
-from tessera.functions.vectors import l2_distance, literal
-from tessera.operators import fusion, knn, rerank
+from tessera.operators import fusion, rerank
 from tessera.operators.fusion import SearchFilter
 
 
@@ -39,24 +38,27 @@ def aside(work: Callable) -> Callable:
     return result
 
 
-def candidates(chunks: DataFrame, keywords: Callable[[], DataFrame], vector, pool: int) -> list[tuple]:
-    """Fused rows (chunk_id, vec_rank, kw_rank, distance, rrf) of at most pool chunks from either side; keywords: the other side's, with ranks."""
-    nearest = aside(lambda: knn.search(chunks, vector, pool).select("chunk_id", "distance", "rank").collect())
+def candidates(nearest: Callable[[], DataFrame], keywords: Callable[[], DataFrame]) -> list[tuple]:
+    """Fused rows (chunk_id, vec_rank, kw_rank, distance, rrf) of the two sides' best, each with ranks."""
+    near = aside(lambda: nearest().select("chunk_id", "distance", "rank").collect())
     words = keywords().select("chunk_id", "rank").collect()
     order = lambda rows: sorted(rows, key=lambda r: r["rank"])
-    return fusion.fuse_lists([(r["chunk_id"], r["distance"]) for r in order(nearest())], [r["chunk_id"] for r in order(words)])
+    return fusion.fuse_lists([(r["chunk_id"], r["distance"]) for r in order(near())], [r["chunk_id"] for r in order(words)])
 
 
-def hybrid(chunks: DataFrame, keywords: Callable[[], DataFrame], query: str, vector, k: int, pool: int, keep: SearchFilter | None = None, strict: bool = False, make_reranker: Callable | None = None) -> DataFrame:
-    """The k best of chunks (chunk_id, text, source_file, display_name, page, chunk_index, embedding) that the filter keeps."""
+def hybrid(chunks: DataFrame, nearest: Callable[[], DataFrame], keywords: Callable[[], DataFrame], query: str, k: int, keep: SearchFilter | None = None, distances: Callable[[Column], DataFrame] | None = None, make_reranker: Callable | None = None) -> DataFrame:
+    """The k best of chunks (chunk_id, text, source_file, display_name, page, chunk_index) that the filter keeps.
+
+    distances: chunk_id and distance where a condition on chunk_id holds, if they are to be computed for what only the keywords found.
+    """
     spark = chunks.sparkSession
-    fused = candidates(chunks, keywords, vector, pool)
-    # twice pool rows at most
+    fused = candidates(nearest, keywords)
+    # as many rows as both sides have at most
     ranked = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*fused, strict=True) if fused else [()] * 5, FUSED.types, strict=True)], schema=FUSED))
     wanted = F.expr(f"chunk_id IN ({', '.join(str(int(r[0])) for r in fused)})") if fused else F.lit(False)
     rows = chunks.where(wanted).join(F.broadcast(ranked), "chunk_id")
-    if strict:
-        rows = rows.withColumn("distance", l2_distance(F.col("embedding"), literal(vector)))
+    if distances:
+        rows = rows.drop("distance").join(distances(wanted), "chunk_id")
     rows = (keep or SearchFilter()).apply(rows.drop("embedding", "indexed_at"))
     scored = rerank.with_model(rows, query, make_reranker) if make_reranker else rows.withColumn("rerank_score", rerank.lexical_score(query, F.col("text")))
     return fusion.project_results(scored, k)

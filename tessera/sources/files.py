@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema
 from tessera.functions.text import suffix
-from tessera.sources import parsers
+from tessera.sources import ocr, parsers
 
 
 def list_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,8 +63,24 @@ def with_hashes(listing: DataFrame) -> DataFrame:
     return listing.select("path", "size", "mtime").mapInArrow(run, f"{schema.LISTING}, sha1 string")
 
 
-def parse_files(paths: DataFrame, registry: parsers.Registry | None = None) -> DataFrame:
-    """(path) -> path, block_no, text, page, error. A file that fails gives one row with its error and no text."""
+def parse_files(paths: DataFrame, registry: parsers.Registry | None = None, stage: Callable[[DataFrame], DataFrame] = lambda blocks: blocks) -> DataFrame:
+    """(path) -> path, block_no, text, page, error. A file that fails gives one row with its error and no text.
+
+    Images, and PDF pages with few letters, are recognised as rows of their own, spread over all tasks, if the registry has engines;
+    stage: keeps the blocks in between, as they are used twice then.
+    """
+    blocks, own = _blocks(paths, registry), registry or parsers.Registry()
+    if not (own.ocr or own.ocr_page):
+        return blocks.where("error is not null or text <> ''")
+    blocks = stage(blocks)
+    kind = suffix(F.element_at(F.split("path", "/"), -1))
+    image, page = kind.isin(*sorted(parsers.IMAGES)) & F.lit(own.ocr is not None), (kind == ".pdf") & F.lit(own.ocr_page is not None)
+    read = ocr.recognise_pages(blocks.where(F.col("error").isNull() & (image | page) & ocr.needs_recognition(F.col("text"))).select("path", "block_no", "page"), own)
+    text = F.when(F.col("error").isNull() & (image | page), ocr.better_text(F.col("text"), F.col("recognised"))).otherwise(F.col("text"))
+    return blocks.join(read, ["path", "block_no"], "left").select("path", "block_no", text.alias("text"), blocks["page"], "error").where("error is not null or text <> ''")
+
+
+def _blocks(paths: DataFrame, registry: parsers.Registry | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = registry or parsers.Registry()

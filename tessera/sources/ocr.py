@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import letter_count, strip
-from tessera.sources.parsers import PAGE_LETTERS, keep_lines
+from tessera.sources.parsers import PAGE_LETTERS, Registry, keep_lines
 
 
 def needs_recognition(text: Column, least: int = PAGE_LETTERS) -> Column:
@@ -44,3 +44,27 @@ def recognise(images: DataFrame, make_engine: Callable[[], Callable[[bytes], lis
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{kinds}, recognised string")
+
+
+def recognise_pages(pages: DataFrame, registry: Registry) -> DataFrame:
+    """path, block_no, recognised of images and PDF pages (path, block_no, page), each a row, so that one long file is many tasks' work.
+
+    A page that can't be read is null. A task reads a file once for the pages of it that stand together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, bytes] = "", b""
+        for b in batches:
+            got = []
+            for path, page in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                try:
+                    if held[0] != path:
+                        with open(path, "rb") as f:
+                            held = path, f.read()
+                    got.append(registry.recognised(path, held[1], page))
+                except Exception:  # one bad page must not fail the others
+                    got.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string())], ["path", "block_no", "recognised"])
+
+    spread = pages.repartition(pages.sparkSession.sparkContext.defaultParallelism * 4)
+    return spread.mapInArrow(run, "path string, block_no int, recognised string")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import re
+import warnings
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -38,31 +39,16 @@ def suffix_of(path: str) -> str:
     return name[dot:].lower() if 0 < dot < len(name) - 1 else ""
 
 
-def letters(text: str) -> int:
-    return len(re.findall("[A-Za-z]", text))
-
-
 def parse_text(content: bytes) -> Iterator[Block]:
     text = re.sub("\r\n?", "\n", content.decode("utf-8", "replace")).strip()
     if text:
         yield text, None
 
 
-def choose_page(text: str, recognised: Callable[[], str] | None) -> str:
-    """A page's text layer, or what OCR reads where that has few letters and OCR finds more."""
-    text = text.strip()
-    if letters(text) < PAGE_LETTERS and recognised is not None:
-        other = recognised().strip()
-        if letters(other) > letters(text):
-            return other
-    return text
-
-
-def parse_pdf(content: bytes, pages: Callable[[bytes], list[str]], ocr_page: Callable[[bytes, int], str] | None = None) -> Iterator[Block]:
+def parse_pdf(content: bytes, pages: Callable[[bytes], list[str]]) -> Iterator[Block]:
+    """The text layer of every page, empty ones too: whether a page is to be recognised is decided later, page by page."""
     for k, layer in enumerate(pages(content)):
-        text = choose_page(layer, (lambda k=k: ocr_page(content, k)) if ocr_page else None)
-        if text:
-            yield text, k + 1
+        yield layer.strip(), k + 1
 
 
 def _cells(values) -> str:
@@ -102,7 +88,7 @@ def _drawn(shape) -> str:
     """A slide shape's paragraphs, or its table's rows, by line."""
     found = [s for body in shape.findall(f"{_P}txBody") for p in body.findall(f"{_A}p") if (s := "".join(t.text or "" for t in p.iter(f"{_A}t")).strip())]
     for row in shape.iter(f"{_A}tr"):
-        line = _cells("".join(t.text or "" for t in c.iter(f"{_A}t")) for c in row.findall(f"{_A}tc"))
+        line = _cells("\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in c.iter(f"{_A}p")) for c in row.findall(f"{_A}tc"))
         if line:
             found.append(line)
     return "\n".join(found)
@@ -273,7 +259,10 @@ def installed_xls() -> Callable | None:
 
 @dataclass
 class Registry:
-    """Parsers by suffix. ocr(image bytes) gives result lines; ocr_page(pdf bytes, page from 0) gives text."""
+    """Parsers by suffix, and readers of images: ocr(image bytes) gives result lines; ocr_page(pdf bytes, page from 0) gives text.
+
+    A file whose reader isn't there, .xls or an image, has no text, and a warning says so.
+    """
 
     pdf_pages: Callable[[bytes], list[str]] | None = field(default_factory=installed_pdf)
     xls_sheets: Callable | None = field(default_factory=installed_xls)
@@ -292,16 +281,20 @@ class Registry:
         if kind in (".xlsx", ".xlsm"):
             return parse_xlsx(content)
         if kind == ".xls":
-            return parse_xls(content, self._need(self.xls_sheets, "an xls reader"))
+            return parse_xls(content, self.xls_sheets) if self.xls_sheets else self._without(path, "an xls reader")
         if kind == ".pdf":
-            return parse_pdf(content, self._need(self.pdf_pages, "a PDF reader"), self.ocr_page)
+            if self.pdf_pages is None:
+                raise RuntimeError("a PDF reader is not installed")
+            return parse_pdf(content, self.pdf_pages)
         if kind in IMAGES:
-            text = keep_lines(self.ocr(content), self.least_confidence).strip() if self.ocr else ""
-            return iter([(text, None)] if text else [])
+            return iter([("", None)]) if self.ocr else self._without(path, "an engine for images")
         raise ValueError(f"unsupported file type: {kind or path}")
 
+    def recognised(self, path: str, content: bytes, page: int | None) -> str:
+        """What is read of an image, or of a page of a PDF."""
+        return keep_lines(self.ocr(content), self.least_confidence) if page is None else self.ocr_page(content, page - 1)
+
     @staticmethod
-    def _need(part, what: str):
-        if part is None:
-            raise RuntimeError(f"{what} is not installed")
-        return part
+    def _without(path: str, what: str) -> Iterator[Block]:
+        warnings.warn(f"{path} is skipped: {what} is not installed", stacklevel=2)
+        return iter([])

@@ -1,9 +1,15 @@
 import shutil
+import threading
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import bm25
+from tessera.operators.embed import HashingEmbedder
 from tessera.plans.catalog import Project, safe_name
 from tessera.plans.engine import Engine
+from tessera.plans.indexer import Models
 from tessera.plans.jobs import KEPT, Jobs
 from tessera.streaming.watch import watch, with_rates
 
@@ -122,6 +128,74 @@ def test_jobs_end_and_are_forgotten(spark):
     assert len(jobs.list()) <= KEPT + 1 and jobs.get(last.id)["result"] == {"k": KEPT + 4}
 
 
+def test_a_cancelled_job_leaves_the_old_state(spark, tmp_path):
+    started = threading.Event()
+
+    class Slow(HashingEmbedder):
+        def passages(self, texts):
+            (tmp_path / "at_work").touch()
+            time.sleep(30 * bool(texts) if (tmp_path / "slow").exists() else 0)
+            return super().passages(texts)
+
+    engine = Engine(spark, str(tmp_path / "home"), Models(make_embedder=Slow))
+    a = write(tmp_path / "a", one__txt="Alpha beta.")
+    run(engine, engine.index_project(a, "docs"))
+    (tmp_path / "slow").touch()
+    (tmp_path / "at_work").unlink()
+    write(tmp_path / "a", two__txt="Gamma delta.")
+    job = engine.reindex_project("docs")
+    waiting = engine.reindex_project("docs")
+    for _ in range(600):
+        if (tmp_path / "at_work").exists():
+            break
+        started.wait(0.1)
+    engine.cancel_index(waiting["job_id"])
+    engine.cancel_index(job["job_id"])
+    began = time.monotonic()
+    states = [engine.await_index(j["job_id"], 60)["status"] for j in (job, waiting)]
+    assert states == ["cancelled", "cancelled"] and time.monotonic() - began < 25
+    assert [f["path"] for f in engine.project("docs").files().collect()] == [f"{a}/one.txt"]
+    assert not [n for n in engine.project("docs").store.names() if n.startswith("_stage")]
+    (tmp_path / "slow").unlink()
+    assert run(engine, engine.reindex_project("docs"))["files_indexed"] == 1
+    assert engine.cancel_index(job["job_id"])["status"] == "cancelled" and "error" in engine.cancel_index("none")
+    assert engine.delete_project("docs")["deleted"]
+
+
+def test_blocks_that_cannot_reach_the_best_are_left_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK_CHUNKS", 16)
+    monkeypatch.setattr(bm25, "FIRST_BLOCKS", 2)
+    engine = Engine(spark, str(tmp_path / "home"))
+    folder = tmp_path / "a"
+    folder.mkdir()
+    for k in range(400):
+        (folder / f"{k:03}.txt").write_text("alpha " * (9 if k in (100, 101, 102) else 1) + ("beta " * (k % 3)) + f"filler words here {k} " * (1 if k in (100, 101, 102) else 4))
+    run(engine, engine.index_project(str(folder), "docs"))
+    p = engine.project("docs")
+    for _ in range(2):
+        m = p.manifest()
+        postings, lengths = p.index(m)
+        assert p.facts(m) == bm25.corpus_facts(lengths)
+        counted = {r["term"]: r["n"] for r in postings.groupBy("term").agg(F.count("*").alias("n")).collect()}
+        for query, n in (("alpha", 3), ("alpha beta", 2), ("beta", 500), ("alpha alpha filler", 3), ("nothing", 3)):
+            terms = bm25.literal_terms(spark, query)
+            known = p.term_bounds(terms, m)
+            used = {}
+            for t, _, df, _, _ in known:
+                used[t] = used.get(t, 0) + df
+            assert {t: c for t, c in used.items() if c} == {t: counted[t] for t in set(terms) if t in counted}
+            want = [(r["chunk_id"], round(r["bm25"], 9), r["rank"]) for r in bm25.search(postings, lengths, query, n).orderBy("rank").collect()]
+            assert [(r["chunk_id"], round(r["bm25"], 9), r["rank"]) for r in bm25.search(postings, lengths, query, n, p.facts(m), known).orderBy("rank").collect()] == want
+        weights = bm25._weights({"alpha": 1}, {"alpha": counted["alpha"]}, p.facts(m)[0])
+        read, all_ = bm25.blocks_to_read(postings.where("term = 'alpha'"), [(t, b, tf, dl) for t, b, _, tf, dl in p.term_bounds(["alpha"], m)], weights, p.facts(m)[1] / p.facts(m)[0], 3)
+        assert 0 < len(read) < all_ / 2
+        # after an update and a deletion counts are of what lives
+        (folder / "005.txt").write_text("alpha epsilon")
+        (folder / "007.txt").unlink(missing_ok=True)
+        run(engine, engine.reindex_project("docs"))
+    assert p.manifest().tables["tombstones"]
+
+
 def test_stream_indexes_new_files(spark, tmp_path):
     folder = write(tmp_path / "in", a__txt="Alpha beta.", b__md="Gamma delta.")
     p = Project(spark, str(tmp_path / "home"), "s")

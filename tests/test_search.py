@@ -104,3 +104,42 @@ def test_models_of_the_library(monkeypatch):
     assert model.query("ab").tolist() == [len(embed.QUERY_PROMPT) + 2, 32] and model.passages([]).shape == (0, 2)
     assert embed.SentenceModel("other").query("ab").tolist() == [2, 32]
     assert rerank.CrossModel("c").score("q", ["abc", "a"]) == [2.0, 0.0] and rerank.CrossModel("c").score("q", []) == []
+
+
+def test_groups_that_cannot_hold_a_neighbour_are_left_out(spark):
+    rng = np.random.default_rng(8)
+    heads = rng.normal(size=(12, 16)) * 4
+    rows = [(k, (heads[k % 12] + rng.normal(size=16) * 0.2).astype(np.float32).tolist()) for k in range(900)]
+    rows += [(1000, None), (1001, [1.0]), (1002, [None] * 16), (1003, [float("nan")] * 16), (1004, [float("inf")] * 16), (1005, rows[5][1]), (1006, rows[5][1])]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    found = knn.centres(df, each=60)
+    grouped = df.withColumn("g", knn.group_of(F.col("embedding"), found)).select("chunk_id", "embedding", "g.grp", "g.far")
+    groups = knn.Groups.of(grouped, found)
+    take = lambda d: [(r["chunk_id"], r["rank"], round(r["distance"], 9)) for r in d.orderBy("rank").collect()]
+    shares = []
+    for query, k in ((rows[5][1], 5), (rows[17][1], 70), ([0.0] * 16, 20), (rows[3][1], 2000), (rows[5][1], 3)):
+        near, read = knn.near(grouped, groups, query, k)
+        assert take(near) == take(knn.search(df, query, k))
+        shares.append(groups.count[np.isin(groups.ids, read)].sum() / groups.count.sum())
+    assert shares[0] < 0.2 and shares[4] < 0.2 and shares[3] == 1.0
+    assert take(knn.near(grouped, groups, [1.0], 3)[0]) == [(1001, 1, 0.0)]
+    none = df.where("chunk_id < 0")
+    empty = none.withColumn("g", knn.group_of(F.col("embedding"), knn.centres(none))).select("chunk_id", "embedding", "g.grp")
+    assert knn.near(empty, knn.Groups.of(empty.withColumn("far", F.lit(0.0)), knn.centres(none)), rows[0][1], 3)[0].count() == 0
+
+
+def test_texts_without_an_index_score_as_postings_do(spark):
+    rng = random.Random(9)
+    words = ["red", "green", "blue", "Réd", "red_blue", "x1", "and", "the"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for k in range(200)] + [(300, None), (301, ""), (302, "?!"), (303, "red red red red")]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string").repartition(3)
+    asked = [(1, "red"), (2, "red red_blue the"), (3, "nothing"), (4, "red_red"), (5, "blue green green and_the_red"), (6, ""), (7, " ".join(f"x{k}" for k in range(60)))]
+    table = spark.createDataFrame(asked, "query_id long, query string")
+    want = bm25.top(bm25.scores(bm25.postings(docs), bm25.lengths(docs), table), 12)
+    take = lambda d: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["bm25"], 8)) for r in d.collect())
+    assert take(bm25.best_of_texts(docs, bm25.asked_by(table), 12)) == take(want)
+    for i, q in asked:
+        assert take(bm25.search_texts(docs, q, 12).withColumn("query_id", F.lit(i))) == [r for r in take(want) if r[0] == i]
+    many = bm25.asked_by(spark.createDataFrame([(k, q) for k in range(150) for _, q in asked[:2]], "query_id long, query string"))
+    assert bm25.best_of_texts(docs, many, 3).groupBy("query_id").count().where("count = 3").count() == 150
+    assert bm25.best_of_texts(docs, [], 3).count() == 0 and bm25.best_of_texts(docs.where("chunk_id < 0"), many, 3).count() == 0

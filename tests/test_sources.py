@@ -84,16 +84,25 @@ def test_pptx_paragraphs_groups_and_broken_notes():
     assert list(parsers.Registry().parse("x.pptx", content)) == [("One\nTwo\n\nOne\nTwo", 1)]
 
 
-def test_pdf_takes_the_better_of_text_and_ocr():
+def test_pdf_takes_the_better_of_text_and_ocr(spark, tmp_path):
     long = "word " * 20
-    registry = parsers.Registry(pdf_pages=lambda c: [long, "few", "", "ab"], ocr_page=lambda c, k: {1: "many more letters", 2: "", 3: "x"}[k])
-    assert list(registry.parse("x.pdf", b"")) == [(long.strip(), 1), ("many more letters", 2), ("ab", 4)]
-
-
-def test_images_and_adapters():
+    for name in ("x.pdf", "y.PNG", "z.png", "t.txt"):
+        (tmp_path / name).write_bytes(b"some text")
     lines = [([], "yes", "0.9"), ([], "no", 0.1), ([], "odd", None), "bad", ([], "edge", 0.5)]
-    assert list(parsers.Registry(ocr=lambda c: lines).parse("a.PNG", b"")) == [("yes\nedge", None)]
-    assert list(parsers.Registry().parse("a.png", b"")) == []
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("x.pdf", "y.PNG", "t.txt")], "path string")
+    got = lambda r: sorted((x["path"].rsplit("/", 1)[-1], x["page"], x["text"], x["error"]) for x in files.parse_files(paths, r).collect())
+    full = parsers.Registry(pdf_pages=lambda c: [long, "few", "", "ab"], ocr_page=lambda c, k: {0: 1 / 0 if k == 9 else "", 1: "many more letters", 2: "", 3: "x"}[k], ocr=lambda c: lines)
+    assert got(full) == sorted([("x.pdf", 1, long.strip(), None), ("x.pdf", 2, "many more letters", None), ("x.pdf", 4, "ab", None), ("y.PNG", None, "yes\nedge", None), ("t.txt", None, "some text", None)], key=lambda r: (r[0], r[1] or 0))
+    broken = parsers.Registry(pdf_pages=lambda c: [long, "few"], ocr_page=lambda c, k: 1 / 0)
+    assert [r for r in got(broken) if r[0] == "x.pdf"] == [("x.pdf", 1, long.strip(), None), ("x.pdf", 2, "few", None)]
+    assert [r for r in got(parsers.Registry(pdf_pages=lambda c: ["", "a"])) if r[0] != "t.txt"] == [("x.pdf", 2, "a", None)]
+
+
+def test_readers_that_are_not_there():
+    with pytest.warns(UserWarning, match="a.png is skipped"):
+        assert list(parsers.Registry().parse("a.png", b"")) == []
+    with pytest.warns(UserWarning, match="a.xls is skipped"):
+        assert list(parsers.Registry(xls_sheets=None).parse("a.xls", b"")) == []
     assert list(parsers.Registry(xls_sheets=lambda c: [("S", [["a", 1.0], ["", " "]])]).parse("a.xls", b"")) == [("[Sheet: S]\na | 1.0", None)]
     with pytest.raises(ValueError):
         parsers.Registry().parse("a.exe", b"")
