@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import similarity
+from tessera.functions.vectors import l2_distance, literal, similarity, usable
 
 #: Queries a block: so many vectors are sent to every task at a time.
 BLOCK = 4096
@@ -29,9 +29,17 @@ BLOCK = 4096
 SAMPLE, ROUNDS, GROUP, GROUPS = 16_384, 5, 1000, 1024
 
 
-def search(vectors: DataFrame, query, k: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """key, distance, rank, score of the k nearest; ties to the smaller key."""
-    found = _found(vectors, [(0, query)], k, key, vector).select(key, "distance").orderBy("distance", key).limit(k)
+#: Vectors up to which one query is answered by expressions: starting Python takes longer than they do.
+FEW = 20_000
+
+
+def search(vectors: DataFrame, query, k: int, key: str = "chunk_id", vector: str = "embedding", few: bool = False) -> DataFrame:
+    """key, distance, rank, score of the k nearest; ties to the smaller key. few: there are no more than about FEW vectors."""
+    if few:
+        found = vectors.where(usable(F.col(vector), len(query))).select(key, l2_distance(F.col(vector), literal(query)).alias("distance"))
+    else:
+        found = _found(vectors, [(0, query)], k, key, vector)
+    found = found.select(key, "distance").orderBy("distance", key).limit(k)
     return found.select(key, "distance", F.row_number().over(Window.orderBy("distance", key)).alias("rank"), similarity(F.col("distance")).alias("score"))
 
 
@@ -109,6 +117,10 @@ def _nearest_centre(x: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.nd
     return own, np.sqrt(((x - found[own]) ** 2).sum(1))
 
 
+#: The group of vectors that were not dealt into groups; it is always read.
+UNGROUPED = -2
+
+
 def group_of(vector: Column, found: np.ndarray) -> Column:
     """grp and far, the distance to that centre; -1 for vectors that have no finite distance to one."""
 
@@ -147,19 +159,22 @@ class Groups:
         return Groups(ids, centre, np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], np.int64))
 
     def least(self, query) -> np.ndarray:
-        """No vector of a group is nearer to the query; a little less, for the sums' rounding. Those of group -1 are infinitely far or have no distance."""
+        """No vector of a group is nearer to the query; a little less, for the sums' rounding. Those of group -1 are infinitely far or have no
+        distance, those of UNGROUPED may be anywhere."""
         far = np.sqrt(((self.centre - np.asarray(query, np.float64)) ** 2).sum(1))
-        return np.where(self.ids < 0, np.inf, np.maximum(0.0, far - self.radius - 1e-9 * (1 + far)))
+        return np.where(self.ids < 0, np.where(self.ids == UNGROUPED, 0.0, np.inf), np.maximum(0.0, far - self.radius - 1e-9 * (1 + far)))
 
 
-def near(grouped: DataFrame, groups: Groups, query, k: int, key: str = "chunk_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray]:
-    """search() over vectors with grp, and the groups it reads: those that may hold one of the k nearest."""
-    if not len(groups.ids) or len(query) != groups.centre.shape[1]:
-        return search(grouped, query, k, key, vector), groups.ids
+def near(grouped: DataFrame, groups: Groups, query, k: int, key: str = "chunk_id", vector: str = "embedding", always: bool = False) -> tuple[DataFrame, np.ndarray]:
+    """search() over vectors with grp, and the groups it reads: those that may hold one of the k nearest; all of few vectors, unless always."""
+    if (groups.count.sum() <= FEW and not always) or len(query) != groups.centre.shape[1]:
+        return search(grouped, query, k, key, vector, bool(groups.count.sum() <= FEW)), groups.ids
     least = groups.least(query)
     order = np.argsort(least + groups.radius, kind="stable")
-    first = groups.ids[order[: int(np.searchsorted(np.cumsum(groups.count[order]), k)) + 1]]
-    within = search(grouped.where(F.col("grp").isin(first.tolist())), query, k, key, vector).agg(F.count("*"), F.max("distance")).first()
+    first = order[: int(np.searchsorted(np.cumsum(groups.count[order]), k)) + 1]
+    few = bool(groups.count[first].sum() <= FEW)
+    within = search(grouped.where(F.col("grp").isin(groups.ids[first].tolist())), query, k, key, vector, few).agg(F.count("*"), F.max("distance")).first()
     reach = within[1] if within[0] == k and within[1] is not None else np.inf
-    read = groups.ids[least <= reach]
-    return search(grouped.where(F.col("grp").isin(read.tolist())), query, k, key, vector), read
+    read = least <= reach
+    few = bool(groups.count[read].sum() <= FEW)
+    return search(grouped.where(F.col("grp").isin(groups.ids[read].tolist())), query, k, key, vector, few), groups.ids[read]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from tessera import schema
 from tessera.operators import bm25, knn
 from tessera.operators.files import file_counts, path_order
+from tessera.session import aside
 from tessera.sources.storage import Store
 
 TABLES = {"chunks": schema.CHUNKS, "vectors": schema.VECTORS, "groups": schema.GROUPS, "postings": schema.POSTINGS, "lengths": schema.LENGTHS, "terms": schema.TERMS, "files": schema.FILES, "tombstones": schema.TOMBSTONES}
@@ -149,7 +151,7 @@ class Project:
             kind = schema.struct(f"{schema.CHUNKS}, embedding array<float>")
             paths = [f"{self.store.root}/chunks/batch={b}" for b in m.tables.get("chunks", ())]
             rows = self._read(paths, "chunks", kind).join(self.live("chunks", "file_path", m).select("chunk_id"), "chunk_id", "left_semi") if paths else self.spark.createDataFrame([], kind)
-            return rows.select("chunk_id", F.lit(-1).alias("grp"), F.lit(0.0).alias("far"), "embedding")
+            return rows.select("chunk_id", F.lit(knn.UNGROUPED).alias("grp"), F.lit(0.0).alias("far"), "embedding")
         return self._without_dead(self.table("vectors", m).drop("batch"), m)
 
     def centres(self) -> np.ndarray | None:
@@ -160,18 +162,23 @@ class Project:
         return np.array([r["centre"] for r in rows], np.float64)
 
     def groups(self, manifest: Manifest | None = None) -> knn.Groups | None:
-        """The groups of vectors; of each a row a batch comes to the driver."""
+        """The groups of vectors, one row each."""
         m, found = manifest or self.manifest(), self.centres()
-        if m.version < 3 or found is None:
+        if m.version < 3:
             return None
+        found = np.zeros((0, m.dim)) if found is None else found
         rows = self.table("groups", m).groupBy("grp").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).orderBy("grp").collect()
         return knn.Groups.made([(r["grp"], r["radius"], r["n"]) for r in rows], found)
 
-    def grouped(self, vectors: DataFrame, sample: DataFrame | None = None, total: int | None = None) -> DataFrame:
-        """vectors (chunk_id, embedding) with their groups. sample: some of them, of total, for the centres, if there are none."""
+    def grouped(self, vectors: DataFrame, total: int, sample: Callable[[], DataFrame] | None = None) -> DataFrame:
+        """vectors (chunk_id, embedding) with their groups. total: how many there are, with those stored; few need no groups.
+
+        sample: makes some of the vectors, for the centres, if there are none yet."""
         found = self.centres()
+        if found is None and total <= knn.FEW:
+            return vectors.select("chunk_id", F.lit(knn.UNGROUPED).alias("grp"), F.lit(0.0).alias("far"), "embedding")
         if found is None:
-            found = knn.centres(vectors if sample is None else sample, total=total)
+            found = knn.centres(sample() if sample else vectors, total=total)
             rows = [(k, c.tolist()) for k, c in enumerate(found)]
             self.spark.createDataFrame(rows, schema.CENTRES).write.mode("overwrite").parquet(f"{self.store.root}/centres")
         return vectors.withColumn("g", knn.group_of(F.col("embedding"), found)).select("chunk_id", "g.grp", "g.far", "embedding")
@@ -200,12 +207,12 @@ class Project:
         m = manifest or self.manifest()
         return (m.live_chunks, m.live_terms) if m.version >= 3 else None
 
-    def term_bounds(self, terms: list[str], manifest: Manifest | None = None) -> list[tuple] | None:
-        """Rows of bm25.bounds() for some terms: a few for each term and block. What has gone counts less than nothing."""
+    def term_bounds(self, terms: list[str], manifest: Manifest | None = None, table: DataFrame | None = None) -> list[tuple] | None:
+        """Rows of bm25.bounds() for some terms: one for each term and block. What has gone counts less than nothing. table: the terms', if it is at hand."""
         m = manifest or self.manifest()
         if m.version < 3:
             return None
-        rows = self.table("terms", m).where(F.col("term").isin(*terms)).groupBy("term", "block").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+        rows = (self.table("terms", m) if table is None else table).where(F.col("term").isin(*terms)).groupBy("term", "block").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
         return [tuple(r) for r in rows.collect()] if terms else []
 
     def commit(self, tables: dict[str, DataFrame], chunks: int, dead_chunks: int = 0) -> int:
@@ -233,36 +240,44 @@ class Project:
         return self.spark.read.schema(schema.struct(TABLES[name])).parquet(f"{self.store.root}/{name}/batch={batch}")
 
     def _write(self, tables: dict[str, DataFrame], batch: int, gone: DataFrame | None = None) -> None:
-        for name, rows in tables.items():
-            if name == "postings":
-                rows = rows.withColumn("block", bm25.block_of(F.col("chunk_id")))
-            rows = rows.select(*schema.struct(TABLES[name]).names)
-            if name == "postings":  # by term, so that a query's filter reads only where its terms lie
-                # a common term is in SALTS files, so that no task has it whole
-                rows = rows.repartition("term", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("term", "chunk_id")
-            if name == "vectors":  # by group, so that a search reads the groups it needs; a large one is in SALTS files
-                rows = rows.repartition("grp", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("grp", "chunk_id")
-            if name == "chunks":  # what a search finds is read by ids
-                rows = rows.sortWithinPartitions("chunk_id")
-            rows.write.mode("overwrite").parquet(f"{self.store.root}/{name}/batch={batch}")
+        """All tables of a batch side by side, then those that are made of them."""
+        for done in [aside(lambda name=name, rows=rows: self._write_one(name, rows, batch)) for name, rows in tables.items()]:
+            done()
+        made: dict[str, DataFrame] = {}
         if "vectors" in tables:
-            self._of("vectors", batch).groupBy("grp").agg(F.max("far").alias("radius"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.store.root}/groups/batch={batch}")
-        terms = bm25.bounds(self._of("postings", batch)) if "postings" in tables else None
+            made["groups"] = self._of("vectors", batch).groupBy("grp").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
+        if "postings" in tables:
+            made["terms"] = bm25.bounds(self._of("postings", batch))
         if gone is not None:
             less = bm25.bounds(bm25.postings(gone).withColumn("block", bm25.block_of(F.col("chunk_id")))).select("term", "block", (-F.col("df")).alias("df"), F.lit(None).cast("int").alias("max_tf"), F.lit(None).cast("int").alias("min_dl"))
-            terms = less if terms is None else terms.unionByName(less)
-        if terms is not None:
-            terms.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{self.store.root}/terms/batch={batch}")
+            made["terms"] = made["terms"].unionByName(less) if "terms" in made else less
+        for done in [aside(lambda name=name, rows=rows: self._write_one(name, rows, batch)) for name, rows in made.items()]:
+            done()
+
+    def _write_one(self, name: str, rows: DataFrame, batch: int) -> None:
+        if name == "postings":
+            rows = rows.withColumn("block", bm25.block_of(F.col("chunk_id")))
+        rows = rows.select(*schema.struct(TABLES[name]).names)
+        if name == "postings":  # by term, so that a query's filter reads only where its terms lie
+            # a common term is in SALTS files, so that no task has it whole
+            rows = rows.repartition("term", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("term", "chunk_id")
+        if name == "terms":
+            rows = rows.sortWithinPartitions("term", "block")
+        if name == "vectors":  # by group, so that a search reads the groups it needs; a large one is in SALTS files
+            rows = rows.repartition("grp", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("grp", "chunk_id")
+        if name == "chunks":  # what a search finds is read by ids
+            rows = rows.sortWithinPartitions("chunk_id")
+        rows.write.mode("overwrite").parquet(f"{self.store.root}/{name}/batch={batch}")
 
     def compact(self) -> None:
         """Rewrite all that lives as one batch; what it replaces is deleted after the commit."""
         m = self.manifest()
         old, batch = list(m.batches), m.next_batch
         postings, lengths = self.index()
-        chunks, files = self.live("chunks", "file_path", m), self.live("files", "path", m)
+        chunks, files, vectors = self.live("chunks", "file_path", m), self.live("files", "path", m), self.vectors(m).select("chunk_id", "embedding")
         if m.version < 2:  # without first chunks
             files = files.drop("first_chunk").join(chunks.groupBy(F.col("file_path").alias("path")).agg(F.min("chunk_id").alias("first_chunk")), "path", "left")
-        rows = {"chunks": chunks, "files": files, "postings": postings, "lengths": lengths, "vectors": self.grouped(self.vectors(m).select("chunk_id", "embedding"))}
+        rows = {"chunks": chunks, "files": files, "postings": postings, "lengths": lengths, "vectors": self.grouped(vectors, vectors.count())}
         self._write(rows, batch)
         m.batches, m.tables, m.next_batch, m.dead_chunks, m.version = [batch], {name: [batch] for name in (*rows, "terms", "groups")}, batch + 1, 0, VERSION
         m.live_chunks, m.live_terms = bm25.corpus_facts(self._of("lengths", batch))

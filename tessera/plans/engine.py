@@ -112,8 +112,7 @@ class Engine:
         p = self._existing(project)
         keep = SearchFilter(file_glob, subdirectory, page_min, page_max, min_similarity)
         m = p.manifest()  # one state for all that follows
-        chunks = p.chunks(m).withColumnRenamed("file_path", "source_file")
-        vectors, (postings, lengths) = p.vectors(m), p.index(m)
+        chunks, vectors, postings, lengths, terms = self._kept(p, m, "tables", lambda: (p.chunks(m).withColumnRenamed("file_path", "source_file"), p.vectors(m), *p.index(m), p.table("terms", m)))
         whole = not (prefilter and keep.metadata())
         if not whole:
             for c in keep.metadata():
@@ -132,7 +131,7 @@ class Engine:
             return found
 
         def keywords() -> DataFrame:
-            return bm25.search(postings, lengths, query, candidate_pool, facts, p.term_bounds(bm25.literal_terms(self.spark, query), m) if whole else None)
+            return bm25.search(postings, lengths, query, candidate_pool, facts, p.term_bounds(bm25.literal_terms(self.spark, query), m, terms) if whole else None)
 
         def distances(wanted) -> DataFrame:
             return vectors.where(wanted).select("chunk_id", l2_distance(F.col("embedding"), literal(vector)).alias("distance"))

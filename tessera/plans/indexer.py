@@ -174,8 +174,8 @@ class Indexer:
             full = numbered.select((F.col("first_chunk") + F.col("chunk_index")).alias("chunk_id"), F.col("path").alias("file_path"), F.col("sha1").alias("file_hash"), "display_name", "page", "chunk_index", "text", "indexed_at")
             embedded = lambda rows: rows.select("chunk_id", embed.embed(F.col("text"), models.make_embedder).alias("embedding"))
             share = max(1, row["chunks"] // knn.SAMPLE)
-            sample = self._staged(embedded(full.where(F.pmod(F.xxhash64("chunk_id"), F.lit(share)) == 0)), store, "sample") if self.project.centres() is None else None
-            tables |= {"chunks": full, "vectors": self.project.grouped(embedded(full), sample, row["chunks"]), "postings": bm25.postings(full), "lengths": bm25.lengths(full), "files": taken}
+            sample = lambda: self._staged(embedded(full.where(F.pmod(F.xxhash64("chunk_id"), F.lit(share)) == 0)), store, "sample")
+            tables |= {"chunks": full, "vectors": self.project.grouped(embedded(full), m.live_chunks + row["chunks"], sample), "postings": bm25.postings(full), "lengths": bm25.lengths(full), "files": taken}
         if tables:
             self.project.commit(tables, row["chunks"], row["dead"])
         result.files_indexed += row["indexed"] - row["updated"]

@@ -539,7 +539,7 @@ def knn_groups(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     found = knn.centres(vectors, each=50)
     grouped = vectors.withColumn("g", knn.group_of(F.col("embedding"), found)).select("vec_id", "embedding", "g.grp", "g.far")
-    near, _ = knn.near(grouped, knn.Groups.of(grouped, found), _vector(spark, d, 11), 20, "vec_id")
+    near, _ = knn.near(grouped, knn.Groups.of(grouped, found), _vector(spark, d, 11), 20, "vec_id", always=True)
     return near.select("vec_id", F.round("distance", 9).alias("distance"), "rank", F.round("score", 9).alias("score"))
 
 

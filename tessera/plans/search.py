@@ -7,43 +7,20 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import InheritableThread
 
 from tessera.operators import fusion, rerank
 from tessera.operators.fusion import SearchFilter
+from tessera.session import aside
 
 
 FUSED = pa.schema([("chunk_id", pa.int64()), ("vec_rank", pa.int32()), ("kw_rank", pa.int32()), ("distance", pa.float64()), ("rrf", pa.float64())])
 
 
-def aside(work: Callable) -> Callable:
-    """Start work in a thread of its own; the result when it is called for."""
-    out: dict = {}
-
-    def run() -> None:
-        try:
-            out["value"] = work()
-        except Exception as e:  # raised where the result is called for
-            out["error"] = e
-
-    thread = InheritableThread(target=run)
-    thread.start()
-
-    def result():
-        thread.join()
-        if "error" in out:
-            raise out["error"]
-        return out["value"]
-
-    return result
-
-
 def candidates(nearest: Callable[[], DataFrame], keywords: Callable[[], DataFrame]) -> list[tuple]:
-    """Fused rows (chunk_id, vec_rank, kw_rank, distance, rrf) of the two sides' best, each with ranks."""
-    near = aside(lambda: nearest().select("chunk_id", "distance", "rank").collect())
-    words = keywords().select("chunk_id", "rank").collect()
-    order = lambda rows: sorted(rows, key=lambda r: r["rank"])
-    return fusion.fuse_lists([(r["chunk_id"], r["distance"]) for r in order(near())], [r["chunk_id"] for r in order(words)])
+    """Fused rows (chunk_id, vec_rank, kw_rank, distance, rrf) of the two sides' best; the few rows are put in order here."""
+    near = aside(lambda: nearest().select("distance", "chunk_id").collect())
+    words = sorted(tuple(r) for r in keywords().select(F.round("bm25", 9), "chunk_id").collect())
+    return fusion.fuse_lists([(c, d) for d, c in sorted(tuple(r) for r in near())], [c for _, c in words])
 
 
 def hybrid(chunks: DataFrame, nearest: Callable[[], DataFrame], keywords: Callable[[], DataFrame], query: str, k: int, keep: SearchFilter | None = None, distances: Callable[[Column], DataFrame] | None = None, make_reranker: Callable | None = None) -> DataFrame:

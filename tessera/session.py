@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import InheritableThread
 
 _shipped: set[str] = set()
 #: Input up to this size may come in fewer splits than there are cores; larger input doesn't.
@@ -46,3 +48,25 @@ def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores if they are small, as a small file is one task's work, however long that takes a row; else as they are."""
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else rows
+
+
+def aside(work: Callable) -> Callable:
+    """Start work in a thread of its own; the result when it is called for."""
+    out: dict = {}
+
+    def run() -> None:
+        try:
+            out["value"] = work()
+        except Exception as e:  # raised where the result is called for
+            out["error"] = e
+
+    thread = InheritableThread(target=run)
+    thread.start()
+
+    def result():
+        thread.join()
+        if "error" in out:
+            raise out["error"]
+        return out["value"]
+
+    return result

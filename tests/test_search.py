@@ -106,7 +106,8 @@ def test_models_of_the_library(monkeypatch):
     assert rerank.CrossModel("c").score("q", ["abc", "a"]) == [2.0, 0.0] and rerank.CrossModel("c").score("q", []) == []
 
 
-def test_groups_that_cannot_hold_a_neighbour_are_left_out(spark):
+def test_groups_that_cannot_hold_a_neighbour_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(knn, "FEW", 100)
     rng = np.random.default_rng(8)
     heads = rng.normal(size=(12, 16)) * 4
     rows = [(k, (heads[k % 12] + rng.normal(size=16) * 0.2).astype(np.float32).tolist()) for k in range(900)]
@@ -122,6 +123,8 @@ def test_groups_that_cannot_hold_a_neighbour_are_left_out(spark):
         assert take(near) == take(knn.search(df, query, k))
         shares.append(groups.count[np.isin(groups.ids, read)].sum() / groups.count.sum())
     assert shares[0] < 0.2 and shares[4] < 0.2 and shares[3] == 1.0
+    for query in (rows[5][1], [1.0], [float("inf")] * 16):
+        assert take(knn.search(df, query, 9, few=True)) == take(knn.search(df, query, 9))
     assert take(knn.near(grouped, groups, [1.0], 3)[0]) == [(1001, 1, 0.0)]
     none = df.where("chunk_id < 0")
     empty = none.withColumn("g", knn.group_of(F.col("embedding"), knn.centres(none))).select("chunk_id", "embedding", "g.grp")
