@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.operators.models import keeper
+
 
 class Embedder(Protocol):
     dim: int
@@ -68,12 +70,18 @@ class SentenceModel:
 
 
 def embed(text: Column, make: Callable[[], Embedder] = HashingEmbedder) -> Column:
-    """Vectors of a text column; each worker makes the model once a task."""
+    """Vectors of a text column. A worker keeps its model for later tasks; texts of a batch go to it by length, so that little is padded."""
+    model_of = keeper(make)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make()
+        model = model_of()
         for b in batches:
-            yield pd.Series(list(model.passages(b.fillna("").tolist())), index=b.index, dtype=object)
+            texts = b.fillna("").tolist()
+            order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+            out = np.empty(len(texts), object)
+            for k, v in zip(order, model.passages([texts[k] for k in order]), strict=True):
+                out[k] = v
+            yield pd.Series(out, index=b.index, dtype=object)
 
     return run(text)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import index_terms
+from tessera.operators.models import keeper
 
 
 class Reranker(Protocol):
@@ -37,12 +38,13 @@ def lexical_score(query: str, text: Column) -> Column:
 
 
 def with_model(rows: DataFrame, query: str, make: Callable[[], Reranker], text: str = "text") -> DataFrame:
-    """rows with rerank_score by a model that each worker makes once."""
+    """rows with rerank_score by a model that each worker makes once and keeps."""
     names = [c for c in rows.columns if c != "rerank_score"]
     slim = rows.select(*names)
+    model_of = keeper(make)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = make()
+        model = model_of()
         for b in batches:
             got = [float(x) for x in model.score(query, b.column(names.index(text)).to_pylist())]
             yield b.append_column("rerank_score", pa.array(got, pa.float64()))

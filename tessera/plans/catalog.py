@@ -267,7 +267,7 @@ class Project:
             rows = rows.repartition("grp", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("grp", "chunk_id")
         if name == "chunks":  # what a search finds is read by ids
             rows = rows.sortWithinPartitions("chunk_id")
-        rows.write.mode("overwrite").parquet(f"{self.store.root}/{name}/batch={batch}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.store.root}/{name}/batch={batch}")
 
     def compact(self) -> None:
         """Rewrite all that lives as one batch; what it replaces is deleted after the commit."""

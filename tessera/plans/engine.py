@@ -161,7 +161,7 @@ class Engine:
         return fusion.fuse_many(v, w, k)
 
     def warm_up(self) -> None:
-        """Make the models once on the workers, so that the first search needn't."""
+        """Make the models on the workers, which keep them, so that the first search needn't."""
         text = self.spark.range(self.spark.sparkContext.defaultParallelism).select(F.col("id").cast("string").alias("text"))
         text.select(embed.embed(F.col("text"), self.models.make_embedder)).write.format("noop").mode("overwrite").save()
         if self.make_reranker:

@@ -1,3 +1,6 @@
+import io
+import json
+import os
 import shutil
 import threading
 import time
@@ -5,8 +8,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.cli import serve
 from tessera.operators import bm25
-from tessera.operators.embed import HashingEmbedder
+from tessera.operators.embed import HashingEmbedder, embed
 from tessera.plans.catalog import Project, safe_name
 from tessera.plans.engine import Engine
 from tessera.plans.indexer import Models
@@ -223,6 +227,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["version"]) == 0
 
 
+def test_serving(spark, tmp_path, monkeypatch, capsys):
+    from tessera.cli import main
+
+    folder = write(tmp_path / "in", a__txt="Alpha beta.")
+    ask = lambda n, tool, **a: json.dumps({"id": n, "tool": tool, "arguments": a})
+    lines = ["", ask(1, "index_project", folder_path=folder, project="p"), "no json", ask(2, "drop_all"), ask(3, "search", project="none", query="x")]
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n".join(lines)))
+    assert main(["--home", str(tmp_path / "home"), "serve"]) == 0
+    told = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert told[0]["result"]["project"] == "p" and [t["id"] for t in told] == [1, None, 2, 3] and all("error" in t for t in told[1:])
+    engine = Engine(spark, str(tmp_path / "home2"))
+    run(engine, engine.index_project(folder, "p"))
+    out = io.StringIO()
+    serve(engine, [ask(1, "search", project="p", query="alpha", k=1), ask(2, "list_projects"), ask(3, "list_jobs")], out)
+    told = [json.loads(x)["result"] for x in out.getvalue().splitlines()]
+    assert told[0][0]["display_name"] == "a.txt" and told[1][0]["name"] == "p" and told[2][0]["status"] == "completed"
+    assert main(["--home", str(tmp_path / "home"), "setup"]) == 0
+
+
+def test_workers_keep_their_models(spark, tmp_path):
+    made = tmp_path / "made"
+    made.mkdir()
+
+    class Counting(HashingEmbedder):
+        def __init__(self):
+            super().__init__(4)
+            (made / f"{os.getpid()}-{time.time_ns()}").touch()
+
+    rows = spark.range(40).repartition(4).select(F.concat(F.lit("w"), F.repeat(F.lit(" x"), F.col("id").cast("int"))).alias("text"))
+    first = None
+    for _ in range(10):
+        got = sorted((r["text"], tuple(r["v"])) for r in rows.select("text", embed(F.col("text"), Counting).alias("v")).collect())
+        first = first or got
+        assert got == first and all(v == tuple(HashingEmbedder(4).query(t)) for t, v in got)
+    names = [p.name.split("-")[0] for p in made.iterdir()]
+    assert len(names) == len(set(names))
+
+
 def test_point_lookups(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "home"))
     a = write(tmp_path / "a", one__txt="Alpha beta gamma.", two__txt="Delta epsilon.")
