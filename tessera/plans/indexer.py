@@ -11,7 +11,8 @@ import os
 import time
 import uuid
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -72,14 +73,16 @@ class Indexer:
         folder = os.path.abspath(os.path.expanduser(folder))
         if not os.path.isdir(folder):
             raise FileNotFoundError(folder)
-        listing = scan.list_folder(self.spark, folder)
-        self.project.add_source(folder)
-        result = IndexResult(legacy_files=[r["path"] for r in scan.legacy(listing).orderBy(path_order()).limit(NAMED).collect()])
-        return self._take(scan.supported(listing), result)
+        with self._stage() as store:
+            listing = self._staged(scan.list_folder(self.spark, folder), store, "found")
+            self.project.add_source(folder)
+            result = IndexResult(legacy_files=[r["path"] for r in scan.legacy(listing).orderBy(path_order()).limit(NAMED).collect()])
+            return self._batches(scan.supported(listing), result, store)
 
     def index_files(self, listing: DataFrame) -> IndexResult:
         """Add or update files given as path, size and mtime."""
-        return self._take(scan.supported(listing), IndexResult())
+        with self._stage() as store:
+            return self._batches(scan.supported(listing), IndexResult(), store)
 
     def reindex(self) -> IndexResult:
         """Bring the project in line with its folders: delete, update and add. A folder that is missing keeps its files."""
@@ -88,20 +91,23 @@ class Indexer:
         result = IndexResult(missing_sources=[s for s in sources if s not in live])
         if not live:
             raise FileNotFoundError("no source folder is left: " + ", ".join(sources))
-        listing = scan.supported(union([scan.list_folder(self.spark, s) for s in live]))
-        files = self.project.files()
-        gone = changes(listing.select("path", F.lit(None).cast("string").alias("sha1")), files.select("path", "sha1")).where("change = 'deleted'").select("path")
-        gone = under_sources(gone, live).join(files.select("path", "chunk_count"), "path")
-        count, chunks = gone.agg(F.count("*"), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
-        if count:
-            self.project.commit({"tombstones": gone.select("path")}, 0, chunks)
-            result.files_deleted = count
-        return self._take(listing, result)
-
-    def _take(self, listing: DataFrame, result: IndexResult) -> IndexResult:
+        with self._stage() as store:
+            listing = self._staged(scan.supported(union([scan.list_folder(self.spark, s) for s in live])), store, "found")
+            files = self.project.files()
+            gone = changes(listing.select("path", F.lit(None).cast("string").alias("sha1")), files.select("path", "sha1")).where("change = 'deleted'").select("path")
+            gone = under_sources(gone, live).join(files.select("path", "chunk_count"), "path")
+            count, chunks = gone.agg(F.count("*"), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
+            if count:
+                self.project.commit({"tombstones": gone.select("path")}, 0, chunks)
+                result.files_deleted = count
+            return self._batches(listing, result, store)
+
+    @contextmanager
+    def _stage(self) -> Iterator[Store]:
+        """A folder of its own for what a run keeps in between."""
         store = Store(self.spark, f"{self.project.store.root}/_stage-{uuid.uuid4().hex}")
         try:
-            return self._batches(listing, result, store)
+            yield store
         finally:
             store.delete()
 

@@ -1,7 +1,6 @@
 """Folders as tables: listing, hashing and parsing of files.
 
-The driver lists a folder (names only); contents are read, hashed and parsed by the executors, which must see the folder
-under the same path.
+Files are listed, read, hashed and parsed by the executors, which must see the folder under the same path as the driver does.
 """
 
 from __future__ import annotations
@@ -19,19 +18,49 @@ from tessera.functions.text import suffix
 from tessera.sources import ocr, parsers
 
 
+#: Folders that the driver looks for, so that tasks have something to share out, and levels it goes down for them.
+UNITS, LEVELS = 256, 3
+
+
+def _below(folder: str) -> list[str]:
+    try:
+        with os.scandir(folder) as found:
+            return sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
+    except OSError:
+        return []
+
+
 def list_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """path, size and mtime of every file below a folder, hidden ones too, whatever their kind."""
-    rows = []
-    for base, _, names in os.walk(folder):
-        for n in names:
-            p = os.path.join(base, n)
-            try:
-                s = os.stat(p)
-            except OSError:
-                continue
-            rows.append((p, s.st_size, s.st_mtime))
-    rows.sort(key=lambda r: r[0].split("/"))
-    return spark.createDataFrame(rows, schema.LISTING)
+    """path, size and mtime of every file below a folder, hidden ones too, whatever their kind.
+
+    The driver looks for folders of the first levels only; tasks list what is in them, and all that is below the last ones.
+    """
+    units, frontier = [], [folder]
+    for _ in range(LEVELS):
+        if len(frontier) >= UNITS:
+            break
+        units += [(d, False) for d in frontier]
+        frontier = [x for d in frontier for x in _below(d)]
+    units += [(d, True) for d in frontier]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.float64())])
+        for b in batches:
+            for top, deep in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for base, inside, names in os.walk(top):
+                    rows = []
+                    for p in (os.path.join(base, n) for n in names):
+                        try:
+                            s = os.stat(p)
+                        except OSError:
+                            continue
+                        rows.append({"path": p, "size": s.st_size, "mtime": s.st_mtime})
+                    yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                    if not deep:
+                        inside.clear()
+
+    tasks = min(len(units), 4 * spark.sparkContext.defaultParallelism)
+    return spark.createDataFrame(units, "folder string, deep boolean").repartition(tasks).mapInArrow(run, schema.LISTING)
 
 
 def supported(listing: DataFrame) -> DataFrame:

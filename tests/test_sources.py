@@ -126,6 +126,27 @@ def test_folder_to_blocks(spark, tmp_path):
     assert {r["sha1"] for r in files.with_hashes(listing.where(F.col("path").endswith("a.txt"))).collect()} == {hashlib.sha1(b"one\r\ntwo\xff").hexdigest()}
 
 
+def test_deep_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    import os
+
+    for k in range(40):
+        d = tmp_path / f"a{k % 5}" / f"b{k % 3}" / f"c{k}" / "d" / ".e"
+        d.mkdir(parents=True)
+        (d / f"{k}.txt").write_text("x" * k)
+        (d.parent.parent / "_y.md").write_text("y")
+    (tmp_path / "top.txt").write_text("t")
+    os.symlink(tmp_path / "a0", tmp_path / "a1" / "link")
+    os.symlink(tmp_path / "none", tmp_path / "broken.txt")
+    want = sorted((os.path.join(b, n), os.stat(os.path.join(b, n)).st_size) for b, _, names in os.walk(tmp_path) for n in names if os.path.exists(os.path.join(b, n)))
+    assert len(want) == 81
+    for units in (1, 4, 256):
+        monkeypatch.setattr(files, "UNITS", units)
+        got = files.list_folder(spark, str(tmp_path)).collect()
+        assert sorted((r["path"], r["size"]) for r in got) == want and all(r["mtime"] > 1e9 for r in got)
+    (tmp_path / "empty").mkdir()
+    assert files.list_folder(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_pages_are_recognised_as_rows(spark):
     from tessera.sources import ocr
 
