@@ -29,12 +29,12 @@ BLOCK = 4096
 SAMPLE, ROUNDS, GROUP, GROUPS = 16_384, 5, 1000, 1024
 
 
-#: Vectors up to which one query is answered by expressions: starting Python takes longer than they do.
-FEW = 20_000
+#: Vectors up to which one query is answered by expressions, as starting Python takes longer than they do; and up to which groups save nothing.
+NATIVE, FEW = 2_000, 20_000
 
 
 def search(vectors: DataFrame, query, k: int, key: str = "chunk_id", vector: str = "embedding", few: bool = False) -> DataFrame:
-    """key, distance, rank, score of the k nearest; ties to the smaller key. few: there are no more than about FEW vectors."""
+    """key, distance, rank, score of the k nearest; ties to the smaller key. few: there are no more than about NATIVE vectors."""
     if few:
         found = vectors.where(usable(F.col(vector), len(query))).select(key, l2_distance(F.col(vector), literal(query)).alias("distance"))
     else:
@@ -168,13 +168,13 @@ class Groups:
 def near(grouped: DataFrame, groups: Groups, query, k: int, key: str = "chunk_id", vector: str = "embedding", always: bool = False) -> tuple[DataFrame, np.ndarray]:
     """search() over vectors with grp, and the groups it reads: those that may hold one of the k nearest; all of few vectors, unless always."""
     if (groups.count.sum() <= FEW and not always) or len(query) != groups.centre.shape[1]:
-        return search(grouped, query, k, key, vector, bool(groups.count.sum() <= FEW)), groups.ids
+        return search(grouped, query, k, key, vector, bool(groups.count.sum() <= NATIVE)), groups.ids
     least = groups.least(query)
     order = np.argsort(least + groups.radius, kind="stable")
     first = order[: int(np.searchsorted(np.cumsum(groups.count[order]), k)) + 1]
-    few = bool(groups.count[first].sum() <= FEW)
+    few = bool(groups.count[first].sum() <= NATIVE)
     within = search(grouped.where(F.col("grp").isin(groups.ids[first].tolist())), query, k, key, vector, few).agg(F.count("*"), F.max("distance")).first()
     reach = within[1] if within[0] == k and within[1] is not None else np.inf
     read = least <= reach
-    few = bool(groups.count[read].sum() <= FEW)
+    few = bool(groups.count[read].sum() <= NATIVE)
     return search(grouped.where(F.col("grp").isin(groups.ids[read].tolist())), query, k, key, vector, few), groups.ids[read]
