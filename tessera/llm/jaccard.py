@@ -15,9 +15,10 @@ Signatures travel as packed arrays per batch and bucket; of many sets of a batch
 Equal sets are one class, for which the smallest id stands. Groups of equal signatures are not expanded into pairs: their members are
 verified exactly against a few leaders, components are formed of the labels that links join, and so on in turns as long as that finds
 much. Sets of groups that are still in different components then meet by the tokens of their prefixes, rarest first: linked sets
-share one, and members of a crowd that have only its passage in common don't. In all turns, pairs that differ too much by size
-or by their parity bitmaps are left out before, which no linked pair does. So no link that decides a component is lost. Staged
-tables are deleted when their last reader is done.
+share one, and members of a crowd that have only its passage in common don't. Of tokens that the same sets have, one goes for all, so that
+a pair doesn't come up once for each token it shares. In all turns, pairs that differ too much by size or by their parity bitmaps are left out
+before, first by bitmaps of one width and then by sketches, bitmaps as wide as the set asks for; no linked pair differs so. So no link that
+decides a component is lost. Staged tables are deleted when their last reader is done.
 
 Defined results: null and word-less texts have no shingles and stand alone; a text of one to four words is one shingle;
 rows with one doc_id are one node; a row with null doc_id links with nothing and has a null component; an empty table gives
@@ -55,6 +56,10 @@ LEVEL = 4
 BATCH_BYTES = 16 << 20
 #: Words of the parity bitmap of a set: the differing bits of two bitmaps are at most the sets' differing tokens.
 BITS = [f"b{k}" for k in range(8)]
+#: Bits of a sketch for each token, at least; a sketch is a parity bitmap, a power of two wide.
+SKETCH = 2
+#: Places of the bitmap of the documents whose sets are wanted: 8 MB at most. Others at their places come along, which changes nothing.
+PLACES = 1 << 26
 #: Members of a group that lead in a turn. Turns go on until one finds under one link for YIELD members; then all that is
 #: still apart is tested.
 LEADERS, YIELD = 4, 100
@@ -379,17 +384,40 @@ def frequent_tokens(rows: DataFrame, count: int) -> np.ndarray:
     return np.array([[t for t, _ in found], level], np.uint64)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set, in words. One of half as many words is the exclusive or of its halves."""
+    width = 64 << max(0, (SKETCH * len(tokens) - 1).bit_length() - 6)
+    return np.packbits((np.bincount((tokens & U64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def differing(p: np.ndarray, q: np.ndarray) -> int:
+    """Differing bits of two sketches, which are at most the differing tokens of the sets."""
+    if len(p) < len(q):
+        p, q = q, p
+    return int(np.bitwise_count(np.bitwise_xor.reduce(p.reshape(-1, len(q)), 0) ^ q).sum())
+
+
+def _wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ids, and few others: a bitmap of ids goes to the rows, whatever their number, and no text is shuffled."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__map"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    one = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__bucket")).where(one).select(*rows.columns)  # PLACES / 8 bytes at most
+
+
 def _sets(rows: DataFrame) -> DataFrame:
-    """doc_id and the packed tokens of its text."""
+    """doc_id, the packed tokens of its text and their sketch."""
 
     def run(batches):
         for b in batches:
             for first, end, data, offs in slices(b.column(1)):
                 tokens, _, size = shingle_sets(data, offs)
                 cut = np.concatenate([[0], np.cumsum(size)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(size.astype(np.int64)), pa.array([tokens[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(size.astype(np.int64)), *[pa.array([f(tokens[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for f in (lambda t: t, sketch)]], ["doc_id", "n", "tokens", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, tokens binary")
+    return rows.mapInArrow(run, "doc_id long, n long, tokens binary, sketch binary")
 
 
 @contextmanager
@@ -405,24 +433,32 @@ def _arrow_bytes(spark: SparkSession, n: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows of pairs (a, b, la, lb) whose sets link, by exact intersection."""
+    """The rows of pairs (a, b, la, lb) whose sets link, by exact intersection; most that don't are told by their sketches."""
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(4), b.column(5), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both > 0 and den * both >= num * (len(p) + len(q) - both))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1, 2, 3])
-            del b
-            trim()
+    def near(p: np.ndarray, q: np.ndarray, na: int, nb: int) -> bool:
+        return (num + den) * differing(p, q) <= (den - num) * (na + nb)
+
+    def linked(p: np.ndarray, q: np.ndarray, na: int, nb: int) -> bool:
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return both > 0 and den * both >= num * (na + nb - both)
+
+    def kept(links):
+        def run(batches):
+            for b in batches:
+                use = [links(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), na.as_py(), nb.as_py()) for na, nb, p, q in zip(*b.columns[4:], strict=True)]
+                yield b.filter(pa.array(use, pa.bool_())).select([0, 1, 2, 3])
+                del b
+                trim()
 
-    left, right = (sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(t)) for k, t in (("a", "p"), ("b", "q")))
-    with _arrow_bytes(pairs.sparkSession, BATCH_BYTES):
-        found = stage_table(pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "p", "q").mapInArrow(run, "a long, b long, la long, lb long"), "links")
-    drop_table(pairs)
-    return found
+        return run
+
+    for column, links, name in (("sketch", near, "near"), ("tokens", linked, "links")):
+        left, right = (sets.select(F.col("doc_id").alias(k), F.col("n").alias(n), F.col(column).alias(t)) for k, n, t in (("a", "na", "p"), ("b", "nb", "q")))
+        with _arrow_bytes(pairs.sparkSession, BATCH_BYTES):
+            found = stage_table(pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "na", "nb", "p", "q").mapInArrow(kept(links), "a long, b long, la long, lb long"), name)
+        drop_table(pairs)
+        pairs = found
+    return pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -472,6 +508,17 @@ def _prefixes(num: int, den: int, common):
     return run
 
 
+def _spared(tokens: DataFrame) -> DataFrame:
+    """The rows of tokens (doc_id, token) without tokens that one set has alone, and with one for all tokens that the same sets have."""
+    # sums of 36 bits, which don't overflow under 2^27 sets; with ends and number they tell lists of sets apart
+    sums = [F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(k)), 28)).alias(f"s{k}") for k in range(2)]
+    lists = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *sums).where("low <> high")
+    one = stage_table(lists.groupBy("sets", "low", "high", "s0", "s1").agg(F.min("token").alias("token")).select("token"), "tokens")
+    met = stage_table(tokens.join(one, "token", "left_semi").select("doc_id", "token").distinct(), "met")
+    drop_table(one)
+    return met
+
+
 def _in_order(pairs: DataFrame) -> DataFrame:
     """Each pair once, the smaller id first."""
     turned = F.col("a") > F.col("b")
@@ -499,7 +546,8 @@ def linked_labels(members: DataFrame, sets: DataFrame, num: int, den: int, commo
             kinds = "doc_id long, n long, label long, " + ", ".join(f"{b} long" for b in BITS) + ", prefix array<long>"
             with _arrow_bytes(members.sparkSession, BATCH_BYTES):
                 right = stage_table(open_.join(sets.select("doc_id", "tokens"), "doc_id").select("doc_id", "n", "label", *BITS, "tokens").mapInArrow(_prefixes(num, den, common), kinds), "prefixes")
-            left, other = (right.select(*c, F.explode("prefix").alias("token")) for c in (member, partner))
+            met = _spared(right.select("doc_id", F.explode("prefix").alias("token")))
+            left, other = (met.join(right.drop("prefix"), "doc_id").select(*c, "token") for c in (member, partner))
             pairs = left.join(other, "token").where((F.col("a") < F.col("b")) & apart)
         pairs = stage_table(_in_order(pairs), "pairs")
         drop_table(right)
@@ -516,6 +564,7 @@ def linked_labels(members: DataFrame, sets: DataFrame, num: int, den: int, commo
                 drop_table(old)
         drop_table(links)
         if last:
+            drop_table(met)
             return labels
         last, turn = found * YIELD <= size, turn + 1
 
@@ -556,7 +605,7 @@ def resolved(rows: DataFrame, found: DataFrame, num: int, den: int, common) -> D
     members = stage_table(members.select("gid", "doc_id", "n", *BITS, F.col("doc_id").alias("label")), "members")
     several = members.groupBy("gid").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("gid")
     ids = members.join(stage_table(several, "several", members.count()), "gid", "left_semi").select("doc_id").distinct()
-    sets = stage_table(_sets(named.join(ids, "doc_id", "left_semi")), "sets")
+    sets = stage_table(_sets(_wanted(named, ids)), "sets")
     labels = linked_labels(members, sets, num, den, common)
     drop_table(sets)
     # rows of one id with different texts are one node: their classes are one component

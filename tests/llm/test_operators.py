@@ -657,6 +657,39 @@ def kept(rows):
 KEPT = ["doc_id", "n_shingles", "component_id", "kept"]
 
 
+def test_sketches_differ_at_most_as_sets_do():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 31, 32, 33, 64, 400, 3000):
+        for other in (n, n * 5 // 4):
+            shared = rng.integers(0, n + 1)
+            a, b = (np.unique(rng.integers(0, 1 << 52, k, dtype=np.uint64)) for k in (n, other))
+            b = np.unique(np.concatenate([a[:shared], b[: other - shared]]))
+            p, q = jaccard.sketch(a), jaccard.sketch(b)
+            assert len(p) * 64 >= 2 * len(a)
+            assert jaccard.differing(p, q) == jaccard.differing(q, p) <= len(np.setxor1d(a, b))
+    apart = [np.unique(rng.integers(0, 1 << 52, 4000, dtype=np.uint64)) for _ in range(2)]
+    assert 9 * jaccard.differing(*map(jaccard.sketch, apart)) > 8000  # long sets too are told apart before they are compared
+
+
+def test_tokens_of_the_same_sets_are_met_once(spark):
+    lists = [(1, 2)] * 100 + [(1, 2, 3)] * 50 + [(2, 3)] * 7 + [(4,)] * 30 + [(5, 6)]
+    rows = [(d, t) for t, ids in enumerate(lists) for d in ids]
+    met = [(r[0], r[1]) for r in jaccard._spared(spark.createDataFrame(rows, "doc_id long, token long")).collect()]
+    assert sorted(d for d, _ in met) == [1, 1, 2, 2, 2, 3, 3, 5, 6]
+    assert {(a, b) for a, t in met for b, u in met if t == u and a < b} == {(1, 2), (1, 3), (2, 3), (5, 6)}
+
+
+def test_texts_of_wanted_ids_are_found_without_a_shuffle(spark):
+    rows = spark.range(-500, 5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    ids = spark.range(-500, 5000, 7).select(F.col("id").alias("doc_id"))
+    found = jaccard._wanted(rows, ids)
+    got, want = {r[0] for r in found.collect()}, set(range(-500, 5000, 7))
+    assert want <= got and len(got) < len(want) + 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan and "SortMergeJoin" not in plan
+    assert jaccard._wanted(rows, ids.limit(0)).count() == 0
+
+
 def test_op11_components(docs, rows):
     same(minhash.minhash_components(docs), kept(rows), KEPT)
     left = minhash.keep_one(docs)
