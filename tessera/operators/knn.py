@@ -1,7 +1,8 @@
 """Exact nearest neighbours by Euclidean distance.
 
 Queries are a stated set that meets all vectors: each partition of the vectors keeps its k best for each query of a block, so what is
-shuffled is k rows for each query and partition, and the distances are NumPy's, in double precision.
+shuffled is k rows for each query and partition, and the distances are NumPy's, in double precision. Many queries meet a slice of vectors by one
+product of matrices, which tells with a margin what can't be among the k nearest; the distance is then taken of the few others only.
 
 Vectors that are dealt into groups around centres needn't all be met: by the triangle inequality no vector of a group is nearer than its
 centre's distance less the group's radius. near() first searches the nearest groups, and then those that may still hold one of the k.
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import l2_distance, literal, similarity, usable
 
 #: Queries a block: so many vectors are sent to every task at a time.
-BLOCK = 4096
+BLOCK = 16_384
+#: Queries from which on a product of matrices comes first, products of a slice, and the margin for their rounding, relative to the squared lengths.
+MANY, PRODUCTS, MARGIN = 64, 1 << 23, 1e-11
 #: Vectors that centres are fitted on, rounds of that, vectors of a group on average, and groups at most.
 SAMPLE, ROUNDS, GROUP, GROUPS = 16_384, 5, 1000, 1024
 
@@ -63,26 +66,85 @@ def _found(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        if len(ids) > MANY:
+            best_id, best_d = _nearest(ids, q, _slices(batches, dim, max(256, PRODUCTS // len(ids))), k)
+            at, rank = np.nonzero(best_id != NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best_id[at, rank]), pa.array(best_d[at, rank])], ["query_id", key, "distance"])
+            return
         step = max(256, 16_384 // len(ids))
         best_id, best_d = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-        for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), dim)
-            good = ~np.isnan(v).any(1)  # a null component too
-            own, v = own[good], v[good]
-            for s in range(0, len(own), step):
-                part = v[s : s + step]
-                d = np.sqrt(((q[:, None, :] - part[None]) ** 2).sum(2)) if len(ids) <= 64 else np.sqrt(np.array([((x - part) ** 2).sum(1) for x in q]))
-                d = np.concatenate([best_d, d], 1)
-                i = np.concatenate([best_id, np.broadcast_to(own[s : s + step], (len(ids), len(part)))], 1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_id = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        for own, part in _slices(batches, dim, step):
+            d = np.sqrt(((q[:, None, :] - part[None]) ** 2).sum(2))
+            d = np.concatenate([best_d, d], 1)
+            i = np.concatenate([best_id, np.broadcast_to(own, (len(ids), len(part)))], 1)
+            order = np.lexsort((i, d), axis=1)[:, :k]
+            best_d, best_id = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_id.shape[1])), pa.array(best_id.ravel()), pa.array(best_d.ravel())], ["query_id", key, "distance"])
 
     rows = vectors.where(F.col(key).isNotNull() & (F.size(vector) == dim)).select(F.col(key).cast("long"), vector)
     return rows.mapInArrow(run, f"query_id long, {key} long, distance double")
 
 
+#: No vector's id: what stands where fewer than k are found so far.
+NONE = np.iinfo(np.int64).min
+
+
+def _slices(batches: Iterator[pa.RecordBatch], dim: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of at most step rows, without those that hold a component that is null or no number; small batches are put together."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        own = b.column(0).to_numpy(zero_copy_only=False)
+        v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), dim)
+        good = ~np.isnan(v).any(1)
+        held.append((own[good], v[good]))
+        if sum(len(o) for o, _ in held) >= step:
+            own, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = len(own) - len(own) % step
+            for a in range(0, whole, step):
+                yield own[a : a + step], v[a : a + step]
+            held = [(own[whole:], v[whole:])]
+    own, v = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64), np.empty((0, dim)))
+    if len(own):
+        yield own, v
+
+
+def _nearest(ids: np.ndarray, q: np.ndarray, slices: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of each query, ids (NONE beyond the last) and distances; ties to the smaller id."""
+    best_id, best_d = np.full((len(ids), k), NONE), np.full((len(ids), k), np.inf)
+    full = np.zeros(len(ids), bool)
+    with np.errstate(over="ignore", invalid="ignore"):
+        qq = (q**2).sum(1)
+        for own, v in slices:
+            vv = (v**2).sum(1)
+            both = qq[:, None] + vv[None]
+            low = q @ v.T
+            low *= -2
+            low += both
+            reach = np.where(full, best_d[:, -1] ** 2, np.inf)
+            if not full.all() and len(own) >= k:  # the k-th of this slice is no nearer than the k-th of all
+                some = ~full
+                high = low[some] + MARGIN * both[some]
+                reach[some] = np.partition(np.where(np.isnan(high), np.inf, high), k - 1, axis=1)[:, k - 1]
+            both *= MARGIN
+            low -= both
+            low -= (reach * (1 + MARGIN))[:, None]
+            at, j = np.nonzero(~(low > 0))  # what can't be told is compared too
+            d = np.concatenate([np.sqrt(((q[at[a : a + 65_536]] - v[j[a : a + 65_536]]) ** 2).sum(1)) for a in range(0, len(at), 65_536)] or [np.empty(0)])
+            rows = np.unique(at)
+            old = best_id[rows] != NONE
+            r = np.nonzero(old)[0]
+            near = np.concatenate([best_d[rows][old], d])
+            of, name = np.concatenate([rows[r], at]), np.concatenate([best_id[rows][old], own[j]])
+            order = np.lexsort((name, near, of))
+            of, name, near = of[order], name[order], near[order]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            use = place < k
+            best_id[rows], best_d[rows] = NONE, np.inf
+            best_id[of[use], place[use]], best_d[of[use], place[use]] = name[use], near[use]
+            full = (best_id[:, -1] != NONE) & ~np.isnan(best_d[:, -1])
+    return best_id, best_d
+
+
 def centres(vectors: DataFrame, vector: str = "embedding", each: int = GROUP, total: int | None = None) -> np.ndarray:
     """Centres for groups of about each of total vectors (of these, if it isn't given), fitted on a bounded sample of those of the commonest length (of equally common ones the longest).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -517,7 +518,7 @@ SELECT query_id, chunk_id, round(rrf, 9) AS rrf, CAST(row_number() OVER (PARTITI
 def hybrid_batch(spark, d):
     """All vectors and all items are asked; vectors and items of one number are one query."""
     docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
-    asked = [(r[0], r[1]) for r in vectors.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()]
+    asked = [(r[0], np.array(r[1], np.float64)) for r in vectors.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()]
     v = knn.batch_search(vectors.withColumnRenamed("vec_id", "chunk_id"), asked, 25)
     w = bm25.best_of_texts(docs, bm25.asked_by(table(spark, d, "benchmark"), "item_id", "text"), 25, "doc_id")
     return fusion.fuse_many(v, w, 5).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), "rank")

@@ -146,3 +146,35 @@ def test_texts_without_an_index_score_as_postings_do(spark):
     many = bm25.asked_by(spark.createDataFrame([(k, q) for k in range(150) for _, q in asked[:2]], "query_id long, query string"))
     assert bm25.best_of_texts(docs, many, 3).groupBy("query_id").count().where("count = 3").count() == 150
     assert bm25.best_of_texts(docs, [], 3).count() == 0 and bm25.best_of_texts(docs.where("chunk_id < 0"), many, 3).count() == 0
+
+
+def test_many_queries_find_what_each_alone_finds(spark, monkeypatch):
+    """Equal distances, copies, infinite and huge vectors, fewer vectors than k; and the distance is taken of few pairs only."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(900, 8)), rng.integers(0, 2, (300, 8)), np.full((3, 8), 1e200), rng.normal(size=(4, 8)) * 1e8])
+    v[5, 2], v[6, 0], v[7] = np.inf, np.nan, v[8]
+    rows = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "chunk_id long, embedding array<double>").repartition(3)
+    asked = [(i, v[i].tolist()) for i in range(0, len(v), 9) if i != 6] + [(2000, v[1204].tolist())]
+    for table, k in ((rows, 7), (rows.where("chunk_id < 5"), 7)):
+        many = {(r["query_id"], r["rank"]): (r["chunk_id"], r["distance"]) for r in knn.batch_search(table, asked, k).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(knn, "MANY", 1 << 30)
+            alone = {(r["query_id"], r["rank"]): (r["chunk_id"], r["distance"]) for r in knn.batch_search(table, asked, k).collect()}
+        assert len(alone) == len(asked) * min(k, 5 if k > 5 and table is not rows else k)
+        assert repr(sorted(many.items())) == repr(sorted(alone.items()))
+
+
+def test_many_queries_take_few_distances():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(6000, 64))
+    taken = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray) and at.dtype.kind == "i":
+                taken.append(len(at))
+            return np.asarray(super().__getitem__(at))
+
+    ids, d = knn._nearest(np.arange(200), v[:200].view(Counted), iter([(np.arange(a, a + 1000), v[a : a + 1000]) for a in range(0, 6000, 1000)]), 10)
+    assert (ids[:, 0] == np.arange(200)).all() and (d[:, 0] == 0).all()
+    assert 0 < sum(taken) < 200 * 6000 // 50
