@@ -63,6 +63,8 @@ PLACES = 1 << 26
 #: Members of a group that lead in a turn. Turns go on until one finds under one link for YIELD members; then all that is
 #: still apart is tested.
 LEADERS, YIELD = 4, 100
+#: Tokens before one that come along with it, to tell whether two sets have met before.
+BEFORE = 8
 _MASK = U64((1 << TOKEN_BITS) - 1)
 
 
@@ -508,17 +510,33 @@ def _prefixes(num: int, den: int, common):
     return run
 
 
-def _spared(tokens: DataFrame) -> DataFrame:
-    """The rows of tokens (doc_id, token) without tokens that one set has alone, and with one for all tokens that the same sets have."""
+def _spared(tokens: DataFrame, apart: str = "doc_id") -> DataFrame:
+    """The rows of tokens (doc_id, token) without tokens whose sets have one value of apart, and with one for all tokens that the same sets have."""
     # sums of 36 bits, which don't overflow under 2^27 sets; with ends and number they tell lists of sets apart
     sums = [F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(k)), 28)).alias(f"s{k}") for k in range(2)]
-    lists = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *sums).where("low <> high")
+    lists = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(apart).alias("least"), F.max(apart).alias("most"), *sums).where("least <> most")
     one = stage_table(lists.groupBy("sets", "low", "high", "s0", "s1").agg(F.min("token").alias("token")).select("token"), "tokens")
     met = stage_table(tokens.join(one, "token", "left_semi").select("doc_id", "token").distinct(), "met")
     drop_table(one)
     return met
 
 
+def _with_before(met: DataFrame) -> DataFrame:
+    """The rows of met (doc_id, token), each with the BEFORE tokens of its set that come before it."""
+    listed = met.groupBy("doc_id").agg(F.array_sort(F.collect_set("token")).alias("all")).select("doc_id", "all", F.posexplode("all").alias("at", "token"))
+    return listed.select("doc_id", "token", F.slice("all", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE))).alias("before"))
+
+
+def _meeting(met: DataFrame, left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+    """Pairs of a row of left (a, ...) and one of right (b, ...) that have a token of met, with those before it, in common and are apart, a < b.
+
+    A pair comes up at the first token that both have, as no set has an earlier one that the other has too. At later ones it doesn't
+    if a token just before is in both: near copies, which have most tokens in common, come up a few times and not once for each.
+    """
+    a, b = (met.join(side.withColumnRenamed(key, "doc_id"), "doc_id").withColumnsRenamed({"doc_id": key, "before": before}) for side, key, before in ((left, "a", "before_"), (right, "b", "before")))
+    return b.join(a, "token").where((F.col("a") < F.col("b")) & apart & ~F.arrays_overlap("before", "before_"))
+
+
 def _in_order(pairs: DataFrame) -> DataFrame:
     """Each pair once, the smaller id first."""
     turned = F.col("a") > F.col("b")
@@ -546,9 +564,10 @@ def linked_labels(members: DataFrame, sets: DataFrame, num: int, den: int, commo
             kinds = "doc_id long, n long, label long, " + ", ".join(f"{b} long" for b in BITS) + ", prefix array<long>"
             with _arrow_bytes(members.sparkSession, BATCH_BYTES):
                 right = stage_table(open_.join(sets.select("doc_id", "tokens"), "doc_id").select("doc_id", "n", "label", *BITS, "tokens").mapInArrow(_prefixes(num, den, common), kinds), "prefixes")
-            met = _spared(right.select("doc_id", F.explode("prefix").alias("token")))
-            left, other = (met.join(right.drop("prefix"), "doc_id").select(*c, "token") for c in (member, partner))
-            pairs = left.join(other, "token").where((F.col("a") < F.col("b")) & apart)
+            met = _spared(right.select("doc_id", "label", F.explode("prefix").alias("token")), "label")
+            spared, met = met, stage_table(_with_before(met), "before")
+            drop_table(spared)
+            pairs = _meeting(met, right.select(*partner), right.select(*member), apart)
         pairs = stage_table(_in_order(pairs), "pairs")
         drop_table(right)
         links = _verify(pairs, sets, num, den)

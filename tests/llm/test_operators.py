@@ -679,6 +679,20 @@ def test_tokens_of_the_same_sets_are_met_once(spark):
     assert {(a, b) for a, t in met for b, u in met if t == u and a < b} == {(1, 2), (1, 3), (2, 3), (5, 6)}
 
 
+def test_near_copies_come_up_few_times(spark):
+    """Sets that have most tokens in common, but don't link, met once for each of these tokens."""
+    rng = random.Random(7)
+    base = range(1000)
+    sets = [rng.sample(base, 800) for _ in range(30)] + [[k, 5000 + k % 5] for k in range(40)]
+    rows = [(d, t * 7919 % 100_003) for d, s in enumerate(sets) for t in s]
+    met = spark.createDataFrame(rows, "doc_id long, token long")
+    a, b = (spark.range(len(sets)).select(F.col("id").alias(k)) for k in "ab")
+    found = [(r["a"], r["b"]) for r in jaccard._meeting(jaccard._with_before(met), a, b, F.lit(True)).select("a", "b").collect()]
+    have = [{t for e, t in rows if e == d} for d in range(len(sets))]
+    assert set(found) == {(d, e) for e in range(len(sets)) for d in range(e) if have[d] & have[e]}  # none is lost
+    assert len(found) < 2 * len(set(found))
+
+
 def test_texts_of_wanted_ids_are_found_without_a_shuffle(spark):
     rows = spark.range(-500, 5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     ids = spark.range(-500, 5000, 7).select(F.col("id").alias("doc_id"))
