@@ -47,10 +47,26 @@ def block_of(chunk_id: Column) -> Column:
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """chunk_id, term, tf, positions (from 0, ascending), dl: the chunk's number of terms."""
-    terms = chunks.select(F.col(chunk_id).alias("chunk_id"), index_terms(F.col(text)).alias("terms"))
-    placed = terms.select("chunk_id", F.size("terms").alias("dl"), F.posexplode("terms").alias("at", "term"))
-    return placed.groupBy("chunk_id", "term", "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions")).select("chunk_id", "term", "tf", "positions", "dl")
+    """chunk_id, term, tf, positions (from 0, ascending), dl: the chunk's number of terms. A chunk is one row, so that nothing is shuffled."""
+    terms = chunks.select(F.col(chunk_id).cast("long").alias("chunk_id"), index_terms(F.col(text)).alias("terms"))
+    return terms.mapInArrow(_inverted, "chunk_id long, term string, tf int, positions array<int>, dl int")
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (chunk_id, terms): the postings of each chunk."""
+    for b in batches:
+        dl = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        named = pc.dictionary_encode(b.column(1).flatten())
+        row = np.repeat(np.arange(len(dl)), dl)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(dl) - dl, dl)
+        key = row * max(1, len(named.dictionary)) + named.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")  # places stay in order
+        key = key[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        first, end = order[start], np.append(start, len(key))
+        places = pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), pa.array(at[order].astype(np.int32)))
+        own = pa.array(row[first])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(own), named.dictionary.take(named.indices.take(pa.array(first))), pa.array(np.diff(end).astype(np.int32)), places, pa.array(dl[row[first]].astype(np.int32))], ["chunk_id", "term", "tf", "positions", "dl"])
 
 
 def lengths(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:

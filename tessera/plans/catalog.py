@@ -223,7 +223,7 @@ class Project:
         batch = m.next_batch
         gone = None
         if "tombstones" in tables and m.tables.get("chunks"):
-            gone = self.chunks(m).join(tables["tombstones"].select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi")
+            gone = self._gone(tables["tombstones"], m)
         self._write(tables, batch, gone)
         m.batches.append(batch)
         for name in (*tables, *(["terms"] if "postings" in tables or gone is not None else []), *(["groups"] if "vectors" in tables else [])):
@@ -236,6 +236,12 @@ class Project:
         self.save(m)
         return batch
 
+    def _gone(self, tombstones: DataFrame, m: Manifest) -> DataFrame:
+        """The chunks that live and go with these tombstones. Paths and ids are joined; texts are shuffled only if these are many."""
+        paths = tombstones.select(F.col("path").alias("file_path")).distinct()
+        ids = self.live("chunks", "file_path", m).select("file_path", "chunk_id").join(paths, "file_path", "left_semi").select("chunk_id")
+        return self.table("chunks", m).drop("batch").join(F.broadcast(ids) if ids.count() <= DEAD else ids, "chunk_id", "left_semi")
+
     def _of(self, name: str, batch: int) -> DataFrame:
         return self.spark.read.schema(schema.struct(TABLES[name])).parquet(f"{self.store.root}/{name}/batch={batch}")
 
@@ -255,12 +261,12 @@ class Project:
             done()
 
     def _write_one(self, name: str, rows: DataFrame, batch: int) -> None:
-        if name == "postings":
-            rows = rows.withColumn("block", bm25.block_of(F.col("chunk_id")))
-        rows = rows.select(*schema.struct(TABLES[name]).names)
-        if name == "postings":  # by term, so that a query's filter reads only where its terms lie
+        if name != "postings":
+            rows = rows.select(*schema.struct(TABLES[name]).names)
+        else:  # by term, so that a query's filter reads only where its terms lie
             # a common term is in SALTS files, so that no task has it whole
-            rows = rows.repartition("term", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("term", "chunk_id")
+            rows = rows.select("chunk_id", "term", "tf", "positions", "dl").repartition("term", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("term", "chunk_id")
+            rows = rows.withColumn("block", bm25.block_of(F.col("chunk_id"))).select(*schema.struct(TABLES[name]).names)
         if name == "terms":
             rows = rows.sortWithinPartitions("term", "block")
         if name == "vectors":  # by group, so that a search reads the groups it needs; a large one is in SALTS files

@@ -244,9 +244,9 @@ def page_range_filter(spark, d):
     return fusion.SearchFilter(page_min=2, page_max=7).apply(corpus(spark, d)).groupBy("page").agg(F.count("*").alias("n"))
 
 
-def listing(spark, d) -> DataFrame:
-    """Documents as files, with the hash of their text."""
-    return table(spark, d, "documents").select(F.concat(F.lit("/corpus/"), "source", F.lit("/d"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt")).alias("path"), F.sha1("text").alias("sha1"), F.octet_length("text").cast("long").alias("size"), "doc_id")
+def listing(spark, d, *more: str) -> DataFrame:
+    """Documents as files, with the hash of their text, and more of their columns."""
+    return table(spark, d, "documents").select(F.concat(F.lit("/corpus/"), "source", F.lit("/d"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt")).alias("path"), F.sha1("text").alias("sha1"), F.octet_length("text").cast("long").alias("size"), "doc_id", *more)
 
 
 def tracked(spark, d) -> DataFrame:
@@ -431,7 +431,7 @@ def search_end_to_end(spark, d):
 def stored(spark, d, *tables: str) -> Project:
     """Documents in a new project, a chunk each: even ones, then odd ones, then an update of every tenth and the deletion of every seventh."""
     p = Project(spark, shared_folder(spark), f"store-{uuid.uuid4().hex}").create(64)
-    rows = listing(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    rows = listing(spark, d, "text")
 
     def batch(rows: DataFrame, base: int) -> dict[str, DataFrame]:
         stamp = F.current_timestamp().alias("indexed_at")

@@ -178,3 +178,12 @@ def test_many_queries_take_few_distances():
     ids, d = knn._nearest(np.arange(200), v[:200].view(Counted), iter([(np.arange(a, a + 1000), v[a : a + 1000]) for a in range(0, 6000, 1000)]), 10)
     assert (ids[:, 0] == np.arange(200)).all() and (d[:, 0] == 0).all()
     assert 0 < sum(taken) < 200 * 6000 // 50
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    texts = ["b a b Ä", None, "", "...", "a", "b b b c"]
+    df = spark.createDataFrame([(7 * k, t) for k, t in enumerate(texts)], "chunk_id long, text string").repartition(3).localCheckpoint()
+    made = bm25.postings(df)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == [(0, "a", 2, [1, 3], 4), (0, "b", 2, [0, 2], 4), (28, "a", 1, [0], 1), (35, "b", 3, [0, 1, 2], 4), (35, "c", 1, [3], 4)]
+    assert bm25.postings(df.limit(0)).count() == 0
