@@ -8,10 +8,12 @@ strings that may match are brought together first, exactly, and arrays are built
 1. Anchors. Of the 35 16-byte grams of a 50-byte window the one with the least hash is its anchor (the rightmost of equal
    ones), so equal windows have equal anchors at equal places. A run of windows with one anchor is a context.
 2. Documents are dealt by ranges of ids into batches. Each batch sends its distinct (anchor, context) hashes, packed, to
-   the anchor's bucket, and gets two bits for each: whether a batch of an earlier range has this context, and whether the anchor
-   also stands in other contexts. Contexts that an earlier document has whole are removed; they are told by two independent
-   hashes of 48 bits, which no two of n different contexts share but by a chance of n * n / 2 ** 97. Anchors without other contexts are done.
-3. Only for anchors in several contexts the bytes of each distinct context are sent. A bucket sorts the windows' suffixes by prefix
+   the anchor's bucket, and gets two bits for each: whether a batch of an earlier range has this context, and whether it may share
+   a window with another context of the anchor. Contexts that an earlier document has whole are removed; they are told by two independent
+   hashes of 48 bits, which no two of n different contexts share but by a chance of n * n / 2 ** 97. A window has 34 bytes beside its anchor,
+   so 17 at least on one side: contexts with no others of their anchor that have the 17 bytes before or behind it (16 bits of hash a side)
+   are done. In a large corpus most anchors stand in several contexts by chance, two or three words being the same; five or six seldom are.
+3. Only of the others the bytes of each distinct context are sent. A bucket sorts the windows' suffixes by prefix
    doubling (8, 16, 32, then 50 bytes), finds previous and next smaller documents, takes the lengths of the matches from the
    ranks, and the longer one is the longest previous factor, counted up to 50 bytes.
 4. Each batch joins the removed windows into spans and cuts them.
@@ -41,8 +43,12 @@ from tessera.llm.common import U64, mix64, plan_bytes, powers, prefix_hash, span
 
 LENGTH, GRAM = 50, 16
 _SPREAD = LENGTH - GRAM + 1
+#: A window has at least so many bytes on one side of its anchor.
+SIDE = (LENGTH - GRAM + 1) // 2
 _AT = U64((1 << 28) - 1)
 LAST = np.iinfo(np.int64).max
+#: Bytes whose contexts are found at a time, few enough for their arrays to stay in a processor's cache.
+SLICE_BYTES = 1 << 17
 #: Contexts of an anchor from which on its windows go each to a bucket of its own, so that no bucket gathers them all.
 CONTEXTS = 100_000
 #: The same within one batch: such an anchor's contexts aren't sent, only that there are many.
@@ -57,10 +63,10 @@ _INVERSE_BASE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, text, first window, windows) of each context of some texts, in order."""
+    """(anchor hash, context hash, sides, text, first window, windows) of each context of some texts, in order."""
     n = len(data)
     if n < LENGTH:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.uint64),) * 3 + (np.empty(0, np.int64),) * 3
     assert n < 1 << 28, "a text of 256 MB"
     prefix = prefix_hash(data)
     gram = (prefix[GRAM:] - prefix[:-GRAM]) * powers(_INVERSE_BASE, n - GRAM + 1)
@@ -77,13 +83,38 @@ def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     window = np.arange(len(text)) + np.repeat(offs[:-1] - (np.cumsum(size := np.maximum(np.diff(offs) - LENGTH + 1, 0)) - size), size)
     place = place[window]
     if not len(place):
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.uint64),) * 3 + (np.empty(0, np.int64),) * 3
     start = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
     count = np.diff(np.append(start, len(place)))
     first, at = window[start], place[start]
-    context = span_hash(prefix, first, first + count - 1 + LENGTH)
+    end = first + count - 1 + LENGTH
+    context = span_hash(prefix, first, end)
     anchor = mix64(gram[at])
-    return anchor, mix64(context + anchor + (at - first).astype(np.uint64) * U64(0x9FB21C651E98DF25)), text[start], first - offs[text[start]], count
+    left, right = np.flatnonzero(at - SIDE >= first), np.flatnonzero(at + GRAM + SIDE <= end)
+    sides = np.zeros(len(at), np.uint64)
+    sides[left] = _side(span_hash(prefix, at[left] - SIDE, at[left])) << U64(16)
+    sides[right] |= _side(span_hash(prefix, at[right] + GRAM, at[right] + GRAM + SIDE))
+    return anchor, mix64(context + anchor + (at - first).astype(np.uint64) * U64(0x9FB21C651E98DF25)), sides, text[start], first - offs[text[start]], count
+
+
+def _side(x: np.ndarray) -> np.ndarray:
+    """A side's hash in 16 bits; 0 is the sign of a context that doesn't reach so far."""
+    return np.maximum(x >> U64(48), U64(1))
+
+
+def by_hash(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A stable order of hashes of 48 bits in which equal h, and equal (h, c), stand together: by h and the last bits of c, then by c."""
+    key = h << U64(16) | c & U64(0xFFFF)
+    order = np.argsort(key, kind="stable")
+    key, c = key[order], c[order]
+    apart = np.flatnonzero((key[1:] == key[:-1]) & (c[1:] != c[:-1]))
+    if len(apart):
+        run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        mixed = np.zeros(run[-1] + 1, bool)
+        mixed[run[apart]] = True
+        at = np.flatnonzero(mixed[run])
+        order[at] = order[at][np.lexsort((c[at], run[at]))]
+    return order
 
 
 class Batch:
@@ -96,16 +127,16 @@ class Batch:
 
     def scan(self) -> None:
         parts = []
-        for row, _, data, offs in text_slices(self.text):
-            h, c, t, first, count = _runs(data, offs)
-            parts.append((h, c, t + row, first, count))
-        self.h, self.c, self.row, self.first, self.count = (np.concatenate(x) if parts else np.empty(0, np.int64) for x in (zip(*parts, strict=True) if parts else [()] * 5))
+        for row, _, data, offs in text_slices(self.text, SLICE_BYTES):
+            h, c, s, t, first, count = _runs(data, offs)
+            parts.append((h, c, s, t + row, first, count))
+        self.h, self.c, self.s, self.row, self.first, self.count = (np.concatenate(x) if parts else np.empty(0, np.int64) for x in (zip(*parts, strict=True) if parts else [()] * 6))
         self.h, self.c = self.h.astype(np.uint64) >> U64(16), self.c.astype(np.uint64) & U64((1 << 48) - 1)
-        order = np.lexsort((self.c, self.h))  # stable: of equal contexts the earliest document's comes first
+        order = by_hash(self.h, self.c)  # stable: of equal contexts the earliest document's comes first
         h, c = self.h[order], self.c[order]
         self.new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.empty(0, bool)
         self.order, self.start = order, np.flatnonzero(self.new)
-        self.uh, self.uc = h[self.start], np.maximum(c[self.start], U64(1))
+        self.uh, self.uc, self.us = h[self.start], np.maximum(c[self.start], U64(1)), self.s[order[self.start]].astype(np.uint64)
         anchor = np.flatnonzero(np.concatenate([[True], self.uh[1:] != self.uh[:-1]])) if len(self.uh) else np.empty(0, np.int64)
         kinds = np.diff(np.append(anchor, len(self.uh)))
         self.crowded = np.repeat(kinds > OWN_CONTEXTS, kinds)
@@ -114,15 +145,15 @@ class Batch:
         self.uc[self.crowded] = 0  # the sign of very many
 
 
-def planes(x: np.ndarray) -> bytes:
-    """48-bit numbers as six byte planes, which compress where numbers are sorted."""
-    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
+def planes(x: np.ndarray, n: int = 6) -> bytes:
+    """Numbers of n bytes (48 bits) as so many byte planes, which compress where numbers are sorted."""
+    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - n :].T).tobytes()
 
 
-def unplanes(b: bytes) -> np.ndarray:
-    p = np.frombuffer(b, np.uint8).reshape(6, -1)
+def unplanes(b: bytes, n: int = 6) -> np.ndarray:
+    p = np.frombuffer(b, np.uint8).reshape(n, -1)
     out = np.zeros((p.shape[1], 8), np.uint8)
-    out[:, 2:] = p.T
+    out[:, 8 - n :] = p.T
     return out.view(">u8").ravel().astype(np.uint64)
 
 
@@ -144,6 +175,7 @@ def table_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 
 HASHES = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("h", pa.binary()), ("c", pa.binary())])
+_SIDED = pa.schema([*HASHES, ("s", pa.binary())])
 CODES = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("codes", pa.binary())])
 _PARTS = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("bytes", pa.binary()), ("uses", pa.binary()), ("rows", pa.binary()), ("firsts", pa.binary())])
 _SPANS = pa.schema([("batch", pa.int64()), ("rows", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
@@ -157,32 +189,53 @@ def _send_hashes(k: int):
     def run(table: pa.Table) -> pa.Table:
         b, batch = Batch(table), table.column("batch")[0].as_py()
         b.scan()
-        h, c = b.uh[b.sent], b.uc[b.sent]
-        return table_of(HASHES, [(x, batch, planes(h[i:j]), planes(c[i:j])) for x, i, j in cuts(bucket_of(h, k))])
+        h, c, s = b.uh[b.sent], b.uc[b.sent], b.us[b.sent]
+        return table_of(_SIDED, [(x, batch, planes(h[i:j]), planes(c[i:j]), planes(s[i:j], 4)) for x, i, j in cuts(bucket_of(h, k))])
 
     return run
 
 
+def _close(anchor: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Of different contexts, in the order of their anchors' numbers, which have a side in common with another of their anchor."""
+    out = np.zeros(len(anchor), bool)
+    for side in (sides >> U64(16), sides & U64(0xFFFF)):
+        at = np.flatnonzero(side)
+        key = anchor[at] << U64(16) | side[at]
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        out[at[order[1:][same]]] = True
+        out[at[order[:-1][same]]] = True
+    return out
+
+
 def code(table: pa.Table, shift: int = 0) -> pa.Table:
     """A bucket's answers. Bit 0: a batch of an earlier range of ids has the context; bits 1 and 2: the anchor stands in other
-    contexts too, in very many. A batch's range is its number without the last ``shift`` bits."""
+    contexts too with which this one may share a window, in very many; both are 0 where no sides are sent. A batch's range is its
+    number without the last ``shift`` bits."""
     table = table.sort_by("batch")
     batch = table.column("batch").to_numpy()
     hs = [unplanes(x.as_py()) for x in table.column("h")]
     h, c = np.concatenate(hs), np.concatenate([unplanes(x.as_py()) for x in table.column("c")])
+    s = np.concatenate([unplanes(x.as_py(), 4) for x in table.column("s")]) if "s" in table.column_names else np.zeros(len(h), np.uint64)
     n = [len(x) for x in hs]
     del hs
-    order = np.lexsort((c, h))  # stable, so the lowest batch comes first
+    order = by_hash(h, c)  # stable, so the lowest batch comes first
     h, c = h[order], c[order]
     ranges = np.repeat(batch >> shift, n)[order]
     anchor = np.concatenate([[True], h[1:] != h[:-1]])
     fresh = anchor | np.concatenate([[True], c[1:] != c[:-1]])
     start = np.flatnonzero(anchor)
-    kinds = np.add.reduceat(fresh + (c == 0) * (CONTEXTS + 1), start)
-    kinds = np.repeat(kinds, np.diff(np.append(start, len(h))))
+    size = np.diff(np.append(start, len(h)))
+    each = np.flatnonzero(fresh & np.repeat(np.add.reduceat(fresh.astype(np.int64), start) > 1, size))
+    close = np.zeros(len(h), bool)
+    close[each] = _close(np.cumsum(anchor)[each].astype(np.uint64), s[order[each]])
+    # a batch's sign of very many contexts keeps their sides to itself, so all of the anchor's may have one in common
+    signed = np.logical_or.reduceat(c == 0, start)
+    kinds = np.repeat(np.add.reduceat(close.astype(np.int64), start) + signed * (CONTEXTS + 1), size)
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
+    open_ = close[first] | np.repeat(signed, size)
     codes = np.empty(len(h), np.uint8)
-    later = ranges > ranges[np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))]
-    codes[order] = later.astype(np.uint8) | (kinds > 1).astype(np.uint8) << 1 | (kinds > CONTEXTS).astype(np.uint8) << 2
+    codes[order] = (ranges > ranges[first]).astype(np.uint8) | open_.astype(np.uint8) << 1 | (open_ & (kinds > CONTEXTS)).astype(np.uint8) << 2
     cut = np.cumsum([0, *n])
     bucket = table.column("bucket")[0].as_py()
     return table_of(CODES, [(int(x), bucket, codes[i:j].tobytes()) for x, i, j in zip(batch, cut[:-1], cut[1:], strict=True)])
@@ -317,7 +370,7 @@ def longest_previous(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) ->
     for step in (8, 16):
         rank = ranks[step]
         ranks[2 * step] = _ranks(rank << U64(32) | np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.uint64)]))
-    suffix = np.lexsort((ranks[32][starts + LENGTH - 32], ranks[32][starts]))
+    suffix = np.argsort(ranks[32][starts] << U64(32) | ranks[32][starts + LENGTH - 32])
     place, own = starts[suffix], owner[suffix]
     best = np.zeros(len(suffix), np.int64)
     back = len(suffix) - 1 - previous_smaller(own[::-1])[::-1]  # the next smaller position, or the length
@@ -437,7 +490,7 @@ def dealt(docs: DataFrame, batch_bytes: int | None = None) -> tuple[DataFrame, i
 def _plan(docs: DataFrame, batch_bytes: int | None, finish, schema: str) -> DataFrame:
     rows, k, _ = dealt(docs, batch_bytes)
     by_batch = rows.groupBy("batch")
-    hashes = by_batch.applyInArrow(trimmed(_send_hashes(k)), ddl(HASHES))
+    hashes = by_batch.applyInArrow(trimmed(_send_hashes(k)), ddl(_SIDED))
     codes = hashes.groupBy("bucket").applyInArrow(trimmed(code_by_range), ddl(CODES))
     parts = by_batch.cogroup(codes.groupBy("batch")).applyInArrow(trimmed(_send_contexts(k)), ddl(_PARTS))
     spans = parts.groupBy("bucket").applyInArrow(trimmed(_settle), ddl(_SPANS))

@@ -211,6 +211,52 @@ def test_op3_a_batch_sends_a_row_a_bucket_at_most():
     assert sent.num_rows <= 2 * k + 1 and all(x < k for x in sent.column("bucket").to_pylist())
 
 
+def test_op3_contexts_that_can_share_no_window_are_not_sent():
+    """Anchors stand in several contexts by chance in a large corpus; 17 more bytes on a side tell those that may match."""
+    import pyarrow as pa
+
+    rng = random.Random(18)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrases = [letters(20) for _ in range(100)]
+    rows = [(i, "".join(letters(rng.randint(40, 90)) + rng.choice(phrases) for _ in range(20))) for i in range(60)]
+    shared = [letters(n) for n in (49, 50, 50, 51, 60, 80)]
+    both = [(i + 100, t[:500] + x + t[500:]) for x in shared for i, t in enumerate([letters(900), letters(900), letters(900)], 3 * shared.index(x))]
+
+    def sent(docs):
+        parts = [pa.table({"doc_id": pa.array([d for d, _ in docs[k::2]], pa.int64()), "text": [t for _, t in docs[k::2]], "batch": pa.array([k << suffix_dedup.SHIFT] * len(docs[k::2]), pa.int64())}) for k in range(2)]
+        codes = suffix_dedup.code_by_range(pa.concat_tables([suffix_dedup._send_hashes(1)(p) for p in parts]))
+        by = [codes.filter(pa.array([x == k << suffix_dedup.SHIFT for x in codes.column("batch").to_pylist()])) for k in range(2)]
+        out = pa.concat_tables([suffix_dedup._send_contexts(1)(p, c) for p, c in zip(parts, by)])
+        return b"".join(x for b, x in zip(out.column("bucket").to_pylist(), out.column("bytes").to_pylist()) if b >= 0).decode()
+
+    assert len(sent(rows)) < 300  # but for 16-bit hashes that agree
+    text = sent(sorted(rows + both))
+    assert all(x[k : k + 50] in text for x in shared[1:4] for k in range(len(x) - 49)) and len(text) < 50 * sum(map(len, shared))
+
+
+def test_op3_shared_windows_at_every_offset(spark, tmp_path_factory):
+    rng = random.Random(19)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for k in range(400):
+        x = letters(rng.choice([49, 50, 50, 51, 66, 90]))
+        rows += [(2 * k + j, letters(rng.randint(0, 60)) + x + letters(rng.randint(0, 60))) for j in range(2)]
+    rng.shuffle(rows)
+    df = stored(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path_factory)
+    same(suffix_dedup.removed_spans(df, batch_bytes=4000), brute.suffix_spans(rows), DIGEST)
+
+
+def test_op3_hashes_are_brought_together():
+    rng = np.random.default_rng(20)
+    for bits in (0, 1, 16, 40):
+        h, c = rng.integers(0, 9, 500).astype(np.uint64) << np.uint64(40), rng.integers(0, 3, 500).astype(np.uint64) << np.uint64(bits)
+        order = suffix_dedup.by_hash(h, c)
+        pairs = list(zip(h[order].tolist(), c[order].tolist()))
+        assert h[order].tolist() == sorted(h.tolist())
+        assert 1 + sum(a != b for a, b in zip(pairs, pairs[1:])) == len(set(pairs))
+        assert all(order[i] < order[i + 1] for i in range(499) if pairs[i] == pairs[i + 1])
+
+
 def test_op4_counts_as_the_library(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
